@@ -115,6 +115,77 @@ VIEWS: dict[str, str] = {
         from (select distinct batch_id from feed_observation) o
         join fish_batch b on o.batch_id = b.batch_id
         join (select distinct cage_no, business_date from tide_session) t on b.cage_no = t.cage_no""",
+    # Observation lines: up to four lines per event, with every kind of fault in turn.
+    "obs_variant": """
+        select event_id, ts, user_id, value, {EXPLODE:3} as k from events""",
+    "obs_field": """
+        select event_id, k, concat('file-', cast((event_id + case when k = 3 then 1 else 0 end) % 4 as string)) as checksum,
+               {TS} '2024-02-01 00:00:00' as file_time, event_id * 8 + k + 2 as line_no,
+               case when event_id % 97 = 3 then 'VOY 1' else concat('VOY-', cast(event_id % 7 as string)) end as voyage_no,
+               case when event_id % 97 = 0 then 'BAD CAGE'
+                    else concat('CAGE-', cast(user_id % 27 as string)) end as cage_no,
+               case when event_id % 89 = 0 then 'not-a-time' when event_id % 89 = 1 then ''
+                    when event_id % 89 = 2 then '2099-01-01T00:00:00'
+                    when event_id % 5 = 1 then replace({ISO:ts}, 'T', ' ')
+                    else {ISO:ts} end as time_text,
+               case when k = 3 or event_id % 6 = 0 then '' when event_id % 83 = 0 then 'abc'
+                    when event_id % 79 = 0 then '-1.00' when event_id % 73 = 0 then '1.234'
+                    when event_id % 61 = 0 then '100000.00' when event_id % 59 = 0 then '1E1'
+                    when k = 0 then cast(cast(value as decimal(10,2)) as string)
+                    else cast(cast(cast(value as decimal(10,2)) + 1 as decimal(10,2)) as string) end as feed_text,
+               case when event_id % 71 = 0 then '1.5' when event_id % 69 = 1 then 'x' when event_id % 3 = 0 then ''
+                    when k = 1 and event_id % 44 = 0 then '0.9000' else '0.9500' end as rate_text,
+               case when event_id % 2 = 0 and k < 3 then '' when event_id % 43 = 1 then '-3'
+                    when k = 3 then '7.25' else '6.8' end as value_text,
+               case when (event_id % 2 = 0 and k < 3) or event_id % 41 = 1 then ''
+                    when user_id % 3 = 0 then 'C' else 'mg/L' end as unit_text,
+               case when (event_id % 2 = 0 and k < 3) or event_id % 47 = 1 then ''
+                    when event_id % 51 = 1 then 'bad device!' when event_id % 37 = 0 then 'S-GHOST'
+                    else concat('S-', cast(user_id as string)) end as device_text,
+               case when event_id % 67 = 0 then 7 when event_id % 67 = 1 then 9 else 8 end as width
+        from obs_variant
+        where k = 0 or (k = 1 and event_id % 11 = 0) or (k = 2 and event_id % 22 = 0)
+           or (k = 3 and event_id % 33 = 0)""",
+    "obs_line": """
+        select checksum, file_time, line_no,
+               concat(voyage_no, ',', case when event_id % 13 = 0 then concat(' ', cage_no, ' ') else cage_no end, ',',
+                      time_text, ',',
+                      case when event_id % 13 = 0 then concat('"', feed_text, '"') else feed_text end, ',',
+                      rate_text, ',', value_text, ',', unit_text,
+                      case when width = 7 then '' else concat(',', device_text) end,
+                      case when width = 9 then ',EXTRA' else '' end) as raw_line
+        from obs_field
+        union all
+        select concat('file-', cast(event_id % 4 as string)), {TS} '2024-02-01 00:00:00', event_id * 8 + 9, '   '
+        from events where event_id % 101 = 0""",
+    "stored_event": """
+        select * from (
+          select event_id, user_id, concat('VOY-', cast(event_id % 7 as string)) as voyage_no,
+                 concat('CAGE-', cast(user_id % 27 as string)) as cage_no, date_trunc('second', ts) as observed_at,
+                 cast(value as decimal(10,2)) + case when event_id % 10 = 0 then 1 else 0 end as feed,
+                 row_number() over (partition by event_id % 7, user_id % 27, date_trunc('second', ts)
+                                    order by event_id) as pick
+          from events where event_id % 5 = 0) x
+        where pick = 1""",
+    "stored_observation": """
+        select voyage_no, cage_no, cast(observed_at as {TS}) as observed_at,
+               case when event_id % 6 <> 0 then cast(feed as decimal(10,2)) end as feed_amount_kg,
+               case when event_id % 3 <> 0 then cast(0.95 as decimal(7,4)) end as survival_rate,
+               case when event_id % 2 = 1 then cast(6.8 as decimal(12,4)) end as sensor_value,
+               case when event_id % 2 = 1 then case when user_id % 3 = 0 then 'C' else 'mg/L' end end as sensor_unit,
+               case when event_id % 2 = 1 then concat('S-', cast(user_id as string)) end as source_device,
+               case when event_id % 6 <> 0 then concat('FR-ST-', cast(event_id as string)) end as record_no,
+               case when event_id % 3 <> 0 then concat('SR-ST-', cast(event_id as string)) end as report_no,
+               case when event_id % 2 = 1 then concat('RD-ST-', cast(event_id as string)) end as reading_no,
+               'earlier' as import_id
+        from stored_event""",
+    "stored_record": """
+        select concat('FR-ST-', cast(event_id as string)) as record_no, user_id as batch_id,
+               case when event_id % 15 = 0 or event_id % 25 = 0 then 1 else 0 end as posted
+        from stored_event where event_id % 6 <> 0""",
+    "stored_report": """
+        select concat('SR-ST-', cast(event_id as string)) as report_no, user_id as batch_id
+        from stored_event where event_id % 3 <> 0""",
 }
 
 _ENGINES = {

@@ -26,7 +26,8 @@ def parse_decimal(text: Column, max_scale: int) -> Column:
     shaped = text.rlike(_SHAPE)
     value = F.when(shaped, text.try_cast("decimal(38,18)"))
     problem = (
-        F.when(~shaped, "not_a_number")
+        F.when(text.isNull(), F.lit(None))
+        .when(~shaped, "not_a_number")
         .when(_stripped_scale(text) > max_scale, "too_many_decimals")
         .when(value.isNull(), "out_of_range")
     )

@@ -1,10 +1,13 @@
 """Operators that stay balanced when one key holds a large share of all rows.
 
 Catalyst's window puts a whole key into one task and AQE cannot split it; AQE's skew join cannot
-split a side that is itself an aggregate on the join key. Both operators here first count rows per
-key hash (partial aggregation, two narrow columns) and treat only keys above ``hot_rows``
-specially, so ordinary keys keep the plain one-shuffle plan. A hash collision merely marks a cold
-key as hot, which changes its route and not its result.
+split a side that is itself an aggregate on the join key. Both operators here first look for hot
+keys and only treat those specially. Without any, the plan is the plain join or window.
+
+The look is one aggregate over the key columns alone (partial counts are combined before the
+shuffle). It returns at most ``MAX_HOT_KEYS`` 8-byte hashes to the driver, whatever the data holds:
+a key beyond the heaviest 4096 has less than 1/4096 of the rows and needs no splitting. Only the
+route of a row depends on the list, never the result, so a hash collision or a stale list is harmless.
 """
 
 from __future__ import annotations
@@ -13,54 +16,61 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# A key above this many rows is split. There are at most (total rows / HOT_ROWS) such keys, so even
-# 10^12 rows give at most 10^6 eight-byte hashes: that bound is what allows the broadcast below.
 HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 4096
 SALTS = 64
 
-_HASH, _HOT, _CHUNK, _SALT = "__key_hash", "__hot", "__chunk", "__salt"
+_CHUNK, _SALT = "__chunk", "__salt"
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
-    """Hashes of the keys with more than ``hot_rows`` rows."""
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> list[int]:
+    """Hashes of the heaviest keys with more than ``hot_rows`` rows."""
     limit = HOT_ROWS if hot_rows is None else hot_rows
-    return (
-        df.groupBy(F.xxhash64(*keys).alias(_HASH)).count()
-        .where(F.col("count") > limit)
-        .select(_HASH, F.lit(True).alias(_HOT))
-    )
+    counts = df.groupBy(F.xxhash64(*keys).alias("h")).count().where(F.col("count") > limit)
+    return [row.h for row in counts.orderBy(F.desc("count")).limit(MAX_HOT_KEYS).collect()]
+
 
+def hot_keys_of(df: DataFrame, hot_rows: int | None = None,
+                **groups: Sequence[str]) -> dict[str, list[int]]:
+    """``hot_keys`` for several keys of one table in a single pass."""
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    hashes = [F.struct(F.lit(name).alias("g"), F.xxhash64(*keys).alias("h"))
+              for name, keys in groups.items()]
+    counts = (df.select(F.inline(F.array(*hashes))).groupBy("g", "h").count()
+              .where(F.col("count") > limit))
+    heaviest = counts.orderBy(F.desc("count")).limit(MAX_HOT_KEYS).collect()
+    return {name: [row.h for row in heaviest if row.g == name] for name in groups}
 
-def _mark(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
-    return df.withColumn(_HASH, F.xxhash64(*keys)).join(F.broadcast(hot), _HASH, "left")
+
+def is_hot(keys: Sequence[str], hot: Sequence[int]) -> Column:
+    return F.xxhash64(*keys).isin(list(hot))
 
 
 def skew_join(fact: DataFrame, dim: DataFrame, keys: Sequence[str], row_id: Sequence[str],
               how: str = "left", hot_rows: int | None = None, salts: int | None = None,
-              condition: Column | None = None) -> DataFrame:
+              condition: Column | None = None, hot: Sequence[int] | None = None) -> DataFrame:
     """Equi-join of a large side that may hold hot keys with a side that holds few rows per key.
 
     Rows of a hot key are spread over ``salts`` parts by a hash of ``row_id`` (columns that tell
     rows apart, so that copies spread too) and the few matching rows are repeated once per part.
     ``how`` is inner, left, left_semi or left_anti; ``condition`` may add a range predicate.
     """
-    salts = SALTS if salts is None else salts
-    hot = hot_keys(fact, keys, hot_rows)
-    one = F.lit(0).cast("int")
-    left = _mark(fact, keys, hot).withColumn(
-        _SALT, F.when(F.col(_HOT), F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int"))
-        .otherwise(one)).drop(_HASH, _HOT)
-    parts = F.when(F.col(_HOT), F.sequence(one, F.lit(salts - 1))).otherwise(F.array(one))
-    right = _mark(dim, keys, hot).withColumn(_SALT, F.explode(parts)).drop(_HASH, _HOT)
-    on = [*keys, _SALT]
+    hot = hot_keys(fact, keys, hot_rows) if hot is None else hot
+    on = list(keys)
+    if hot:
+        salts = SALTS if salts is None else salts
+        none = F.lit(0)
+        fact = fact.withColumn(_SALT, F.when(
+            is_hot(keys, hot), F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int")).otherwise(none))
+        dim = dim.withColumn(_SALT, F.explode(
+            F.when(is_hot(keys, hot), F.sequence(none, F.lit(salts - 1))).otherwise(F.array(none))))
+        on.append(_SALT)
     if condition is None:
-        return left.join(right, on, how).drop(_SALT)
-    renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c)
-                             for c in right.columns])
-    equal = condition
+        return fact.join(dim, on, how).drop(_SALT)
+    right = dim.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in dim.columns])
     for name in on:
-        equal = equal & (F.col(name) == F.col(f"__r_{name}"))
-    return left.join(renamed, equal, how).drop(_SALT, *[f"__r_{c}" for c in on])
+        condition = condition & (F.col(name) == F.col(f"__r_{name}"))
+    return fact.join(right, condition, how).drop(_SALT, *[f"__r_{c}" for c in on])
 
 
 class OrderedScan:
@@ -75,10 +85,11 @@ class OrderedScan:
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-                 hot_rows: int | None = None):
+                 hot_rows: int | None = None, hot: Sequence[int] | None = None):
         self.keys, self.order = list(keys), list(order)
-        self.hot = hot_keys(df, keys, hot_rows)
-        self.df = _mark(df, keys, self.hot).withColumn(_CHUNK, F.when(F.col(_HOT), chunk)).drop(_HOT)
+        self.hot = hot_keys(df, keys, hot_rows) if hot is None else list(hot)
+        self.pieces = [*self.keys, _CHUNK] if self.hot else self.keys
+        self.df = df.withColumn(_CHUNK, F.when(is_hot(keys, self.hot), chunk)) if self.hot else df
 
     def carry(self, last: Mapping[str, Column] | None = None,
               maximum: Mapping[str, Column] | None = None,
@@ -86,49 +97,49 @@ class OrderedScan:
         """Add the named columns to every row."""
         last, maximum = dict(last or {}), dict(maximum or {})
         inputs = {f"__in_{n}": c for n, c in {**last, **maximum}.items()}
-        names = [*last, *maximum, *([count] if count else [])]
-        carried = lambda name: f"__carry_{name}"
-
-        before = (Window.partitionBy(*self.keys, _CHUNK).orderBy(*self.order)
-                  .rowsBetween(Window.unboundedPreceding, -1))
         rows = self.df.withColumns(inputs) if inputs else self.df
+        starts = self._starts(rows, last, maximum, count) if self.hot else None
 
-        # One summary row per piece of a hot key; nothing at all when no key is hot.
+        before = (Window.partitionBy(*self.pieces).orderBy(*self.order)
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumns({
+            **{n: F.last(f"__in_{n}", ignorenulls=True).over(before) for n in last},
+            **{n: F.max(f"__in_{n}").over(before) for n in maximum},
+            **({count: F.count(F.lit(1)).over(before)} if count else {}),
+        }).drop(*inputs)
+        if starts is not None:
+            # Cold rows have no piece and match nothing; a hot row matches its piece's start.
+            rows = rows.join(starts, self.pieces, "left").withColumns({
+                **{n: F.coalesce(n, f"__start_{n}") for n in last},
+                **{n: F.greatest(n, f"__start_{n}") for n in maximum},
+                **({count: F.coalesce(f"__start_{count}", F.lit(0)) + F.col(count)} if count else {}),
+            }).drop(*[f"__start_{n}" for n in [*last, *maximum, count] if n])
+        self.df = rows
+        return self
+
+    def _starts(self, rows: DataFrame, last: Mapping, maximum: Mapping,
+                count: str | None) -> DataFrame:
+        """What each piece of a hot key starts with: one row per piece."""
         position = F.struct(*self.order)
-        pieces = rows.join(F.broadcast(self.hot), _HASH, "left_semi")
-        summary = pieces.groupBy(*self.keys, _CHUNK).agg(
+        summary = rows.where(F.col(_CHUNK).isNotNull()).groupBy(*self.pieces).agg(
             F.count(F.lit(1)).alias("__n"),
             *[F.max_by(f"__in_{n}", F.when(F.col(f"__in_{n}").isNotNull(), position))
               .alias(f"__in_{n}") for n in last],
             *[F.max(f"__in_{n}").alias(f"__in_{n}") for n in maximum])
         earlier = (Window.partitionBy(*self.keys).orderBy(_CHUNK)
                    .rowsBetween(Window.unboundedPreceding, -1))
-        starts = summary.select(
-            *self.keys, _CHUNK,
-            *[F.last(f"__in_{n}", ignorenulls=True).over(earlier).alias(carried(n)) for n in last],
-            *[F.max(f"__in_{n}").over(earlier).alias(carried(n)) for n in maximum],
-            *([F.sum("__n").over(earlier).alias(carried(count))] if count else []))
+        return summary.select(
+            *self.pieces,
+            *[F.last(f"__in_{n}", ignorenulls=True).over(earlier).alias(f"__start_{n}") for n in last],
+            *[F.max(f"__in_{n}").over(earlier).alias(f"__start_{n}") for n in maximum],
+            *([F.sum("__n").over(earlier).alias(f"__start_{count}")] if count else []))
 
-        rows = rows.withColumns({
-            **{n: F.last(f"__in_{n}", ignorenulls=True).over(before) for n in last},
-            **{n: F.max(f"__in_{n}").over(before) for n in maximum},
-            **({count: F.count(F.lit(1)).over(before)} if count else {}),
-        }).drop(*inputs)
-        # The starts are few (pieces of hot keys only) and never null in the piece column, so cold
-        # rows cannot match; hot rows match exactly one of them.
-        rows = rows.join(starts, [*self.keys, _CHUNK], "left").withColumns({
-            **{n: F.coalesce(n, carried(n)) for n in last},
-            **{n: F.greatest(n, carried(n)) for n in maximum},
-            **({count: F.coalesce(carried(count), F.lit(0)) + F.col(count)} if count else {}),
-        }).drop(*[carried(n) for n in names])
-
-        following = object.__new__(OrderedScan)
-        following.keys, following.order, following.hot, following.df = (
-            self.keys, self.order, self.hot, rows)
-        return following
+    def add(self, **columns: Column) -> "OrderedScan":
+        self.df = self.df.withColumns(columns)
+        return self
 
     def rows(self) -> DataFrame:
-        return self.df.drop(_HASH, _CHUNK)
+        return self.df.drop(_CHUNK)
 
 
 def line_chunk(line: Column, size: int = 100_000) -> Column:

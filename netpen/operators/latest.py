@@ -16,7 +16,7 @@ def recency(time: Column, row_id: Column, lower_id_wins: bool = False) -> Column
     force a sort of the whole input.
     """
     micros = F.unix_micros(time.cast("timestamp")).cast("decimal(18,0)")
-    span = F.lit(_ID_SPAN).cast("decimal(21,0)")
+    span = F.lit(str(_ID_SPAN)).cast("decimal(21,0)")
     rank = (-row_id if lower_id_wins else row_id).cast("decimal(20,0)")
     return (micros * span + rank).cast("decimal(38,0)")
 

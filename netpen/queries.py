@@ -133,3 +133,543 @@ def tide_overlaps_query(spark, sf_dir):
     from netpen.operators.ranges import tide_overlaps
     return tide_overlaps(view(spark, sf_dir, "tide_session")).select(
         "tide_id", "tide_no", "cage_no", "start_at_utc", "end_at_utc")
+
+
+# Overview, latest rows, listings ----------------------------------------------------------------
+
+_NEWEST_SURVIVAL = """
+(select batch_id, report_id, report_time, alive_count, survival_rate from (
+  select *, row_number() over (partition by batch_id order by report_time desc, report_id desc) as n
+  from survival_report) x where n = 1)"""
+_NEWEST_READING = """
+(select sensor_id, reading_id, reading_time, metric_value from (
+  select *, row_number() over (partition by sensor_id order by reading_time desc, reading_id desc) as n
+  from sensor_reading) x where n = 1)"""
+_POSTED = """
+(select batch_id, cast(sum(amount_kg) as decimal(18,2)) as posted from feeding_record
+ where posted = 1 group by batch_id)"""
+
+
+@query("latest_survival", f"""
+select batch_id, report_time, report_id, alive_count, survival_rate from {_NEWEST_SURVIVAL} l""")
+def latest_survival_query(spark, sf_dir):
+    from netpen.plans.overview import latest_survival
+    return latest_survival(view(spark, sf_dir, "survival_report"))
+
+
+@query("latest_reading", f"""
+select sensor_id, reading_time, reading_id, metric_value from {_NEWEST_READING} l""")
+def latest_reading_query(spark, sf_dir):
+    from netpen.plans.overview import latest_reading
+    return latest_reading(view(spark, sf_dir, "sensor_reading"))
+
+
+@query("reading_counts", "select sensor_id, count(*) as reading_count from sensor_reading group by sensor_id")
+def reading_counts_query(spark, sf_dir):
+    from netpen.plans.overview import reading_counts
+    return reading_counts(view(spark, sf_dir, "sensor_reading"))
+
+
+@query("posted_feed_by_batch", f"""
+select b.batch_id, coalesce(p.posted, cast(0 as decimal(18,2))) as posted_feed_kg
+from fish_batch b left join {_POSTED} p on b.batch_id = p.batch_id""")
+def posted_feed_query(spark, sf_dir):
+    from netpen.plans.overview import posted_feed_by_batch
+    v = views(spark, sf_dir, "fish_batch", "feeding_record")
+    return posted_feed_by_batch(v["fish_batch"].select("batch_id"), v["feeding_record"])
+
+
+@query("cage_feed_total", f"""
+select b.cage_no, cast(sum(coalesce(p.posted, 0)) as decimal(18,2)) as posted_feed_kg
+from fish_batch b left join {_POSTED} p on b.batch_id = p.batch_id
+where b.status <> 'CLOSED' group by b.cage_no""")
+def cage_feed_total_query(spark, sf_dir):
+    from netpen.plans.overview import cage_feed_total
+    v = views(spark, sf_dir, "fish_batch", "feeding_record")
+    return cage_feed_total(v["fish_batch"], v["feeding_record"])
+
+
+def _overview(spark, sf_dir):
+    from netpen.plans.overview import cage_overview
+    v = views(spark, sf_dir, "fish_batch", "feeding_record", "survival_report", "sensor",
+              "sensor_reading", "harvest_batch")
+    return cage_overview(*v.values())
+
+
+@query("cage_overview_cages", f"""
+select c.cage_no, coalesce(t.total, cast(0 as decimal(18,2))) as posted_feed_kg
+from (select cage_no from fish_batch union select cage_no from sensor
+      union select cage_no from harvest_batch) c
+left join (select b.cage_no, cast(sum(coalesce(p.posted, 0)) as decimal(18,2)) as total
+           from fish_batch b left join {_POSTED} p on b.batch_id = p.batch_id
+           where b.status <> 'CLOSED' group by b.cage_no) t on c.cage_no = t.cage_no""")
+def cage_overview_cages(spark, sf_dir):
+    return _overview(spark, sf_dir).cages
+
+
+@query("cage_overview_batches", f"""
+select b.cage_no, b.batch_id, b.batch_no, b.species, b.fingerling_count, b.status, b.stocking_time,
+       coalesce(p.posted, cast(0 as decimal(18,2))) as posted_feed_kg,
+       l.survival_rate as latest_survival_rate
+from fish_batch b left join {_POSTED} p on b.batch_id = p.batch_id
+left join {_NEWEST_SURVIVAL} l on b.batch_id = l.batch_id
+where b.status <> 'CLOSED'""")
+def cage_overview_batches(spark, sf_dir):
+    return _overview(spark, sf_dir).batches
+
+
+@query("cage_overview_sensors", f"""
+select s.cage_no, s.sensor_id, s.sensor_no, s.sensor_type, s.metric_unit, s.status,
+       l.metric_value as latest_value, l.reading_time as latest_reading_time
+from sensor s left join {_NEWEST_READING} l on s.sensor_id = l.sensor_id""")
+def cage_overview_sensors(spark, sf_dir):
+    return _overview(spark, sf_dir).sensors
+
+
+@query("cage_overview_harvests", """
+select cage_no, harvest_id, harvest_no, harvest_count, total_weight_kg, status, harvest_time
+from harvest_batch""")
+def cage_overview_harvests(spark, sf_dir):
+    return _overview(spark, sf_dir).harvests
+
+
+def _detail(spark, sf_dir):
+    from netpen.plans.overview import batch_detail
+    v = views(spark, sf_dir, "fish_batch", "feeding_record", "survival_report", "harvest_batch")
+    return batch_detail(*v.values())
+
+
+@query("batch_detail", f"""
+select b.*, coalesce(p.posted, cast(0 as decimal(18,2))) as posted_feed_kg
+from fish_batch b left join {_POSTED} p on b.batch_id = p.batch_id""")
+def batch_detail_query(spark, sf_dir):
+    return _detail(spark, sf_dir).batches
+
+
+@query("batch_detail_records", """
+select r.* from feeding_record r where r.batch_id in (select batch_id from fish_batch)""")
+def batch_detail_records(spark, sf_dir):
+    return _detail(spark, sf_dir).feeding_records
+
+
+@query("batch_detail_reports", """
+select r.* from survival_report r where r.batch_id in (select batch_id from fish_batch)""")
+def batch_detail_reports(spark, sf_dir):
+    return _detail(spark, sf_dir).survival_reports
+
+
+@query("batch_detail_harvests", """
+select r.* from harvest_batch r where r.batch_id in (select batch_id from fish_batch)""")
+def batch_detail_harvests(spark, sf_dir):
+    return _detail(spark, sf_dir).harvests
+
+
+@query("post_pending", """
+select record_id, record_no, batch_id, plan_id, amount_kg, feeding_time, 1 as posted,
+       case when posted = 0 then timestamp '2024-03-01 02:00:00' else posted_time end as posted_time
+from feeding_record""")
+def post_pending_query(spark, sf_dir):
+    from netpen.plans.posting import post_pending
+    return post_pending(view(spark, sf_dir, "feeding_record"), "2024-03-01 02:00:00").records
+
+
+@query("posting_count", "select count(*) as posted_count from feeding_record where posted = 0")
+def posting_count(spark, sf_dir):
+    from netpen.plans.posting import post_pending
+    return post_pending(view(spark, sf_dir, "feeding_record"), "2024-03-01 02:00:00").posted_count
+
+
+@query("deletable_batches", """
+select b.batch_id,
+       case when h.batch_id is null and f.batch_id is null then 1 else 0 end as deletable,
+       case when h.batch_id is not null then 'accepted_harvest'
+            when f.batch_id is not null then 'posted_feed' end as reason
+from fish_batch b
+left join (select distinct batch_id from harvest_batch where status = 'ACCEPTED') h on b.batch_id = h.batch_id
+left join (select distinct batch_id from feeding_record where posted = 1) f on b.batch_id = f.batch_id""")
+def deletable_batches_query(spark, sf_dir):
+    from netpen.plans.deletable import deletable
+    return deletable("fish_batch", views(spark, sf_dir, "fish_batch", "harvest_batch", "feeding_record"))
+
+
+@query("deletable_sensors", """
+select s.sensor_id, case when exists (select 1 from sensor_reading r where r.sensor_id = s.sensor_id)
+                         then 0 else 1 end as deletable,
+       case when exists (select 1 from sensor_reading r where r.sensor_id = s.sensor_id)
+            then 'has_readings' end as reason
+from sensor s""")
+def deletable_sensors_query(spark, sf_dir):
+    from netpen.plans.deletable import deletable
+    return deletable("sensor", views(spark, sf_dir, "sensor", "sensor_reading"))
+
+
+@query("deletable_records", """
+select record_id, 1 - posted as deletable, case when posted = 1 then 'posted' end as reason
+from feeding_record""")
+def deletable_records_query(spark, sf_dir):
+    from netpen.plans.deletable import deletable
+    return deletable("feeding_record", views(spark, sf_dir, "feeding_record"))
+
+
+@query("deletable_harvests", """
+select harvest_id, case when status = 'ACCEPTED' then 0 else 1 end as deletable,
+       case when status = 'ACCEPTED' then 'accepted' end as reason
+from harvest_batch""")
+def deletable_harvests_query(spark, sf_dir):
+    from netpen.plans.deletable import deletable
+    return deletable("harvest_batch", views(spark, sf_dir, "harvest_batch"))
+
+
+@query("readings_in_range", """
+select * from sensor_reading
+where reading_time >= timestamp '2024-01-05 00:00:00' and reading_time <= timestamp '2024-01-12 12:00:00'""")
+def readings_in_range(spark, sf_dir):
+    from netpen.operators.listing import list_table
+    return list_table("sensor_reading", view(spark, sf_dir, "sensor_reading"),
+                      "2024-01-05 00:00:00", "2024-01-12 12:00:00")
+
+
+@query("records_in_range", """
+select * from feeding_record
+where posted = 0 and feeding_time >= timestamp '1997-01-01 00:00:00'
+  and feeding_time <= timestamp '1998-12-31 00:00:00'""")
+def records_in_range(spark, sf_dir):
+    from netpen.operators.listing import list_table
+    return list_table("feeding_record", view(spark, sf_dir, "feeding_record"),
+                      "1997-01-01 00:00:00", "1998-12-31 00:00:00", posted=0)
+
+
+@query("list_batches", "select * from fish_batch where status = 'BREEDING'")
+def list_batches(spark, sf_dir):
+    from netpen.operators.listing import list_table
+    return list_table("fish_batch", view(spark, sf_dir, "fish_batch"), status="BREEDING", cage_no="")
+
+
+@query("list_plans", "select * from feeding_plan where status = 'ACTIVE'")
+def list_plans(spark, sf_dir):
+    from netpen.operators.listing import list_table
+    return list_table("feeding_plan", view(spark, sf_dir, "feeding_plan"), status="ACTIVE")
+
+
+@query("list_tides", "select * from tide_session where business_date = date '2024-01-10'")
+def list_tides(spark, sf_dir):
+    import datetime as dt
+    from netpen.operators.listing import list_table
+    return list_table("tide_session", view(spark, sf_dir, "tide_session"),
+                      business_date=dt.date(2024, 1, 10))
+
+
+
+@query("lookup_batches", """
+select b.* from fish_batch b where b.batch_id in (select batch_id from survival_report)""")
+def lookup_batches(spark, sf_dir):
+    from netpen.operators.listing import lookup
+    v = views(spark, sf_dir, "fish_batch", "survival_report")
+    return lookup(v["fish_batch"], v["survival_report"], "batch_id")[0]
+
+
+@query("lookup_missing", """
+select distinct r.plan_id from feeding_record r
+where r.plan_id is not null and not exists (select 1 from feeding_plan p where p.plan_id = r.plan_id)""")
+def lookup_missing(spark, sf_dir):
+    from netpen.operators.listing import lookup
+    v = views(spark, sf_dir, "feeding_plan", "feeding_record")
+    asked = v["feeding_record"].where(F.col("plan_id").isNotNull())
+    return lookup(v["feeding_plan"], asked, "plan_id")[1]
+
+
+# Observation import -----------------------------------------------------------------------------
+
+IMPORT_NOW = "2024-06-01 00:00:00"
+
+_JUDGED = """
+judged as (
+  select f.*,
+    case when width = 7 then 'source_device' when width = 9 then '_row'
+         when not regexp_full_match(voyage_no, '[A-Za-z0-9_-]{1,32}') then 'voyage_no'
+         when not regexp_full_match(cage_no, '[A-Za-z0-9_-]{1,32}') then 'cage_no'
+         when observed_at is null or observed_at > timestamp '2024-06-01 00:10:00' then 'observed_at'
+         when feed_text <> '' and (feed is null or feed <= 0 or feed > 99999.99 or feed <> round(feed, 2)) then 'feed_amount_kg'
+         when rate_text <> '' and (rate is null or rate < 0 or rate > 1) then 'survival_rate'
+         when value_text <> '' and (val is null or val < 0) then 'sensor_value'
+         when value_text <> '' and (device_text = '' or not regexp_full_match(device_text, '[A-Za-z0-9_-]{1,32}')) then 'source_device'
+         when value_text <> '' and unit_text = '' then 'sensor_unit'
+         when feed_text = '' and rate_text = '' and value_text = '' then '_row' end as err_field,
+    case when width <> 8 then null
+         when not regexp_full_match(voyage_no, '[A-Za-z0-9_-]{1,32}') then voyage_no
+         when not regexp_full_match(cage_no, '[A-Za-z0-9_-]{1,32}') then cage_no
+         when observed_at is null or observed_at > timestamp '2024-06-01 00:10:00' then time_text
+         when feed_text <> '' and (feed is null or feed <= 0 or feed > 99999.99 or feed <> round(feed, 2)) then feed_text
+         when rate_text <> '' and (rate is null or rate < 0 or rate > 1) then rate_text
+         when value_text <> '' and (val is null or val < 0) then value_text
+         when value_text <> '' and device_text <> '' and not regexp_full_match(device_text, '[A-Za-z0-9_-]{1,32}') then device_text
+         end as err_raw,
+    case when width <> 8 then 'column_count'
+         when not regexp_full_match(voyage_no, '[A-Za-z0-9_-]{1,32}') then 'bad_key'
+         when not regexp_full_match(cage_no, '[A-Za-z0-9_-]{1,32}') then 'bad_key'
+         when time_text = '' then 'required' when observed_at is null then 'bad_time'
+         when observed_at > timestamp '2024-06-01 00:10:00' then 'future_time'
+         when feed_text <> '' and feed is null then 'not_a_number'
+         when feed_text <> '' and feed <> round(feed, 2) then 'too_many_decimals'
+         when feed_text <> '' and feed <= 0 then 'not_positive'
+         when feed_text <> '' and feed > 99999.99 then 'out_of_range'
+         when rate_text <> '' and rate is null then 'not_a_number'
+         when rate_text <> '' and (rate < 0 or rate > 1) then 'out_of_range'
+         when value_text <> '' and val is null then 'not_a_number'
+         when value_text <> '' and val < 0 then 'negative'
+         when value_text <> '' and device_text = '' then 'required'
+         when value_text <> '' and not regexp_full_match(device_text, '[A-Za-z0-9_-]{1,32}') then 'bad_key'
+         when value_text <> '' and unit_text = '' then 'required'
+         when feed_text = '' and rate_text = '' and value_text = '' then 'no_measure' end as err_reason
+  from (select *, try_cast(replace(time_text, 'T', ' ') as timestamp) as observed_at,
+               try_cast(feed_text as decimal(30,6)) as feed, try_cast(rate_text as decimal(30,6)) as rate,
+               try_cast(value_text as decimal(30,6)) as val from obs_field) f),
+typed as (
+  select *,
+    case when err_field is null then concat(voyage_no, '|', cage_no, '|', strftime(observed_at, '%Y-%m-%dT%H:%M:%S'))
+         else concat(voyage_no, '|', cage_no, '|', time_text) end as business_key,
+    case when err_field is null then cast(feed as decimal(10,2)) end as feed_amount_kg,
+    case when err_field is null then cast(rate as decimal(7,4)) end as survival_rate,
+    case when err_field is null then cast(val as decimal(12,4)) end as sensor_value,
+    case when err_field is null and val is not null then unit_text end as sensor_unit,
+    case when err_field is null and val is not null then device_text end as source_device
+  from judged)"""
+
+# A true step-by-step fold over each key's rows.
+_FOLD = "with recursive " + _JUDGED + """,
+cages as (
+  select c.cage_no, a.batch_id as active_batch, t.status as terminal_status,
+         exists (select 1 from harvest_batch h where h.cage_no = c.cage_no and h.status = 'ACCEPTED') as accepted
+  from (select distinct cage_no from fish_batch) c
+  left join (select * from (select *, row_number() over (partition by cage_no order by stocking_time desc, batch_id) as n
+             from fish_batch where status in ('BREEDING', 'MONITORING')) x where n = 1) a on a.cage_no = c.cage_no
+  left join (select * from (select *, row_number() over (partition by cage_no order by stocking_time desc, batch_id) as n
+             from fish_batch where status in ('HARVESTED', 'CLOSED')) x where n = 1) t on t.cage_no = c.cage_no),
+ready as (
+  select y.*, c.active_batch, c.terminal_status, coalesce(c.accepted, false) as accepted,
+    case when y.sensor_value is null then null when s.sensor_no is null then 'device_missing'
+         when s.cage_no <> y.cage_no then 'device_in_other_cage' when s.metric_unit <> y.sensor_unit then 'unit_differs'
+         when s.status <> 'ONLINE' then concat('device_', lower(s.status)) end as device_reason,
+    row_number() over (partition by y.business_key order by y.checksum, y.line_no) as pos
+  from typed y left join cages c on c.cage_no = y.cage_no left join sensor s on s.sensor_no = y.source_device
+  where y.err_field is null),
+fold as (
+  select k.business_key, cast(0 as bigint) as pos, cast(null as varchar) as checksum, cast(null as bigint) as line_no,
+         cast(null as varchar) as outcome, cast(null as varchar) as reason,
+         o.voyage_no is not null as here, o.feed_amount_kg as feed, o.survival_rate as rate, o.sensor_value as val,
+         o.sensor_unit as unit, o.source_device as device, cast(r.batch_id as bigint) as rec_batch,
+         cast(r.posted as int) as posted, cast(p.batch_id as bigint) as rep_batch
+  from (select distinct business_key from ready) k
+  left join stored_observation o
+    on k.business_key = concat(o.voyage_no, '|', o.cage_no, '|', strftime(o.observed_at, '%Y-%m-%dT%H:%M:%S'))
+  left join stored_record r on r.record_no = o.record_no
+  left join stored_report p on p.report_no = o.report_no
+  union all
+  select z.business_key, z.pos, z.checksum, z.line_no, z.outcome, z.reason,
+         z.here or z.outcome = 'SUCCESS',
+         case when done and z.r_feed is not null then z.r_feed else z.feed end,
+         case when done and z.r_rate is not null then z.r_rate else z.rate end,
+         case when done and z.r_val is not null then z.r_val else z.val end,
+         case when done and z.r_val is not null then z.r_unit else z.unit end,
+         case when done and z.r_val is not null then z.r_device else z.device end,
+         case when done and z.r_feed is not null then coalesce(z.rec_batch, z.active_batch) else z.rec_batch end,
+         case when done and z.r_feed is not null then coalesce(z.posted, 0) else z.posted end,
+         case when done and z.r_rate is not null then coalesce(z.rep_batch, z.active_batch) else z.rep_batch end
+  from (
+    select q.*, q.reason is null and not q.same as done,
+           case when q.same then 'SKIPPED' when q.reason is not null then 'FAILED'
+                when q.here then 'UPDATED' else 'SUCCESS' end as outcome
+    from (
+      select f.here, f.feed, f.rate, f.val, f.unit, f.device, f.rec_batch, f.posted, f.rep_batch,
+             n.business_key, n.pos, n.checksum, n.line_no, n.feed_amount_kg as r_feed, n.survival_rate as r_rate,
+             n.sensor_value as r_val, n.sensor_unit as r_unit, n.source_device as r_device, n.active_batch,
+             f.here and (n.feed_amount_kg is null or (f.feed is not null and f.feed = n.feed_amount_kg))
+               and (n.survival_rate is null or (f.rate is not null and f.rate = n.survival_rate))
+               and (n.sensor_value is null or (f.val is not null and f.val = n.sensor_value
+                    and f.unit = n.sensor_unit and f.device = n.source_device)) as same,
+             case when n.device_reason is not null then n.device_reason
+                  when not f.here then
+                    case when (n.feed_amount_kg is not null or n.survival_rate is not null) and n.active_batch is null
+                         then case when n.terminal_status is not null then 'batch_terminal' else 'no_active_batch' end end
+                  when n.feed_amount_kg is not null and f.rec_batch is not null and f.posted = 1 then 'record_posted'
+                  when n.feed_amount_kg is null and n.survival_rate is null then null
+                  when n.accepted then 'harvest_accepted'
+                  when b.status in ('HARVESTED', 'CLOSED') then 'linked_batch_terminal'
+                  when n.active_batch is null and ((n.feed_amount_kg is not null and f.rec_batch is null)
+                       or (n.survival_rate is not null and f.rep_batch is null))
+                    then case when n.terminal_status is not null then 'batch_terminal' else 'no_active_batch' end end as reason
+      from fold f join ready n on n.business_key = f.business_key and n.pos = f.pos + 1
+      left join fish_batch b on b.batch_id = coalesce(f.rec_batch, f.rep_batch)) q) z),
+decided as (
+  select n.*, f.outcome, case when f.outcome = 'FAILED' then f.reason end as fail_reason
+  from ready n join fold f on f.business_key = n.business_key and f.pos = n.pos),
+numbered as (
+  select checksum, line_no, raw_line, row_number() over (partition by checksum order by line_no) - 1 as data_idx
+  from obs_line where trim(raw_line) <> ''),
+ledger as (
+  select l.checksum, l.line_no, cast(floor(n.data_idx / 1000) as bigint) as shard_index, l.business_key, l.outcome,
+         l.field_name, l.raw_value, case when l.outcome = 'FAILED' then n.raw_line end as raw_line, l.error_reason
+  from (
+    select checksum, line_no, business_key, 'FAILED' as outcome, err_field as field_name, err_raw as raw_value,
+           err_reason as error_reason
+    from typed where err_field is not null
+    union all
+    select checksum, line_no, business_key, outcome,
+           case when fail_reason = 'record_posted' then '_row' when fail_reason = 'unit_differs' then 'sensor_unit'
+                when fail_reason like 'device%' then 'source_device' when fail_reason is not null then 'cage_no' end,
+           case when fail_reason = 'record_posted' then null when fail_reason = 'unit_differs' then sensor_unit
+                when fail_reason like 'device%' then source_device when fail_reason is not null then cage_no end,
+           fail_reason
+    from decided) l
+  join numbered n on n.checksum = l.checksum and n.line_no = l.line_no)
+"""
+_OUTCOME_COUNTS = """count(*) as total_rows, count(*) filter (where outcome = 'SUCCESS') as success_count,
+  count(*) filter (where outcome = 'UPDATED') as updated_count,
+  count(*) filter (where outcome = 'SKIPPED') as skipped_count,
+  count(*) filter (where outcome = 'FAILED') as failed_count,
+  case when count(*) filter (where outcome = 'FAILED') = 0 then 'SUCCESS' else 'PARTIAL' end as status"""
+
+
+@query("obs_validate", "with " + _JUDGED + """
+select checksum, line_no, business_key, feed_amount_kg, survival_rate, sensor_value, sensor_unit,
+       source_device, err_field, err_raw, err_reason from typed""")
+def obs_validate(spark, sf_dir):
+    from netpen.plans.validate import validate_rows
+    from netpen.sources.obs_files import drop_blank
+    return validate_rows(drop_blank(view(spark, sf_dir, "obs_line")), IMPORT_NOW).select(
+        "checksum", "line_no", "business_key", "feed_amount_kg", "survival_rate", "sensor_value",
+        "sensor_unit", "source_device", F.col("err.field").alias("err_field"),
+        F.col("err.raw").alias("err_raw"), F.col("err.reason").alias("err_reason"))
+
+
+def _import(spark, sf_dir):
+    from netpen.plans.importer import import_lines
+    from netpen.sources.obs_files import number_data_lines
+    v = views(spark, sf_dir, "fish_batch", "harvest_batch", "sensor", "stored_observation",
+              "stored_record", "stored_report", "obs_line")
+    tables = {
+        "fish_batch": v["fish_batch"], "harvest_batch": v["harvest_batch"], "sensor": v["sensor"],
+        "cage_observation": v["stored_observation"], "feeding_record": v["stored_record"],
+        "survival_report": v["stored_report"]}
+    return import_lines(number_data_lines(v["obs_line"]), tables, IMPORT_NOW)
+
+
+@query("obs_import_outcomes", _FOLD + "select * from ledger")
+def obs_import_outcomes(spark, sf_dir):
+    return _import(spark, sf_dir).ledger
+
+
+@query("import_shard_summary", _FOLD + f"""
+select checksum, shard_index, min(line_no) as start_line, max(line_no) as end_line, {_OUTCOME_COUNTS}
+from ledger group by checksum, shard_index""")
+def import_shard_summary(spark, sf_dir):
+    return _import(spark, sf_dir).shards
+
+
+@query("import_file_summary", _FOLD + f"select checksum, {_OUTCOME_COUNTS} from ledger group by checksum")
+def import_file_summary(spark, sf_dir):
+    return _import(spark, sf_dir).files
+
+
+@query("import_first_failures", _FOLD + """
+select checksum, line_no, shard_index, business_key, outcome, field_name, raw_value, raw_line, error_reason
+from (select *, row_number() over (partition by checksum order by line_no) as n
+      from ledger where outcome = 'FAILED') x where n <= 100""")
+def import_first_failures(spark, sf_dir):
+    return _import(spark, sf_dir).failures
+
+
+@query("import_page", _FOLD + """
+select * from ledger where checksum = 'file-2' and outcome = 'FAILED' order by line_no limit 50 offset 20""")
+def import_page(spark, sf_dir):
+    from netpen.operators.listing import outcome_page
+    return outcome_page(_import(spark, sf_dir).ledger, "file-2", "failed", 50, 20)
+
+
+_LAST_APPLIED = """,
+applied as (
+  select d.*, o.record_no as old_record, o.report_no as old_report, o.reading_no as old_reading,
+         r.batch_id as old_record_batch, p.batch_id as old_report_batch
+  from decided d
+  left join stored_observation o on o.voyage_no = d.voyage_no and o.cage_no = d.cage_no and o.observed_at = d.observed_at
+  left join stored_record r on r.record_no = o.record_no
+  left join stored_report p on p.report_no = o.report_no
+  where d.outcome in ('SUCCESS', 'UPDATED')),
+last_feed as (select * from (select *, row_number() over (partition by business_key order by pos desc) as n
+              from applied where feed_amount_kg is not null) x where n = 1),
+last_rate as (select * from (select *, row_number() over (partition by business_key order by pos desc) as n
+              from applied where survival_rate is not null) x where n = 1),
+last_sensor as (select * from (select *, row_number() over (partition by business_key order by pos desc) as n
+              from applied where sensor_value is not null) x where n = 1),
+last_row as (select * from (select *, row_number() over (partition by business_key order by pos desc) as n
+              from applied) x where n = 1)
+"""
+
+
+@query("import_feeding_records", _FOLD + _LAST_APPLIED + """
+select case when old_record_batch is not null then old_record
+            else concat('FR-', substr(sha256(business_key), 1, 29)) end as record_no,
+       case when old_record_batch is null then active_batch end as batch_id,
+       case when old_record_batch is null then cage_no end as cage_no,
+       case when old_record_batch is null then 'IMPORT-CSV' end as feed_type,
+       feed_amount_kg as amount_kg, observed_at as feeding_time, 0 as posted
+from last_feed""")
+def import_feeding_records(spark, sf_dir):
+    return _import(spark, sf_dir).feeding_records
+
+
+@query("import_survival_reports", _FOLD + _LAST_APPLIED + """
+select case when old_report_batch is not null then old_report
+            else concat('SR-', substr(sha256(l.business_key), 1, 29)) end as report_no,
+       case when old_report_batch is null then active_batch end as batch_id,
+       case when old_report_batch is null then l.cage_no end as cage_no,
+       coalesce(cast(round(survival_rate * b.fingerling_count, 0) as int), 0) as alive_count,
+       survival_rate, observed_at as report_time
+from last_rate l left join fish_batch b on b.batch_id = coalesce(old_report_batch, active_batch)""")
+def import_survival_reports(spark, sf_dir):
+    return _import(spark, sf_dir).survival_reports
+
+
+@query("import_sensor_readings", _FOLD + _LAST_APPLIED + """
+select coalesce(old_reading, concat('RD-', substr(sha256(business_key), 1, 29))) as reading_no,
+       s.sensor_id, s.cage_no, sensor_value as metric_value, observed_at as reading_time
+from last_sensor l join sensor s on s.sensor_no = l.source_device""")
+def import_sensor_readings(spark, sf_dir):
+    return _import(spark, sf_dir).sensor_readings
+
+
+_UPSERTED = _FOLD + _LAST_APPLIED + """
+select coalesce(w.voyage_no, o.voyage_no) as voyage_no, coalesce(w.cage_no, o.cage_no) as cage_no,
+       coalesce(w.observed_at, o.observed_at) as observed_at,
+       coalesce(f.feed_amount_kg, o.feed_amount_kg) as feed_amount_kg,
+       coalesce(r.survival_rate, o.survival_rate) as survival_rate,
+       coalesce(s.sensor_value, o.sensor_value) as sensor_value,
+       coalesce(s.sensor_unit, o.sensor_unit) as sensor_unit,
+       coalesce(s.source_device, o.source_device) as source_device,
+       case when f.business_key is null then o.record_no when f.old_record_batch is not null then f.old_record
+            else concat('FR-', substr(sha256(w.business_key), 1, 29)) end as record_no,
+       case when r.business_key is null then o.report_no when r.old_report_batch is not null then r.old_report
+            else concat('SR-', substr(sha256(w.business_key), 1, 29)) end as report_no,
+       case when s.business_key is null then o.reading_no
+            else coalesce(s.old_reading, concat('RD-', substr(sha256(w.business_key), 1, 29))) end as reading_no,
+       coalesce(w.checksum, o.import_id) as import_id
+from last_row w left join last_feed f on f.business_key = w.business_key
+left join last_rate r on r.business_key = w.business_key
+left join last_sensor s on s.business_key = w.business_key
+full outer join stored_observation o
+  on o.voyage_no = w.voyage_no and o.cage_no = w.cage_no and o.observed_at = w.observed_at
+"""
+
+
+@query("import_upserted_observations", _UPSERTED)
+def import_upserted_observations(spark, sf_dir):
+    from netpen.sources.sinks import upsert_observations
+    return upsert_observations(view(spark, sf_dir, "stored_observation"),
+                               _import(spark, sf_dir).observations)
+
+
+@query("newest_observations", f"""
+select * from ({_UPSERTED}) u order by observed_at desc, voyage_no, cage_no limit 500""")
+def newest_observations_query(spark, sf_dir):
+    from netpen.operators.listing import newest_observations
+    return newest_observations(import_upserted_observations(spark, sf_dir))
