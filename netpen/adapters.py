@@ -186,6 +186,69 @@ VIEWS: dict[str, str] = {
     "stored_report": """
         select concat('SR-ST-', cast(event_id as string)) as report_no, user_id as batch_id
         from stored_event where event_id % 3 <> 0""",
+    # Migration events with gaps, broken links, clock and feed faults, and faulty snapshots.
+    "move_hop": """
+        select o_orderkey, o_custkey, o_orderdate, cast(o_totalprice as decimal(18,2)) as price,
+               row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as n,
+               lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as before_key
+        from orders""",
+    "migration_event": """
+        select concat('MG-', cast(o_orderkey as string)) as migration_no,
+               concat('CHAIN-FB-', cast(o_custkey as string)) as chain_no, o_custkey as batch_id,
+               cast(case when o_custkey % 7 = 0 and n > 3 then n + 1 else n end as int) as seq_no,
+               concat('CAGE-', cast((case when o_orderkey % 113 = 0 then o_orderkey + 1
+                                          else coalesce(before_key, o_custkey) end) % 25 as string)) as source_cage_no,
+               concat('CAGE-', cast(o_orderkey % 25 as string)) as target_cage_no,
+               case when o_orderkey % 101 = 0 then o_orderdate - interval 400 day else o_orderdate end as occurred_at,
+               case when o_orderkey % 127 <> 0 then
+                 cast(sum(case when o_orderkey % 117 = 0 then -1 else 1 end * price)
+                      over (partition by o_custkey order by o_orderdate, o_orderkey
+                            rows between unbounded preceding and current row) as decimal(18,2)) end as cumulative_feed_kg,
+               case when o_orderkey % 131 = 0 then '{"source": {"fishEsti'
+                    when o_orderkey % 137 = 0 then concat('{"source": {"fishEstimateCount": ', cast(n as string), '}}')
+                    else concat('{"migrationNo": "MG-', cast(o_orderkey as string),
+                                '", "source": {"fishEstimateCount": ', cast(n as string),
+                                ', "cumulativePostedFeedKg": 10.50, "movedSensors": [{"id": 1}], "feedingPlanCount": 2}',
+                                ', "target": {"fishEstimateCount": ', cast(n + case when o_orderkey % 139 = 0 then 1 else 0 end as string),
+                                ', "cumulativePostedFeedKg": ', case when o_orderkey % 149 = 0 then '10.51' else '10.5' end,
+                                ', "movedSensors": [', case when o_orderkey % 151 = 0 then '' else '{"id": 1}' end,
+                                '], "feedingPlanCount": 2}}') end as snapshot_json,
+               o_orderkey
+        from move_hop""",
+    "migration_chain": """
+        select concat('CHAIN-FB-', cast(c_custkey as string)) as chain_no, c_custkey as batch_id,
+               case when c_custkey % 11 = 0 then 'CAGE-X' else coalesce(f.source_cage_no, 'CAGE-0') end as origin_cage_no,
+               case when c_custkey % 13 = 0 then 'CAGE-X' else coalesce(l.target_cage_no, 'CAGE-0') end as current_cage_no,
+               cast(coalesce(l.seq_no, 0) as int) as current_seq
+        from customer
+        left join (select * from (select chain_no, source_cage_no, row_number() over (partition by chain_no order by seq_no) as r
+                   from migration_event) a where r = 1) f on f.chain_no = concat('CHAIN-FB-', cast(c_custkey as string))
+        left join (select * from (select chain_no, target_cage_no, seq_no, row_number() over (partition by chain_no order by seq_no desc) as r
+                   from migration_event) b where r = 1) l on l.chain_no = concat('CHAIN-FB-', cast(c_custkey as string))""",
+    # Migration requests over the batches; cages from 25 on are empty.
+    "move_request": """
+        select c_custkey as request_id,
+               case when c_custkey % 41 = 0 then 'MQ 1' when c_custkey % 43 = 0 then 'MQ-43'
+                    else concat('MQ-', cast(c_custkey as string)) end as migration_no,
+               case when c_custkey % 47 = 0 then c_custkey + 1000000 when c_custkey % 9 = 4 then c_custkey - 1
+                    else c_custkey end as batch_id,
+               concat(' CAGE-', cast(case when c_custkey % 8 = 0 then c_nationkey when c_custkey % 8 = 1 then c_custkey % 25
+                                          else 25 + c_custkey % 40 end as string)) as target_cage_no,
+               case when c_custkey % 5 = 0 then ' replace ' when c_custkey % 37 = 0 then 'SWAP' when c_custkey % 5 = 1 then ''
+                    end as transfer_type,
+               case when c_custkey % 31 = 0 then {TS} '2024-06-01 00:00:02'
+                    else {TS} '2024-05-01 00:00:00' end as occurred_at,
+               cast(7 as bigint) as operator_id, 'keeper' as operator_name,
+               case when c_custkey % 10 = 3 then cast(0 as int) end as expected_batch_version,
+               case when c_custkey % 12 = 5 then cast(1 as int) end as expected_chain_seq, cast(null as string) as remark
+        from customer""",
+    "move_chain": """
+        select concat('CHAIN-FB-', cast(c_custkey as string)) as chain_no, c_custkey as batch_id, 'CAGE-0' as origin_cage_no,
+               case when c_custkey % 22 = 0 then 'CAGE-X' else concat('CAGE-', cast(c_nationkey as string)) end as current_cage_no,
+               cast(c_custkey % 4 as int) as current_seq
+        from customer where c_custkey % 2 = 0""",
+    "used_number": """
+        select concat('MQ-', cast(c_custkey as string)) as migration_no from customer where c_custkey % 17 = 0""",
 }
 
 _ENGINES = {

@@ -673,3 +673,211 @@ select * from ({_UPSERTED}) u order by observed_at desc, voyage_no, cage_no limi
 def newest_observations_query(spark, sf_dir):
     from netpen.operators.listing import newest_observations
     return newest_observations(import_upserted_observations(spark, sf_dir))
+
+
+# Migration --------------------------------------------------------------------------------------
+
+_HANDED = """(o_orderkey % 131 <> 0 and o_orderkey % 137 <> 0 and o_orderkey % 139 <> 0
+              and o_orderkey % 149 <> 0 and o_orderkey % 151 <> 0)"""
+_AUDIT = f"""
+with stepped as (
+  select *, lead(source_cage_no) over w as next_source, lead(occurred_at) over w as next_at,
+         lead(cumulative_feed_kg) over w as next_feed, row_number() over w as rn
+  from migration_event window w as (partition by chain_no order by seq_no)),
+per_chain as (
+  select chain_no, count(*) as n, bool_and(seq_no = rn) as seq_ok,
+         arg_min(source_cage_no, seq_no) as first_source, arg_max(target_cage_no, seq_no) as last_target,
+         bool_and(next_source is null or next_source = target_cage_no) as link_ok,
+         bool_and(next_at is null or next_at > occurred_at) as time_ok,
+         bool_and(next_feed is null or cumulative_feed_kg is null or next_feed >= cumulative_feed_kg) as feed_ok,
+         bool_and({_HANDED}) as hand_ok,
+         bool_and(o_orderkey % 131 <> 0 and o_orderkey % 137 <> 0) as read_ok
+  from stepped group by chain_no),
+audit as (
+  select c.chain_no, c.batch_id, coalesce(n, 0) as event_count,
+    case when coalesce(n, 0) = c.current_seq and coalesce(seq_ok, true) then 1 else 0 end as seq_continuous,
+    case when n > 0 and origin_cage_no = first_source and current_cage_no = last_target and link_ok then 1 else 0 end as cage_linked,
+    case when coalesce(time_ok, true) then 1 else 0 end as time_ordered,
+    case when coalesce(hand_ok, true) then 1 else 0 end as handoff_equal,
+    case when coalesce(feed_ok, true) then 1 else 0 end as feed_monotonic,
+    case when coalesce(read_ok, true) then 1 else 0 end as snapshot_readable
+  from migration_chain c left join per_chain p on p.chain_no = c.chain_no)
+"""
+
+
+@query("chain_audit", _AUDIT + """
+select chain_no, batch_id, check_name, passed,
+       case when check_name = 'SEQ_CONTINUOUS' then concat('events=', cast(event_count as varchar)) end as detail
+from (
+  select chain_no, batch_id, event_count, 'SEQ_CONTINUOUS' as check_name, seq_continuous as passed from audit
+  union all select chain_no, batch_id, event_count, 'CAGE_LINKED', cage_linked from audit
+  union all select chain_no, batch_id, event_count, 'TIME_ORDERED', time_ordered from audit
+  union all select chain_no, batch_id, event_count, 'HANDOFF_EQUAL', handoff_equal from audit
+  union all select chain_no, batch_id, event_count, 'FEED_MONOTONIC', feed_monotonic from audit
+  union all select chain_no, batch_id, event_count, 'SNAPSHOT_READABLE', snapshot_readable from audit) x""")
+def chain_audit(spark, sf_dir):
+    from netpen.plans.audit import audit_chains
+    v = views(spark, sf_dir, "migration_chain", "migration_event")
+    return audit_chains(v["migration_chain"], v["migration_event"])
+
+
+@query("handoff_mismatches", f"""
+select chain_no, migration_no, seq_no,
+       case when o_orderkey % 131 <> 0 and o_orderkey % 137 <> 0 then 1 else 0 end as readable
+from migration_event where not {_HANDED}""")
+def handoff_mismatches_query(spark, sf_dir):
+    from netpen.plans.audit import handoff_mismatches
+    return handoff_mismatches(view(spark, sf_dir, "migration_event"))
+
+
+@query("chains_by_cage", """
+select origin_cage_no as cage_no, chain_no from migration_chain
+union select current_cage_no, chain_no from migration_chain
+union select source_cage_no, chain_no from migration_event
+union select target_cage_no, chain_no from migration_event""")
+def chains_by_cage_query(spark, sf_dir):
+    from netpen.plans.audit import chains_by_cage
+    v = views(spark, sf_dir, "migration_chain", "migration_event")
+    return chains_by_cage(v["migration_chain"], v["migration_event"])
+
+
+@query("history_by_cage", _AUDIT + """
+select x.chain_no, x.batch_id, x.check_name, x.passed, null::varchar as detail from (
+  select chain_no, batch_id, 'CAGE_LINKED' as check_name, cage_linked as passed from audit
+  union all select chain_no, batch_id, 'TIME_ORDERED', time_ordered from audit) x
+where x.chain_no in (
+  select chain_no from migration_chain where origin_cage_no = 'CAGE-3' or current_cage_no = 'CAGE-3'
+  union select chain_no from migration_event where source_cage_no = 'CAGE-3' or target_cage_no = 'CAGE-3')""")
+def history_by_cage_query(spark, sf_dir):
+    from netpen.plans.audit import history_by_cage
+    v = views(spark, sf_dir, "migration_chain", "migration_event")
+    return history_by_cage(v["migration_chain"], v["migration_event"], "CAGE-3").where(
+        F.col("check_name").isin("CAGE_LINKED", "TIME_ORDERED"))
+
+
+@query("segment_asof", """
+select r.record_id, r.batch_id, r.feeding_time,
+       coalesce(e.target_cage_no, f.source_cage_no, b.cage_no) as segment_cage_no,
+       e.migration_no as segment_migration_no
+from (select record_id, batch_id, feeding_time + interval 30 day as feeding_time from feeding_record) r
+left join fish_batch b on b.batch_id = r.batch_id
+left join (select batch_id, arg_min(source_cage_no, seq_no) as source_cage_no from migration_event group by batch_id) f
+  on f.batch_id = r.batch_id
+left join (select record_id, target_cage_no, migration_no from (
+    select x.record_id, m.target_cage_no, m.migration_no,
+           row_number() over (partition by x.record_id order by m.occurred_at desc, m.seq_no desc) as n
+    from feeding_record x join migration_event m
+      on m.batch_id = x.batch_id and m.occurred_at <= x.feeding_time + interval 30 day) y where n = 1) e
+  on e.record_id = r.record_id""")
+def segment_asof(spark, sf_dir):
+    from netpen.plans.audit import place_on_timeline
+    v = views(spark, sf_dir, "feeding_record", "fish_batch", "migration_event")
+    facts = v["feeding_record"].select(
+        "record_id", "batch_id", (F.col("feeding_time") + F.expr("interval 30 day")).alias("feeding_time"))
+    return place_on_timeline(facts, "feeding_time", "record_id", v["fish_batch"], v["migration_event"])
+
+
+_WINNERS = """
+with met as (
+  select q.request_id, q.migration_no, q.batch_id, trim(q.target_cage_no) as target_cage_no,
+         case when trim(coalesce(q.transfer_type, '')) = '' then 'TRANSFER' else upper(trim(q.transfer_type)) end as transfer_type,
+         q.occurred_at, b.batch_no, b.cage_no as source_cage_no, b.version as batch_version, b.fingerling_count,
+         c.chain_no, c.origin_cage_no, c.current_seq,
+         case when not regexp_full_match(q.migration_no, '[A-Za-z0-9_-]{1,40}') then 'bad_migration_no'
+              when q.occurred_at > timestamp '2024-06-01 00:00:01' then 'in_the_future'
+              when q.transfer_type = 'SWAP' then 'bad_transfer_type'
+              when b.batch_id is null then 'batch_missing'
+              when b.status in ('HARVESTED', 'CLOSED') then 'batch_terminal'
+              when trim(q.target_cage_no) = b.cage_no then 'same_cage'
+              when trim(q.target_cage_no) in (select cage_no from fish_batch where status in ('BREEDING', 'MONITORING'))
+                then 'target_occupied'
+              when q.migration_no in (select migration_no from used_number) then 'migration_no_exists'
+              when q.expected_batch_version <> b.version then 'batch_version_differs'
+              when c.current_cage_no <> b.cage_no then 'chain_head_differs'
+              when q.expected_chain_seq <> coalesce(c.current_seq, 0) then 'chain_seq_differs' end as reason
+  from move_request q left join fish_batch b on b.batch_id = q.batch_id
+  left join move_chain c on c.batch_id = q.batch_id),
+r1 as (select *, row_number() over (partition by migration_no order by request_id) as n from met where reason is null),
+r2 as (select * exclude (n), row_number() over (partition by batch_id order by request_id) as n from r1 where n = 1),
+r3 as (select * exclude (n), row_number() over (partition by target_cage_no order by request_id) as n from r2 where n = 1),
+r4 as (select * exclude (n), row_number() over (partition by source_cage_no order by request_id) as n from r3 where n = 1),
+winner as (select * exclude (n) from r4 where n = 1)
+"""
+
+
+def _handoff(spark, sf_dir):
+    from netpen.plans.migration import migration_handoff
+    v = views(spark, sf_dir, "move_request", "fish_batch", "feeding_plan", "sensor", "sensor_reading",
+              "feeding_record", "survival_report", "move_chain", "used_number")
+    return migration_handoff(*v.values(), "2024-06-01 00:00:00")
+
+
+@query("handoff_rejected", _WINNERS + """
+select m.request_id, m.migration_no,
+       coalesce(m.reason, case when r1.n > 1 then 'migration_no_exists' when r2.n > 1 then 'batch_moved_in_run'
+                               when r3.n > 1 then 'target_taken_in_run' when r4.n > 1 then 'source_moved_in_run' end) as reason
+from met m left join r1 on r1.request_id = m.request_id left join r2 on r2.request_id = m.request_id
+left join r3 on r3.request_id = m.request_id left join r4 on r4.request_id = m.request_id
+where m.request_id not in (select request_id from winner)""")
+def handoff_rejected(spark, sf_dir):
+    return _handoff(spark, sf_dir).rejected
+
+
+@query("handoff_snapshot", _WINNERS + f"""
+select w.migration_no, w.batch_id, coalesce(w.chain_no, concat('CHAIN-', w.batch_no)) as chain_no,
+       coalesce(w.origin_cage_no, w.source_cage_no) as origin_cage_no, coalesce(w.current_seq, 0) + 1 as seq_no,
+       w.transfer_type, w.source_cage_no, w.target_cage_no, w.occurred_at, w.batch_version,
+       coalesce(l.alive_count, w.fingerling_count) as fish_estimate_count,
+       case when l.batch_id is null then 'FINGERLING' else 'LATEST_SURVIVAL' end as fish_estimate_basis,
+       coalesce(f.posted, cast(0 as decimal(18,2))) as cumulative_feed_kg,
+       coalesce(f.unposted, cast(0 as decimal(18,2))) as cumulative_unposted_kg,
+       coalesce(f.n, 0) as feeding_record_count, coalesce(f.np, 0) as posted_record_count,
+       l.survival_rate as latest_survival_rate, l.report_time as latest_survival_at,
+       (select count(*) from feeding_plan p where p.batch_id = w.batch_id and p.status in ('ACTIVE', 'SUSPENDED')) as feeding_plan_count,
+       (select count(*) from sensor s where s.cage_no = w.source_cage_no and s.status = 'ONLINE') as sensor_count,
+       (select count(*) from sensor s where s.cage_no = w.source_cage_no and s.status <> 'ONLINE') as retained_sensor_count
+from winner w left join {_NEWEST_SURVIVAL} l on l.batch_id = w.batch_id
+left join (select batch_id, cast(coalesce(sum(amount_kg) filter (where posted = 1), 0) as decimal(18,2)) as posted,
+                  cast(coalesce(sum(amount_kg) filter (where posted = 0), 0) as decimal(18,2)) as unposted,
+                  count(*) as n, count(*) filter (where posted = 1) as np
+           from feeding_record group by batch_id) f on f.batch_id = w.batch_id""")
+def handoff_snapshot(spark, sf_dir):
+    return _handoff(spark, sf_dir).events.drop(
+        "snapshot_json", "batch_no", "operator_id", "operator_name", "remark")
+
+
+@query("handoff_sensors", _WINNERS + f"""
+select w.migration_no, s.sensor_id, s.sensor_no, s.sensor_type, s.metric_unit, s.status, s.version,
+       l.metric_value as latest_value, l.reading_time as latest_reading_at,
+       coalesce(n.reading_count, 0) as reading_count, case when s.status = 'ONLINE' then 1 else 0 end as moved,
+       w.target_cage_no
+from winner w join sensor s on s.cage_no = w.source_cage_no
+left join {_NEWEST_READING} l on l.sensor_id = s.sensor_id
+left join (select sensor_id, count(*) as reading_count from sensor_reading group by sensor_id) n on n.sensor_id = s.sensor_id""")
+def handoff_sensors(spark, sf_dir):
+    return _handoff(spark, sf_dir).sensors
+
+
+@query("handoff_plans", _WINNERS + """
+select w.migration_no, p.plan_id, p.plan_no, p.status, p.daily_amount_kg, p.version, w.target_cage_no
+from winner w join feeding_plan p on p.batch_id = w.batch_id where p.status in ('ACTIVE', 'SUSPENDED')""")
+def handoff_plans(spark, sf_dir):
+    return _handoff(spark, sf_dir).plans
+
+
+@query("handoff_roundtrip", _WINNERS + """
+select w.migration_no, w.source_cage_no, w.target_cage_no,
+       (select count(*) from sensor s where s.cage_no = w.source_cage_no and s.status = 'ONLINE') as moved_sensors,
+       (select count(*) from sensor s where s.cage_no = w.source_cage_no and s.status <> 'ONLINE') as kept_at_source,
+       (select count(*) from feeding_plan p where p.batch_id = w.batch_id and p.status in ('ACTIVE', 'SUSPENDED')) as target_plans
+from winner w""")
+def handoff_roundtrip(spark, sf_dir):
+    from netpen.sources.snapshots import decode_handoff
+    snap = F.col("snap")
+    return _handoff(spark, sf_dir).events.select(
+        "migration_no", decode_handoff(F.col("snapshot_json")).alias("snap")).select(
+        "migration_no", snap["source"]["cageNo"].alias("source_cage_no"),
+        snap["target"]["cageNo"].alias("target_cage_no"),
+        F.size(snap["target"]["movedSensors"]).cast("bigint").alias("moved_sensors"),
+        F.size(snap["source"]["retainedSensors"]).cast("bigint").alias("kept_at_source"),
+        F.size(snap["target"]["feedingPlans"]).cast("bigint").alias("target_plans"))
