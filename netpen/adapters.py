@@ -249,6 +249,79 @@ VIEWS: dict[str, str] = {
         from customer where c_custkey % 2 = 0""",
     "used_number": """
         select concat('MQ-', cast(c_custkey as string)) as migration_no from customer where c_custkey % 17 = 0""",
+    # Order key and line number repeat in the sample; one row for each pair.
+    "order_line": """
+        select l_orderkey, l_linenumber, max(l_partkey) as l_partkey, max(l_suppkey) as l_suppkey,
+               max(l_quantity) as l_quantity, max(l_shipdate) as l_shipdate
+        from lineitem group by l_orderkey, l_linenumber""",
+    # Registration requests with every kind of fault in turn.
+    "new_record": """
+        select l_orderkey * 10 + l_linenumber as request_id,
+               case when l_orderkey % 50 = 0 then concat('FR-', cast(l_orderkey as string))
+                    when l_orderkey % 60 = 1 then concat('NR-same-', cast(l_suppkey as string))
+                    else concat('NR-', cast(l_orderkey as string), '-', cast(l_linenumber as string)) end as record_no,
+               cast(l_partkey as bigint) as batch_id,
+               case when l_linenumber % 3 = 0 then cast(l_partkey as bigint) * 2
+                    when l_linenumber % 7 = 2 then cast(l_partkey as bigint) * 2 + 2 end as plan_id,
+               case when l_orderkey % 97 = 0 then ' ' else 'PELLET' end as feed_type,
+               case when l_orderkey % 89 = 0 then cast(-1 as decimal(10,2)) else cast(l_quantity as decimal(10,2)) end as amount_kg,
+               case when l_orderkey % 83 <> 0 then l_shipdate end as feeding_time
+        from order_line""",
+    "new_report": """
+        select o_orderkey as request_id,
+               case when o_orderkey % 50 = 0 then concat('SR-', cast(o_orderkey as string))
+                    else concat('SN-', cast(o_orderkey - o_orderkey % 2 as string)) end as report_no,
+               case when o_orderkey % 59 = 0 then o_custkey + 1000000 else o_custkey end as batch_id,
+               cast(o_orderkey % 3000 as int) as alive_count,
+               case when o_orderkey % 71 = 0 then cast(1.2 as decimal(7,4)) when o_orderkey % 4 = 0 then cast(0.9 as decimal(7,4))
+                    end as survival_rate, o_orderdate as report_time
+        from orders""",
+    "new_reading": """
+        select o_orderkey as request_id,
+               case when o_orderkey % 40 = 0 then concat('RD-', cast(o_orderkey as string))
+                    else concat('RN-', cast(o_orderkey as string)) end as reading_no,
+               case when o_orderkey % 91 <> 0 then o_custkey % 200 end as sensor_id,
+               case when o_orderkey % 83 = 0 then cast(-0.5 as decimal(12,4)) else cast(o_totalprice as decimal(12,4)) end as metric_value,
+               o_orderdate as reading_time
+        from orders""",
+    "new_tide": """
+        select o_orderkey as request_id,
+               case when o_orderkey % 70 = 0 then 'T-5' else concat('TN-', cast(o_orderkey as string)) end as tide_no,
+               concat('CAGE-', cast(o_custkey % 27 as string)) as cage_no,
+               {TS} '2024-01-01 00:00:00' + interval 1 minute * cast(o_orderkey * 37 % 400000 as int) as start_at_utc,
+               {TS} '2024-01-01 00:00:00' + interval 1 minute * cast(o_orderkey * 37 % 400000
+                 + case when o_orderkey % 61 = 0 then 0 else 20 + o_orderkey % 100 end as int) as end_at_utc
+        from orders""",
+    "rule_version": """
+        select cast(p_partkey as bigint) as rule_id, concat('R-', cast(p_partkey % 200 as string)) as rule_code,
+               cast(1 + floor(p_partkey / 200) as int) as version_no,
+               case when p_partkey % 7 <> 0 then {TS} '2023-01-01 00:00:00' + interval 1 day * cast(p_partkey * 13 % 700 as int) end as enabled_time,
+               case when p_partkey % 5 = 0 then {TS} '2023-06-01 00:00:00' + interval 1 day * cast(p_partkey * 13 % 700 as int) end as retired_time,
+               cast(p_partkey * 7 % 1440 as int) as start_minute, cast(1 + p_partkey * 11 % 1440 as int) as end_minute
+        from part""",
+    "new_rule": """
+        select l_orderkey * 10 + l_linenumber as request_id, concat('R-', cast(l_partkey % 300 as string)) as rule_code,
+               case when l_orderkey % 31 = 0 then 'NIGHT' when l_linenumber % 2 = 0 then 'PEAK' else 'FLAT' end as rule_type,
+               cast(l_orderkey % 1450 as int) as start_minute, cast(l_partkey % 1450 as int) as end_minute,
+               cast(case when l_orderkey % 37 = 0 then -1 else l_linenumber end as decimal(12,4)) as coefficient
+        from order_line""",
+    # Status changes.
+    "batch_event": """
+        select o_orderkey as event_id, case when o_orderkey % 67 = 0 then o_custkey + 1000000 else o_custkey end as batch_id,
+               o_orderdate as event_time,
+               case when o_orderkey % 30 = 5 then 'CLOSED' when o_orderkey % 30 = 11 then 'LOST'
+                    when o_orderkey % 12 = 4 then 'HARVESTED' when o_orderkey % 2 = 0 then 'MONITORING' else 'BREEDING' end as target_status
+        from orders""",
+    "acceptance": """
+        select cast(10000000000 + harvest_id * 2 as bigint) as event_id, harvest_id, harvest_time as event_time from harvest_batch
+        union all
+        select cast(10000000001 + harvest_id * 2 as bigint), case when harvest_id % 5 = 0 then -1 else harvest_id end, harvest_time + interval 10 day
+        from harvest_batch where harvest_id % 3 = 0""",
+    "rule_event": """
+        select l_orderkey * 10 + l_linenumber as event_id,
+               case when l_orderkey % 101 = 0 then -1 else cast(l_partkey as bigint) end as rule_id, l_shipdate as event_time,
+               case when l_orderkey % 103 = 0 then 'PAUSE' when l_orderkey % 3 = 0 then 'RETIRE' else 'ENABLE' end as action
+        from order_line""",
 }
 
 _ENGINES = {

@@ -89,7 +89,9 @@ class OrderedScan:
         self.keys, self.order = list(keys), list(order)
         self.hot = hot_keys(df, keys, hot_rows) if hot is None else list(hot)
         self.pieces = [*self.keys, _CHUNK] if self.hot else self.keys
-        self.df = df.withColumn(_CHUNK, F.when(is_hot(keys, self.hot), chunk)) if self.hot else df
+        self.df = df.withColumn(
+            _CHUNK,
+            F.when(is_hot(keys, self.hot), F.struct(chunk.alias("at")))) if self.hot else df
 
     def carry(self, last: Mapping[str, Column] | None = None,
               maximum: Mapping[str, Column] | None = None,

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from netpen.functions import text
 from netpen.functions.times import ntz
-from netpen.operators.hot import skew_join
-from netpen.operators.latest import first_per_key
+from netpen.operators.hot import hot_keys_of, skew_join
 from netpen.plans.importer import ACTIVE, TERMINAL
-from netpen.plans.overview import latest_reading, latest_survival, reading_counts
+from netpen.plans.overview import latest_reading, latest_survival, reading_counts, union_all
+from netpen.session import stage
 
 # Fixed values.
 TRANSFER_TYPES = ["REPLACE", "TRANSFER"]
@@ -54,9 +54,10 @@ def judge_requests(requests: DataFrame, batches: DataFrame, chains: DataFrame, e
         "transfer_type": text.transfer_type(F.col("transfer_type")),
         "occurred_at": F.coalesce("occurred_at", ntz(now))})
     row = ["request_id"]
-    met = skew_join(asked, state, ["batch_id"], row, "left", hot_rows)
-    met = skew_join(met, occupied, ["target_cage_no"], row, "left", hot_rows)
-    met = skew_join(met, used, ["migration_no"], row, "left", hot_rows)
+    hot = hot_keys_of(asked, hot_rows, batch=["batch_id"], cage=["target_cage_no"], number=["migration_no"])
+    met = skew_join(asked, state, ["batch_id"], row, hot=hot["batch"])
+    met = skew_join(met, occupied, ["target_cage_no"], row, hot=hot["cage"])
+    met = skew_join(met, used, ["migration_no"], row, hot=hot["number"])
 
     bad = lambda condition: F.coalesce(condition, F.lit(True))
     differs = lambda expected, actual: F.coalesce(F.col(expected) != actual, F.lit(False))
@@ -80,14 +81,22 @@ def judge_requests(requests: DataFrame, batches: DataFrame, chains: DataFrame, e
         .when(differs("expected_batch_version", F.col("batch_version")), "batch_version_differs")
         .when(F.col("head_cage") != F.col("source_cage_no"), "chain_head_differs")
         .when(differs("expected_chain_seq", seq), "chain_seq_differs"))
-    judged = met.withColumn("reason", reason)
-    for key, lost in (("migration_no", "migration_no_exists"), ("batch_id", "batch_moved_in_run"),
-                      ("target_cage_no", "target_taken_in_run"), ("source_cage_no", "source_moved_in_run")):
-        contenders = judged.withColumn("__open", F.col("reason").isNull())
-        judged = first_per_key(contenders, [key, "__open"], row, "__first").withColumn(
-            "reason", F.when(F.col("__open") & ~F.col("__first"), lost).otherwise(F.col("reason"))
-        ).drop("__open", "__first")
-    return judged.drop("used", "occupied", "batch_known")
+    judged = stage(met.withColumn("reason", reason).drop("used", "occupied", "batch_known"),
+                   "handoff-requests")
+
+    # Each round keeps the first request per key as an aggregate that carries the other keys on.
+    rounds = ["migration_no", "batch_id", "target_cage_no", "source_cage_no"]
+    left, survivors = judged.where(F.col("reason").isNull()).select(*row, *rounds), []
+    for number, key in enumerate(rounds, start=1):
+        others = [c for c in [*row, *rounds] if c != key]
+        left = left.groupBy(key).agg(F.min(F.struct(*others)).alias("kept")).select(key, "kept.*")
+        survivors.append(left.select(*row, F.lit(number).alias("rounds_won")))
+    won = union_all(survivors).groupBy(*row).agg(F.max("rounds_won").alias("rounds_won"))
+    lost_to = F.get(F.array(*[F.lit(r) for r in (
+        "migration_no_exists", "batch_moved_in_run", "target_taken_in_run", "source_moved_in_run")]),
+        F.coalesce("rounds_won", F.lit(0)))
+    return judged.join(won, row, "left").withColumn(
+        "reason", F.coalesce("reason", lost_to)).drop("rounds_won")
 
 
 def feed_totals(records: DataFrame) -> DataFrame:
@@ -209,10 +218,10 @@ def migration_handoff(requests: DataFrame, batches: DataFrame, plans: DataFrame,
                       events: DataFrame, now: dt.datetime | str,
                       hot_rows: int | None = None) -> Handoff:
     """Hand-off of all requests: events to append, objects that move, refused requests."""
-    judged = judge_requests(requests, batches, chains, events, now, hot_rows)
+    judged = stage(judge_requests(requests, batches, chains, events, now, hot_rows), "handoff-judged")
     winners = judged.where(F.col("reason").isNull())
-    plan_rows = plans_to_hand_over(winners, plans, hot_rows)
-    sensor_rows = sensors_to_hand_over(winners, sensors, readings, hot_rows)
+    plan_rows = stage(plans_to_hand_over(winners, plans, hot_rows), "handoff-plans")
+    sensor_rows = stage(sensors_to_hand_over(winners, sensors, readings, hot_rows), "handoff-sensors")
     figures = handoff_figures(winners, records, reports, plan_rows, sensor_rows)
     documents = encode_snapshot(figures, plan_rows, sensor_rows)
     moved = lambda rows, key: rows.select(

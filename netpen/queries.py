@@ -881,3 +881,283 @@ def handoff_roundtrip(spark, sf_dir):
         F.size(snap["target"]["movedSensors"]).cast("bigint").alias("moved_sensors"),
         F.size(snap["source"]["retainedSensors"]).cast("bigint").alias("kept_at_source"),
         F.size(snap["target"]["feedingPlans"]).cast("bigint").alias("target_plans"))
+
+
+# Registration and data quality ------------------------------------------------------------------
+
+def _register(spark, sf_dir, kind, rows, *tables):
+    from netpen.plans.register import register
+    v = views(spark, sf_dir, rows, *tables)
+    return register(kind, v[rows], v)
+
+
+_JUDGED_RECORDS = """
+with judged as (
+  select n.*, coalesce(p.cage_no, b.cage_no) as cage_no,
+    case when trim(n.feed_type) = '' then 'required:feed_type' when n.amount_kg <= 0 then 'not_positive:amount_kg'
+         when n.feeding_time is null then 'required:feeding_time' when b.batch_id is null then 'batch_missing'
+         when n.record_no in (select record_no from feeding_record) then 'key_exists'
+         when n.plan_id is not null and p.plan_id is null then 'plan_missing'
+         when n.plan_id is not null and p.batch_id <> n.batch_id then 'plan_of_other_batch'
+         when n.plan_id is not null and p.status <> 'ACTIVE' then 'plan_not_active' end as first_reason
+  from new_record n left join fish_batch b on b.batch_id = n.batch_id left join feeding_plan p on p.plan_id = n.plan_id),
+final as (
+  select *, case when first_reason is not null then first_reason
+                 when row_number() over (partition by record_no, first_reason is null order by request_id) > 1 then 'key_exists' end as reason
+  from judged)
+"""
+
+
+@query("register_records", _JUDGED_RECORDS + """
+select request_id, record_no, batch_id, plan_id, feed_type, amount_kg, feeding_time, cage_no, 0 as posted
+from final where reason is null""")
+def register_records(spark, sf_dir):
+    return _register(spark, sf_dir, "feeding_record", "new_record", "feeding_record", "fish_batch",
+                     "feeding_plan").accepted
+
+
+@query("register_records_rejected", _JUDGED_RECORDS + "select request_id, reason from final where reason is not null")
+def register_records_rejected(spark, sf_dir):
+    return _register(spark, sf_dir, "feeding_record", "new_record", "feeding_record", "fish_batch",
+                     "feeding_plan").rejected
+
+
+_JUDGED_REPORTS = """
+with judged as (
+  select n.*, b.cage_no, b.fingerling_count,
+    case when n.survival_rate > 1 then 'out_of_range:survival_rate' when b.batch_id is null then 'batch_missing'
+         when n.alive_count > b.fingerling_count then 'more_than_stocked'
+         when n.report_no in (select report_no from survival_report) then 'key_exists' end as first_reason
+  from new_report n left join fish_batch b on b.batch_id = n.batch_id),
+final as (
+  select *, case when first_reason is not null then first_reason
+                 when row_number() over (partition by report_no, first_reason is null order by request_id) > 1 then 'key_exists' end as reason
+  from judged)
+"""
+
+
+@query("register_reports", _JUDGED_REPORTS + """
+select request_id, report_no, batch_id, alive_count,
+       coalesce(survival_rate, cast((alive_count * 10000 * 2 + fingerling_count) // (fingerling_count * 2) as decimal(11,0)) * 0.0001::decimal(5,4))::decimal(7,4) as survival_rate,
+       report_time, cage_no
+from final where reason is null""")
+def register_reports(spark, sf_dir):
+    return _register(spark, sf_dir, "survival_report", "new_report", "survival_report", "fish_batch").accepted
+
+
+@query("register_reports_rejected", _JUDGED_REPORTS + "select request_id, reason from final where reason is not null")
+def register_reports_rejected(spark, sf_dir):
+    return _register(spark, sf_dir, "survival_report", "new_report", "survival_report", "fish_batch").rejected
+
+
+@query("register_readings_rejected", """
+select request_id, reason from (
+  select n.request_id,
+    case when n.sensor_id is null then 'required:sensor_id' when n.metric_value < 0 then 'negative:metric_value'
+         when s.sensor_id is null then 'sensor_missing'
+         when n.reading_no in (select reading_no from sensor_reading) then 'key_exists'
+         when s.status <> 'ONLINE' then 'sensor_not_online' end as reason
+  from new_reading n left join sensor s on s.sensor_id = n.sensor_id) x where reason is not null""")
+def register_readings_rejected(spark, sf_dir):
+    return _register(spark, sf_dir, "sensor_reading", "new_reading", "sensor_reading", "sensor").rejected
+
+
+_JUDGED_TIDES = """
+with judged as (
+  select n.*, a.sea_area, a.time_zone,
+    case when n.tide_no in (select tide_no from tide_session) then 'key_exists'
+         when n.start_at_utc >= n.end_at_utc then 'start_not_before_end'
+         when a.cage_no is null then 'no_sea_area' end as early
+  from new_tide n left join cage_sea_area a on a.cage_no = n.cage_no),
+final as (
+  select j.*, case when early is not null then early
+    when exists (select 1 from tide_session t where t.cage_no = j.cage_no and t.start_at_utc < j.end_at_utc and t.end_at_utc > j.start_at_utc)
+      or exists (select 1 from judged k where k.early is null and k.cage_no = j.cage_no
+                 and (k.start_at_utc < j.start_at_utc or (k.start_at_utc = j.start_at_utc and k.request_id < j.request_id))
+                 and k.end_at_utc > j.start_at_utc) then 'overlaps_tide' end as reason
+  from judged j)
+"""
+
+
+@query("register_tides", _JUDGED_TIDES + """
+select request_id, tide_no, cage_no, start_at_utc, end_at_utc, sea_area, time_zone,
+       cast({LOCAL:time_zone,start_at_utc} as date) as business_date
+from final where reason is null""")
+def register_tides(spark, sf_dir):
+    return _register(spark, sf_dir, "tide_session", "new_tide", "tide_session", "cage_sea_area").accepted
+
+
+@query("register_tides_rejected", _JUDGED_TIDES + "select request_id, reason from final where reason is not null")
+def register_tides_rejected(spark, sf_dir):
+    return _register(spark, sf_dir, "tide_session", "new_tide", "tide_session", "cage_sea_area").rejected
+
+
+@query("register_rules", """
+select n.request_id, n.rule_code, n.rule_type, n.start_minute, n.end_minute, n.coefficient, 'DRAFT' as status,
+       cast(coalesce(v.newest, 0) + row_number() over (partition by n.rule_code order by n.request_id) as int) as version_no
+from new_rule n left join (select rule_code, max(version_no) as newest from rule_version group by rule_code) v
+  on v.rule_code = n.rule_code
+where n.rule_type <> 'NIGHT' and n.coefficient >= 0 and n.start_minute between 0 and 1439
+  and n.end_minute between 1 and 1440 and n.start_minute <> n.end_minute""")
+def register_rules(spark, sf_dir):
+    from netpen.plans.register import register
+    v = views(spark, sf_dir, "new_rule", "rule_version")
+    return register("ts_rule", v["new_rule"], {"ts_rule": v["rule_version"]}).accepted
+
+
+@query("constraint_violations", """
+select plan_id, 'daily_amount_kg' as field, 'not_positive' as code from feeding_plan where daily_amount_kg <= 0
+union all
+select plan_id, 'feed_frequency', 'not_positive' from feeding_plan where feed_frequency <= 0""")
+def constraint_violations(spark, sf_dir):
+    from netpen.plans.register import check_constraints
+    return check_constraints("feeding_plan", view(spark, sf_dir, "feeding_plan"), "plan_id")
+
+
+@query("unique_violations", """
+select record_no, count(*) as n from (select record_no from feeding_record union all select record_no from new_record) x
+group by record_no having count(*) > 1""")
+def unique_violations(spark, sf_dir):
+    from netpen.plans.register import duplicate_keys
+    v = views(spark, sf_dir, "feeding_record", "new_record")
+    return duplicate_keys("feeding_record", v["feeding_record"].select("record_no").unionByName(
+        v["new_record"].select("record_no")))
+
+
+@query("fk_violations", """
+select request_id, batch_id from new_record where batch_id not in (select batch_id from fish_batch)""")
+def fk_violations(spark, sf_dir):
+    from netpen.plans.register import missing_parents
+    v = views(spark, sf_dir, "new_record", "fish_batch")
+    return missing_parents(v["new_record"], v["fish_batch"], "batch_id", "request_id").select(
+        "request_id", "batch_id")
+
+
+@query("rule_overlaps", """
+with mins as (
+  select rule_id, rule_code, version_no, start_minute, (start_minute + i) % 1440 as m
+  from rule_version, generate_series(0, 1439) g(i)
+  where i < case when end_minute <= start_minute then end_minute - start_minute + 1440 else end_minute - start_minute end),
+ranked as (
+  select a.rule_id, a.rule_code, a.version_no, b.rule_id as other_rule_id, b.rule_code as other_rule_code,
+         row_number() over (partition by a.rule_id order by b.start_minute, b.rule_code, b.rule_id) as n
+  from (select distinct m1.rule_id, m1.rule_code, m1.version_no, m2.rule_id as other
+        from mins m1 join mins m2 on m1.m = m2.m and m1.rule_code <> m2.rule_code) a
+  join rule_version b on b.rule_id = a.other)
+select rule_id, rule_code, version_no, other_rule_id, other_rule_code from ranked where n = 1""")
+def rule_overlaps_query(spark, sf_dir):
+    from netpen.operators.ranges import rule_overlaps
+    return rule_overlaps(view(spark, sf_dir, "rule_version"))
+
+
+# Lifecycle --------------------------------------------------------------------------------------
+
+_ALLOWED = """
+(s.target_status = f.status
+ or (f.status in ('BREEDING', 'MONITORING') and s.target_status in ('BREEDING', 'MONITORING', 'HARVESTED', 'CLOSED'))
+ or (f.status = 'HARVESTED' and s.target_status = 'CLOSED'))"""
+_STATUS_FOLD = f"""
+with recursive steps as (
+  select e.*, row_number() over (partition by e.batch_id order by e.event_time, e.event_id) as pos
+  from batch_event e join fish_batch b on b.batch_id = e.batch_id),
+fold as (
+  select batch_id, cast(0 as bigint) as pos, cast(null as bigint) as event_id, status, cast(null as varchar) as status_before,
+         true as ok from fish_batch
+  union all
+  select s.batch_id, s.pos, s.event_id, case when {_ALLOWED} then s.target_status else f.status end, f.status, {_ALLOWED}
+  from fold f join steps s on s.batch_id = f.batch_id and s.pos = f.pos + 1)
+"""
+
+
+@query("lifecycle_replay", _STATUS_FOLD + """
+select e.event_id, e.batch_id, e.event_time, e.target_status, f.status_before,
+       case when f.ok then 1 else 0 end as accepted,
+       case when f.event_id is null then 'entity_missing' when e.target_status = 'LOST' then 'bad_status'
+            when not f.ok then 'illegal_move' end as reason
+from batch_event e left join fold f on f.event_id = e.event_id""")
+def lifecycle_replay(spark, sf_dir):
+    from netpen.plans.lifecycle import replay_status
+    v = views(spark, sf_dir, "fish_batch", "batch_event")
+    return replay_status("fish_batch", v["fish_batch"], v["batch_event"]).events
+
+
+@query("lifecycle_final", _STATUS_FOLD + """
+select f.batch_id, arg_max(f.status, f.pos) as status, count(*) filter (where f.ok and f.event_id is not null) as moves
+from fold f group by f.batch_id""")
+def lifecycle_final(spark, sf_dir):
+    from netpen.plans.lifecycle import replay_status
+    v = views(spark, sf_dir, "fish_batch", "batch_event")
+    known = v["batch_event"].join(v["fish_batch"].select("batch_id"), "batch_id", "left_semi")
+    return replay_status("fish_batch", v["fish_batch"], known).final
+
+
+_HARVEST_FOLD = f"""
+with recursive steps as (
+  select *, row_number() over (partition by batch_id order by event_time, event_id) as pos from (
+    select e.event_id, e.batch_id, e.event_time, e.target_status, cast(null as bigint) as harvest_id, false as closed_before
+    from batch_event e join fish_batch b on b.batch_id = e.batch_id
+    union all
+    select a.event_id, h.batch_id, a.event_time, 'HARVESTED', a.harvest_id, h.status = 'ACCEPTED'
+    from acceptance a join harvest_batch h on h.harvest_id = a.harvest_id) x),
+fold as (
+  select batch_id, cast(0 as bigint) as pos, cast(null as bigint) as event_id, status, true as ok,
+         cast([] as bigint[]) as done, cast(null as varchar) as reason from fish_batch
+  union all
+  select g.batch_id, g.pos, g.event_id, case when g.why is null then g.target_status else g.status end, g.why is null,
+         case when g.why is null and g.harvest_id is not null then list_append(g.done, g.harvest_id) else g.done end, g.why
+  from (
+    select s.batch_id, s.pos, s.event_id, s.target_status, s.harvest_id, f.status, f.done,
+           case when s.harvest_id is not null and s.closed_before then 'already_accepted'
+                when not {_ALLOWED} then case when s.harvest_id is null then 'illegal_move' else 'batch_closed' end
+                when s.harvest_id is not null and list_contains(f.done, s.harvest_id) then 'already_accepted' end as why
+    from fold f join steps s on s.batch_id = f.batch_id and s.pos = f.pos + 1) g)
+"""
+
+
+@query("harvest_acceptance", _HARVEST_FOLD + """
+select a.event_id, a.harvest_id, h.batch_id, a.event_time,
+       case when h.harvest_id is not null and f.reason is null then 1 else 0 end as accepted,
+       case when h.harvest_id is null then 'harvest_missing' else f.reason end as reason
+from acceptance a left join harvest_batch h on h.harvest_id = a.harvest_id left join fold f on f.event_id = a.event_id""")
+def harvest_acceptance(spark, sf_dir):
+    from netpen.plans.lifecycle import replay_harvests
+    v = views(spark, sf_dir, "fish_batch", "harvest_batch", "acceptance", "batch_event")
+    return replay_harvests(*v.values())[0]
+
+
+@query("rule_replay", """
+with recursive steps as (
+  select e.event_id, e.rule_id, e.action, r.rule_code,
+         row_number() over (partition by r.rule_code order by e.event_time, e.event_id) as pos
+  from rule_event e join rule_version r on r.rule_id = e.rule_id),
+fold as (
+  select rule_code, cast(0 as bigint) as pos, cast(null as bigint) as event_id, cast(null as varchar) as reason,
+         cast([] as bigint[]) as used, cast(null as bigint) as holder
+  from (select distinct rule_code from rule_version) c
+  union all
+  select g.rule_code, g.pos, g.event_id, g.why,
+         case when g.why is null and g.action = 'ENABLE' then list_append(g.used, g.rule_id) else g.used end,
+         case when g.why is null and g.action = 'ENABLE' then g.rule_id when g.why is null then null else g.holder end
+  from (
+    select s.*, f.used, f.holder,
+           case when s.action = 'ENABLE' and list_contains(f.used, s.rule_id) then 'not_draft'
+                when s.action = 'RETIRE' and (f.holder is null or f.holder <> s.rule_id) then 'not_enabled'
+                when s.action = 'PAUSE' then 'bad_action' end as why
+    from fold f join steps s on s.rule_code = f.rule_code and s.pos = f.pos + 1) g)
+select e.event_id, e.rule_id, e.event_time, e.action,
+       case when f.event_id is not null and f.reason is null then 1 else 0 end as accepted,
+       case when f.event_id is null then 'rule_missing' else f.reason end as reason
+from rule_event e left join fold f on f.event_id = e.event_id""")
+def rule_replay(spark, sf_dir):
+    from netpen.plans.lifecycle import replay_rules
+    v = views(spark, sf_dir, "rule_version", "rule_event")
+    return replay_rules(v["rule_version"], v["rule_event"])
+
+
+@query("rule_history", """
+select rule_id, rule_code, version_no, enabled_time,
+       least(retired_time, lead(enabled_time) over (partition by rule_code order by enabled_time, rule_id)) as retired_time
+from rule_version where enabled_time is not null""")
+def rule_history_query(spark, sf_dir):
+    from netpen.plans.lifecycle import rule_history
+    return rule_history(view(spark, sf_dir, "rule_version"))
