@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from netpen.functions import times
+from netpen.operators.hot import skew_join
 from netpen.operators.ranges import day_segments, range_join, rules_by_minute
 from netpen.sources.snapshots import rule_snapshot
 
@@ -47,6 +48,17 @@ def placed_observations(targets: DataFrame, tides: DataFrame, observations: Data
         segments, ["batch_id"], "observed_at_utc", "seg_start", "seg_end", ["obs_id"], hot_rows)
 
 
+def affected_days(observations: DataFrame, batches: DataFrame, tides: DataFrame,
+                  hot_rows: int | None = None) -> DataFrame:
+    """(batch_id, business_date) pairs whose result the observations have a part in."""
+    homes = batches.select("batch_id", "cage_no")
+    located = skew_join(observations.select("obs_id", "batch_id", "observed_at_utc"), homes,
+                        ["batch_id"], ["obs_id"], "inner", hot_rows)
+    segments = day_segments(tides, hot_rows).select("cage_no", "business_date", "seg_start", "seg_end")
+    return range_join(located, segments, ["cage_no"], "observed_at_utc", "seg_start", "seg_end",
+                      ["obs_id"], hot_rows).select("batch_id", "business_date").distinct()
+
+
 def recalculate(requests: DataFrame, batches: DataFrame, sea_areas: DataFrame, tides: DataFrame,
                 observations: DataFrame, rules: DataFrame,
                 hot_rows: int | None = None) -> RuleCalc:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from netpen.operators.latest import first_per_key
 from netpen.schemas import CAGE_OBSERVATION, TABLES
@@ -67,19 +69,46 @@ def append_table(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def upsert_table(spark, path: str, name: str, changes: DataFrame, keys: Sequence[str],
-                 day: str) -> None:
-    """Upsert into a parquet table partitioned by the day of column ``day`` (part of the key).
+def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A parquet table, or no rows where nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
-    Only the days that change are read and rewritten. The new state of those days is staged first,
-    since it is computed from the files it replaces; applying the same changes again gives the same
-    table, so a run that was cut off may simply be repeated.
+
+def _rewrite_days(path: str, after: DataFrame, by: str, name: str) -> None:
+    """Replace day partitions by a state that was computed from the files being replaced."""
+    write_partitions(stage(after, name), path, [by])
+
+
+def upsert_table(spark: SparkSession, path: str, name: str, changes: DataFrame,
+                 keys: Sequence[str], time: str) -> None:
+    """Upsert into a parquet table partitioned by the day of column ``time``.
+
+    Only the days that change are read and rewritten. Applying the same changes again gives the
+    same table, so a run that was cut off may simply be repeated.
     """
     schema = TABLES[name]
-    changes = changes.withColumn("day", F.to_date(day))
-    days = changes.select("day").distinct()
-    current = spark.read.schema(schema.add("day", "date") if "day" not in schema.names else schema).parquet(path)
-    affected = current.join(F.broadcast(days), "day", "left_semi").drop("day")
-    after = conform(upsert(affected, changes.drop("day"), keys), TABLES[name])
-    staged = stage(after.withColumn("day", F.to_date(day)), f"upsert-{name}")
-    write_partitions(staged, path, ["day"])
+    changes = changes.withColumn("day", F.to_date(time))
+    current = read_or_empty(spark, path, StructType([*schema.fields, StructField("day", DateType())]))
+    # Distinct calendar days, so a few thousand rows at most.
+    affected = current.join(F.broadcast(changes.select("day").distinct()), "day", "left_semi").drop("day")
+    after = conform(upsert(affected, changes.drop("day"), keys), schema)
+    _rewrite_days(path, after.withColumn("day", F.to_date(time)), "day", f"upsert-{name}")
+
+
+def replace_table(spark: SparkSession, path: str, new: DataFrame, pairs: DataFrame) -> None:
+    """Replace all rows of the given (batch_id, business_date) pairs, partitioned by date.
+
+    Dates whose pairs all became empty keep no rows, so such a date is written as an empty change
+    by removing the pairs' rows from it.
+    """
+    current = read_or_empty(spark, path, new.schema)
+    # Distinct calendar days, so a few thousand rows at most.
+    days = F.broadcast(pairs.select("business_date").distinct())
+    affected = current.join(days, "business_date", "left_semi")
+    after = replace_results(affected, new.select(*current.columns), pairs)
+    _rewrite_days(path, after, "business_date", "replace")
