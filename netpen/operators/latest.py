@@ -39,10 +39,10 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     a key with very many rows neither lands in one window nor in one join bucket.
     """
     position = F.struct(*order)
+    rest = [c for c in order if c not in keys]
     firsts = (
         df.groupBy(*keys).agg(F.min(position).alias("__first"))
-        .select(*keys, *[F.col(f"__first.{c}").alias(c) for c in order],
-                F.lit(True).alias(flag))
+        .select(*keys, *[F.col(f"__first.{c}").alias(c) for c in rest], F.lit(True).alias(flag))
     )
-    on = [*keys, *order]
+    on = [*keys, *rest]
     return df.join(firsts, on, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))

@@ -16,7 +16,7 @@ def scan_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES)
     """One row per file with its bytes; larger files keep a row but their bytes are not used.
 
     A file is one unit of reading; the size limit is what bounds a task's memory. Any number of
-    files is read in parallel.
+    files is read in parallel. An empty file is no import at all: the source lists no such file.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return with_checksum(files, max_bytes)
@@ -57,7 +57,7 @@ def dedup_files(files: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 def split_lines(files: DataFrame) -> DataFrame:
     """Physical lines of every file as an array, with the header's verdict.
 
-    ``file_error`` is null, ``empty_file``, ``too_large``, ``bad_header`` or ``no_data_rows``.
+    ``file_error`` is null, ``too_large``, ``bad_header`` or ``no_data_rows``.
     """
     text = F.expr("make_valid_utf8(cast(content as string))")
     header = csv_fields(F.regexp_replace(F.get("lines", F.lit(0)), r"^\x{FEFF}", ""))
@@ -72,7 +72,6 @@ def split_lines(files: DataFrame) -> DataFrame:
         .withColumn(
             "file_error",
             F.when(F.col("too_large"), "too_large")
-            .when(F.col("length") == 0, "empty_file")
             .when(F.coalesce(header != expected, F.lit(True)), "bad_header")
             .when(F.size("data") == 0, "no_data_rows"))
         .drop("content", "lines")
