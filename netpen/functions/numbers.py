@@ -23,16 +23,20 @@ def parse_decimal(text: Column, max_scale: int) -> Column:
     ``problem`` is ``not_a_number``, ``too_many_decimals`` or ``out_of_range`` (beyond 20 integer
     digits, far over every limit used here).
     """
+    plain = text.rlike(rf"^[0-9]{{1,18}}(?:\.[0-9]{{1,{max_scale}}})?\z")
+    simple = F.struct(text.try_cast("decimal(38,18)").alias("value"), F.lit(False).alias("negative"),
+                      F.lit(None).cast("string").alias("problem"))
     shaped = text.rlike(_SHAPE)
     value = F.when(shaped, text.try_cast("decimal(38,18)"))
     problem = (
-        F.when(text.isNull(), F.lit(None))
-        .when(~shaped, "not_a_number")
+        F.when(~shaped, "not_a_number")
         .when(_stripped_scale(text) > max_scale, "too_many_decimals")
         .when(value.isNull(), "out_of_range")
     )
     negative = shaped & text.startswith("-") & text.rlike(r"^-[0-9.]*[1-9]")
-    return F.struct(value.alias("value"), negative.alias("negative"), problem.alias("problem"))
+    careful = F.struct(value.alias("value"), negative.alias("negative"), problem.alias("problem"))
+    # Nearly all numbers are plain; the other forms take the longer way.
+    return F.when(text.isNull() | plain, simple).otherwise(careful)
 
 
 def survival_rate(given: Column, alive: Column, stocked: Column) -> Column:

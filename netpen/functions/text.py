@@ -17,12 +17,12 @@ OPERATOR_PATTERN = "^[一-龥A-Za-z0-9_.-]{1,64}\\z"
 _FIELD = r',("(?:[^"]++|"")*+(?:"[^,]*|\z)|[^,]*)'
 _QUOTED_BODY = r'^"((?:[^"]++|"")*+)'
 _QUOTED_PART = r'^"(?:[^"]++|"")*+"?'
-_BLANKS = r"^[\x00-\x20]+|[\x00-\x20]+\z"
+_BLANKS = "".join(map(chr, range(0x21)))
 
 
 def jtrim(col: Column) -> Column:
     """Strip every character up to U+0020 from both ends (``trim`` strips spaces only)."""
-    return F.regexp_replace(col, _BLANKS, "")
+    return F.btrim(col, F.lit(_BLANKS))
 
 
 def trim_to_null(col: Column) -> Column:

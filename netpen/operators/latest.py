@@ -1,4 +1,4 @@
-"""Latest row per key, as an aggregate: partial results are combined before the shuffle."""
+"""Row helpers: latest and first row per key as aggregates, columns computed once."""
 
 from __future__ import annotations
 
@@ -9,6 +9,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 _ID_SPAN = 10 ** 20
 
 
+def compute_once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add columns through a one-element generator.
+
+    The optimizer neither merges projections nor pushes filters through it, so what is computed here
+    is computed once per row, however often later expressions and filters refer to it.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def recency(time: Column, row_id: Column, lower_id_wins: bool = False) -> Column:
     """One number that orders rows by time and then by id.
 
@@ -38,11 +47,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     The first rows come from a partial aggregate and are joined back on key and order together, so
     a key with very many rows neither lands in one window nor in one join bucket.
     """
-    position = F.struct(*order)
     rest = [c for c in order if c not in keys]
-    firsts = (
-        df.groupBy(*keys).agg(F.min(position).alias("__first"))
-        .select(*keys, *[F.col(f"__first.{c}").alias(c) for c in rest], F.lit(True).alias(flag))
-    )
+    if len(rest) == 1:
+        # A plain minimum stays a hash aggregate.
+        firsts = df.groupBy(*keys).agg(F.min(rest[0]).alias(rest[0]), F.lit(True).alias(flag))
+    else:
+        firsts = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__first")).select(
+            *keys, *[F.col(f"__first.{c}").alias(c) for c in rest], F.lit(True).alias(flag))
     on = [*keys, *rest]
     return df.join(firsts, on, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from netpen.operators.hot import OrderedScan, skew_join
-from netpen.sources.snapshots import decode_handoff
+from netpen.operators.latest import compute_once
+from netpen.sources.snapshots import decode_sides
 
 # Fixed values.
 CHECKS = ["SEQ_CONTINUOUS", "CAGE_LINKED", "TIME_ORDERED", "HANDOFF_EQUAL", "FEED_MONOTONIC",
@@ -22,11 +23,9 @@ def _handoff_flags(events: DataFrame) -> DataFrame:
     readable = F.coalesce(source.isNotNull() & target.isNotNull(), F.lit(False))
     agree = (same("fishEstimateCount") & same("cumulativePostedFeedKg") & same("latestSurvivalRate")
              & same("feedingPlanCount") & (moved(source) == moved(target)))
-    return (
-        events.withColumn("__snap", decode_handoff(F.col("snapshot_json")))
-        .withColumns({"readable": readable, "handed_over": readable & F.coalesce(agree, F.lit(False))})
-        .drop("__snap")
-    )
+    decoded = compute_once(events, decode_sides(F.col("snapshot_json")).alias("__snap")).drop("snapshot_json")
+    return decoded.withColumns({
+        "readable": readable, "handed_over": readable & F.coalesce(agree, F.lit(False))}).drop("__snap")
 
 
 def handoff_mismatches(events: DataFrame) -> DataFrame:

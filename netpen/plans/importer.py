@@ -332,5 +332,9 @@ def import_observations(spark: SparkSession, path: str, tables: dict[str, DataFr
     """Import of all files under ``path`` that ``imported`` (earlier file summaries) does not hold."""
     found = scan_files(spark, path) if files is None else files
     split = stage(split_lines(dedup_files(found, imported)), "import-files")
-    invalid, decided = decide(data_lines(split), tables, now, hot_rows, keep_outcomes=True)
+    lines, cores = data_lines(split), spark.sparkContext.defaultParallelism
+    if split.count() < cores:
+        # A few files of bounded size would leave most of the cluster idle while they are parsed.
+        lines = lines.repartition(cores)
+    invalid, decided = decide(lines, tables, now, hot_rows, keep_outcomes=True)
     return outputs(invalid, decided, shard_size, split)

@@ -19,6 +19,9 @@ TRANSFER_TYPES = ["REPLACE", "TRANSFER"]
 UNFINISHED = ["ACTIVE", "SUSPENDED"]
 CLOCK_TOLERANCE_SECONDS = 1
 
+# Items one hand-off document lists; a larger hand-off keeps its items as rows only.
+MAX_DOCUMENT_ITEMS = 10_000
+
 
 class Handoff(NamedTuple):
     events: DataFrame
@@ -165,12 +168,18 @@ def handoff_figures(winners: DataFrame, records: DataFrame, reports: DataFrame,
     )
 
 
-def encode_snapshot(figures: DataFrame, plans: DataFrame, sensors: DataFrame) -> DataFrame:
+def encode_snapshot(figures: DataFrame, plans: DataFrame, sensors: DataFrame,
+                    max_items: int = MAX_DOCUMENT_ITEMS) -> DataFrame:
     """(migration_no, snapshot_json): the hand-off document.
 
-    The document holds one batch's open plans and one cage's sensors, as its reader expects; the
-    ``plans`` and ``sensors`` tables carry the same items as rows for any further work.
+    The document lists one batch's open plans and one cage's sensors, as its reader expects. Every
+    item is also a row of the ``plans`` and ``sensors`` tables. Beyond ``max_items`` only those rows
+    hold the items: the document then has all figures and counts, and null lists.
     """
+    within = (F.col("feeding_plan_count") + F.col("sensor_count") + F.col("retained_sensor_count")) <= max_items
+    listed = figures.where(within).select("migration_no")
+    plans = plans.join(listed, "migration_no", "left_semi")
+    sensors = sensors.join(listed, "migration_no", "left_semi")
     iso = text.iso_seconds
     plan = F.struct(
         F.col("plan_id").alias("id"), F.col("plan_no").alias("planNo"), F.col("status").alias("status"),
@@ -187,8 +196,8 @@ def encode_snapshot(figures: DataFrame, plans: DataFrame, sensors: DataFrame) ->
         F.array_sort(F.collect_list(F.when(F.col("moved") == 1, sensor))).alias("moved_list"),
         F.array_sort(F.collect_list(F.when(F.col("moved") == 0, sensor))).alias("kept_list"))
     joined = figures.join(plan_lists, "migration_no", "left").join(sensor_lists, "migration_no", "left")
-    empty = F.filter(F.coalesce("moved_list", "kept_list", F.array()), lambda _: F.lit(False))
-    items = lambda name: F.coalesce(F.col(name), F.array())
+    items = lambda name: F.when(within, F.coalesce(F.col(name), F.array()))
+    empty = F.when(within, F.filter(F.coalesce("kept_list", F.array()), lambda _: F.lit(False)))
 
     def side(cage: str, kept):
         return F.struct(

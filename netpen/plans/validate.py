@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from netpen.functions import text
 from netpen.functions.numbers import parse_decimal
 from netpen.functions.times import FUTURE_TOLERANCE, ntz, parse_time
+from netpen.operators.latest import compute_once
 
 # Fixed values.
 MAX_FEED_KG = "99999.99"
@@ -53,17 +54,17 @@ def _number_error(field: str, raw: Column, number: Column, low: Column, low_reas
 
 def parse_rows(lines: DataFrame) -> DataFrame:
     """Split each line and parse its typed parts; nothing is judged yet."""
-    fields = lines.withColumn("fields", text.csv_fields(F.col("raw_line")))
-    part = lambda i: text.trim_to_null(F.get("fields", F.lit(i)))
-    typed = fields.withColumns({
-        "voyage_no": part(0), "cage_no": part(1), "__time_text": part(2),
-        "__feed_text": part(3), "__rate_text": part(4), "__value_text": part(5),
-        "sensor_unit": part(6), "source_device": part(7)})
-    return typed.withColumns({
-        "observed_at": parse_time(F.col("__time_text")),
-        "__feed": parse_decimal(F.col("__feed_text"), FEED_SCALE),
-        "__rate": parse_decimal(F.col("__rate_text"), RATE_SCALE),
-        "__value": parse_decimal(F.col("__value_text"), SENSOR_SCALE)})
+    fields = compute_once(lines, text.csv_fields(F.col("raw_line")).alias("fields"))
+    names = ["voyage_no", "cage_no", "__time_text", "__feed_text", "__rate_text", "__value_text",
+             "sensor_unit", "source_device"]
+    part = lambda i: F.get("fields", F.lit(i))
+    texts = compute_once(fields, *[F.when(F.length(part(i)) > 0, part(i)).alias(n) for i, n in enumerate(names)])
+    return compute_once(
+        texts,
+        parse_time(F.col("__time_text")).alias("observed_at"),
+        parse_decimal(F.col("__feed_text"), FEED_SCALE).alias("__feed"),
+        parse_decimal(F.col("__rate_text"), RATE_SCALE).alias("__rate"),
+        parse_decimal(F.col("__value_text"), SENSOR_SCALE).alias("__value"))
 
 
 def validate_rows(lines: DataFrame, now: dt.datetime | str) -> DataFrame:
@@ -99,7 +100,7 @@ def validate_rows(lines: DataFrame, now: dt.datetime | str) -> DataFrame:
         sensor_error,
         F.when(nothing, error("_row", None, "no_measure")))
 
-    judged = parse_rows(lines).withColumn("err", err)
+    judged = compute_once(parse_rows(lines), err.alias("err"))
     sound = F.col("err").isNull()
     has_value = sound & F.col("__value_text").isNotNull()
     keep = lambda name, kind: F.when(sound, F.col(name)["value"].cast(kind))
@@ -114,6 +115,4 @@ def validate_rows(lines: DataFrame, now: dt.datetime | str) -> DataFrame:
         F.when(has_value, unit).alias("sensor_unit"),
         F.when(has_value, device).alias("source_device"),
         key.alias("business_key"), "err")
-    # The generator keeps later filters from being pushed into the parsing, where each would
-    # repeat it; a line is parsed once.
     return judged.select(*lines.columns, F.inline(F.array(result)))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from netpen.functions.text import OBS_HEADER, csv_fields, is_blank
 from netpen.operators.hot import OrderedScan, line_chunk
+from netpen.session import stage
 
 # Fixed values.
 MAX_FILE_BYTES = 50 * 1024 * 1024
+MAX_RUN_FILES = 200_000
 _LINE_BREAK = "\r\n|\r|\n"
 
 
@@ -44,14 +46,20 @@ def verify_checksum(files: DataFrame, expected: DataFrame) -> tuple[DataFrame, D
 def dedup_files(files: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Files not imported before, and of equal files the earliest one.
 
-    Only names and checksums take part in the comparison; the bytes are read for the files kept.
+    The bytes are read once for the checksums, which are kept as a small table, and once more for
+    the files that remain. File contents are never shuffled as long as a run has no more than
+    ``MAX_RUN_FILES`` files; import a larger folder in slices, as the stream does.
     """
+    sums = stage(files.select("file_path", "file_time", "checksum"), "file-checksums")
     order = F.struct("file_time", "file_path")
-    keep = files.groupBy("checksum").agg(F.min(order).alias("keep")).select(
+    keep = sums.groupBy("checksum").agg(F.min(order).alias("keep")).select(
         "checksum", F.col("keep.file_path").alias("file_path"))
     if ledger is not None:
         keep = keep.join(ledger.select("checksum"), "checksum", "left_anti")
-    return files.join(keep, ["checksum", "file_path"], "left_semi")
+    if sums.count() <= MAX_RUN_FILES:
+        # Checked just above: a path and a checksum per file, some 40 MB at most.
+        keep = F.broadcast(keep)
+    return files.drop("checksum").join(keep, "file_path")
 
 
 def split_lines(files: DataFrame) -> DataFrame:
