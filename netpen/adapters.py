@@ -299,6 +299,15 @@ VIEWS: dict[str, str] = {
                case when p_partkey % 5 = 0 then {TS} '2023-06-01 00:00:00' + interval 1 day * cast(p_partkey * 13 % 700 as int) end as retired_time,
                cast(p_partkey * 7 % 1440 as int) as start_minute, cast(1 + p_partkey * 11 % 1440 as int) as end_minute
         from part""",
+    # Short rules; one in forty is enabled, so that drafts meet some of them.
+    "draft_rule": """
+        select cast(p_partkey as bigint) as rule_id, concat('D-', cast(p_partkey % 150 as string)) as rule_code,
+               cast(1 + floor(p_partkey / 150) as int) as version_no,
+               cast(p_partkey * 37 % 1440 as int) as start_minute,
+               cast(1 + (p_partkey * 37 + p_partkey % 5) % 1440 as int) as end_minute,
+               case when p_partkey % 40 = 0 then 'ENABLED' when p_partkey % 9 = 1 then 'RETIRED' else 'DRAFT' end as status,
+               cast(null as {TS}) as enabled_time, cast(null as {TS}) as retired_time
+        from part""",
     "new_rule": """
         select l_orderkey * 10 + l_linenumber as request_id, concat('R-', cast(l_partkey % 300 as string)) as rule_code,
                case when l_orderkey % 31 = 0 then 'NIGHT' when l_linenumber % 2 = 0 then 'PEAK' else 'FLAT' end as rule_type,

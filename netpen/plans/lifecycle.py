@@ -8,11 +8,15 @@ replay an ordered running maximum instead of a step-by-step fold.
 
 from __future__ import annotations
 
+import datetime as dt
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from netpen.functions import ring
+from netpen.functions.times import ntz
 from netpen.operators.hot import OrderedScan, skew_join
+from netpen.operators.latest import first_per_key
 
 # Statuses that may follow each other share a level.
 LEVELS = {
@@ -28,6 +32,11 @@ class Replay(NamedTuple):
     final: DataFrame
 
 
+class Enabling(NamedTuple):
+    rules: DataFrame
+    rejected: DataFrame
+
+
 def _level(kind: str, status: Column) -> Column:
     levels = F.create_map(*[F.lit(v) for pair in LEVELS[kind].items() for v in pair])
     return F.try_element_at(levels, status)
@@ -131,3 +140,59 @@ def rule_history(rules: DataFrame, hot_rows: int | None = None) -> DataFrame:
     return following.select(
         "rule_id", "rule_code", "version_no", "enabled_time",
         F.least("retired_time", "next_enabled").alias("retired_time"))
+
+
+def _owners(by_minute: DataFrame, order: str) -> DataFrame:
+    """Per minute the first code by ``order``, and the first entry of another code: 1440 rows."""
+    entry = F.struct(F.col(order).alias("place"), "rule_code")
+    first = by_minute.groupBy("minute").agg(F.min(entry).alias("first"))
+    second = (
+        by_minute.join(F.broadcast(first), "minute").where(F.col("rule_code") != F.col("first.rule_code"))
+        .groupBy("minute").agg(F.min(entry).alias("second")))
+    return first.join(F.broadcast(second), "minute", "left")
+
+
+def _other_code(drafts: DataFrame, owners: DataFrame) -> DataFrame:
+    """Draft minutes with the first entry of another code there, null where there is none."""
+    other = F.when(F.col("first.rule_code") != F.col("rule_code"), F.col("first")).otherwise(F.col("second"))
+    return drafts.join(F.broadcast(owners), "minute", "left").withColumn("other", other).drop("first", "second")
+
+
+def enable_rules(rules: DataFrame, wanted: DataFrame, now: dt.datetime | str,
+                 hot_rows: int | None = None) -> Enabling:
+    """Enable the wanted versions (rule_id, request_id), retiring the enabled ones of their codes.
+
+    Refused: unknown versions, versions that are no drafts, and drafts that share a minute with an
+    enabled rule of another code. In one run the first request per code is taken, and a draft that
+    shares a minute with an earlier requested draft of another code is refused and may be sent again.
+    """
+    spread = lambda df: df.withColumn(
+        "minute", F.explode(ring.minutes(F.col("start_minute"), F.col("end_minute"))))
+    current = spread(rules.where(F.col("status") == "ENABLED")).select("minute", "rule_code", "rule_id")
+    drafts = spread(rules.where(F.col("status") == "DRAFT")).select("minute", "rule_code", "rule_id")
+    meets = _other_code(drafts, _owners(current, "rule_id")).groupBy("rule_id").agg(
+        F.max(F.col("other").isNotNull()).alias("overlaps"))
+    known = rules.select("rule_id", "rule_code", "status", "start_minute", "end_minute").join(
+        meets, "rule_id", "left")
+    asked = skew_join(wanted.select("rule_id", "request_id"), known, ["rule_id"], ["request_id"], "left", hot_rows)
+    judged = asked.withColumn("reason", F.when(
+        F.col("status").isNull(), "rule_missing").when(F.col("status") != "DRAFT", "not_draft").when(
+        F.col("overlaps"), "overlaps_enabled_rule"))
+    judged = first_per_key(judged.withColumn("open", F.col("reason").isNull()), ["rule_code", "open"],
+                           ["request_id"], "is_first").withColumn(
+        "reason", F.when(F.col("open") & ~F.col("is_first"), "code_enabled_in_run").otherwise(F.col("reason")))
+    left = spread(judged.where(F.col("reason").isNull())).select("minute", "rule_code", "rule_id", "request_id")
+    clash = _other_code(left, _owners(left, "request_id")).groupBy("request_id").agg(
+        F.max(F.col("other.place") < F.col("request_id")).alias("clashes"))
+    judged = judged.join(clash, "request_id", "left").withColumn("reason", F.coalesce(
+        "reason", F.when(F.col("clashes"), "overlaps_in_run")))
+    taken = judged.where(F.col("reason").isNull())
+    takes = taken.select("rule_id", F.lit(True).alias("taken"))
+    codes = taken.select("rule_code", F.lit(True).alias("replaced"))
+    retires = F.col("replaced") & (F.col("status") == "ENABLED")
+    after = rules.join(takes, "rule_id", "left").join(codes, "rule_code", "left").withColumns({
+        "enabled_time": F.when(F.col("taken"), ntz(now)).otherwise(F.col("enabled_time")),
+        "retired_time": F.when(retires, ntz(now)).otherwise(F.col("retired_time")),
+        "status": F.when(F.col("taken"), "ENABLED").when(retires, "RETIRED").otherwise(F.col("status")),
+    }).select(*rules.columns)
+    return Enabling(after, judged.where(F.col("reason").isNotNull()).select("request_id", "rule_id", "reason"))

@@ -1161,3 +1161,92 @@ from rule_version where enabled_time is not null""")
 def rule_history_query(spark, sf_dir):
     from netpen.plans.lifecycle import rule_history
     return rule_history(view(spark, sf_dir, "rule_version"))
+
+
+_ENABLING = """
+with mins as (
+  select rule_id, rule_code, status, (start_minute + i) % 1440 as m
+  from draft_rule, generate_series(0, 10) g(i)
+  where i < case when end_minute <= start_minute then end_minute - start_minute + 1440 else end_minute - start_minute end),
+asked as (select l_orderkey * 10 + l_linenumber as request_id, l_partkey as rule_id from order_line),
+hits as (select distinct a.rule_id from mins a join mins b on a.m = b.m and a.rule_code <> b.rule_code
+         where a.status = 'DRAFT' and b.status = 'ENABLED'),
+j1 as (select q.request_id, q.rule_id, d.rule_code,
+              case when d.rule_id is null then 'rule_missing' when d.status <> 'DRAFT' then 'not_draft'
+                   when q.rule_id in (select rule_id from hits) then 'overlaps_enabled_rule' end as r1
+       from asked q left join draft_rule d on d.rule_id = q.rule_id),
+j2 as (select *, case when r1 is not null then r1
+                 when row_number() over (partition by rule_code, r1 is null order by request_id) > 1 then 'code_enabled_in_run' end as r2
+       from j1),
+clash as (select distinct x.request_id from j2 x join mins a on a.rule_id = x.rule_id
+          join mins b on a.m = b.m and a.rule_code <> b.rule_code join j2 y on y.rule_id = b.rule_id
+          where x.r2 is null and y.r2 is null and y.request_id < x.request_id),
+j3 as (select *, case when r2 is not null then r2 when request_id in (select request_id from clash) then 'overlaps_in_run' end as reason from j2)
+"""
+
+
+def _enabling(spark, sf_dir):
+    from netpen.plans.lifecycle import enable_rules
+    v = views(spark, sf_dir, "draft_rule", "order_line")
+    wanted = v["order_line"].select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"), F.col("l_partkey").alias("rule_id"))
+    return enable_rules(v["draft_rule"], wanted, "2024-06-01 00:00:00")
+
+
+@query("enable_rules", _ENABLING + """
+select d.rule_id, d.rule_code, d.version_no, d.start_minute, d.end_minute,
+       case when t.rule_id is not null then 'ENABLED' when c.rule_code is not null and d.status = 'ENABLED' then 'RETIRED'
+            else d.status end as status,
+       case when t.rule_id is not null then timestamp '2024-06-01 00:00:00' end as enabled_time,
+       case when c.rule_code is not null and d.status = 'ENABLED' then timestamp '2024-06-01 00:00:00' end as retired_time
+from draft_rule d left join (select rule_id from j3 where reason is null) t on t.rule_id = d.rule_id
+left join (select rule_code from j3 where reason is null) c on c.rule_code = d.rule_code""")
+def enable_rules_query(spark, sf_dir):
+    return _enabling(spark, sf_dir).rules
+
+
+@query("enable_rules_rejected", _ENABLING + "select request_id, rule_id, reason from j3 where reason is not null")
+def enable_rules_rejected(spark, sf_dir):
+    return _enabling(spark, sf_dir).rejected
+
+
+# Sinks ------------------------------------------------------------------------------------------
+
+@query("replace_results", """
+with day_sum as (
+  select batch_id, cast(feeding_time as date) as business_date, cast(sum(amount_kg) as decimal(18,2)) as kg
+  from feeding_record group by all),
+posted_sum as (
+  select batch_id, cast(feeding_time as date) as business_date, cast(sum(amount_kg) as decimal(18,2)) as kg
+  from feeding_record where posted = 1 group by all)
+select d.batch_id, d.business_date, coalesce(p.kg, d.kg) as kg
+from day_sum d left join posted_sum p on p.batch_id = d.batch_id and p.business_date = d.business_date""")
+def replace_results_query(spark, sf_dir):
+    from netpen.sources.sinks import replace_results
+    records = view(spark, sf_dir, "feeding_record")
+    per_day = lambda df: df.groupBy("batch_id", F.to_date("feeding_time").alias("business_date")).agg(
+        F.sum("amount_kg").cast("decimal(18,2)").alias("kg"))
+    return replace_results(per_day(records), per_day(records.where(F.col("posted") == 1)))
+
+
+@query("append_events", """
+select migration_no, chain_no, seq_no from migration_event e
+where o_orderkey % 3 = 0
+  and not exists (select 1 from migration_event x where x.o_orderkey % 3 <> 0 and x.chain_no = e.chain_no and x.seq_no = e.seq_no)""")
+def append_events_query(spark, sf_dir):
+    from netpen.sources.sinks import append_events
+    events = view(spark, sf_dir, "migration_event")
+    key = ["migration_no", "chain_no", "seq_no"]
+    copies = events.select(F.concat(F.lit("ZZ-"), "migration_no").alias("migration_no"), "chain_no", "seq_no")
+    return append_events(events.where(F.col("o_orderkey") % 3 != 0).select(*key), events.select(*key).unionByName(copies))
+
+
+@query("derived_numbers", """
+select business_key, concat('FR-', substr(sha256(business_key), 1, 29)) as record_no
+from (select concat(voyage_no, '|', cage_no, '|', strftime(observed_at, '%Y-%m-%dT%H:%M:%S')) as business_key
+      from stored_observation) x""")
+def derived_numbers(spark, sf_dir):
+    from netpen.functions.text import business_key, derived_no
+    key = business_key(F.col("voyage_no"), F.col("cage_no"), F.col("observed_at"))
+    return view(spark, sf_dir, "stored_observation").select(
+        key.alias("business_key"), derived_no("FR-", key).alias("record_no"))

@@ -185,16 +185,16 @@ def test_posting_is_idempotent(spark):
     assert all(r.posted == 1 for r in after.collect())
 
 
-def test_register_kinds(spark):
+@pytest.mark.parametrize("hot_rows", [None, 1])
+def test_register_kinds(spark, hot_rows):
     t = {n: empty(spark, n) for n in ("feeding_record", "survival_report", "harvest_batch", "feeding_plan", "sensor_reading",
                                       "feed_observation", "tide_session", "ts_rule")}
     t["fish_batch"] = table(spark, "fish_batch", dict(batch_id=1, batch_no="B1", cage_no="C", fingerling_count=10_000, status="BREEDING", migration_no="M9"),
                             dict(batch_id=2, batch_no="B2", cage_no="D", fingerling_count=5, status="CLOSED"))
     t["sensor"] = table(spark, "sensor", dict(sensor_id=1, sensor_no="S1", cage_no="C", status="OFFLINE"))
     t["cage_sea_area"] = table(spark, "cage_sea_area", dict(cage_no="C", sea_area="S", time_zone="Asia/Shanghai"))
-    new = lambda name, *rows: table(spark, name, *rows).withColumn("request_id", F.monotonically_increasing_id())
     pick = lambda kind, columns, *rows: register.register(
-        kind, table(spark, kind, *rows).coalesce(1).select(*columns).withColumn("request_id", F.monotonically_increasing_id()), t)
+        kind, table(spark, kind, *rows).coalesce(1).select(*columns).withColumn("request_id", F.monotonically_increasing_id()), t, hot_rows)
     reasons = lambda result: [r.reason for r in result.rejected.orderBy("request_id").collect()]
 
     got = pick("fish_batch", ["batch_no", "cage_no", "species", "fingerling_count", "average_weight_g", "stocking_time"],
@@ -288,3 +288,42 @@ def test_guards_and_replacement(spark):
     old = spark.createDataFrame([(1, day(1), 5), (1, day(2), 6), (2, day(1), 7)], "batch_id long, business_date date, v int")
     new = spark.createDataFrame([(1, day(1), 9)], "batch_id long, business_date date, v int")
     assert sorted(r.v for r in replace_results(old, new).collect()) == [6, 7, 9]
+
+
+@pytest.mark.parametrize("hot_rows", [None, 1])
+def test_rule_moves(spark, hot_rows):
+    versions = rules(spark, ("A", "PEAK", 0, 60, "1"), ("A", "PEAK", 0, 90, "1"), ("B", "FLAT", 60, 120, "1"), status="DRAFT")
+    steps = [(0, "RETIRE"), (0, "ENABLE"), (0, "ENABLE"), (1, "ENABLE"), (0, "RETIRE"), (1, "RETIRE"), (1, "RETIRE"), (2, "ENABLE"), (9, "ENABLE"), (2, "STOP")]
+    events = spark.createDataFrame([(i, r, at("2026-01-01") + dt.timedelta(days=i), a) for i, (r, a) in enumerate(steps)],
+                                   "event_id long, rule_id long, event_time timestamp_ntz, action string")
+    got = lifecycle.replay_rules(versions, events, hot_rows).orderBy("event_id").collect()
+    assert [r.reason for r in got] == ["not_enabled", None, "not_draft", None, "not_enabled", None, "not_enabled", None, "rule_missing", "bad_action"]
+
+    drafts = register.register("ts_rule", spark.createDataFrame(
+        [(1, "A", "PEAK", 0, 60, Decimal(1)), (2, "A", "NIGHT", 0, 60, Decimal(1)), (3, "A", "PEAK", 5, 5, Decimal(1)), (4, "A", "FLAT", 1, 2, Decimal(1)),
+         (5, "Z", "FLAT", 1, 2, Decimal(1))], "request_id long, rule_code string, rule_type string, start_minute int, end_minute int, coefficient decimal(12,4)"),
+        {"ts_rule": versions}, hot_rows)
+    assert [(r.request_id, r.version_no, r.status) for r in drafts.accepted.orderBy("request_id").collect()] == [(1, 2, "DRAFT"), (4, 3, "DRAFT"), (5, 1, "DRAFT")]
+    assert sorted(r.reason for r in drafts.rejected.collect()) == ["bad_interval", "bad_rule_type"]
+
+
+@pytest.mark.parametrize("hot_rows", [None, 1])
+def test_enabling_rules(spark, hot_rows):
+    stored = table(spark, "ts_rule", *[
+        dict(rule_id=i, rule_code=c, version_no=v, start_minute=s, end_minute=e, status=st)
+        for i, (c, v, s, e, st) in enumerate((("A", 1, 0, 60, "ENABLED"), ("A", 2, 0, 90, "DRAFT"), ("B", 1, 30, 40, "DRAFT"),
+                                              ("C", 1, 80, 100, "DRAFT"), ("D", 1, 200, 300, "DRAFT"), ("E", 1, 1400, 10, "RETIRED")))])
+    wanted = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (9, 6), (1, 7)], "rule_id long, request_id long")
+    got = lifecycle.enable_rules(stored, wanted, "2026-01-01", hot_rows)
+    assert {r.request_id: r.reason for r in got.rejected.collect()} == {
+        2: "overlaps_enabled_rule", 3: "overlaps_in_run", 5: "not_draft", 6: "rule_missing", 7: "code_enabled_in_run"}
+    assert {r.rule_id: r.status for r in got.rules.collect()} == {0: "RETIRED", 1: "ENABLED", 2: "DRAFT", 3: "DRAFT", 4: "ENABLED", 5: "RETIRED"}
+
+
+def test_large_handoff_keeps_its_items_as_rows(spark):
+    t = migration_tables(spark)
+    got = migration.migration_handoff(ask(spark, ("M-1", 1, "B", "replace", "2026-02-01")), now="2026-03-01", **t)
+    document = migration.encode_snapshot(got.events.drop("snapshot_json"), got.plans, got.sensors, max_items=2)
+    checked = got.events.drop("snapshot_json").join(document, "migration_no")
+    assert "movedSensors" not in document.first().snapshot_json and got.sensors.count() == 2
+    assert all(r.passed for r in audit.audit_chains(got.chains, checked).collect())
