@@ -13,7 +13,9 @@ from netpen.session import configure  # noqa: E402
 def spark():
     session = (
         SparkSession.builder.master("local[4]").appName("netpen-tests")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false")
+        # Tiny tables: compiling stages would take longer than running them.
+        .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.driver.memory", "4g").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
