@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netpen.llm import bpe
+from netpen.llm import bpe, simhash
 from netpen.llm.common import table
 from netpen.session import configure
 
@@ -26,5 +26,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the component of near duplicates it belongs to."""
+    configure(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select(
+        "doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op8_simhash": op8_simhash,
+}
 ORACLES: dict[str, str] = {}
