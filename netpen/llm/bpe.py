@@ -1,12 +1,13 @@
 """Byte-level BPE over a distinct-word table, and decoding through the id-to-piece table.
 
 Texts are split into words in the JVM. Each chunk of rows replaces its words by codes into the
-chunk's own dictionary, so only distinct words per chunk leave it. The distinct words of all chunks
-form one table; each is encoded once; the ids are joined back to the chunk dictionaries by word, and
-each chunk puts its rows together by position. No text and no row per word occurrence is shuffled.
+chunk's own dictionary, so only a chunk's distinct words leave it, packed into one row per shard of
+the word's hash. A shard holds every occurrence of its words in any dictionary: it forms their
+distinct-word table, encodes each word once and returns the ids to the dictionaries; each chunk puts
+its rows together by position. No text and no row per word occurrence is shuffled.
 
-A chunk holds at most ``CHUNK_WORDS`` words or one row. A frequent word has one row per chunk, so no
-word's group grows with its occurrences.
+A chunk holds at most ``CHUNK_WORDS`` words or one row. A frequent word has one entry per chunk, so no
+word's group grows with its occurrences. There are four shards per shuffle partition of the session.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from netpen.llm.common import width
 from netpen.session import stage
 
 # The split pattern of the vocabulary's byte-level pre-tokenizer.
 WORD_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-CHUNK_WORDS = 4_000_000
+CHUNK_WORDS = 2_000_000
+SHARDS_PER_PARTITION = 4
 
 
 def read_vocabulary(path: str) -> str:
@@ -44,14 +47,17 @@ def added_tokens(vocabulary: str) -> list[str]:
     return [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
 
 
-def load(vocabulary: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
+def load(shared: dict):
+    """The tokenizer of a broadcast ``{"json": text}``, built once per Python worker."""
+    if "tokenizer" not in shared:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(vocabulary)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
+        tokenizer = Tokenizer.from_str(shared["json"])
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        shared["tokenizer"] = tokenizer
+    return shared["tokenizer"]
 
 
 def piece_bytes(vocabulary: str) -> list[bytes | None]:
@@ -92,20 +98,20 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text",
     rows = _split(docs.select(kept.alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")),
                   vocabulary)
     rows = stage(rows, "bpe-chunks")
-    entries = rows.where("row is null").select("chunk", "code", "word")
-    encoded = _encode_words(entries.select("word").distinct(), vocabulary)
-    # Byte strings compare exactly; the session's collation plays no part.
-    entries = entries.join(encoded, "word").select(
-        F.col("chunk").alias("of_chunk"), "code", "word_ids")
-    texts = rows.where("row is not null").select("chunk", "row", "codes")
+    shards = rows.where("shard >= 0").select("chunk", "shard", "packed")
+    encoded = _encode_words(shards, vocabulary)
+    entries = encoded.unionByName(rows.where("shard = -1").select("chunk", "shard", "packed"))
+    texts = rows.where("row is not null").select("chunk", "row", "packed")
     out = T.StructType([T.StructField("row", rows.schema["row"].dataType),
                         T.StructField("ids", T.BinaryType())])
-    joined = texts.groupBy("chunk").cogroup(entries.groupBy("of_chunk")).applyInArrow(_assemble, out)
+    joined = texts.groupBy("chunk").cogroup(
+        entries.withColumnRenamed("chunk", "of_chunk").groupBy("of_chunk")).applyInArrow(_assemble, out)
     return joined.select(*[F.col("row")[c].alias(c) for c in keep], "ids")
 
 
 def _split(rows: DataFrame, vocabulary: str) -> DataFrame:
-    """Rows of two kinds: a text as codes (``row`` not null), an entry of a chunk's dictionary.
+    """Rows of three kinds: a text as codes (``row`` not null), a chunk's dictionary words of one shard
+    (``shard`` from 0), and the shard of each code of a chunk (``shard`` -1).
 
     Java knows an older Unicode version than the library: a text with a character that Java has as
     unassigned, or with an added token, is split by the library itself.
@@ -116,8 +122,9 @@ def _split(rows: DataFrame, vocabulary: str) -> DataFrame:
         "row",
         F.when(plain, F.regexp_extract_all("text", F.lit(f"(?U)({WORD_PATTERN})"), 1)).alias("words"),
         F.when(~plain, F.col("text")).alias("text"))
-    source = rows.sparkSession.sparkContext.broadcast(vocabulary)  # a fixed file of about 2 MB
+    source = rows.sparkSession.sparkContext.broadcast({"json": vocabulary})  # a fixed file of 2 MB
     row_type = rows.schema["row"].dataType
+    n_shards = SHARDS_PER_PARTITION * width(rows)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -135,13 +142,12 @@ def _split(rows: DataFrame, vocabulary: str) -> DataFrame:
                              pa.list_(pa.string())))]
             for part_row, part_words in parts:
                 for one_row, one_words in _cut(part_row, part_words):
-                    yield from _chunk(number, one_row, one_words)
+                    yield from _chunk(number, one_row, one_words, n_shards)
                     number += 1
 
     return rows.mapInArrow(chunks, T.StructType([
         T.StructField("chunk", T.LongType()), T.StructField("row", row_type),
-        T.StructField("codes", T.BinaryType()), T.StructField("code", T.IntegerType()),
-        T.StructField("word", T.StringType())]))
+        T.StructField("shard", T.IntegerType()), T.StructField("packed", T.BinaryType())]))
 
 
 def _library_words(text: str, tokenizer) -> list[str]:
@@ -170,70 +176,108 @@ def _cut(row: pa.Array, words: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
         first = last
 
 
-def _chunk(number: int, row: pa.Array, words: pa.Array) -> Iterator[pa.RecordBatch]:
+def _pack(values: np.ndarray, data: bytes = b"") -> bytes:
+    """Numbers, byte by byte so that they compress, then bytes."""
     import zstandard
 
-    names = ["chunk", "row", "codes", "code", "word"]
+    size = values.itemsize
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, size).T.tobytes()
+    head = np.array([size, len(values)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + planes + data)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, bytes]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    size, count = np.frombuffer(raw, "<i8", 2).tolist()
+    planes = np.frombuffer(raw, np.uint8, size * count, 16).reshape(size, -1).T
+    return np.ascontiguousarray(planes).view(f"<u{size}").ravel(), raw[16 + size * count:]
+
+
+def _chunk(number: int, row: pa.Array, words: pa.Array, n_shards: int) -> Iterator[pa.RecordBatch]:
+    from xxhash import xxh32_intdigest
+
     flat = words.flatten().dictionary_encode()
     index = flat.indices.to_numpy()
     # Frequent words get small codes, which compress well.
-    counts = np.bincount(index, minlength=len(flat.dictionary))
-    order = np.argsort(-counts, kind="stable")
+    order = np.argsort(-np.bincount(index, minlength=len(flat.dictionary)), kind="stable")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     codes = rank[index].astype(np.uint16 if len(order) <= 1 << 16 else np.uint32)
-    planes = codes.itemsize
     ends = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
-    pack = zstandard.ZstdCompressor(level=1)
-    texts = [bytes([planes]) + pack.compress(
-        np.ascontiguousarray(codes[a:b]).view(np.uint8).reshape(-1, planes).T.tobytes())
-        for a, b in zip(ends[:-1], ends[1:])]
-    yield pa.RecordBatch.from_arrays([
-        pa.array(np.full(len(row), number)), row, pa.array(texts, pa.binary()),
-        pa.nulls(len(row), pa.int32()), pa.nulls(len(row), pa.string())], names)
-    if len(order):
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(len(order), number)), pa.nulls(len(order), row.type),
-            pa.nulls(len(order), pa.binary()), pa.array(np.arange(len(order), dtype=np.int32)),
-            flat.dictionary.take(pa.array(order)).cast(pa.string())], names)
-
-
-def _encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """``word`` and ``word_ids`` for each distinct word, every word encoded once."""
-    source = words.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(source.value)
-        for batch in batches:
-            found = tokenizer.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
-            ids = [np.array(e.ids, "<u4").tobytes() for e in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())],
-                                             ["word", "word_ids"])
-
-    return words.mapInArrow(run, "word string, word_ids binary")
+    yield _rows(number, row, None, [_pack(codes[a:b]) for a, b in zip(ends[:-1], ends[1:])])
+    if not len(order):
+        return
+    names = flat.dictionary.take(pa.array(order)).cast(pa.binary()).to_pylist()
+    shard = np.array([xxh32_intdigest(w) for w in names], np.int64) % n_shards
+    by_shard = np.argsort(shard, kind="stable")
+    numbers, starts = np.unique(shard[by_shard], return_index=True)
+    packed = []
+    for part in np.split(by_shard, starts[1:]):
+        some = [names[i] for i in part]
+        packed.append(_pack(np.array([len(w) for w in some], np.uint32), b"".join(some)))
+    yield _rows(number, pa.nulls(len(numbers) + 1, row.type), [-1, *numbers.tolist()],
+                [_pack(shard.astype(np.uint32)), *packed])
+
+
+def _rows(number: int, row: pa.Array, shard: list[int] | None, packed: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(row), number)), row,
+         pa.nulls(len(row), pa.int32()) if shard is None else pa.array(shard, pa.int32()),
+         pa.array(packed, pa.binary())], ["chunk", "row", "shard", "packed"])
+
+
+def _encode_words(shards: DataFrame, vocabulary: str) -> DataFrame:
+    """The ids of each chunk's words of a shard, every distinct word of the shard encoded once."""
+    source = shards.sparkSession.sparkContext.broadcast({"json": vocabulary})
+
+    def run(rows: pa.Table) -> pa.Table:
+        of_chunk, numbers = [], {}
+        for packed in rows.column("packed"):
+            lengths, data = _unpack(packed.as_py())
+            ends = np.cumsum(lengths).tolist()
+            of_chunk.append([numbers.setdefault(data[a:b], len(numbers))
+                             for a, b in zip([0, *ends[:-1]], ends)])
+        found = load(source.value).encode_batch([w.decode() for w in numbers], add_special_tokens=False)
+        ids = [np.array(e.ids, "<u4").tobytes() for e in found]
+        sizes = np.array([len(i) // 4 for i in ids], np.uint32)
+        packed = []
+        for words in of_chunk:
+            flat = np.frombuffer(b"".join([ids[w] for w in words]), "<u4")
+            packed.append(_pack(np.concatenate([sizes[words], flat])))
+        return pa.table({"chunk": rows.column("chunk"), "shard": rows.column("shard"),
+                         "packed": pa.array(packed, pa.binary())})
+
+    return shards.groupBy("shard").applyInArrow(run, "chunk long, shard int, packed binary")
 
 
 def _assemble(texts: pa.Table, entries: pa.Table) -> pa.Table:
     """The ids of a chunk's rows: the dictionary's ids taken by position."""
-    import zstandard
-
-    order = np.argsort(entries.column("code").to_numpy())
-    parts = entries.column("word_ids").combine_chunks().take(pa.array(order)).to_pylist()
-    flat = np.frombuffer(b"".join(parts), "<u4")
-    sizes = np.array([len(p) // 4 for p in parts], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    unpack = zstandard.ZstdDecompressor()
+    parts = dict(zip(entries.column("shard").to_pylist(), entries.column("packed")))
+    sizes, flat = np.zeros(0, np.int64), [np.zeros(0, "<u4")]
+    if parts:
+        shard = _unpack(parts.pop(-1).as_py())[0]
+        by_shard = np.argsort(shard, kind="stable")
+        counts = np.bincount(shard)
+        lengths = []
+        for number in sorted(parts):
+            numbers = _unpack(parts[number].as_py())[0]
+            lengths.append(numbers[:counts[number]])
+            flat.append(numbers[counts[number]:])
+        lengths = np.concatenate(lengths).astype(np.int64)
+        sizes, starts = np.empty(len(shard), np.int64), np.empty(len(shard), np.int64)
+        sizes[by_shard], starts[by_shard] = lengths, np.cumsum(lengths) - lengths
+    flat = np.concatenate(flat)
     ids = []
-    for packed in texts.column("codes"):
-        raw = packed.as_py()
-        planes = raw[0]
-        data = np.frombuffer(unpack.decompress(raw[1:]), np.uint8).reshape(planes, -1).T
-        codes = np.ascontiguousarray(data).view(np.uint16 if planes == 2 else np.uint32).ravel()
+    for packed in texts.column("packed"):
+        codes = _unpack(packed.as_py())[0]
+        if not len(codes):
+            ids.append(b"")
+            continue
         lengths = sizes[codes]
         ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(starts[codes] - (ends - lengths), lengths)
-        ids.append(flat[at].tobytes())
+        ids.append(flat[np.arange(ends[-1]) + np.repeat(starts[codes] - (ends - lengths), lengths)].tobytes())
     return pa.table({"row": texts.column("row"), "ids": pa.array(ids, pa.binary())})
 
 
