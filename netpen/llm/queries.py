@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netpen.llm import bpe, simhash
+from netpen.llm import bpe, quality, simhash
 from netpen.llm.common import table
 from netpen.session import configure
 
@@ -26,6 +26,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the outlier verdict of every document."""
+    configure(spark)
+    stats = quality.statistics(
+        table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text")
+    return quality.judge(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                       "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the component of near duplicates it belongs to."""
     configure(spark)
@@ -36,6 +45,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op6_quality": op6_quality,
     "op8_simhash": op8_simhash,
 }
 ORACLES: dict[str, str] = {}
