@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netpen.llm import bpe, quality, simhash
+from netpen.llm import bpe, mixing, quality, simhash
 from netpen.llm.common import table
 from netpen.session import configure
 
@@ -43,9 +43,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    configure(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, keep=["doc_id"])
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op6_quality": op6_quality,
     "op8_simhash": op8_simhash,
+    "op9_mixing": op9_mixing,
 }
 ORACLES: dict[str, str] = {}
