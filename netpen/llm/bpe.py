@@ -292,7 +292,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "de
     if out in keep:
         raise ValueError(f"a column is already named {out}")
     pieces = encoded.sparkSession.sparkContext.broadcast(piece_bytes(vocabulary))
-    rows = encoded.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_")).alias("row"),
+    rows = encoded.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast("int").alias("_")).alias("row"),
                           F.col(f"`{ids}`").alias("ids"))
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
 

@@ -95,7 +95,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     words = words_of(F.col(f"`{text}`"))
     clean = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_")).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast("int").alias("_")).alias("row"),
         F.col(f"`{source}`").alias("source"), clean.alias("text"), words.alias("words"),
         F.xxhash64(F.lit(seed), F.col(f"`{id_column}`"), clean).alias("hash"))
     rows = rows.select("row", "source", F.size("words").cast("long").alias("size"), "hash",

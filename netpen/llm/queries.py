@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netpen.llm import bpe, mixing, quality, secrets, simhash
+from netpen.llm import bpe, mixing, quality, secrets, simhash, substring
 from netpen.llm.common import table
 from netpen.session import configure
 
@@ -66,11 +66,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, keep=["doc_id"])
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated runs of 35 words."""
+    configure(spark)
+    left = substring.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_secrets": op4_secrets,
     "op6_quality": op6_quality,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
+    "op10_substring": op10_substring,
 }
 ORACLES: dict[str, str] = {}
