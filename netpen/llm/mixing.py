@@ -131,3 +131,20 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     return others.unionByName(edges).select(
         *[F.col("row")[c].alias(c) for c in keep], "size", "source_size", "target",
         (F.col("epochs") * F.col("size") + F.col("again")).alias("taken"))
+
+
+def spread(mixed: DataFrame, text: str = "text") -> DataFrame:
+    """The mix itself: each row of ``mix`` once per whole epoch, then the first words of a part.
+
+    The four columns that ``mix`` adds are gone; a part is its words joined by one space.
+    """
+    words = F.slice(words_of(F.col(f"`{text}`")), 1, F.greatest(F.col("part"), F.lit(1)))
+    rows = mixed.where("taken > 0").withColumns({
+        "part": (F.col("taken") % F.col("size")).cast("int"),
+        "whole": F.floor(F.col("taken") / F.col("size")).cast("int")})
+    copies = F.concat(F.array_repeat(F.lit(False), F.col("whole")),
+                      F.when(F.col("part") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    rows = rows.withColumn("is_part", F.explode(copies))
+    kept = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken")]
+    new = F.when(F.col("is_part"), F.array_join(words, " ")).otherwise(F.col(f"`{text}`"))
+    return rows.select(*[new.alias(text) if c == text else F.col(f"`{c}`") for c in kept])

@@ -148,3 +148,28 @@ def _long_enough(i: int, rule: Rule) -> Column:
         F.col(f"p{i}")[2 * m + 1].alias("start"), F.lit(i).alias("place"),
         (F.col(f"p{i}")[2 * m + 1] + F.col(f"l{i}")[2 * m + 1]).alias("end"),
         F.lit(rule.kind).alias("kind")))
+
+
+def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
+    """The input with every span of ``scan`` replaced by ``mark``; spans that touch or overlap share one.
+
+    Texts without spans, null ones included, stay as they are.
+    """
+    found = scan(docs, text)
+    # Spans come sorted by start; the last of the merged ones grows while the next begins within it.
+    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    one = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
+    merged = F.aggregate("spans", empty, lambda acc, s: F.when(
+        (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"]),
+        F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(
+            F.try_element_at(acc, F.lit(-1))["start"].alias("start"),
+            F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end"))))).otherwise(
+        F.concat(acc, F.array(one(s)))))
+    found = found.withColumn("spans", F.when(F.size("spans") > 0, merged))
+    clean = F.col(f"`{text}`")
+    pieces = F.transform(F.sequence(F.lit(0), F.size("spans")), lambda i: F.substring(
+        clean, F.coalesce(F.get(F.col("spans"), i - 1)["end"], F.lit(0)).cast("int") + 1,
+        (F.coalesce(F.get(F.col("spans"), i)["start"], F.length(clean).cast("long"))
+         - F.coalesce(F.get(F.col("spans"), i - 1)["end"], F.lit(0))).cast("int")))
+    new = F.when(F.col("spans").isNotNull(), F.array_join(pieces, mark)).otherwise(clean)
+    return found.select(*[new.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])

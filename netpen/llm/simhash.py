@@ -188,6 +188,16 @@ def _groups(prints: np.ndarray, points: np.ndarray, distance: int) -> Iterator[n
             yield np.sort(np.array([p for p, _ in group], np.uint64).view(np.int64)).view(np.uint64)
 
 
+def _classes(rows: DataFrame, id_column: str, distance: int) -> DataFrame:
+    """``simhash``, ``root`` and ``component_id`` for each distinct fingerprint of ``rows``."""
+    own = stage(rows.groupBy("simhash").agg(F.min(id_column).alias("first")), "print-ids")
+    roots = link_groups(own, "simhash", distance)
+    members = stage(own.join(roots, own["simhash"] == roots["node"], "left").select(
+        "simhash", "first", F.coalesce("root", "simhash").alias("root")), "print-roots")
+    least = stage(members.groupBy("root").agg(F.min("first").alias("component_id")), "root-ids")
+    return stage(members.join(least, "root").select("simhash", "root", "component_id"), "print-classes")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                     distance: int = 4) -> DataFrame:
     """The input's other columns with ``simhash`` and ``component_id`` for every row.
@@ -196,12 +206,25 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     ``distance`` differing bits, the row's own included. Null ids are passed over; a group without any
     id has a null component. Rows with equal ids or texts all stay. An empty table gives an empty one.
     """
+    if "component_id" in docs.columns:
+        raise ValueError("a column is already named component_id")
     rows = stage(fingerprints(docs, text).drop(text), "simhash")
-    own = stage(rows.groupBy("simhash").agg(F.min(id_column).alias("first")), "print-ids")
-    roots = link_groups(own, "simhash", distance)
-    members = own.join(roots, own["simhash"] == roots["node"], "left").select(
-        "simhash", "first", F.coalesce("root", "simhash").alias("root"))
-    members = stage(members, "print-roots")
-    least = stage(members.groupBy("root").agg(F.min("first").alias("component_id")), "root-ids")
-    classes = stage(members.join(least, "root").select("simhash", "component_id"), "print-classes")
-    return rows.join(classes, "simhash")
+    return rows.join(_classes(rows, id_column, distance).drop("root"), "simhash")
+
+
+def one_per_group(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
+                  distance: int = 4) -> DataFrame:
+    """The input's rows, one per group of near duplicates: that with the smallest id, null ids last.
+
+    Of rows with equal ids in one group, one stays. An empty table gives an empty one.
+    """
+    # The inputs sit in a struct: their names clash with nothing here.
+    rows = fingerprints(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                                    F.col(f"`{text}`").alias("text")), "text")
+    rows = stage(rows.select("row", F.col("row")[id_column].alias("id"), "simhash",
+                             F.monotonically_increasing_id().alias("place")), "simhash-rows")
+    light = rows.select("id", "simhash", "place")
+    placed = light.join(_classes(light, "id", distance), "simhash")
+    first = stage(placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "place"))["place"]
+                                             .alias("place")), "simhash-kept")
+    return rows.join(first.hint("shuffle_hash"), "place", "left_semi").select("row.*")
