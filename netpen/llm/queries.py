@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netpen.llm import bpe, mixing, quality, secrets, simhash, substring
+from netpen.llm import bpe, mixing, quality, secrets, simhash, substring, topk
 from netpen.llm.common import table
 from netpen.session import configure
 
@@ -42,6 +42,29 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         joined(F.col("spans")).alias("spans"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best vectors of each vector whose id is divisible by 20."""
+    configure(spark)
+    vectors = topk.quantise(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors.where(F.col("id") % 20 == 0), vectors, 20)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum([z[1] * z[2] FOR z IN list_zip(q.e, c.e)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and the outlier verdict of every document."""
     configure(spark)
@@ -76,9 +99,10 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_secrets": op4_secrets,
+    "op5_topk": op5_topk,
     "op6_quality": op6_quality,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_substring": op10_substring,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_topk": OP5_SQL}
