@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netpen.llm import bpe, mixing, quality, secrets, simhash, substring, topk
+from netpen.llm import bpe, mixing, quality, secrets, simhash, substring, topk, urls, warc
 from netpen.llm.common import table
-from netpen.session import configure
+from netpen.session import configure, stage, staging_root
 
 
 def vocabulary_path() -> str:
@@ -26,6 +28,28 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    configure(spark)
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through WARC archives: what reading them back gives."""
+    configure(spark)
+    path = f"{staging_root(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    read = stage(warc.read_archives(spark, path).select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest",
+        "record_type", "refers_to"), "warc-records")
+    # A revisit's payload is that of the response it refers to.
+    sizes = stage(read.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("digest")).agg(
+        F.max("payload_bytes").alias("full_bytes")), "warc-payloads")
+    revisits = read.where("record_type = 'revisit'").join(
+        sizes, F.col("payload_digest") == F.col("digest")).withColumn("payload_bytes", F.col("full_bytes"))
+    return read.where("record_type = 'response'").unionByName(revisits.select(*read.columns))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts and digest of the base kinds, all spans."""
     configure(spark)
@@ -98,6 +122,8 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_urls": op2_urls,
+    "op3_warc": op3_warc,
     "op4_secrets": op4_secrets,
     "op5_topk": op5_topk,
     "op6_quality": op6_quality,

@@ -67,7 +67,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
         F.transform(F.sort_array(F.collect_list(F.struct("at", "floor"))), lambda x: x["floor"]).alias("floors"),
         F.min(F.when(F.col("floor") > 0, F.col("floor") / F.col("norm")).otherwise(F.lit(0.0))).alias("least")),
         "query-floors")
-    pairs = known.join(lengths.where("block > 0"), F.col("least") <= F.col("longest") * (1 + 1e-9))
+    last = lengths.agg(F.max("block")).first()[0] or 0
+    others = F.sequence(F.lit(1), F.lit(last)) if last else F.array().cast("array<int>")
+    pairs = known.withColumn("block", F.explode(others)).join(lengths, "block").where(
+        F.col("least") <= F.col("longest") * (1 + 1e-9))
     found = start.unionByName(_search(blocks, buckets, pairs.select("q", "block", "floors"), k))
     best = Window.partitionBy("q", "at").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
