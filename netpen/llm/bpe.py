@@ -26,7 +26,7 @@ from netpen.session import stage
 
 # The split pattern of the vocabulary's byte-level pre-tokenizer.
 WORD_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_500_000
 SHARDS_PER_PARTITION = 4
 
 
@@ -128,28 +128,42 @@ def _split(rows: DataFrame, vocabulary: str) -> DataFrame:
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        tokenizer = None
-        for batch in batches:
-            row, words, text = (batch.column(i) for i in range(3))
-            odd = np.asarray(text.is_valid())
-            if not odd.any():
-                parts = [(row, words)]
-            else:
-                tokenizer = tokenizer or load(source.value)
-                parts = [(row.filter(pa.array(~odd)), words.filter(pa.array(~odd))),
-                         (row.filter(pa.array(odd)), pa.array(
-                             [_library_words(t.as_py(), tokenizer) for t in text.filter(pa.array(odd))],
-                             pa.list_(pa.string())))]
-            for part_row, part_words in parts:
-                for one_row, one_words in _cut(part_row, part_words):
-                    yield from _chunk(number, one_row, one_words, n_shards)
-                    number += 1
+        for part_row, part_words in _gather(_words(batches, source.value)):
+            for one_row, one_words in _cut(part_row, part_words):
+                yield from _chunk(number, one_row, one_words, n_shards)
+                number += 1
 
     return rows.mapInArrow(chunks, T.StructType([
         T.StructField("chunk", T.LongType()), T.StructField("row", row_type),
         T.StructField("shard", T.IntegerType()), T.StructField("packed", T.BinaryType())]))
 
 
+def _words(batches: Iterator[pa.RecordBatch], shared: dict) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Rows and their words; texts that came whole are split by the library."""
+    for batch in batches:
+        row, words, text = (batch.column(i) for i in range(3))
+        odd = np.asarray(text.is_valid())
+        if not odd.any():
+            yield row, words
+            continue
+        yield row.filter(pa.array(~odd)), words.filter(pa.array(~odd))
+        split = [_library_words(t.as_py(), load(shared)) for t in text.filter(pa.array(odd))]
+        yield row.filter(pa.array(odd)), pa.array(split, pa.list_(pa.string()))
+
+
+def _gather(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Parts put together until they have a chunk's words."""
+    held, size = [], 0
+    for row, words in parts:
+        held.append((row, words.cast(pa.list_(pa.string()))))
+        size += words.offsets[-1].as_py() - words.offsets[0].as_py()
+        if size >= CHUNK_WORDS:
+            yield tuple(pa.concat_arrays(c) for c in zip(*held))
+            held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays(c) for c in zip(*held))
+
+
 def _library_words(text: str, tokenizer) -> list[str]:
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     words: list[str] = []

@@ -4,11 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from netpen import session
+
 # White space between words: space and the five ASCII controls from tab to carriage return.
 SPACE_CLASS = "\\x20\\x09-\\x0D"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+# Rows come in bounded batches to Python, whatever the length of their texts.
+ARROW_SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """The library's session settings and those of this package."""
+    for name, value in ARROW_SETTINGS.items():
+        spark.conf.set(name, value)
+    return session.configure(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netpen.llm import bpe, mixing, quality, secrets, simhash, substring, topk, urls, warc
-from netpen.llm.common import table
-from netpen.session import configure, stage, staging_root
+from netpen.llm import bpe, extract, mixing, quality, secrets, simhash, substring, topk, urls, warc
+from netpen.llm.common import configure, table
+from netpen.session import stage, staging_root
 
 
 def vocabulary_path() -> str:
@@ -98,6 +98,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    configure(spark)
+    pages = table(spark, sf_dir, "pages")
+    found = extract.extract(pages, extract.train(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the component of near duplicates it belongs to."""
     configure(spark)
@@ -127,6 +135,7 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_topk": op5_topk,
     "op6_quality": op6_quality,
+    "op7_html": op7_html,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_substring": op10_substring,

@@ -94,8 +94,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     number = TaskContext.get().partitionId() << 32
     pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        row, text = batch.column(0), batch.column(1)
+    for row, text in _gather(batches):
         sizes = np.array([len(t.as_buffer()) for t in text], np.int64)
         first = 0
         while first < len(row):
@@ -113,6 +112,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = last
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Rows and texts of batches put together until they have a chunk's bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch.columns)
+        size += batch.column(1).nbytes
+        if size >= CHUNK_BYTES:
+            yield tuple(pa.concat_arrays(c) for c in zip(*held))
+            held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays(c) for c in zip(*held))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
