@@ -8,7 +8,7 @@ from netpen.session import stage
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node`` and ``root`` (the smallest node reachable) for every node with a link to another.
+    """``node`` and ``root``, the smallest node reachable, for every node that reaches a smaller one.
 
     Nodes are longs. Links may repeat, point either way or to themselves; links with a null end are
     ignored; an empty table gives an empty one. Each round links every node's larger neighbours to

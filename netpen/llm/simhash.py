@@ -102,9 +102,10 @@ def grids(distance: int, parts: int) -> list[int]:
 
 def link_groups(prints: DataFrame, column: str = "simhash", distance: int = 4, parts: int = PARTS,
                 block: int = BLOCK) -> DataFrame:
-    """``node`` and ``root`` for each fingerprint that links to another, directly or over others.
+    """``node`` and ``root`` for each fingerprint that links to a smaller one, directly or over others.
 
-    ``root`` is the smallest fingerprint of the group as a signed long. Nulls take no part.
+    ``root`` is the smallest fingerprint of the group as a signed long; it has no row of its own. Nulls
+    take no part.
     """
     if distance >= parts:
         raise ValueError("more parts than differing bits are needed")
