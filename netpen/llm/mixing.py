@@ -6,8 +6,8 @@ quality weight, so a text comes first among the others with a chance in proporti
 The variate is a hash of the row and the seed: reruns agree.
 
 Nothing orders a whole source. Keys are mapped to ``BUCKETS`` buckets that grow with them; words are
-summed per source and bucket, and running sums over the buckets show the one bucket of a source in
-which its words run out. Only that bucket's texts are sorted.
+summed per source and bucket, and running sums over ranges of buckets, then over one range's buckets,
+show the one bucket of a source in which its words run out. Only that bucket's texts are sorted.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from netpen.llm.common import words_of
 from netpen.session import stage
 
 BUCKETS = 1 << 16
+STEP = 1 << 8      # buckets in a range
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5   # of all words, for the mix
 MOST = 2.0    # times its source's words a target may be
@@ -107,19 +108,20 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
                        F.floor((1 - F.exp(-key)) * (BUCKETS - 1)).cast("int").alias("bucket"))
     rows = stage(rows, "mix-keys")
     cells = stage(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
-    goals = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    ranges = stage(cells.groupBy("source", F.floor(F.col("bucket") / STEP).cast("int").alias("range")).agg(
+        F.sum("words").alias("words")), "mix-ranges")
+    goals = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goals = stage(goals.withColumn("epochs", epochs.cast("long")).withColumn(
-        "rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")), "mix-targets")
-    # Running sums over at most BUCKETS rows per source.
-    in_order = Window.partitionBy("source").orderBy("bucket")
-    ends = cells.withColumn("end", F.sum("words").over(in_order)).alias("c").join(
-        goals.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source")))
-    edge = ends.where(F.col("end") > F.col("rest")).groupBy(F.col("c.source").alias("edge_source")).agg(
-        F.min(F.struct("bucket", (F.col("rest") - (F.col("end") - F.col("words"))).alias("left"))).alias("edge"))
-    plan = stage(goals.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left").select(
-        F.col("source").alias("goal_source"), "source_size", "target", "epochs",
-        F.col("edge.bucket").alias("edge_bucket"), F.col("edge.left").alias("left")), "mix-plan")
+        "left", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")), "mix-targets")
+    # First the range of buckets in which a source's words run out, then the bucket in that range.
+    edge_range = stage(_edge(ranges, goals.select("source", "left"), "range"), "mix-edge-ranges")
+    within = cells.alias("c").join(edge_range.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source")) & (
+        F.floor(F.col("bucket") / STEP) == F.col("range"))).select("c.source", "bucket", "words")
+    edge = _edge(within, edge_range.select("source", "left"), "bucket")
+    plan = stage(goals.alias("g").join(edge.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source")), "left").select(
+        F.col("g.source").alias("goal_source"), "source_size", "target", "epochs",
+        F.col("bucket").alias("edge_bucket"), F.col("e.left").alias("left")), "mix-plan")
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
     at_edge = F.coalesce(F.col("bucket") == F.col("edge_bucket"), F.lit(False))
     whole = F.col("edge_bucket").isNull() | (F.col("bucket") < F.col("edge_bucket"))
@@ -133,6 +135,19 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
         (F.col("epochs") * F.col("size") + F.col("again")).alias("taken"))
 
 
+def _edge(cells: DataFrame, budgets: DataFrame, at: str) -> DataFrame:
+    """Per source the first cell whose words the budget ``left`` does not cover, and what it has for it.
+
+    Running sums over at most ``BUCKETS / STEP`` or ``STEP`` cells of a source.
+    """
+    in_order = Window.partitionBy("source").orderBy(at)
+    ends = cells.withColumn("end", F.sum("words").over(in_order)).alias("c").join(
+        budgets.alias("b"), F.col("c.source").eqNullSafe(F.col("b.source")))
+    found = ends.where(F.col("end") > F.col("left")).groupBy(F.col("c.source").alias("source")).agg(
+        F.min(F.struct(at, (F.col("left") - (F.col("end") - F.col("words"))).alias("left"))).alias("edge"))
+    return found.select("source", "edge.*")
+
+
 def spread(mixed: DataFrame, text: str = "text") -> DataFrame:
     """The mix itself: each row of ``mix`` once per whole epoch, then the first words of a part.
 
