@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,7 +15,8 @@ from netpen.operators.latest import recency
 from netpen.operators.listing import first_failures
 from netpen.plans.validate import MAX_RAW_LINE, MAX_RAW_VALUE, error, validate_rows
 from netpen.session import stage
-from netpen.sources.obs_files import data_lines, dedup_files, scan_files, split_lines
+from netpen.sources.obs_files import (
+    data_lines, dedup_files, judge_files, read_obs_files, scan_files, verify_checksum)
 
 # Fixed values.
 SHARD_SIZE = 1000
@@ -260,7 +262,8 @@ def linked_records(changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
         F.when(~F.coalesce(has_record, F.lit(False)), F.col("cage_no")).alias("cage_no"),
         F.when(~F.coalesce(has_record, F.lit(False)), F.lit(FEED_TYPE)).alias("feed_type"),
         F.col("feed_amount_kg").alias("amount_kg"), F.col("observed_at").alias("feeding_time"),
-        F.lit(0).alias("posted"))
+        # Posting is another job's business: an existing record keeps its own state.
+        F.when(~F.coalesce(has_record, F.lit(False)), F.lit(0)).alias("posted"))
     is_new_report = ~F.coalesce(has_report, F.lit(False))
     stocked = F.when(has_report, init["report_fingerlings"]).otherwise(F.col("active_fingerlings"))
     reports = changes.where(F.col("survival_rate").isNotNull()).select(
@@ -325,16 +328,28 @@ def import_lines(lines: DataFrame, tables: dict[str, DataFrame], now: dt.datetim
     return outputs(*decide(lines, tables, now, hot_rows, keep_outcomes), shard_size)
 
 
-def import_observations(spark: SparkSession, path: str, tables: dict[str, DataFrame],
+def import_observations(spark: SparkSession, path: str | Sequence[str], tables: dict[str, DataFrame],
                         now: dt.datetime | str, shard_size: int = SHARD_SIZE,
                         imported: DataFrame | None = None, files: DataFrame | None = None,
-                        hot_rows: int | None = None) -> Import:
-    """Import of all files under ``path`` that ``imported`` (earlier file summaries) does not hold."""
+                        hot_rows: int | None = None, expected: DataFrame | None = None) -> Import:
+    """Import of all files under ``path`` that ``imported`` (earlier file summaries) does not hold.
+
+    ``files`` may name them, as from ``scan_files``. Files that ``expected`` (file_path,
+    expected_checksum) gives another checksum are refused as a whole and stay open for a later import.
+    """
     found = scan_files(spark, path) if files is None else files
-    split = stage(split_lines(dedup_files(found, imported)), "import-files")
-    lines, cores = data_lines(split), spark.sparkContext.defaultParallelism
-    if split.count() < cores:
-        # A few files of bounded size would leave most of the cluster idle while they are parsed.
-        lines = lines.repartition(cores)
+    refused = None
+    if expected is not None:
+        found, refused = verify_checksum(found, expected)
+    kept = stage(dedup_files(found, imported), "import-new-files")
+    numbered = stage(read_obs_files(spark, path, kept, hot_rows), "import-lines")
+    judged = stage(judge_files(kept, numbered), "import-files")
+    lines = data_lines(judged, numbered, hot_rows)
     invalid, decided = decide(lines, tables, now, hot_rows, keep_outcomes=True)
-    return outputs(invalid, decided, shard_size, split)
+    result = outputs(invalid, decided, shard_size, judged)
+    if refused is None:
+        return result
+    counts = ["total_rows", "success_count", "updated_count", "skipped_count", "failed_count"]
+    return result._replace(files=result.files.unionByName(refused.select(
+        "checksum", "file_path", F.lit("FAILED").alias("status"),
+        *[F.lit(0).cast("bigint").alias(c) for c in counts], F.lit("checksum_mismatch").alias("error_message"))))

@@ -2,107 +2,96 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netpen.functions.text import OBS_HEADER, csv_fields, is_blank
+from netpen.functions.text import OBS_HEADER, csv_fields, is_blank, jtrim
 from netpen.operators.hot import OrderedScan, line_chunk
 from netpen.session import stage
 
-# Fixed values.
-MAX_FILE_BYTES = 50 * 1024 * 1024
-MAX_RUN_FILES = 200_000
-_LINE_BREAK = "\r\n|\r|\n"
+# Fixed value: SHA-256 of no bytes.
+EMPTY_CHECKSUM = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
-def scan_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """One row per file with its bytes; larger files keep a row but their bytes are not used.
+def scan_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """One row per file: file_path, file_time, length and the SHA-256 of its bytes.
 
-    A file is one unit of reading; the size limit is what bounds a task's memory. Any number of
-    files is read in parallel. An empty file is no import at all: the source lists no such file.
+    Bytes are read for the checksum alone and go no further; a file beyond what Spark's binary source
+    can hold (2 GB) raises. The source passes over files without bytes; they come from its listing.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return with_checksum(files, max_bytes)
-
-
-def with_checksum(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Columns of a ``binaryFile`` scan or stream, renamed and with the SHA-256 of the bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
+        path if isinstance(path, str) else list(path))
+    # The listing is the driver's own; only its names are used.
+    listed = spark.createDataFrame([(name,) for name in files.inputFiles()], "file_path string")
+    found = stage(with_checksum(files), "file-checksums")
+    empty = listed.join(found.select("file_path"), "file_path", "left_anti").select(
+        "file_path", F.lit(None).cast("timestamp_ntz").alias("file_time"),
+        F.lit(0).cast("bigint").alias("length"), F.lit(EMPTY_CHECKSUM).alias("checksum"))
+    return found.unionByName(empty)
+
+
+def with_checksum(files: DataFrame, *more: str) -> DataFrame:
+    """File rows of a ``binaryFile`` scan or stream, and ``more`` of its columns."""
     return files.select(
-        F.col("path").alias("file_path"),
+        *more,
+        F.input_file_name().alias("file_path"),
         F.col("modificationTime").cast("timestamp_ntz").alias("file_time"),
-        F.col("length"), (F.col("length") > max_bytes).alias("too_large"),
-        F.sha2(F.col("content"), 256).alias("checksum"),
-        F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
+        "length", F.sha2("content", 256).alias("checksum"))
 
 
 def verify_checksum(files: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split by (file_path, expected_checksum); a blank expectation accepts the file."""
     joined = files.join(expected.select("file_path", "expected_checksum"), "file_path", "left")
     wanted = F.col("expected_checksum")
-    good = is_blank(wanted) | (F.lower(F.trim(wanted)) == F.col("checksum"))
+    good = is_blank(wanted) | (F.lower(jtrim(wanted)) == F.col("checksum"))
     return (joined.where(good).drop("expected_checksum"),
             joined.where(~good).select("file_path", "checksum", "expected_checksum"))
 
 
 def dedup_files(files: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Files not imported before, and of equal files the earliest one.
-
-    The bytes are read once for the checksums, which are kept as a small table, and once more for
-    the files that remain. File contents are never shuffled as long as a run has no more than
-    ``MAX_RUN_FILES`` files; import a larger folder in slices, as the stream does.
-    """
-    sums = stage(files.select("file_path", "file_time", "checksum"), "file-checksums")
+    """Files not imported before, and of equal files the earliest one."""
     order = F.struct("file_time", "file_path")
-    keep = sums.groupBy("checksum").agg(F.min(order).alias("keep")).select(
-        "checksum", F.col("keep.file_path").alias("file_path"))
-    if ledger is not None:
-        keep = keep.join(ledger.select("checksum"), "checksum", "left_anti")
-    if sums.count() <= MAX_RUN_FILES:
-        # Checked just above: a path and a checksum per file, some 40 MB at most.
-        keep = F.broadcast(keep)
-    return files.drop("checksum").join(keep, "file_path")
+    keep = files.groupBy("checksum").agg(F.min(order).alias("keep")).select(
+        "checksum", F.col("keep.file_path").alias("file_path"), F.col("keep.file_time").alias("file_time"))
+    return keep if ledger is None else keep.join(ledger.select("checksum"), "checksum", "left_anti")
 
 
-def split_lines(files: DataFrame) -> DataFrame:
-    """Physical lines of every file as an array, with the header's verdict.
+def read_obs_files(spark: SparkSession, path: str | Sequence[str], files: DataFrame,
+                   hot_rows: int | None = None) -> DataFrame:
+    """Physical lines of ``files``: checksum, file_path, file_time, line_no from 1, raw_line.
 
-    ``file_error`` is null, ``too_large``, ``bad_header`` or ``no_data_rows``.
+    Lines end with CR, LF or both. Files are split between tasks like any text; a line's number is the count of
+    lines before it by (start of its split, place in the split), so no task needs a whole file.
     """
-    text = F.expr("make_valid_utf8(cast(content as string))")
-    header = csv_fields(F.regexp_replace(F.get("lines", F.lit(0)), r"^\x{FEFF}", ""))
+    text = spark.read.option("recursiveFileLookup", "true").text(path if isinstance(path, str) else list(path))
+    lines = text.select(
+        F.input_file_name().alias("file_path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), F.expr("make_valid_utf8(value)").alias("raw_line"))
+    # Written before it is counted: places must not be dealt out a second time.
+    lines = stage(lines.join(files.select("file_path", "file_time", "checksum"), "file_path"), "file-lines")
+    scan = OrderedScan(lines, ["checksum"], ["block", "place"], F.col("block"), hot_rows)
+    return scan.carry(count="before").rows().select(
+        "checksum", "file_path", "file_time", (F.col("before") + 1).alias("line_no"), "raw_line")
+
+
+def judge_files(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """The files with ``file_error``: null, ``bad_header`` or ``no_data_rows``."""
+    header = csv_fields(F.regexp_replace("raw_line", r"^\x{FEFF}", ""))
     expected = F.array(*[F.lit(name) for name in OBS_HEADER])
-    data = F.filter(
-        F.transform("lines", lambda line, i: F.struct(
-            (i + 1).cast("bigint").alias("line_no"), line.alias("raw_line"))),
-        lambda row: (row["line_no"] > 1) & ~is_blank(row["raw_line"]))
-    return (
-        files.withColumn("lines", F.split(text, _LINE_BREAK, -1))
-        .withColumn("data", data)
-        .withColumn(
-            "file_error",
-            F.when(F.col("too_large"), "too_large")
-            .when(F.coalesce(header != expected, F.lit(True)), "bad_header")
-            .when(F.size("data") == 0, "no_data_rows"))
-        .drop("content", "lines")
-    )
-
-
-def data_lines(split: DataFrame) -> DataFrame:
-    """Data lines of sound files: checksum, file_time, line_no, data_idx, raw_line."""
-    return (
-        split.where(F.col("file_error").isNull())
-        .select("checksum", "file_path", "file_time", F.posexplode("data").alias("data_idx", "row"))
-        .select("checksum", "file_path", "file_time", "row.line_no",
-                F.col("data_idx").cast("bigint").alias("data_idx"), "row.raw_line")
-    )
-
-
-def read_obs_files(spark: SparkSession, path: str) -> DataFrame:
-    """Physical lines: (file_path, checksum, line_no, raw_line), the header being line 1."""
-    text = F.expr("make_valid_utf8(cast(content as string))")
-    files = scan_files(spark, path).where(~F.col("too_large"))
-    return files.select(
-        "file_path", "checksum", F.posexplode(F.split(text, _LINE_BREAK, -1)).alias("i", "raw_line")
-    ).select("file_path", "checksum", (F.col("i") + 1).cast("bigint").alias("line_no"), "raw_line")
+    heads = lines.where("line_no = 1").select("checksum", (header == expected).alias("header_ok"))
+    data = lines.where((F.col("line_no") > 1) & ~is_blank(F.col("raw_line"))).groupBy("checksum").agg(
+        F.count(F.lit(1)).alias("data_rows"))
+    return files.join(heads, "checksum", "left").join(data, "checksum", "left").withColumn(
+        "file_error", F.when(~F.coalesce("header_ok", F.lit(False)), "bad_header")
+        .when(F.col("data_rows").isNull(), "no_data_rows")).drop("header_ok", "data_rows")
+
+
+def data_lines(judged: DataFrame, lines: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """Numbered data lines of sound files: checksum, file_path, file_time, line_no, data_idx, raw_line."""
+    sound = judged.where(F.col("file_error").isNull()).select("checksum")
+    return number_data_lines(lines.where("line_no > 1").join(sound, "checksum", "left_semi"), hot_rows).select(
+        "checksum", "file_path", "file_time", "line_no", "data_idx", "raw_line")
 
 
 def drop_blank(lines: DataFrame) -> DataFrame:
@@ -110,7 +99,7 @@ def drop_blank(lines: DataFrame) -> DataFrame:
 
 
 def number_data_lines(lines: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """``data_idx`` for lines that come from a table instead of a file scan."""
+    """``data_idx`` for numbered lines: the data lines before each of them."""
     scan = OrderedScan(drop_blank(lines), ["checksum"], ["line_no"],
                        line_chunk(F.col("line_no")), hot_rows)
     return scan.carry(count="data_idx").rows()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from netpen.operators.latest import first_per_key
@@ -85,9 +85,11 @@ def _rewrite_days(path: str, after: DataFrame, by: str, name: str) -> None:
 
 
 def upsert_table(spark: SparkSession, path: str, name: str, changes: DataFrame,
-                 keys: Sequence[str], time: str) -> None:
+                 keys: Sequence[str], time: str, locked: Column | None = None) -> None:
     """Upsert into a parquet table partitioned by the day of column ``time``.
 
+    Stored rows for which ``locked`` holds keep their values, whatever the changes say of them.
+
     Only the days that change are read and rewritten. Applying the same changes again gives the
     same table, so a run that was cut off may simply be repeated.
     """
@@ -96,6 +98,8 @@ def upsert_table(spark: SparkSession, path: str, name: str, changes: DataFrame,
     current = read_or_empty(spark, path, StructType([*schema.fields, StructField("day", DateType())]))
     # Distinct calendar days, so a few thousand rows at most.
     affected = current.join(F.broadcast(changes.select("day").distinct()), "day", "left_semi").drop("day")
+    if locked is not None:
+        changes = changes.join(affected.where(locked).select(*keys), list(keys), "left_anti")
     after = conform(upsert(affected, changes.drop("day"), keys), schema)
     _rewrite_days(path, after.withColumn("day", F.to_date(time)), "day", f"upsert-{name}")
 
@@ -103,12 +107,21 @@ def upsert_table(spark: SparkSession, path: str, name: str, changes: DataFrame,
 def replace_table(spark: SparkSession, path: str, new: DataFrame, pairs: DataFrame) -> None:
     """Replace all rows of the given (batch_id, business_date) pairs, partitioned by date.
 
-    Dates whose pairs all became empty keep no rows, so such a date is written as an empty change
-    by removing the pairs' rows from it.
+    Writing replaces only dates that still have rows; the dates that lost their last row are deleted.
     """
     current = read_or_empty(spark, path, new.schema)
     # Distinct calendar days, so a few thousand rows at most.
     days = F.broadcast(pairs.select("business_date").distinct())
     affected = current.join(days, "business_date", "left_semi")
-    after = replace_results(affected, new.select(*current.columns), pairs)
-    _rewrite_days(path, after, "business_date", "replace")
+    after = stage(replace_results(affected, new.select(*current.columns), pairs), "replace")
+    emptied = affected.select("business_date").distinct().join(
+        after.select("business_date").distinct(), "business_date", "left_anti").collect()
+    write_partitions(after, path, ["business_date"])
+    for row in emptied:
+        _delete(spark, f"{path}/business_date={row.business_date}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a partition's folder through the file system that holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

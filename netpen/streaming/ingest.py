@@ -8,7 +8,7 @@ finds that and applies the same changes again, which leaves the tables as they a
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from netpen.plans.importer import SHARD_SIZE, Import, import_observations
 from netpen.plans.rulecalc import affected_days, recalculate
 from netpen.schemas import FEED_OBSERVATION, IMPORT_FILE, TABLES
-from netpen.session import configure
+from netpen.session import configure, stage
 from netpen.sources.obs_files import scan_files, with_checksum
 from netpen.sources.sinks import (
     OBSERVATION_KEY, append_table, read_or_empty, replace_table, upsert_table, write_ledger,
@@ -26,12 +26,12 @@ from netpen.sources.tables import conform
 
 Tables = Callable[[], dict[str, DataFrame]]
 
-# Result -> (table, key, time column).
+# Result -> (table, key, time column, condition under which a stored row stays as it is).
 _UPSERTS = {
-    "observations": ("cage_observation", OBSERVATION_KEY, "observed_at"),
-    "feeding_records": ("feeding_record", ["record_no"], "feeding_time"),
-    "survival_reports": ("survival_report", ["report_no"], "report_time"),
-    "sensor_readings": ("sensor_reading", ["reading_no"], "reading_time"),
+    "observations": ("cage_observation", OBSERVATION_KEY, "observed_at", None),
+    "feeding_records": ("feeding_record", ["record_no"], "feeding_time", "posted = 1"),
+    "survival_reports": ("survival_report", ["report_no"], "report_time", None),
+    "sensor_readings": ("sensor_reading", ["reading_no"], "reading_time", None),
 }
 
 
@@ -51,35 +51,52 @@ def _decided(spark: SparkSession, run_path: str) -> Import | None:
 
 
 def apply_import(spark: SparkSession, root: str, result: Import) -> None:
-    """Write an import's outputs: four upserts, then the row, shard and file ledgers."""
-    for field, (table, keys, time) in _UPSERTS.items():
-        upsert_table(spark, f"{root}/{table}", table, getattr(result, field), keys, time)
+    """Write an import's outputs: four upserts, then the row, shard and file ledgers.
+
+    Records posted since the decision keep what was posted.
+    """
+    for field, (table, keys, time, locked) in _UPSERTS.items():
+        upsert_table(spark, f"{root}/{table}", table, getattr(result, field), keys, time,
+                     None if locked is None else F.expr(locked))
     write_ledger(result.ledger, f"{root}/import_row")
     write_partitions(result.shards, f"{root}/import_shard", ["checksum"])
     write_partitions(conform(result.files, IMPORT_FILE), f"{root}/import_file", ["checksum"])
 
 
-def import_files(spark: SparkSession, files: DataFrame, root: str, reference: dict[str, DataFrame],
-                 now: dt.datetime | str, run: str, shard_size: int = SHARD_SIZE) -> Import:
-    """One import run into the tables under ``root``; repeating a run is harmless."""
+def import_files(spark: SparkSession, path: str | Sequence[str], files: DataFrame, root: str,
+                 reference: dict[str, DataFrame], now: dt.datetime | str, run: str,
+                 shard_size: int = SHARD_SIZE, expected: DataFrame | None = None) -> Import:
+    """One import run into the tables under ``root``; repeating a run is harmless.
+
+    ``run`` names the run for good: with other files under the same name it raises.
+    """
     run_path = f"{root}/import_run/{run}"
+    sums = files.select("checksum").distinct()
     result = _decided(spark, run_path)
     if result is None:
         tables = {**reference, **stored_tables(
             spark, root, "cage_observation", "feeding_record", "survival_report")}
         imported = read_or_empty(spark, f"{root}/import_file", IMPORT_FILE)
-        found = import_observations(spark, "", tables, now, shard_size, imported, files)
+        found = import_observations(spark, path, tables, now, shard_size, imported, files, expected=expected)
         for name, df in found._asdict().items():
             df.write.mode("overwrite").parquet(f"{run_path}/{name}")
-        found.files.select("checksum").write.mode("overwrite").parquet(f"{run_path}/done")
+        sums.write.mode("overwrite").parquet(f"{run_path}/done")
         result = _decided(spark, run_path)
+    elif not _same(sums, spark.read.parquet(f"{run_path}/done")):
+        raise ValueError(f"run {run} has imported other files before")
     apply_import(spark, root, result)
     return result
 
 
+def _same(a: DataFrame, b: DataFrame) -> bool:
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
 def import_folder(spark: SparkSession, path: str, root: str, reference: dict[str, DataFrame],
-                  now: dt.datetime | str, run: str, shard_size: int = SHARD_SIZE) -> Import:
-    return import_files(configure(spark), scan_files(spark, path), root, reference, now, run, shard_size)
+                  now: dt.datetime | str, run: str, shard_size: int = SHARD_SIZE,
+                  expected: DataFrame | None = None) -> Import:
+    return import_files(configure(spark), path, scan_files(spark, path), root, reference, now, run, shard_size,
+                        expected)
 
 
 def stream_imports(spark: SparkSession, path: str, root: str, checkpoint: str, reference: Tables,
@@ -88,7 +105,8 @@ def stream_imports(spark: SparkSession, path: str, root: str, checkpoint: str, r
     """Import files as they arrive, each once; corrections come as new files.
 
     Runs over what is there and stops; start it again with the same checkpoint for later files.
-    ``reference`` gives fish_batch, harvest_batch and sensor for each batch, ``clock`` its time.
+    ``reference`` gives fish_batch, harvest_batch and sensor for each batch, ``clock`` its time. Several
+    streams may share ``root``: a run is named by the id in the stream's checkpoint and its batch.
     """
     configure(spark)
     arriving = (
@@ -97,8 +115,13 @@ def stream_imports(spark: SparkSession, path: str, root: str, checkpoint: str, r
         .schema("path string, modificationTime timestamp, length bigint, content binary").load(path))
 
     def one_batch(batch: DataFrame, number: int) -> None:
-        import_files(batch.sparkSession, with_checksum(batch), root, reference(), clock(),
-                     f"batch={number}", shard_size)
+        session = batch.sparkSession
+        stream = session.read.json(f"{checkpoint}/metadata").first()["id"]
+        files = stage(with_checksum(batch, "path"), "arrived-files")
+        # At most ``files_per_batch`` names.
+        paths = [row.path for row in files.select("path").collect()]
+        import_files(session, paths, files.drop("path"), root, reference(), clock(),
+                     f"stream={stream}/batch={number}", shard_size)
 
     return (arriving.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

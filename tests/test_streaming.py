@@ -2,10 +2,10 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
+import pytest
 
 from netpen.schemas import FEED_OBSERVATION
-from netpen.sources.tables import conform
+from netpen.sources.sinks import replace_table
 from netpen.streaming.ingest import import_folder, stream_imports, stream_recalculation
 from tests.helpers import table
 from tests.test_importer import HEADER, batch, sensor, write
@@ -33,11 +33,54 @@ def test_files_are_imported_once_and_corrections_upsert(spark, tmp_path):
     assert {r.batch_id for r in read("feeding_record").collect()} == {1}
     assert sorted(r.outcome for r in read("import_row").collect()) == ["SKIPPED", "SUCCESS", "SUCCESS", "SUCCESS", "UPDATED"]
     assert read("import_file").count() == 2
-    # The same run delivered again changes nothing.
-    before = sorted(map(str, read("import_row").collect()))
-    import_folder(spark, str(inbox), root, reference, NOW, "batch=1")
-    assert sorted(map(str, read("import_row").collect())) == before
-    assert sorted(str(r.feed_amount_kg) for r in read("cage_observation").collect()) == amounts
+    assert len({r.file_path for r in read("import_file").collect()}) == 2
+
+
+def test_two_streams_share_one_root(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    reference = {"fish_batch": table(spark, "fish_batch", batch(1, "A")),
+                 "sensor": table(spark, "sensor", sensor(1, "S-1", "A")), "harvest_batch": table(spark, "harvest_batch")}
+    for name, amount in (("first", "1.50"), ("second", "2.50")):
+        (tmp_path / name).mkdir()
+        write(tmp_path / name, "f.csv", f"{HEADER}\nV-{name},A,2026-09-10T08:00:00,{amount},,,,\n")
+        stream_imports(spark, str(tmp_path / name), root, str(tmp_path / f"cp-{name}"), lambda: reference,
+                       lambda: NOW).awaitTermination()
+    amounts = sorted(str(r.feed_amount_kg) for r in spark.read.parquet(f"{root}/cage_observation").collect())
+    assert amounts == ["1.50", "2.50"] and spark.read.parquet(f"{root}/import_file").count() == 2
+
+
+def test_a_run_is_repeatable_and_its_name_is_taken(spark, tmp_path):
+    inbox, root = tmp_path / "in", str(tmp_path / "tables")
+    inbox.mkdir()
+    reference = {"fish_batch": table(spark, "fish_batch", batch(1, "A")),
+                 "sensor": table(spark, "sensor"), "harvest_batch": table(spark, "harvest_batch")}
+    write(inbox, "f.csv", f"{HEADER}\nV,A,2026-09-10T08:00:00,1.50,,,,\n")
+    import_folder(spark, str(inbox), root, reference, NOW, "run-1")
+    # A posting run comes between the decision and its repeated application.
+    path = f"{root}/feeding_record"
+    posted = [r.asDict() | {"posted": 1} for r in spark.read.parquet(path).collect()]
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([tuple(p[f] for f in schema.names) for p in posted], schema).write.mode(
+        "overwrite").partitionBy("day").parquet(path)
+    before = sorted(map(str, spark.read.parquet(f"{root}/import_row").collect()))
+    import_folder(spark, str(inbox), root, reference, NOW, "run-1")
+    assert [r.posted for r in spark.read.parquet(path).collect()] == [1]
+    assert sorted(map(str, spark.read.parquet(f"{root}/import_row").collect())) == before
+    write(inbox, "g.csv", f"{HEADER}\nV,A,2026-09-11T08:00:00,1.50,,,,\n")
+    with pytest.raises(ValueError, match="other files"):
+        import_folder(spark, str(inbox), root, reference, NOW, "run-1")
+
+
+def test_an_emptied_day_keeps_no_rows(spark, tmp_path):
+    path = str(tmp_path / "result")
+    schema = "batch_id long, business_date date, kg int"
+    rows = [(1, dt.date(2026, 9, 11), 5), (1, dt.date(2026, 9, 12), 6), (2, dt.date(2026, 9, 12), 7)]
+    pairs = lambda *p: spark.createDataFrame(p, "batch_id long, business_date date")
+    replace_table(spark, path, spark.createDataFrame(rows, schema), pairs(*[r[:2] for r in rows]))
+    replace_table(spark, path, spark.createDataFrame([], schema), pairs(rows[0][:2], rows[1][:2]))
+    assert [(r.batch_id, r.kg) for r in spark.read.parquet(path).collect()] == [(2, 7)]
+    replace_table(spark, path, spark.createDataFrame([(1, rows[0][1], 9)], schema), pairs(rows[0][:2]))
+    assert sorted((r.batch_id, r.kg) for r in spark.read.parquet(path).collect()) == [(1, 9), (2, 7)]
 
 
 def test_late_observations_recalculate_their_days(spark, tmp_path):
