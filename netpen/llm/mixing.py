@@ -106,8 +106,12 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     key = -F.log(uniform) / F.col("weight")
     rows = rows.select("row", "source", "size", "hash", key.alias("key"),
                        F.floor((1 - F.exp(-key)) * (BUCKETS - 1)).cast("int").alias("bucket"))
-    rows = stage(rows, "mix-keys")
-    cells = stage(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
+    # What the plan needs is written; rows that carry their texts are read again for the result.
+    if text in keep:
+        light = stage(rows.select("source", "size", "bucket"), "mix-keys")
+    else:
+        light = rows = stage(rows, "mix-keys")
+    cells = stage(light.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     ranges = stage(cells.groupBy("source", F.floor(F.col("bucket") / STEP).cast("int").alias("range")).agg(
         F.sum("words").alias("words")), "mix-ranges")
     goals = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)

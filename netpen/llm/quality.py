@@ -117,23 +117,25 @@ def judge(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataF
     added = ["base_failed", "distance", "kept"]
     if clash := set(added) & set(stats.columns):
         raise ValueError(f"columns already named {sorted(clash)}")
-    inputs = stats.columns
     rows = stats.select(
-        F.struct(*[F.col(f"`{c}`") for c in inputs]).alias("row"), F.col(f"`{lang}`").alias("lang"),
+        F.struct(*[F.col(f"`{c}`") for c in stats.columns]).alias("row"), F.col(f"`{lang}`").alias("lang"),
         F.col(f"`{source}`").alias("source"), base_failed().alias("failed"),
         *[x.alias(name) for name, x in _vector().items()])
-    rows = stage(rows, "quality-rows")
-    groups = stage(_groups(rows.where(~F.col("failed"))), "quality-groups")
-    placed = rows.alias("r").join(
-        groups.alias("g"), F.col("r.lang").eqNullSafe(F.col("g.lang"))
-        & F.col("r.source").eqNullSafe(F.col("g.source")) & ~F.col("failed"), "left")
-    vectors = stage(placed.where("group is not null").select("group", *AXES), "quality-vectors")
-    params = _estimate(vectors)
-    judged = placed.select("row", "failed", "group", *AXES).join(params, "group", "left")
+    # Only vectors are written for the estimate; the rows themselves are read again to be judged.
+    light = stage(rows.select("lang", "source", "failed", *AXES), "quality-rows")
+    groups = stage(_groups(light.where(~F.col("failed"))), "quality-groups")
+    vectors = stage(_placed(light, groups).where("group is not null").select("group", *AXES), "quality-vectors")
+    judged = _placed(rows, groups).select("row", "failed", "group", *AXES).join(_estimate(vectors), "group", "left")
     return judged.select("row.*", F.col("failed").alias("base_failed"), _distance().alias("distance")).select(
         "*", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT)).alias("kept"))
 
 
+def _placed(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return rows.alias("r").join(
+        groups.alias("g"), F.col("r.lang").eqNullSafe(F.col("g.lang"))
+        & F.col("r.source").eqNullSafe(F.col("g.source")) & ~F.col("failed"), "left")
+
+
 def _groups(rows: DataFrame) -> DataFrame:
     """The group of each language and source that is judged: its own, or a pool of small sources."""
     counts = stage(rows.groupBy("lang", "source").count(), "quality-counts")

@@ -92,8 +92,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and the outlier verdict of every document."""
     configure(spark)
-    stats = quality.statistics(
-        table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    stats = stage(quality.statistics(docs).drop("text"), "quality-statistics")
     return quality.judge(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                                        "n_repeat_words", "base_failed", "kept", "distance")
 
