@@ -5,41 +5,57 @@ split a side that is itself an aggregate on the join key. Both operators here fi
 keys and only treat those specially. Without any, the plan is the plain join or window.
 
 The look is one aggregate over the key columns alone (partial counts are combined before the
-shuffle). It returns at most ``MAX_HOT_KEYS`` 8-byte hashes to the driver, whatever the data holds:
-a key beyond the heaviest 4096 has less than 1/4096 of the rows and needs no splitting. Only the
-route of a row depends on the list, never the result, so a hash collision or a stale list is harmless.
+shuffle). A key is hot if it has more rows than a shuffle partition would on average, so there are
+fewer hot keys than shuffle partitions, whatever the data holds, and their 8-byte hashes are all that
+reaches the driver. A hot key is salted into as many parts as it has such shares. Only the route of
+a row depends on the list, never the result, so a hash collision or a stale list is harmless.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 4096
-SALTS = 64
+MIN_HOT_ROWS = 100_000  # a key with fewer rows is no burden to any task
 
 _CHUNK, _SALT = "__chunk", "__salt"
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> list[int]:
-    """Hashes of the heaviest keys with more than ``hot_rows`` rows."""
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    counts = df.groupBy(F.xxhash64(*keys).alias("h")).count().where(F.col("count") > limit)
-    return [row.h for row in counts.orderBy(F.desc("count")).limit(MAX_HOT_KEYS).collect()]
+class HotKeys(list):
+    """Hashes of hot keys, and the number of parts that the heaviest is dealt into."""
+
+    salts = 16
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> HotKeys:
+    """Hashes of the keys with more than ``hot_rows`` rows, or than an average partition's share."""
+    return hot_keys_of(df, hot_rows, key=keys)["key"]
 
 
 def hot_keys_of(df: DataFrame, hot_rows: int | None = None,
-                **groups: Sequence[str]) -> dict[str, list[int]]:
+                **groups: Sequence[str]) -> dict[str, HotKeys]:
     """``hot_keys`` for several keys of one table in a single pass."""
-    limit = HOT_ROWS if hot_rows is None else hot_rows
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashes = [F.struct(F.lit(name).alias("g"), F.xxhash64(*keys).alias("h"))
               for name, keys in groups.items()]
+    seen = Observation()
     counts = (df.select(F.inline(F.array(*hashes))).groupBy("g", "h").count()
-              .where(F.col("count") > limit))
-    heaviest = counts.orderBy(F.desc("count")).limit(MAX_HOT_KEYS).collect()
-    return {name: [row.h for row in heaviest if row.g == name] for name in groups}
+              .observe(seen, F.coalesce(F.sum("count"), F.lit(0)).alias("n")))
+    # More keys than this cannot exceed an average share.
+    least = MIN_HOT_ROWS if hot_rows is None else hot_rows
+    heaviest = counts.where(F.col("count") > least)
+    if hot_rows is None:
+        heaviest = heaviest.orderBy(F.desc("count")).limit(width * len(groups))
+    rows = heaviest.collect()
+    share = least if hot_rows is not None else max(least, seen.get["n"] / len(groups) / width)
+    found = {}
+    for name in groups:
+        mine = [row for row in rows if row.g == name and row["count"] > share]
+        found[name] = HotKeys(row.h for row in mine)
+        if mine and hot_rows is None:
+            found[name].salts = 1 + int(max(row["count"] for row in mine) / share)
+    return found
 
 
 def is_hot(keys: Sequence[str], hot: Sequence[int]) -> Column:
@@ -58,7 +74,7 @@ def skew_join(fact: DataFrame, dim: DataFrame, keys: Sequence[str], row_id: Sequ
     hot = hot_keys(fact, keys, hot_rows) if hot is None else hot
     on = list(keys)
     if hot:
-        salts = SALTS if salts is None else salts
+        salts = getattr(hot, "salts", HotKeys.salts) if salts is None else salts
         none = F.lit(0)
         fact = fact.withColumn(_SALT, F.when(
             is_hot(keys, hot), F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int")).otherwise(none))
@@ -87,7 +103,7 @@ class OrderedScan:
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
                  hot_rows: int | None = None, hot: Sequence[int] | None = None):
         self.keys, self.order = list(keys), list(order)
-        self.hot = hot_keys(df, keys, hot_rows) if hot is None else list(hot)
+        self.hot = hot_keys(df, keys, hot_rows) if hot is None else hot
         self.pieces = [*self.keys, _CHUNK] if self.hot else self.keys
         self.df = df.withColumn(
             _CHUNK,

@@ -18,7 +18,9 @@ def _handoff_flags(events: DataFrame) -> DataFrame:
     """``readable`` and ``handed_over``: both sides of the snapshot are there and agree."""
     snap = F.col("__snap")
     source, target = snap["source"], snap["target"]
-    moved = lambda side: F.when(side["movedSensors"].isNull(), 0).otherwise(F.size(side["movedSensors"]))
+    # Older documents list the sensors instead of counting them.
+    listed = lambda side: F.when(side["movedSensors"].isNull(), 0).otherwise(F.size(side["movedSensors"]))
+    moved = lambda side: F.coalesce(side["movedSensorCount"], listed(side))
     same = lambda field: source[field].eqNullSafe(target[field])
     readable = F.coalesce(source.isNotNull() & target.isNotNull(), F.lit(False))
     agree = (same("fishEstimateCount") & same("cumulativePostedFeedKg") & same("latestSurvivalRate")

@@ -20,7 +20,6 @@ UNFINISHED = ["ACTIVE", "SUSPENDED"]
 CLOCK_TOLERANCE_SECONDS = 1
 
 # Items one hand-off document lists; a larger hand-off keeps its items as rows only.
-MAX_DOCUMENT_ITEMS = 10_000
 
 
 class Handoff(NamedTuple):
@@ -168,38 +167,14 @@ def handoff_figures(winners: DataFrame, records: DataFrame, reports: DataFrame,
     )
 
 
-def encode_snapshot(figures: DataFrame, plans: DataFrame, sensors: DataFrame,
-                    max_items: int = MAX_DOCUMENT_ITEMS) -> DataFrame:
-    """(migration_no, snapshot_json): the hand-off document.
+def encode_snapshot(figures: DataFrame) -> DataFrame:
+    """(migration_no, snapshot_json): the hand-off document, figures and counts of both sides.
 
-    The document lists one batch's open plans and one cage's sensors, as its reader expects. Every
-    item is also a row of the ``plans`` and ``sensors`` tables. Beyond ``max_items`` only those rows
-    hold the items: the document then has all figures and counts, and null lists.
+    The plans and sensors that it counts are rows of the hand-off's own tables, however many.
     """
-    within = (F.col("feeding_plan_count") + F.col("sensor_count") + F.col("retained_sensor_count")) <= max_items
-    listed = figures.where(within).select("migration_no")
-    plans = plans.join(listed, "migration_no", "left_semi")
-    sensors = sensors.join(listed, "migration_no", "left_semi")
     iso = text.iso_seconds
-    plan = F.struct(
-        F.col("plan_id").alias("id"), F.col("plan_no").alias("planNo"), F.col("status").alias("status"),
-        F.col("daily_amount_kg").alias("dailyAmountKg"), F.col("version").alias("version"))
-    sensor = F.struct(
-        F.col("sensor_id").alias("id"), F.col("sensor_no").alias("sensorNo"),
-        F.col("sensor_type").alias("sensorType"), F.col("metric_unit").alias("metricUnit"),
-        F.col("status").alias("status"), F.col("latest_value").alias("latestValue"),
-        iso(F.col("latest_reading_at")).alias("latestReadingAt"),
-        F.col("reading_count").alias("readingCount"), (F.col("moved") == 1).alias("moved"),
-        F.col("version").alias("version"))
-    plan_lists = plans.groupBy("migration_no").agg(F.array_sort(F.collect_list(plan)).alias("plan_list"))
-    sensor_lists = sensors.groupBy("migration_no").agg(
-        F.array_sort(F.collect_list(F.when(F.col("moved") == 1, sensor))).alias("moved_list"),
-        F.array_sort(F.collect_list(F.when(F.col("moved") == 0, sensor))).alias("kept_list"))
-    joined = figures.join(plan_lists, "migration_no", "left").join(sensor_lists, "migration_no", "left")
-    items = lambda name: F.when(within, F.coalesce(F.col(name), F.array()))
-    empty = F.when(within, F.filter(F.coalesce("kept_list", F.array()), lambda _: F.lit(False)))
-
-    def side(cage: str, kept):
+
+    def side(cage: str, retained: Column) -> Column:
         return F.struct(
             F.col(cage).alias("cageNo"), F.col("fish_estimate_count").alias("fishEstimateCount"),
             F.col("cumulative_feed_kg").alias("cumulativePostedFeedKg"),
@@ -208,8 +183,8 @@ def encode_snapshot(figures: DataFrame, plans: DataFrame, sensors: DataFrame,
             F.col("posted_record_count").alias("postedRecordCount"),
             F.col("latest_survival_rate").alias("latestSurvivalRate"),
             iso(F.col("latest_survival_at")).alias("latestSurvivalAt"),
-            F.col("feeding_plan_count").alias("feedingPlanCount"), items("plan_list").alias("feedingPlans"),
-            items("moved_list").alias("movedSensors"), kept.alias("retainedSensors"))
+            F.col("feeding_plan_count").alias("feedingPlanCount"),
+            F.col("sensor_count").alias("movedSensorCount"), retained.alias("retainedSensorCount"))
 
     document = F.struct(
         F.col("migration_no").alias("migrationNo"), F.col("chain_no").alias("chainNo"),
@@ -217,9 +192,9 @@ def encode_snapshot(figures: DataFrame, plans: DataFrame, sensors: DataFrame,
         F.col("batch_id").alias("batchId"), F.col("batch_no").alias("batchNo"),
         iso(F.col("occurred_at")).alias("occurredAt"),
         F.col("fish_estimate_basis").alias("fishEstimateBasis"),
-        side("source_cage_no", items("kept_list")).alias("source"),
-        side("target_cage_no", empty).alias("target"))
-    return joined.select("migration_no", F.to_json(document).alias("snapshot_json"))
+        side("source_cage_no", F.col("retained_sensor_count")).alias("source"),
+        side("target_cage_no", F.lit(0).cast("bigint")).alias("target"))
+    return figures.select("migration_no", F.to_json(document).alias("snapshot_json"))
 
 
 def migration_handoff(requests: DataFrame, batches: DataFrame, plans: DataFrame, sensors: DataFrame,
@@ -232,7 +207,7 @@ def migration_handoff(requests: DataFrame, batches: DataFrame, plans: DataFrame,
     plan_rows = stage(plans_to_hand_over(winners, plans, hot_rows), "handoff-plans")
     sensor_rows = stage(sensors_to_hand_over(winners, sensors, readings, hot_rows), "handoff-sensors")
     figures = handoff_figures(winners, records, reports, plan_rows, sensor_rows)
-    documents = encode_snapshot(figures, plan_rows, sensor_rows)
+    documents = encode_snapshot(figures)
     moved = lambda rows, key: rows.select(
         key, F.col("target_cage_no").alias("cage_no"), (F.col("version") + 1).alias("version"), "migration_no")
     return Handoff(

@@ -54,7 +54,9 @@ def _number_error(field: str, raw: Column, number: Column, low: Column, low_reas
 
 def parse_rows(lines: DataFrame) -> DataFrame:
     """Split each line and parse its typed parts; nothing is judged yet."""
-    fields = compute_once(lines, text.csv_fields(F.col("raw_line")).alias("fields"))
+    # The line first: the fields name it several times, and it may be an expression itself.
+    line = compute_once(lines.withColumnRenamed("raw_line", "__line"), F.col("__line").alias("raw_line")).drop("__line")
+    fields = compute_once(line, text.csv_fields(F.col("raw_line")).alias("fields"))
     names = ["voyage_no", "cage_no", "__time_text", "__feed_text", "__rate_text", "__value_text",
              "sensor_unit", "source_device"]
     part = lambda i: F.get("fields", F.lit(i))

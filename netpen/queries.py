@@ -878,9 +878,9 @@ def handoff_roundtrip(spark, sf_dir):
         "migration_no", decode_handoff(F.col("snapshot_json")).alias("snap")).select(
         "migration_no", snap["source"]["cageNo"].alias("source_cage_no"),
         snap["target"]["cageNo"].alias("target_cage_no"),
-        F.size(snap["target"]["movedSensors"]).cast("bigint").alias("moved_sensors"),
-        F.size(snap["source"]["retainedSensors"]).cast("bigint").alias("kept_at_source"),
-        F.size(snap["target"]["feedingPlans"]).cast("bigint").alias("target_plans"))
+        snap["target"]["movedSensorCount"].alias("moved_sensors"),
+        snap["source"]["retainedSensorCount"].alias("kept_at_source"),
+        snap["target"]["feedingPlanCount"].alias("target_plans"))
 
 
 # Registration and data quality ------------------------------------------------------------------

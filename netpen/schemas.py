@@ -113,7 +113,7 @@ _SIDE = _table(
     cumulativeUnpostedFeedKg=dec(18, 2), feedingRecordCount=LONG, postedRecordCount=LONG,
     latestSurvivalRate=dec(7, 4), latestSurvivalAt=TEXT, feedingPlanCount=LONG,
     feedingPlans=T.ArrayType(_PLAN_REF), movedSensors=T.ArrayType(_SENSOR_REF),
-    retainedSensors=T.ArrayType(_SENSOR_REF),
+    retainedSensors=T.ArrayType(_SENSOR_REF), movedSensorCount=LONG, retainedSensorCount=LONG,
 )
 HANDOFF_SNAPSHOT = _table(
     migrationNo=TEXT, chainNo=TEXT, seqNo=INT, transferType=TEXT, batchId=LONG, batchNo=TEXT,

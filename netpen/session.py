@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,17 +31,22 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only on a local master."""
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    On a local master without that setting a temporary folder, deleted when Python ends.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or _local_roots.get(id(spark.sparkContext))
     if root:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _local_roots.setdefault(
-        id(spark.sparkContext), tempfile.mkdtemp(prefix="netpen-stage-"))
+    root = _local_roots.setdefault(id(spark.sparkContext), tempfile.mkdtemp(prefix="netpen-stage-"))
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
 
 
 _local_roots: dict[int, str] = {}
+_open_jobs: list[list[str]] = []
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -48,5 +57,24 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open_jobs:
+        _open_jobs[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """A job that has written its results when it ends: what it staged is deleted then."""
+    _open_jobs.append([])
+    try:
+        yield
+    finally:
+        for path in _open_jobs.pop():
+            delete_path(spark, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

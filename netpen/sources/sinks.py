@@ -10,7 +10,7 @@ from pyspark.sql.types import DateType, StructField, StructType
 
 from netpen.operators.latest import first_per_key
 from netpen.schemas import CAGE_OBSERVATION, TABLES
-from netpen.session import PARTITION_OVERWRITE, stage
+from netpen.session import PARTITION_OVERWRITE, delete_path, stage
 from netpen.sources.tables import conform
 
 OBSERVATION_KEY = ["voyage_no", "cage_no", "observed_at"]
@@ -118,10 +118,5 @@ def replace_table(spark: SparkSession, path: str, new: DataFrame, pairs: DataFra
         after.select("business_date").distinct(), "business_date", "left_anti").collect()
     write_partitions(after, path, ["business_date"])
     for row in emptied:
-        _delete(spark, f"{path}/business_date={row.business_date}")
+        delete_path(spark, f"{path}/business_date={row.business_date}")
 
-
-def _delete(spark: SparkSession, path: str) -> None:
-    """Delete a partition's folder through the file system that holds it."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

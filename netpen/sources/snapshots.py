@@ -32,5 +32,5 @@ def decode_handoff(col: Column) -> Column:
 def decode_sides(col: Column) -> Column:
     """Only what both sides of a hand-off must agree on."""
     side = ("struct<fishEstimateCount:int,cumulativePostedFeedKg:decimal(18,2),"
-            "latestSurvivalRate:decimal(7,4),feedingPlanCount:bigint,movedSensors:array<struct<id:bigint>>>")
+            "latestSurvivalRate:decimal(7,4),feedingPlanCount:bigint,movedSensorCount:bigint,movedSensors:array<struct<id:bigint>>>")
     return F.from_json(col, f"struct<source:{side},target:{side}>")

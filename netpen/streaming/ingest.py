@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from netpen.plans.importer import SHARD_SIZE, Import, import_observations
 from netpen.plans.rulecalc import affected_days, recalculate
 from netpen.schemas import FEED_OBSERVATION, IMPORT_FILE, TABLES
-from netpen.session import configure, stage
+from netpen.session import configure, stage, staging
 from netpen.sources.obs_files import scan_files, with_checksum
 from netpen.sources.sinks import (
     OBSERVATION_KEY, append_table, read_or_empty, replace_table, upsert_table, write_ledger,
@@ -95,8 +95,8 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
 def import_folder(spark: SparkSession, path: str, root: str, reference: dict[str, DataFrame],
                   now: dt.datetime | str, run: str, shard_size: int = SHARD_SIZE,
                   expected: DataFrame | None = None) -> Import:
-    return import_files(configure(spark), path, scan_files(spark, path), root, reference, now, run, shard_size,
-                        expected)
+    with staging(configure(spark)):
+        return import_files(spark, path, scan_files(spark, path), root, reference, now, run, shard_size, expected)
 
 
 def stream_imports(spark: SparkSession, path: str, root: str, checkpoint: str, reference: Tables,
@@ -117,11 +117,12 @@ def stream_imports(spark: SparkSession, path: str, root: str, checkpoint: str, r
     def one_batch(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         stream = session.read.json(f"{checkpoint}/metadata").first()["id"]
-        files = stage(with_checksum(batch, "path"), "arrived-files")
-        # At most ``files_per_batch`` names.
-        paths = [row.path for row in files.select("path").collect()]
-        import_files(session, paths, files.drop("path"), root, reference(), clock(),
-                     f"stream={stream}/batch={number}", shard_size)
+        with staging(session):
+            files = stage(with_checksum(batch, "path"), "arrived-files")
+            # At most ``files_per_batch`` names.
+            paths = [row.path for row in files.select("path").collect()]
+            import_files(session, paths, files.drop("path"), root, reference(), clock(),
+                         f"stream={stream}/batch={number}", shard_size)
 
     return (arriving.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -150,7 +151,8 @@ def stream_recalculation(spark: SparkSession, source: DataFrame, root: str, chec
     configure(spark)
 
     def one_batch(batch: DataFrame, number: int) -> None:
-        recalculate_late(batch.sparkSession, batch, root, reference())
+        with staging(batch.sparkSession):
+            recalculate_late(batch.sparkSession, batch, root, reference())
 
     return (source.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

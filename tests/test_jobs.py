@@ -320,10 +320,16 @@ def test_enabling_rules(spark, hot_rows):
     assert {r.rule_id: r.status for r in got.rules.collect()} == {0: "RETIRED", 1: "ENABLED", 2: "DRAFT", 3: "DRAFT", 4: "ENABLED", 5: "RETIRED"}
 
 
-def test_large_handoff_keeps_its_items_as_rows(spark):
+def test_handoff_documents_count_their_items(spark):
     t = migration_tables(spark)
     got = migration.migration_handoff(ask(spark, ("M-1", 1, "B", "replace", "2026-02-01")), now="2026-03-01", **t)
-    document = migration.encode_snapshot(got.events.drop("snapshot_json"), got.plans, got.sensors, max_items=2)
-    checked = got.events.drop("snapshot_json").join(document, "migration_no")
-    assert "movedSensors" not in document.first().snapshot_json and got.sensors.count() == 2
-    assert all(r.passed for r in audit.audit_chains(got.chains, checked).collect())
+    document = got.events.first().snapshot_json
+    assert "movedSensors" not in document and got.sensors.count() == 2
+    assert all(r.passed for r in audit.audit_chains(got.chains, got.events).collect())
+    # A side that counts other sensors fails the check, and the event is named.
+    counted = got.events.first().sensor_count
+    wrong = got.events.withColumn("snapshot_json", F.regexp_replace(
+        "snapshot_json", f'"movedSensorCount":{counted}(?=.*"target")', f'"movedSensorCount":{counted + 12_000}'))
+    failed = {r.check_name for r in audit.audit_chains(got.chains, wrong).collect() if not r.passed}
+    assert failed == {"HANDOFF_EQUAL"}
+    assert [r.migration_no for r in audit.handoff_mismatches(wrong).collect()] == ["M-1"]
