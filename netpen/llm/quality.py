@@ -83,8 +83,9 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.filter("s", is_repeated), lambda x: x["i"]))).alias("p"))
     gaps = F.aggregate(F.sequence(F.lit(1), F.size("p") - 1), F.lit(WINDOW).cast("long"),
                        lambda total, k: total + F.least(F.col("p")[k] - F.col("p")[k - 1], F.lit(WINDOW)))
-    return row.select("row.*", *names[:-1],
-                      F.when(F.col("p").isNotNull(), gaps).otherwise(0).cast("long").alias(names[-1]))
+    repeats = F.when(F.col("p").isNotNull(), gaps).otherwise(0).cast("long").alias(names[-1])
+    # Through a one-element generator: later filters must not repeat all this.
+    return row.select("row.*", F.inline(F.array(F.struct(*names[:-1], repeats))))
 
 
 def base_failed() -> Column:
@@ -120,7 +121,7 @@ def judge(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataF
     rows = stats.select(
         F.struct(*[F.col(f"`{c}`") for c in stats.columns]).alias("row"), F.col(f"`{lang}`").alias("lang"),
         F.col(f"`{source}`").alias("source"), base_failed().alias("failed"),
-        *[x.alias(name) for name, x in _vector().items()])
+        F.inline(F.array(F.struct(*[x.alias(name) for name, x in _vector().items()]))))
     # Only vectors are written for the estimate; the rows themselves are read again to be judged.
     light = stage(rows.select("lang", "source", "failed", *AXES), "quality-rows")
     groups = stage(_groups(light.where(~F.col("failed"))), "quality-groups")
