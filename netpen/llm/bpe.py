@@ -7,7 +7,7 @@ distinct-word table, encodes each word once and returns the ids to the dictionar
 its rows together by position. No text and no row per word occurrence is shuffled.
 
 A chunk holds at most ``CHUNK_WORDS`` words or one row. A frequent word has one entry per chunk, so no
-word's group grows with its occurrences. There are four shards per shuffle partition of the session.
+word's group grows with its occurrences. There are two shards per shuffle partition of the session.
 """
 
 from __future__ import annotations
@@ -21,13 +21,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from netpen.llm.common import width
-from netpen.session import stage
+from netpen.llm.common import nullable, width
 
 # The split pattern of the vocabulary's byte-level pre-tokenizer.
 WORD_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 CHUNK_WORDS = 1_500_000
-SHARDS_PER_PARTITION = 4
+SHARDS_PER_PARTITION = 2
 
 
 def read_vocabulary(path: str) -> str:
@@ -89,29 +88,30 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text",
 
     Null and empty texts give no ids. Repeated rows stay repeated. An empty table gives an empty one.
     Columns of any name may be kept, save that ``ids`` would be ambiguous and raises.
+
+    The input is read twice, for the texts' codes and for the chunks' words, which costs less than to
+    write both in between. It must give its rows in the same order both times, as files do; if not,
+    the chunks' digests differ and the job fails.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     if "ids" in keep:
         raise ValueError("a kept column is named ids")
     # One struct holds the kept columns, so their names clash with nothing below.
     kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(None).cast("int"))
-    rows = _split(docs.select(kept.alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")),
-                  vocabulary)
-    rows = stage(rows, "bpe-chunks")
-    shards = rows.where("shard >= 0").select("chunk", "shard", "packed")
-    encoded = _encode_words(shards, vocabulary)
-    entries = encoded.unionByName(rows.where("shard = -1").select("chunk", "shard", "packed"))
-    texts = rows.where("row is not null").select("chunk", "row", "packed")
-    out = T.StructType([T.StructField("row", rows.schema["row"].dataType),
+    rows = docs.select(kept.alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    texts = _split(rows, vocabulary, "texts")
+    shards = _split(rows, vocabulary, "words")
+    entries = _encode_words(shards, vocabulary)
+    out = T.StructType([T.StructField("row", nullable(rows.schema["row"].dataType)),
                         T.StructField("ids", T.BinaryType())])
     joined = texts.groupBy("chunk").cogroup(
         entries.withColumnRenamed("chunk", "of_chunk").groupBy("of_chunk")).applyInArrow(_assemble, out)
     return joined.select(*[F.col("row")[c].alias(c) for c in keep], "ids")
 
 
-def _split(rows: DataFrame, vocabulary: str) -> DataFrame:
-    """Rows of three kinds: a text as codes (``row`` not null), a chunk's dictionary words of one shard
-    (``shard`` from 0), and the shard of each code of a chunk (``shard`` -1).
+def _split(rows: DataFrame, vocabulary: str, wanted: str) -> DataFrame:
+    """``texts``: each row with its text as codes. ``words``: each chunk's dictionary words by shard, and as
+    shard -1 the shard of each code. Both carry the digest of the chunk's dictionary.
 
     Java knows an older Unicode version than the library: a text with a character that Java has as
     unassigned, or with an added token, is split by the library itself.
@@ -123,19 +123,20 @@ def _split(rows: DataFrame, vocabulary: str) -> DataFrame:
         F.when(plain, F.regexp_extract_all("text", F.lit(f"(?U)({WORD_PATTERN})"), 1)).alias("words"),
         F.when(~plain, F.col("text")).alias("text"))
     source = rows.sparkSession.sparkContext.broadcast({"json": vocabulary})  # a fixed file of 2 MB
-    row_type = rows.schema["row"].dataType
+    row_type = nullable(rows.schema["row"].dataType)
     n_shards = SHARDS_PER_PARTITION * width(rows)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for part_row, part_words in _gather(_words(batches, source.value)):
             for one_row, one_words in _cut(part_row, part_words):
-                yield from _chunk(number, one_row, one_words, n_shards)
+                yield from _chunk(number, one_row, one_words, n_shards, wanted)
                 number += 1
 
+    content = T.StructField("row", row_type) if wanted == "texts" else T.StructField("shard", T.IntegerType())
     return rows.mapInArrow(chunks, T.StructType([
-        T.StructField("chunk", T.LongType()), T.StructField("row", row_type),
-        T.StructField("shard", T.IntegerType()), T.StructField("packed", T.BinaryType())]))
+        T.StructField("chunk", T.LongType()), T.StructField("digest", T.LongType()), content,
+        T.StructField("packed", T.BinaryType())]))
 
 
 def _words(batches: Iterator[pa.RecordBatch], shared: dict) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -209,37 +210,34 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, bytes]:
     return np.ascontiguousarray(planes).view(f"<u{size}").ravel(), raw[16 + size * count:]
 
 
-def _chunk(number: int, row: pa.Array, words: pa.Array, n_shards: int) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh32_intdigest
+def _chunk(number: int, row: pa.Array, words: pa.Array, n_shards: int, wanted: str) -> Iterator[pa.RecordBatch]:
+    from xxhash import xxh32_intdigest, xxh64_intdigest
 
     flat = words.flatten().dictionary_encode()
     index = flat.indices.to_numpy()
     # Frequent words get small codes, which compress well.
     order = np.argsort(-np.bincount(index, minlength=len(flat.dictionary)), kind="stable")
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    codes = rank[index].astype(np.uint16 if len(order) <= 1 << 16 else np.uint32)
-    ends = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
-    yield _rows(number, row, None, [_pack(codes[a:b]) for a, b in zip(ends[:-1], ends[1:])])
-    if not len(order):
-        return
-    names = flat.dictionary.take(pa.array(order)).cast(pa.binary()).to_pylist()
-    shard = np.array([xxh32_intdigest(w) for w in names], np.int64) % n_shards
-    by_shard = np.argsort(shard, kind="stable")
-    numbers, starts = np.unique(shard[by_shard], return_index=True)
-    packed = []
-    for part in np.split(by_shard, starts[1:]):
-        some = [names[i] for i in part]
-        packed.append(_pack(np.array([len(w) for w in some], np.uint32), b"".join(some)))
-    yield _rows(number, pa.nulls(len(numbers) + 1, row.type), [-1, *numbers.tolist()],
-                [_pack(shard.astype(np.uint32)), *packed])
-
-
-def _rows(number: int, row: pa.Array, shard: list[int] | None, packed: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(row), number)), row,
-         pa.nulls(len(row), pa.int32()) if shard is None else pa.array(shard, pa.int32()),
-         pa.array(packed, pa.binary())], ["chunk", "row", "shard", "packed"])
+    names = flat.dictionary.take(pa.array(order)).cast(pa.binary())
+    digest = xxh64_intdigest(b"".join(memoryview(b) for b in names.buffers()[1:] if b is not None)) >> 1
+    if wanted == "texts":
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        codes = rank[index].astype(np.uint16 if len(order) <= 1 << 16 else np.uint32)
+        ends = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
+        content, packed = row, [_pack(codes[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+    else:
+        names = names.to_pylist()
+        shard = np.array([xxh32_intdigest(w) for w in names], np.int64) % n_shards
+        by_shard = np.argsort(shard, kind="stable")
+        numbers, starts = np.unique(shard[by_shard], return_index=True)
+        packed = [_pack(shard.astype(np.uint32))]
+        for part in np.split(by_shard, starts[1:]) if len(names) else []:
+            some = [names[i] for i in part]
+            packed.append(_pack(np.array([len(w) for w in some], np.uint32), b"".join(some)))
+        content = pa.array([-1, *numbers.tolist()], pa.int32())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(content), number)), pa.array(np.full(len(content), digest, np.int64)), content,
+         pa.array(packed, pa.binary())], ["chunk", "digest", "row" if wanted == "texts" else "shard", "packed"])
 
 
 def _encode_words(shards: DataFrame, vocabulary: str) -> DataFrame:
@@ -247,6 +245,8 @@ def _encode_words(shards: DataFrame, vocabulary: str) -> DataFrame:
     source = shards.sparkSession.sparkContext.broadcast({"json": vocabulary})
 
     def run(rows: pa.Table) -> pa.Table:
+        if rows.column("shard")[0].as_py() < 0:  # the shards of the codes: no words
+            return rows
         of_chunk, numbers = [], {}
         for packed in rows.column("packed"):
             lengths, data = _unpack(packed.as_py())
@@ -260,18 +260,25 @@ def _encode_words(shards: DataFrame, vocabulary: str) -> DataFrame:
         for words in of_chunk:
             flat = np.frombuffer(b"".join([ids[w] for w in words]), "<u4")
             packed.append(_pack(np.concatenate([sizes[words], flat])))
-        return pa.table({"chunk": rows.column("chunk"), "shard": rows.column("shard"),
-                         "packed": pa.array(packed, pa.binary())})
+        return pa.table({"chunk": rows.column("chunk"), "digest": rows.column("digest"),
+                         "shard": rows.column("shard"), "packed": pa.array(packed, pa.binary())})
 
-    return shards.groupBy("shard").applyInArrow(run, "chunk long, shard int, packed binary")
+    # The rows of shard -1 go each their own way.
+    apart = F.when(F.col("shard") < 0, -1 - F.col("chunk")).otherwise(F.col("shard").cast("long"))
+    return shards.groupBy(apart.alias("part")).applyInArrow(
+        run, "chunk long, digest long, shard int, packed binary")
 
 
 def _assemble(texts: pa.Table, entries: pa.Table) -> pa.Table:
     """The ids of a chunk's rows: the dictionary's ids taken by position."""
+    if len({*texts.column("digest").to_pylist(), *entries.column("digest").to_pylist()}) > 1 or not len(entries):
+        raise ValueError("the input gave its rows in another order the second time")
+    if not len(texts):
+        raise ValueError("the input gave other rows the second time")
     parts = dict(zip(entries.column("shard").to_pylist(), entries.column("packed")))
     sizes, flat = np.zeros(0, np.int64), [np.zeros(0, "<u4")]
+    shard = _unpack(parts.pop(-1).as_py())[0]
     if parts:
-        shard = _unpack(parts.pop(-1).as_py())[0]
         by_shard = np.argsort(shard, kind="stable")
         counts = np.bincount(shard)
         lengths = []

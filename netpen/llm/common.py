@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from netpen import session
 
@@ -38,6 +38,17 @@ def words_of(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def nullable(kind: T.DataType) -> T.DataType:
+    """The type with every field of a struct allowed to be null, as Arrow results have it."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(nullable(kind.keyType), nullable(kind.valueType))
+    return kind
+
+
 def width(df: DataFrame, least: int = 1) -> int:
     """Shuffle width of the session, for repartitioning by a key."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -45,6 +45,18 @@ def test_empty_table_and_clashing_names(llm, vocabulary):
         bpe.encode(llm.createDataFrame([], "ids long, text string"), vocabulary)
 
 
+def test_columns_that_are_never_null(llm, vocabulary):
+    rows = llm.range(5).selectExpr("id", "struct(id as a, 'x' as b) as s", "array(id) as v", "'some text' as text")
+    got = bpe.encode(rows, vocabulary).collect()
+    assert sorted(r.id for r in got) == list(range(5)) and all(r.s.b == "x" and r.v == [r.id] for r in got)
+
+
+def test_a_second_reading_in_another_order_is_told(llm, vocabulary):
+    rows = llm.range(2000).selectExpr("reflect('java.util.UUID', 'randomUUID') as text", "id")
+    with pytest.raises(Exception, match="second time"):
+        bpe.encode(rows, vocabulary).collect()
+
+
 def test_decode_passes_over_unknown_ids(llm, vocabulary):
     rows = llm.createDataFrame([(1, bytearray(np.array([15496, 4_000_000_000], "<u4").tobytes())), (2, None)],
                                "k int, ids binary")
