@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -128,6 +129,54 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _both_cases(pattern: str) -> str:
+    """(?i:...) spelled out for A-Z alone: RE2 also folds letters beyond ASCII."""
+    return re.sub(r"\(\?i:([^)]*)\)", lambda m: "(?:" + re.sub(
+        "[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")", pattern)
+
+
+def _op4_sql() -> str:
+    rules = []
+    for place, rule in enumerate(secrets.RULES):
+        pattern = _both_cases(rule.pattern).replace("'", "''")
+        rules.append(f"""
+          SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, {rule.least} AS least, i,
+                 string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}', 0) AS m,
+                 regexp_extract_all(t, '{pattern}', {rule.group}) AS g
+          FROM d, unnest(range(1, len(regexp_extract_all(t, '{pattern}', 0)) + 1)) AS u(i)""")
+    joined = "coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place) {0}, '')"
+    base = "FILTER (place < 3)"
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        found AS ({" UNION ALL ".join(rules)}),
+        spans AS (
+          SELECT doc_id, place, kind, a, a + len(m[i]) AS b FROM (
+            SELECT *, CAST(list_sum([len(x) FOR x IN p[1:i]]) + coalesce(list_sum([len(x) FOR x IN m[1:i - 1]]), 0)
+                           AS BIGINT) AS a FROM found) WHERE len(g[i]) >= least)
+        SELECT d.doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access,
+               count(*) FILTER (place = 2) AS n_hex, sha256({joined.format(base)}) AS base_sha256,
+               {joined.format("")} AS spans
+        FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""
+
+
+OP10_SQL = """
+WITH w AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i + 1:i + 35], ' ')) AS h FROM w, unnest(range(0, len(ws) - 34)) AS u(i)),
+flagged AS (
+  SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+words AS (SELECT doc_id, unnest(range(0, len(ws))) AS j, unnest(ws) AS word FROM w),
+marked AS (
+  SELECT words.doc_id, j, word, max(i) OVER (
+    PARTITION BY words.doc_id ORDER BY j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words LEFT JOIN flagged ON flagged.doc_id = words.doc_id AND i = j)
+SELECT w.doc_id, count(j) AS n_words, count(*) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT gone), '')) AS kept_sha256
+FROM w LEFT JOIN marked USING (doc_id) GROUP BY w.doc_id
+"""
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
@@ -140,4 +189,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_substring": op10_substring,
 }
-ORACLES = {"op5_topk": OP5_SQL}
+ORACLES = {"op4_secrets": _op4_sql(), "op5_topk": OP5_SQL, "op10_substring": OP10_SQL}

@@ -56,7 +56,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
         "id", "v", _norm().alias("norm"), F.xxhash64("id").cast("double").alias("by")), QUERY_ROWS), "query-blocks")
     lengths = stage(buckets.select("block", F.array_max("norms").alias("longest")), "bucket-lengths")
     sizes = blocks.select(F.col("block").alias("q"), F.lit(None).cast("array<bigint>").alias("floors"))
-    start = stage(_search(blocks, buckets, sizes.withColumn("block", F.lit(0)), k), "first-scores")
+    first = sizes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(0))))  # the longest vectors
+    start = stage(_search(blocks, buckets, first, k), "first-scores")
     # Each query's score to reach: its k-th best so far; null while it has fewer.
     reach = start.groupBy("q", "at").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(
         F.col("n") == k).select("q", "at", "floor")
