@@ -249,14 +249,15 @@ VIEWS: dict[str, str] = {
         from customer where c_custkey % 2 = 0""",
     "used_number": """
         select concat('MQ-', cast(c_custkey as string)) as migration_no from customer where c_custkey % 17 = 0""",
-    # Order key and line number repeat in the sample; one row for each pair.
+    # Order key and line number repeat in the sample: each row gets a line number of its own.
     "order_line": """
-        select l_orderkey, l_linenumber, max(l_partkey) as l_partkey, max(l_suppkey) as l_suppkey,
-               max(l_quantity) as l_quantity, max(l_shipdate) as l_shipdate
-        from lineitem group by l_orderkey, l_linenumber""",
+        select l_orderkey, l_linenumber + 7 * (row_number() over (
+                   partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity, l_shipdate) - 1)
+                   as l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate
+        from lineitem""",
     # Registration requests with every kind of fault in turn.
     "new_record": """
-        select l_orderkey * 10 + l_linenumber as request_id,
+        select l_orderkey * 1000 + l_linenumber as request_id,
                case when l_orderkey % 50 = 0 then concat('FR-', cast(l_orderkey as string))
                     when l_orderkey % 60 = 1 then concat('NR-same-', cast(l_suppkey as string))
                     else concat('NR-', cast(l_orderkey as string), '-', cast(l_linenumber as string)) end as record_no,
@@ -309,7 +310,7 @@ VIEWS: dict[str, str] = {
                cast(null as {TS}) as enabled_time, cast(null as {TS}) as retired_time
         from part""",
     "new_rule": """
-        select l_orderkey * 10 + l_linenumber as request_id, concat('R-', cast(l_partkey % 300 as string)) as rule_code,
+        select l_orderkey * 1000 + l_linenumber as request_id, concat('R-', cast(l_partkey % 300 as string)) as rule_code,
                case when l_orderkey % 31 = 0 then 'NIGHT' when l_linenumber % 2 = 0 then 'PEAK' else 'FLAT' end as rule_type,
                cast(l_orderkey % 1450 as int) as start_minute, cast(l_partkey % 1450 as int) as end_minute,
                cast(case when l_orderkey % 37 = 0 then -1 else l_linenumber end as decimal(12,4)) as coefficient
@@ -327,7 +328,7 @@ VIEWS: dict[str, str] = {
         select cast(10000000001 + harvest_id * 2 as bigint), case when harvest_id % 5 = 0 then -1 else harvest_id end, harvest_time + interval 10 day
         from harvest_batch where harvest_id % 3 = 0""",
     "rule_event": """
-        select l_orderkey * 10 + l_linenumber as event_id,
+        select l_orderkey * 1000 + l_linenumber as event_id,
                case when l_orderkey % 101 = 0 then -1 else cast(l_partkey as bigint) end as rule_id, l_shipdate as event_time,
                case when l_orderkey % 103 = 0 then 'PAUSE' when l_orderkey % 3 = 0 then 'RETIRE' else 'ENABLE' end as action
         from order_line""",

@@ -1168,7 +1168,7 @@ with mins as (
   select rule_id, rule_code, status, (start_minute + i) % 1440 as m
   from draft_rule, generate_series(0, 10) g(i)
   where i < case when end_minute <= start_minute then end_minute - start_minute + 1440 else end_minute - start_minute end),
-asked as (select l_orderkey * 10 + l_linenumber as request_id, l_partkey as rule_id from order_line),
+asked as (select l_orderkey * 1000 + l_linenumber as request_id, l_partkey as rule_id from order_line),
 hits as (select distinct a.rule_id from mins a join mins b on a.m = b.m and a.rule_code <> b.rule_code
          where a.status = 'DRAFT' and b.status = 'ENABLED'),
 j1 as (select q.request_id, q.rule_id, d.rule_code,
@@ -1189,7 +1189,7 @@ def _enabling(spark, sf_dir):
     from netpen.plans.lifecycle import enable_rules
     v = views(spark, sf_dir, "draft_rule", "order_line")
     wanted = v["order_line"].select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"), F.col("l_partkey").alias("rule_id"))
+        (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("request_id"), F.col("l_partkey").alias("rule_id"))
     return enable_rules(v["draft_rule"], wanted, "2024-06-01 00:00:00")
 
 
