@@ -25,9 +25,9 @@ MAX_REPEAT_PERCENT = 30
 
 GRID = 256          # vector coordinates are whole multiples of 1/GRID
 LIMIT = 16 * GRID   # and lie within +-LIMIT
-SHARE = 0.75        # of a group's rows that the estimate rests on
+SHARE = 0.5         # of a group's rows that the estimate rests on: copies of one text may be near half
 STEPS = 3           # concentration steps
-CONSISTENCY = 1.41  # makes the scatter of the nearest 75 % fit a normal sample in 5 dimensions
+CONSISTENCY = 1.91  # makes the scatter of the nearest half fit a normal sample in 5 dimensions
 MIN_GROUP = 60      # sources with fewer rows are pooled per language, then over the corpus
 # Least standard deviation per coordinate, so that a coordinate that hardly varies in clean texts
 # rejects only texts far off.

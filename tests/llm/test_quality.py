@@ -109,3 +109,21 @@ def test_judgement(llm, rows):
         assert got[i].kept == (not fail and (d is None or d <= quality.CUT))
     if len(rows) > 100:
         assert not all(got[i].kept for i in range(0, 400, 40)) and got[2].kept
+
+
+def clean_texts(n):
+    pick = random.Random(5)
+    words = [f"{a}{b}" for a in ("lo", "ka", "mir", "te", "su") for b in ("n", "sta", "rel", "o", "vi", "me")]
+    return [" ".join(pick.choice(words) for _ in range(pick.randrange(80, 300))) for _ in range(n)]
+
+
+def kept_ids(llm, texts):
+    docs = llm.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)],
+                               "doc_id long, text string, lang string, source string")
+    return {r.doc_id for r in quality.judge(quality.statistics(docs)).where("kept").collect()}
+
+
+def test_a_third_of_copies_of_junk_is_rejected(llm):
+    junk = " ".join(f"w{i}$$" if i % 2 else f"v{i}#" for i in range(150))
+    kept = kept_ids(llm, clean_texts(200) + [junk] * 100)
+    assert not any(i >= 200 for i in kept) and len(kept) > 190
