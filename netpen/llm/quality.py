@@ -30,8 +30,9 @@ STEPS = 3           # concentration steps
 CONSISTENCY = 1.91  # makes the scatter of the nearest half fit a normal sample in 5 dimensions
 MIN_GROUP = 60      # sources with fewer rows are pooled per language, then over the corpus
 # Least standard deviation per coordinate, so that a coordinate that hardly varies in clean texts
-# rejects only texts far off.
-FLOORS = {"x_length": 1.0, "x_word": 0.15, "x_symbols": 0.1, "x_lines": 0.15, "x_repeats": 0.2}
+# rejects only texts far off. Each coordinate alone can pass CUT: repeated lines from one in 16 words on,
+# and repeated windows from 16 % of the words on, below the base rule's 30 %.
+FLOORS = {"x_length": 1.0, "x_word": 0.15, "x_symbols": 0.1, "x_lines": 0.05, "x_repeats": 0.08}
 CUT = 25.0          # squared Mahalanobis distance; chi-squared with 5 degrees has 1.4e-4 beyond it
 BINS_PER_UNIT = 32  # of the histogram of ln(1 + squared distance)
 

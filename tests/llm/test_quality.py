@@ -127,3 +127,22 @@ def test_a_third_of_copies_of_junk_is_rejected(llm):
     junk = " ".join(f"w{i}$$" if i % 2 else f"v{i}#" for i in range(150))
     kept = kept_ids(llm, clean_texts(200) + [junk] * 100)
     assert not any(i >= 200 for i in kept) and len(kept) > 190
+
+
+def test_each_axis_alone_rejects(llm):
+    pick = random.Random(9)
+    plain = clean_texts(1)[0].split()
+    fresh = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    some = lambda n: [pick.choice(fresh) for _ in range(n)]
+
+    def lines(width, n, distinct):
+        menu = [" ".join(some(width)) for _ in range(distinct)]
+        return "\n".join(pick.choice(menu) for _ in range(n))
+
+    repeated = some(150)
+    planted = [" ".join(some(60000)), " ".join(w * 12 for w in plain), " ".join(w + "$$" for w in plain),
+               lines(2, 120, 24), lines(3, 120, 24), lines(5, 200, 40),
+               " ".join(repeated + repeated[:20])]
+    assert all(not (s[0] < 20 or 100 * s[4] > 30 * s[0]) for s in map(counts, planted))
+    kept = kept_ids(llm, clean_texts(200) + planted)
+    assert not any(i >= 200 for i in kept) and len(kept) > 190
