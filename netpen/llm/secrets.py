@@ -29,6 +29,21 @@ class Rule:
     least: int = 1      # characters in that group
 
 
+def _private_key() -> str:
+    """From the BEGIN line through the END line, before which no other line of five dashes stands.
+
+    Without an END line, over the header lines and base64 lines that follow, 400 at most (a key of
+    16,384 bits has about 200), and what is left of the last. Line ends may be written as \\n. No look-around,
+    and repeats nest to 1000 at most, which RE2 demands; bounded repeats keep Java's recursion low.
+    """
+    space, edge = r"(?:[\x20\t\r\n]+|\\[rn])", r"-----{0}\x20[A-Z\x20]{{0,40}}PRIVATE KEY-----"
+    line = "[A-Za-z0-9+/]" * 20 + "[A-Za-z0-9+/=]*"
+    header = r"[A-Za-z-]+:\x20[^\r\n]*[\r\n]"
+    return (edge.format("BEGIN") + r"(?:[^-]*(?:-{1,4}[^-]+){0,40}" + edge.format("END")
+            + f"|{space}{{0,4}}(?:{header}{space}{{0,4}}){{0,4}}(?:{line}{space}{{1,2}}){{0,400}}{line}"
+            + r"(?:(?:\r?\n|\\n)[A-Za-z0-9+/]+={0,2})?)?")
+
+
 # The first three are the base rules; their order is that of equal starts.
 RULES = [
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -36,7 +51,7 @@ RULES = [
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     # Equal to the runs of [0-9a-f]+ with 16 characters or more: shorter runs hold no match.
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
-    Rule("private_key", r"-----BEGIN\x20[A-Z\x20]{0,40}PRIVATE KEY-----", 0, 1),
+    Rule("private_key", _private_key(), 0, 1),
     Rule("git_token", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 40),
