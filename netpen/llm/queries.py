@@ -7,15 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netpen.llm import bpe, extract, mixing, quality, secrets, simhash, substring, topk, urls, warc
+from netpen.llm import (
+    bpe, bytebpe, extract, mixing, quality, secrets, simhash, substring, topk, urls, warc,
+)
 from netpen.llm.common import configure, table
 from netpen.session import stage, staging_root
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +131,19 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every document by ranks; digests of the ids and of the decoded bytes."""
+    import public_tokenizers
+
+    configure(spark)
+    ranks = bytebpe.read_ranks(vocabulary_path("byte_bpe_multi_50k.tiktoken"))
+    ids = bytebpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    rows = ids.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    rows = rows.withColumn("ids_sha256", F.sha2("ids", 256))
+    return bytebpe.decode(rows, ranks).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def _both_cases(pattern: str) -> str:
     """(?i:...) spelled out for A-Z alone: RE2 also folds letters beyond ASCII."""
     return re.sub(r"\(\?i:([^)]*)\)", lambda m: "(?:" + re.sub(
@@ -188,5 +203,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_substring": op10_substring,
+    "op11_bytebpe": op11_bytebpe,
 }
 ORACLES = {"op4_secrets": _op4_sql(), "op5_topk": OP5_SQL, "op10_substring": OP10_SQL}
