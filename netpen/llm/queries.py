@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from netpen.llm import (
-    bpe, bytebpe, extract, mixing, quality, secrets, simhash, substring, topk, urls, warc,
+    align, bpe, bytebpe, extract, mixing, quality, secrets, simhash, substring, topk, urls, warc,
 )
 from netpen.llm.common import configure, table
 from netpen.session import stage, staging_root
@@ -144,6 +144,13 @@ def op11_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers' tokens of every document overlap, and how common their pairs are corpus-wide."""
+    configure(spark)
+    vocabularies = align.read_vocabularies(vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
+    return align.align(table(spark, sf_dir, "documents"), vocabularies, keep=["doc_id"])
+
+
 def _both_cases(pattern: str) -> str:
     """(?i:...) spelled out for A-Z alone: RE2 also folds letters beyond ASCII."""
     return re.sub(r"\(\?i:([^)]*)\)", lambda m: "(?:" + re.sub(
@@ -204,5 +211,6 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_substring": op10_substring,
     "op11_bytebpe": op11_bytebpe,
+    "op12_align": op12_align,
 }
 ORACLES = {"op4_secrets": _op4_sql(), "op5_topk": OP5_SQL, "op10_substring": OP10_SQL}
