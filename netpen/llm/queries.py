@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from netpen.llm import (
-    align, bpe, bytebpe, extract, mixing, quality, secrets, simhash, substring, topk, urls, warc,
+    align, bpe, bytebpe, extract, filter_audit, mixing, quality, secrets, simhash, substring, topk, urls, warc,
 )
 from netpen.llm.common import configure, table
 from netpen.session import stage, staging_root
@@ -151,6 +152,12 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"), vocabularies, keep=["doc_id"])
 
 
+def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from the documents, in every order."""
+    configure(spark)
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _both_cases(pattern: str) -> str:
     """(?i:...) spelled out for A-Z alone: RE2 also folds letters beyond ASCII."""
     return re.sub(r"\(\?i:([^)]*)\)", lambda m: "(?:" + re.sub(
@@ -199,6 +206,41 @@ SELECT w.doc_id, count(j) AS n_words, count(*) FILTER (gone) AS n_removed,
 FROM w LEFT JOIN marked USING (doc_id) GROUP BY w.doc_id
 """
 
+def _op13_sql() -> str:
+    names = "ABCDE"
+    steps = ", ".join(
+        f"('{''.join(order)}', {step + 1}, {1 << names.index(name)}, {sum(1 << names.index(n) for n in order[:step])})"
+        for order in itertools.permutations(names) for step, name in enumerate(order))
+    total = "CAST(coalesce(sum({0}) FILTER (WHERE {1}), 0) AS BIGINT) AS {2}"
+    gone = "m & f <> 0 AND m & b = 0"
+    columns = ",\n       ".join(total.format(*c) for c in [
+        ("n", "m & (f | b) = 0", "kept"), ("n", gone, "removed"), ("n", "m & f <> 0 AND m & b <> 0", "redundant"),
+        ("n", "m = f", "unique_fails"), ("good", gone, "good_lost"), ("toxic", gone, "toxic_lost")])
+    return f"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part,
+         [x FOR x IN string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws
+  FROM documents),
+flagged AS (
+  SELECT part, CAST(len(ws) < 50 AS INTEGER) + 2 * CAST(100 * len(list_distinct(ws)) < 65 * len(ws) AS INTEGER)
+         + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) AS INTEGER)
+         + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+         + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INTEGER) AS m,
+         CAST(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS INTEGER) AS g,
+         CAST(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS INTEGER) AS x
+  FROM w),
+classes AS (SELECT part, m, count(*) AS n, sum(g) AS good, sum(x) AS toxic FROM flagged GROUP BY part, m),
+steps(filter_order, step, f, b) AS (VALUES {steps}),
+counted AS (
+  SELECT part, filter_order, step, f,
+       {columns}
+  FROM classes CROSS JOIN steps GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
@@ -212,5 +254,6 @@ QUERIES = {
     "op10_substring": op10_substring,
     "op11_bytebpe": op11_bytebpe,
     "op12_align": op12_align,
+    "op13_filters": op13_filters,
 }
-ORACLES = {"op4_secrets": _op4_sql(), "op5_topk": OP5_SQL, "op10_substring": OP10_SQL}
+ORACLES = {"op4_secrets": _op4_sql(), "op5_topk": OP5_SQL, "op10_substring": OP10_SQL, "op13_filters": _op13_sql()}
