@@ -169,7 +169,7 @@ def _op4_sql() -> str:
     for place, rule in enumerate(secrets.RULES):
         pattern = _both_cases(rule.pattern).replace("'", "''")
         rules.append(f"""
-          SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, {rule.least} AS least, i,
+          SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, {rule.least} AS least, {rule.paired} AS paired, i,
                  string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}', 0) AS m,
                  regexp_extract_all(t, '{pattern}', {rule.group}) AS g
           FROM d, unnest(range(1, len(regexp_extract_all(t, '{pattern}', 0)) + 1)) AS u(i)""")
@@ -178,10 +178,40 @@ def _op4_sql() -> str:
     return f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         found AS ({" UNION ALL ".join(rules)}),
+        placed AS (
+          SELECT *, CAST(list_sum([len(x) FOR x IN p[1:i]]) + coalesce(list_sum([len(x) FOR x IN m[1:i - 1]]), 0)
+                         AS BIGINT) AS a FROM found),
+        begun AS (
+          SELECT doc_id, place, kind, a, i, a + len(m[i]) AS after, p[i + 1] AS rest,
+                 coalesce(starts_with(m[i + 1], '-----END') AND NOT contains(p[i + 1], '-----'), false) AS closed,
+                 len(m[i]) + len(p[i + 1]) + len(m[i + 1]) AS size
+          FROM placed WHERE paired AND starts_with(m[i], '-----BEGIN')),
+        open_line AS (
+          SELECT doc_id, i, j, lines[j] AS line, CAST(coalesce(list_sum([len(x) + 1 FOR x IN lines[1:j - 1]]), 0) AS BIGINT) AS at
+          FROM (SELECT doc_id, i, string_split(regexp_replace(replace(rest, chr(13), ' '), '\\[rn]', ' ' || chr(10), 'g'),
+                       chr(10)) AS lines FROM begun WHERE NOT closed), unnest(range(1, len(lines) + 1)) AS u(j)),
+        described AS (
+          SELECT *, len(regexp_extract(line, '{secrets.KEY_TEXT}')) AS body, len(rtrim(line, ' ' || chr(9))) AS whole,
+                 regexp_matches(line, '{secrets.KEY_HEADER}') AS header, regexp_matches(line, '{secrets.KEY_LAST}') AS last
+          FROM open_line),
+        seen AS (
+          SELECT *, coalesce(max(body) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                             0) > 0 AS key
+          FROM described),
+        judged AS (
+          SELECT *, CASE WHEN body > 0 THEN body WHEN (header AND NOT key) OR (last AND key) THEN whole END AS used,
+                 CASE WHEN body > 0 THEN body >= whole ELSE whole = 0 OR (header AND NOT key) END AS goes_on
+          FROM seen),
+        kept AS (
+          SELECT *, coalesce(bool_and(goes_on) OVER (PARTITION BY doc_id, i ORDER BY j
+                                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS reached
+          FROM judged),
+        tails AS (SELECT doc_id, i, max(at + used) FILTER (reached) AS tail FROM kept GROUP BY doc_id, i),
         spans AS (
-          SELECT doc_id, place, kind, a, a + len(m[i]) AS b FROM (
-            SELECT *, CAST(list_sum([len(x) FOR x IN p[1:i]]) + coalesce(list_sum([len(x) FOR x IN m[1:i - 1]]), 0)
-                           AS BIGINT) AS a FROM found) WHERE len(g[i]) >= least)
+          SELECT doc_id, place, kind, a, a + len(m[i]) AS b FROM placed WHERE NOT paired AND len(g[i]) >= least
+          UNION ALL
+          SELECT doc_id, place, kind, a, CASE WHEN closed THEN a + size ELSE after + coalesce(tail, 0) END
+          FROM begun LEFT JOIN tails USING (doc_id, i))
         SELECT d.doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access,
                count(*) FILTER (place = 2) AS n_hex, sha256({joined.format(base)}) AS base_sha256,
                {joined.format("")} AS spans

@@ -27,21 +27,16 @@ class Rule:
     pattern: str        # the same meaning in Java and in Python
     group: int = 0      # the group whose length counts
     least: int = 1      # characters in that group
+    paired: bool = False  # the pattern matches the edges of a block; a span is a whole block
 
 
-def _private_key() -> str:
-    """From the BEGIN line through the END line, before which no other line of five dashes stands.
-
-    Without an END line, over the header lines and base64 lines that follow, 400 at most (a key of
-    16,384 bits has about 200), and what is left of the last. Line ends may be written as \\n. No look-around,
-    and repeats nest to 1000 at most, which RE2 demands; bounded repeats keep Java's recursion low.
-    """
-    space, edge = r"(?:[\x20\t\r\n]+|\\[rn])", r"-----{0}\x20[A-Z\x20]{{0,40}}PRIVATE KEY-----"
-    line = "[A-Za-z0-9+/]" * 20 + "[A-Za-z0-9+/=]*"
-    header = r"[A-Za-z-]+:\x20[^\r\n]*[\r\n]"
-    return (edge.format("BEGIN") + r"(?:[^-]*(?:-{1,4}[^-]+){0,40}" + edge.format("END")
-            + f"|{space}{{0,4}}(?:{header}{space}{{0,4}}){{0,4}}(?:{line}{space}{{1,2}}){{0,400}}{line}"
-            + r"(?:(?:\r?\n|\\n)[A-Za-z0-9+/]+={0,2})?)?")
+# A private key's first and last line.
+KEY_EDGE = r"-----(?:BEGIN|END)\x20[A-Z\x20]{0,40}PRIVATE KEY-----"
+# What a line of a key without END may be: key text from its start, a header, or the short last line. Blanks
+# may stand between its parts. No group repeats, so matching needs no recursion, however long a line is.
+KEY_TEXT = r"^[A-Za-z0-9+/=\x20\t]*[A-Za-z0-9+/]{20}[A-Za-z0-9+/]*={0,2}(?:\x20[A-Za-z0-9+/]{1,19}={1,2})?"
+KEY_HEADER = r"^[\x20\t]*[A-Za-z-]+:\x20"
+KEY_LAST = r"^[\x20\t]*[A-Za-z0-9+/]{1,19}={0,2}[\x20\t]*$"
 
 
 # The first three are the base rules; their order is that of equal starts.
@@ -51,7 +46,7 @@ RULES = [
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     # Equal to the runs of [0-9a-f]+ with 16 characters or more: shorter runs hold no match.
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
-    Rule("private_key", _private_key(), 0, 1),
+    Rule("private_key", KEY_EDGE, 0, 1, paired=True),
     Rule("git_token", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 40),
@@ -123,7 +118,8 @@ def scan(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -
     """The input with ``spans``: kind, start and end (code points, end exclusive) of each match.
 
     Matches are leftmost and non-overlapping per rule; those whose counted group is too short are dropped
-    afterwards. Spans are sorted by start, then by the rules' order. Null texts count as empty and have
+    afterwards. A private key reaches from its BEGIN line through the next END line, unless another BEGIN line or
+    five dashes stand between; without END it reaches over the key and header lines that follow, however many. Spans are sorted by start, then by the rules' order. Null texts count as empty and have
     none. Repeated rows each have theirs. An empty table gives an empty one.
     """
     rules = RULES if rules is None else rules
@@ -149,7 +145,7 @@ def scan(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -
         for i in range(len(rules))])
     out = out.select("*", *[F.when(F.col(f"l{i}").isNotNull(), _running_sums(f"l{i}")).alias(f"p{i}")
                             for i in range(len(rules))])
-    spans = [F.when(F.col(f"m{i}").isNotNull(), _long_enough(i, r)).otherwise(
+    spans = [F.when(F.col(f"m{i}").isNotNull(), _blocks(i, r) if r.paired else _long_enough(i, r)).otherwise(
         F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>"))
         for i, r in enumerate(rules)]
     return out.select("row.*", F.transform(F.array_sort(F.concat(*spans)), lambda s: F.struct(
@@ -165,6 +161,55 @@ def _long_enough(i: int, rule: Rule) -> Column:
         F.lit(rule.kind).alias("kind")))
 
 
+def _blocks(i: int, rule: Rule) -> Column:
+    """A span from each BEGIN edge to where its block ends."""
+    matches = F.col(f"m{i}.matches")
+    numbers = F.filter(F.sequence(F.lit(0), F.size(matches) - 1), lambda m: matches[m].startswith("-----BEGIN"))
+
+    def end(m: Column) -> Column:
+        start, length = F.col(f"p{i}")[2 * m + 1], F.col(f"l{i}")[2 * m + 1]
+        after = F.col(f"m{i}.pieces")[m + 1]
+        closed = F.coalesce(F.get(matches, m + 1).startswith("-----END"), F.lit(False)) & ~F.contains(after, F.lit("-----"))
+        return F.when(closed, F.get(F.col(f"p{i}"), 2 * m + 3) + F.get(F.col(f"l{i}"), 2 * m + 3)).otherwise(
+            start + length + key_length(after))
+
+    return F.transform(numbers, lambda m: F.struct(
+        F.col(f"p{i}")[2 * m + 1].alias("start"), F.lit(i).alias("place"), end(m).alias("end"),
+        F.lit(rule.kind).alias("kind")))
+
+
+def key_length(text: Column) -> Column:
+    """How many characters of a text that follows a BEGIN edge are the key's: a fold over its lines.
+
+    Headers count until the first key text; blank lines count if key text or a header follows. A line that is
+    key text to its end goes on, one that is so in part ends the key there, a short last line ends it after
+    itself, any other line before itself. Line ends may also be written as \\n.
+    """
+    # Of the same length, with one character per line end.
+    lines = F.split(F.regexp_replace(F.translate(text, "\r", " "), r"\\\\[rn]", " \n"), "\n", -1)
+    zero = F.lit(0).cast("long")
+
+    def described(line: Column) -> Column:
+        body = F.length(F.regexp_extract(line, KEY_TEXT, 0))
+        whole = F.length(F.rtrim(line, F.lit(" \t")))
+        return F.struct(
+            F.length(line).alias("length"), body.alias("body"), whole.alias("whole"),
+            (whole == 0).alias("blank"), line.rlike(KEY_HEADER).alias("header"), line.rlike(KEY_LAST).alias("last"))
+
+    def step(acc: Column, x: Column) -> Column:
+        key = x["body"] > 0
+        header, last = x["header"] & ~acc["key"], x["last"] & acc["key"]
+        used = F.when(key, x["body"]).when(header | last, x["whole"])
+        return F.when(~acc["open"], acc).otherwise(F.struct(
+            (acc["at"] + x["length"] + 1).alias("at"),
+            F.coalesce(acc["at"] + used, acc["used"]).alias("used"),
+            (acc["key"] | key).alias("key"),
+            F.when(key, x["body"] >= x["whole"]).otherwise(x["blank"] | header).alias("open")))
+
+    start = F.struct(zero.alias("at"), zero.alias("used"), F.lit(False).alias("key"), F.lit(True).alias("open"))
+    return F.aggregate(F.transform(lines, described), start, step, lambda acc: acc["used"])
+
+
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """The input with every span of ``scan`` replaced by ``mark``; spans that touch or overlap share one.
 

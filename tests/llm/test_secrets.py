@@ -18,9 +18,45 @@ MORE = [
 ]
 
 
+def key_end(text, at):
+    """Where the key text that begins at a place ends, line by line."""
+    used, key = at, False
+    rest = re.sub(r"\\\\[rn]", " \n", text[at:].replace("\r", " "))
+    for line in rest.split("\n"):
+        whole = len(line.rstrip(" \t"))
+        body = re.match(secrets.KEY_TEXT, line)
+        if body:
+            key, used = True, at + body.end()
+            if body.end() < whole:
+                break
+        elif re.search(secrets.KEY_HEADER, line) and not key:
+            used = at + whole
+        elif whole:
+            if key and re.search(secrets.KEY_LAST, line):
+                used = at + whole
+            break
+        at += len(line) + 1
+    return used
+
+
+def keys(text):
+    edges = list(re.finditer(secrets.KEY_EDGE, text))
+    for edge, following in zip(edges, [*edges[1:], None]):
+        if edge.group().startswith("-----END"):
+            continue
+        stop = following.start() if following else len(text)
+        if following and following.group().startswith("-----END") and "-----" not in text[edge.end():stop]:
+            yield edge.start(), following.end()
+        else:
+            yield edge.start(), key_end(text[:stop], edge.end())
+
+
 def brute(text):
     found = []
     for place, rule in enumerate(secrets.RULES):
+        if rule.paired:
+            found += [(a, place, b, rule.kind) for a, b in keys(text or "")]
+            continue
         pattern = "[0-9a-f]+" if rule.kind == "hex" else rule.pattern
         for m in re.finditer(pattern, text or "", re.ASCII):
             if len(m.group(rule.group)) >= rule.least:
@@ -88,6 +124,16 @@ def test_no_key_body_is_left(llm):
         (f"a {begin}\n{body}\n{end}\nb\n{begin}\n{body}\n{end} z", "a [secret]\nb\n[secret] z"),
         (f"a {begin} plain - words -- follow" * 300, "a [secret] plain - words -- follow" * 300),
     ]
+    dashes = "\n".join(["- -- --- ----"] * 41)
+    for n in (450, 5_000, 100_000):
+        long = "\n".join(lines[i % 50] for i in range(n))
+        cases += [(f"a {begin}\n{long}\n{end} z", "a [secret] z"), (f"a {begin}\n{long}\nz, z", "a [secret]\nz, z")]
+    cases += [
+        (f"a {begin}\n{dashes}\n{body}\n{end} z", "a [secret] z"), (f"-{begin}\n{body}\n{end}-", "-[secret]-"),
+        (f"a {begin} {' '.join(lines)} and, z", "a [secret] and, z"), (f"a {begin}\n{lines[0]}. z", "a [secret]. z"),
+        (f"a {begin}\n{'Ab1/' * 300_000}\n{end}", "a [secret]"), (f"a {begin}\n{'Ab1/' * 300_000}", "a [secret]"),
+        (f"{end} {begin}", f"{end} [secret]"), (f"{begin}\n\n\nno key", "[secret]\n\n\nno key"),
+    ]
     docs = llm.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert got == {i: want for i, (_, want) in enumerate(cases)}
