@@ -187,7 +187,7 @@ def _op4_sql() -> str:
                  len(m[i]) + len(p[i + 1]) + len(m[i + 1]) AS size
           FROM placed WHERE paired AND starts_with(m[i], '-----BEGIN')),
         open_line AS (
-          SELECT doc_id, i, j, lines[j] AS line, CAST(coalesce(list_sum([len(x) + 1 FOR x IN lines[1:j - 1]]), 0) AS BIGINT) AS at
+          SELECT doc_id, i, j, lines[j] AS line, CAST(coalesce(list_sum([len(x) + 1 FOR x IN lines[1:j - 1]]), 0) AS BIGINT) AS begins
           FROM (SELECT doc_id, i, string_split(regexp_replace(replace(rest, chr(13), ' '), '\\[rn]', ' ' || chr(10), 'g'),
                        chr(10)) AS lines FROM begun WHERE NOT closed), unnest(range(1, len(lines) + 1)) AS u(j)),
         described AS (
@@ -206,7 +206,7 @@ def _op4_sql() -> str:
           SELECT *, coalesce(bool_and(goes_on) OVER (PARTITION BY doc_id, i ORDER BY j
                                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS reached
           FROM judged),
-        tails AS (SELECT doc_id, i, max(at + used) FILTER (reached) AS tail FROM kept GROUP BY doc_id, i),
+        tails AS (SELECT doc_id, i, max(begins + used) FILTER (reached) AS tail FROM kept GROUP BY doc_id, i),
         spans AS (
           SELECT doc_id, place, kind, a, a + len(m[i]) AS b FROM placed WHERE NOT paired AND len(g[i]) >= least
           UNION ALL
