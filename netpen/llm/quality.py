@@ -8,7 +8,8 @@ are rejected.
 Vectors are whole numbers on a fixed grid, so all sums are exact and reruns agree. A concentration
 step is one aggregate of sums and products per group, with partial sums before the shuffle, and one
 histogram of distances per group on a fixed logarithmic grid, from which the nearest ``SHARE`` of the
-rows is read; no group is gathered or sorted. The starting half is chosen around the coordinates'
+rows is read; no group is gathered or sorted. Steps go on until the sums are those of an earlier step: the
+estimate has settled, or goes round between ties. The starting half is chosen around the coordinates'
 medians, scaled by their median absolute deviations, both read from histograms too.
 """
 
@@ -26,7 +27,6 @@ MAX_REPEAT_PERCENT = 30
 GRID = 256          # vector coordinates are whole multiples of 1/GRID
 LIMIT = 16 * GRID   # and lie within +-LIMIT
 SHARE = 0.5         # of a group's rows that the estimate rests on: copies of one text may be near half
-STEPS = 3           # concentration steps
 CONSISTENCY = 1.91  # makes the scatter of the nearest half fit a normal sample in 5 dimensions
 MIN_GROUP = 60      # sources with fewer rows are pooled per language, then over the corpus
 # Least standard deviation per coordinate, so that a coordinate that hardly varies in clean texts
@@ -208,7 +208,8 @@ def _estimate(vectors: DataFrame) -> DataFrame:
         scale = F.greatest(1.4826 * F.col(f"{i}_s") / float(GRID), F.lit(FLOORS[AXES[i]]))
         columns[f"inv_{i}_{j}"] = 1 / scale if i == j else F.lit(0.0)
     params = stage(wide.select("group", *[c.alias(n) for n, c in columns.items()]), "quality-start")
-    for _ in range(STEPS):
+    seen = set()
+    while True:
         near = vectors.join(params, "group")
         cut = _quantile(near.groupBy("group", _distance_bin().alias("bin")).count(),
                         ["group"], SHARE, "last_bin")
@@ -217,8 +218,13 @@ def _estimate(vectors: DataFrame) -> DataFrame:
         sums = chosen.groupBy("group").agg(
             F.count("*").alias("m"), *[F.sum(x).alias(f"sum_{i}") for i, x in enumerate(AXES)],
             *[F.sum(F.col(AXES[i]) * F.col(AXES[j])).alias(f"sum_{i}_{j}") for i, j in _pairs()])
+        sums = stage(sums, "quality-sums")
         params = stage(_factor(sums), "quality-step")
-    return params
+        # Whole numbers: equal sums mean equal rows chosen. All groups take their steps together.
+        now = sums.agg(F.count("*"), F.sum(F.xxhash64(*sums.columns).cast("decimal(20,0)"))).first()
+        if now in seen:
+            return params
+        seen.add(now)
 
 
 def _factor(sums: DataFrame) -> DataFrame:
