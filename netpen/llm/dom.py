@@ -12,13 +12,13 @@ import re
 import numpy as np
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?"
-                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)|[^<]+|<", re.S)
+                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^>\"'])*)(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 # Elements whose content is no text of the page; the parser passes over them.
-SKIPPED = {"script", "style", "noscript", "template", "head", "title", "iframe", "object", "svg", "math", "canvas",
+SKIPPED = {"script", "style", "template", "head", "title", "iframe", "svg", "canvas",
            "audio", "video", "select", "textarea", "button", "datalist"}
-RAW = {"script", "style", "title", "textarea", "iframe", "noscript"}
+RAW = {"script", "style", "title", "textarea", "iframe"}
 # Groups of block elements; what is in none of them is inline.
 GROUPS = ["run", "p", "h", "li", "list", "div", "section", "article", "main", "nav", "header", "footer", "aside",
           "form", "table", "quote", "figure", "other"]
@@ -79,8 +79,9 @@ class Nodes:
         self.pages = 0
 
     def add(self, source: str, known: dict) -> None:
-        """Parse a page."""
+        """Parse a page, in time that grows with its length, however deep it nests."""
         stack = [("", self._node(-1, BLOCKS["html"], 0))]  # open block elements
+        places: dict[str, list[int]] = {}                  # of the open elements of each name in the stack
         parts: list[str] = []
         linked = links = 0
         in_link = False
@@ -105,7 +106,13 @@ class Nodes:
 
         def close(upto: int) -> None:
             while len(stack) > upto:
-                self.end[stack.pop()[1]] = len(self.page)
+                name, node = stack.pop()
+                self.end[node] = len(self.page)
+                if name:
+                    places[name].pop()
+
+        def nearest(names: set[str]) -> int:
+            return max((places[name][-1] for name in names if places.get(name)), default=0)
 
         at = 0
         while (match := TOKEN.match(source, at)) is not None:
@@ -148,26 +155,23 @@ class Nodes:
                     parts.append(" " if tag == "br" else "")
                 continue
             run()
-            names = [name for name, _ in stack]
             if closing:
-                if tag in names:
-                    close(len(names) - 1 - names[::-1].index(tag))
+                if places.get(tag):
+                    close(places[tag][-1])
                 continue
             if tag in ("html", "body"):
                 continue
-            if "p" in names:  # no block stands in a paragraph
-                close(len(names) - 1 - names[::-1].index("p"))
+            if places.get("p"):  # no block stands in a paragraph
+                close(places["p"][-1])
             elif tag in _ENDS:
                 ended, walls = _ENDS[tag]
-                for i in range(len(names) - 1, 0, -1):
-                    if names[i] in walls:
-                        break
-                    if names[i] in ended:
-                        close(i)
-                        break
+                at_ended = nearest(ended)
+                if at_ended > nearest(walls):
+                    close(at_ended)
             if tag == "hr":
                 continue
             node = self._node(stack[-1][1], group, attribute_flags(match[3], known) if match[3] else 0)
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, node))
         run()
         close(0)
@@ -195,6 +199,12 @@ def subtree_sum(values: np.ndarray, end: np.ndarray) -> np.ndarray:
     return sums[end] - sums[:-1]
 
 
+def levels(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(depth))[:-1]) if len(depth) else []
+
+
 def features(a: dict[str, np.ndarray]) -> np.ndarray:
     """One row per node: its own group and tokens, those above it, and its subtree and sibling figures."""
     n = len(a["page"])
@@ -204,13 +214,11 @@ def features(a: dict[str, np.ndarray]) -> np.ndarray:
     tokens = (a["flags"][:, None] >> np.arange(_N)) & 1
     own = np.concatenate([groups[:, 9:14], tokens], axis=1)  # nav to form, and the tokens
     above = np.zeros_like(own, dtype=np.float64)
-    for level in range(1, int(a["depth"].max(initial=0)) + 1):
-        at = a["depth"] == level
-        above[at] = above[up[at]] + own[up[at]]
     in_article = np.zeros(n)
-    for level in range(1, int(a["depth"].max(initial=0)) + 1):
-        at = a["depth"] == level
-        in_article[at] = np.maximum(in_article[up[at]], groups[up[at], 7] + groups[up[at], 8] > 0)
+    article = groups[:, 7] + groups[:, 8] > 0
+    for at in levels(a["depth"])[1:]:
+        above[at] = above[up[at]] + own[up[at]]
+        in_article[at] = np.maximum(in_article[up[at]], article[up[at]])
     end = a["end"]
     size = end - np.arange(n)
     chars, linked = subtree_sum(a["chars"], end), subtree_sum(a["linked"], end)
@@ -245,12 +253,12 @@ def choose(a: dict[str, np.ndarray], score: np.ndarray) -> np.ndarray:
     log_yes, log_no = -np.logaddexp(0, -score), -np.logaddexp(0, score)
     rejected = subtree_sum(log_no, a["end"])
     kept = log_yes.copy()
-    levels = [np.flatnonzero(a["depth"] == d) for d in range(int(a["depth"].max(initial=0)) + 1)]
-    for level in reversed(levels[1:]):
+    by_depth = levels(a["depth"])
+    for level in reversed(by_depth[1:]):
         np.add.at(kept, a["parent"][level], np.maximum(kept[level], rejected[level]))
     chosen = np.zeros(len(score), bool)
-    if levels:
-        chosen[levels[0]] = True
-    for level in levels[1:]:
+    if by_depth:
+        chosen[by_depth[0]] = True
+    for level in by_depth[1:]:
         chosen[level] = chosen[a["parent"][level]] & (kept[level] > rejected[level])
     return chosen

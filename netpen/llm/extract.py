@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from netpen.llm import boosting, dom
 
-SAMPLE_PAGES = 150   # pages that lend their texts to training, the bound of what the driver gathers
-SAMPLE_CHARS = 20_000  # of each of these pages; extraction itself reads whole pages
+SAMPLE_PAGES = 150   # pages that lend their texts to training; with the next, the bound of what the driver gathers
+SAMPLE_CHARS = 20_000  # training takes pages of up to so many characters, whole; extraction reads all pages
 LAYOUTS = 400        # training layouts
 SEED = 7
 MARK = "\ue000"    # starts a run of main text in a training layout
@@ -135,12 +135,12 @@ def train(pages: DataFrame, id_column: str = "page_id", html: str = "html", samp
           layouts: int = LAYOUTS, seed: int = SEED) -> dict:
     """The model, from the ``sample`` pages with the smallest hashes of id; the same each time."""
     key = F.xxhash64(F.lit(seed), F.col(f"`{id_column}`"))
-    # Ids first: html is read for the sample alone.
-    ids = [r[0] for r in pages.where(F.col(f"`{id_column}`").isNotNull()).select(
+    short = pages.where(F.length(F.col(f"`{html}`")) <= SAMPLE_CHARS)
+    # Ids first: no page is carried through the choice of the sample.
+    ids = [r[0] for r in short.where(F.col(f"`{id_column}`").isNotNull()).select(
         F.col(f"`{id_column}`").alias("id"), key.alias("h")).distinct().orderBy("h", "id").limit(sample).collect()]
-    texts = [r[0] for r in pages.where(F.col(f"`{id_column}`").isin(ids)).select(
-        key, F.substring(F.col(f"`{html}`"), 1, SAMPLE_CHARS).alias("html")).where("html is not null").distinct()
-        .orderBy("html").limit(sample).select("html").collect()] if ids else []
+    texts = [r[0] for r in short.where(F.col(f"`{id_column}`").isin(ids)).select(
+        F.col(f"`{html}`").alias("html")).distinct().orderBy("html").limit(sample).collect()] if ids else []
     return fit(texts, layouts, seed)
 
 

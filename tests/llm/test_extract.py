@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -94,3 +96,22 @@ def test_tables(llm, model):
     assert extract.extract(pages.limit(0), model).count() == 0
     again = extract.train(pages, layouts=60)
     assert extract.extract(pages, again).count() == 5
+
+
+def test_long_pages_take_time_in_proportion(model):
+    """Deep nesting, tags without ends and quotes without ends, each about a megabyte."""
+    deep = "<div>" * 100_000 + "<p>Some words, deep down in here.</p>" + "</div>" * 100_000
+    begun = time.monotonic()
+    for page in (deep, "<ul>" * 100_000 + "<li>x" * 100_000, "<a " * 350_000, '<a "' * 250_001, "<p" * 500_000,
+                 "<!--" * 250_000, "<script>" * 120_000, "<b><p>x</b>" * 90_000):
+        extract.main_texts([page], model, {})
+    assert time.monotonic() - begun < 120
+
+
+def test_lists_close_their_items():
+    assert runs("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>e") == ["a", "b", "c", "d", "e"]
+    nodes = dom.Nodes()
+    nodes.add("<ul><li>a<ul><li>b</ul><li>c</ul><table><tr><td>x<table><tr><td>y</table><td>z", {})
+    parents = {t: nodes.parent[nodes.parent[i]] for i, t in enumerate(nodes.texts) if t}
+    assert parents["a"] == parents["c"] != parents["b"] and parents["x"] == parents["z"] != parents["y"]
+    assert runs("<noscript>a</noscript><math><mi>b</mi></math><object><p>c</p></object>") == ["ab", "c"]
