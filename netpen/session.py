@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -47,6 +48,7 @@ def staging_root(spark: SparkSession) -> str:
 
 _local_roots: dict[int, str] = {}
 _open_jobs: list[list[str]] = []
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -60,7 +62,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     if _open_jobs:
         _open_jobs[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    _folders[staged] = path
+    return staged
+
+
+def release(staged: DataFrame) -> None:
+    """Delete the folder of what ``stage`` returned, once nothing will read it any more."""
+    path = _folders.pop(staged, None)
+    if path:
+        delete_path(staged.sparkSession, path)
 
 
 @contextmanager
