@@ -68,19 +68,18 @@ VIEWS: dict[str, str] = {
                cast(floor((1000 + user_id % 9000) * (80 + event_id % 20) * 0.01) as int) as alive_count,
                cast(0.80 + cast(event_id % 20 as decimal(4,0)) * 0.01 as decimal(7,4)) as survival_rate,
                ts as report_time
-        from events where event_type = 'view'""",
+        from events""",
     "harvest_batch": """
         select o_orderkey as harvest_id, concat('HB-', cast(o_orderkey as string)) as harvest_no,
                o_custkey as batch_id, concat('CAGE-', cast(c_nationkey as string)) as cage_no,
                cast(500 + o_orderkey % 9000 as int) as harvest_count,
                cast(o_totalprice as decimal(12,2)) as total_weight_kg, o_orderdate as harvest_time,
                case when o_orderkey % 2 = 0 and c_nationkey % 3 = 0 then 'ACCEPTED' else 'PENDING' end as status
-        from orders join customer on o_custkey = c_custkey
-        where o_orderpriority = '1-URGENT'""",
+        from orders join customer on o_custkey = c_custkey""",
     "feed_observation": """
         select event_id as obs_id, concat('OB-', cast(event_id as string)) as obs_no,
                user_id as batch_id, ts as observed_at_utc, cast(value as decimal(10,3)) as feed_amount_kg
-        from events where event_type in ('purchase', 'view')""",
+        from events""",
     "cage_sea_area": """
         select concat('CAGE-', cast(n_nationkey as string)) as cage_no, n_name as sea_area,
                case n_regionkey when 0 then 'Africa/Cairo' when 1 then 'America/New_York'
@@ -158,14 +157,18 @@ VIEWS: dict[str, str] = {
         union all
         select concat('file-', cast(event_id % 4 as string)), {TS} '2024-02-01 00:00:00', event_id * 8 + 9, '   '
         from events where event_id % 101 = 0""",
+    # Every event was observed before: one in five at the time that the lines name, the others in an earlier season.
+    "stored_time": """
+        select event_id, user_id, value,
+               date_trunc('second', case when event_id % 5 = 0 then ts else ts - interval 400 day end) as observed_at
+        from events""",
     "stored_event": """
         select * from (
           select event_id, user_id, concat('VOY-', cast(event_id % 7 as string)) as voyage_no,
-                 concat('CAGE-', cast(user_id % 27 as string)) as cage_no, date_trunc('second', ts) as observed_at,
+                 concat('CAGE-', cast(user_id % 27 as string)) as cage_no, observed_at,
                  cast(value as decimal(10,2)) + case when event_id % 10 = 0 then 1 else 0 end as feed,
-                 row_number() over (partition by event_id % 7, user_id % 27, date_trunc('second', ts)
-                                    order by event_id) as pick
-          from events where event_id % 5 = 0) x
+                 row_number() over (partition by event_id % 7, user_id % 27, observed_at order by event_id) as pick
+          from stored_time) x
         where pick = 1""",
     "stored_observation": """
         select voyage_no, cage_no, cast(observed_at as {TS}) as observed_at,

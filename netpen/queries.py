@@ -79,7 +79,11 @@ select g.batch_id, g.cage_no, g.business_date,
        cast(round(coalesce(m.peak, 0), 2) as decimal(18,2)) as peak_total_kg,
        cast(round(coalesce(m.flat, 0), 2) as decimal(18,2)) as flat_total_kg,
        cast(round(coalesce(m.valley, 0), 2) as decimal(18,2)) as valley_total_kg,
-       cast(round(coalesce(m.total, 0), 2) as decimal(18,2)) as total_weighted_kg
+       cast(round(coalesce(m.total, 0), 2) as decimal(18,2)) as total_weighted_kg,
+       (select concat('[', string_agg(concat(
+          '{"ruleId":', rule_id, ',"ruleCode":"', rule_code, '","versionNo":', version_no, ',"ruleType":"', rule_type,
+          '","startMinute":', start_minute, ',"endMinute":', end_minute, ',"coefficient":', cast(coefficient as decimal(12,4)), '}'),
+          ',' order by start_minute, rule_code), ']') from ts_rule) as rule_snapshot
 from target g
 left join (select batch_id, business_date, count(*) as obs_total from inside
            group by batch_id, business_date) n
@@ -92,7 +96,7 @@ left join (select batch_id, business_date, count(*) as obs_matched,
            from matched group by batch_id, business_date) m
   on m.batch_id = g.batch_id and m.business_date = g.business_date""")
 def rule_calc_daily(spark, sf_dir):
-    return _calc(spark, sf_dir).results.drop("rule_snapshot")
+    return _calc(spark, sf_dir).results
 
 
 @query("rule_calc_detail", _PLACED + """
@@ -612,7 +616,8 @@ select case when old_record_batch is not null then old_record
        case when old_record_batch is null then active_batch end as batch_id,
        case when old_record_batch is null then cage_no end as cage_no,
        case when old_record_batch is null then 'IMPORT-CSV' end as feed_type,
-       feed_amount_kg as amount_kg, observed_at as feeding_time, 0 as posted
+       feed_amount_kg as amount_kg, observed_at as feeding_time,
+       case when old_record_batch is null then 0 end as posted
 from last_feed""")
 def import_feeding_records(spark, sf_dir):
     return _import(spark, sf_dir).feeding_records
@@ -742,17 +747,21 @@ def chains_by_cage_query(spark, sf_dir):
 
 
 @query("history_by_cage", _AUDIT + """
-select x.chain_no, x.batch_id, x.check_name, x.passed, null::varchar as detail from (
-  select chain_no, batch_id, 'CAGE_LINKED' as check_name, cage_linked as passed from audit
-  union all select chain_no, batch_id, 'TIME_ORDERED', time_ordered from audit) x
+select x.chain_no, x.batch_id, x.check_name, x.passed,
+       case when x.check_name = 'SEQ_CONTINUOUS' then concat('events=', cast(x.event_count as varchar)) end as detail
+from (
+  select chain_no, batch_id, event_count, unnest([
+    {'check_name': 'SEQ_CONTINUOUS', 'passed': seq_continuous}, {'check_name': 'CAGE_LINKED', 'passed': cage_linked},
+    {'check_name': 'TIME_ORDERED', 'passed': time_ordered}, {'check_name': 'HANDOFF_EQUAL', 'passed': handoff_equal},
+    {'check_name': 'FEED_MONOTONIC', 'passed': feed_monotonic}, {'check_name': 'SNAPSHOT_READABLE', 'passed': snapshot_readable}],
+    recursive := true) from audit) x
 where x.chain_no in (
   select chain_no from migration_chain where origin_cage_no = 'CAGE-3' or current_cage_no = 'CAGE-3'
   union select chain_no from migration_event where source_cage_no = 'CAGE-3' or target_cage_no = 'CAGE-3')""")
 def history_by_cage_query(spark, sf_dir):
     from netpen.plans.audit import history_by_cage
     v = views(spark, sf_dir, "migration_chain", "migration_event")
-    return history_by_cage(v["migration_chain"], v["migration_event"], "CAGE-3").where(
-        F.col("check_name").isin("CAGE_LINKED", "TIME_ORDERED"))
+    return history_by_cage(v["migration_chain"], v["migration_event"], "CAGE-3")
 
 
 @query("segment_asof", """
