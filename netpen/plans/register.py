@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from netpen.functions import ring, times
 from netpen.functions.numbers import survival_rate
 from netpen.functions.text import is_blank
+from netpen.operators.granting import grant_spans
 from netpen.operators.hot import OrderedScan, hot_keys_of, skew_join
 from netpen.operators.latest import first_per_key
 from netpen.plans.rulecalc import RULE_TYPES
+from netpen.session import stage
 
 # Fixed values.
 STATUSES = {
@@ -121,28 +123,42 @@ def _parent(tables: dict[str, DataFrame], name: str, key: str, prefix: str) -> D
                          *[F.col(c).alias(f"{prefix}{c}") for c in parent.columns if c != key])
 
 
-def _tide_conflict(rows: DataFrame, stored: DataFrame, hot_rows: int | None) -> DataFrame:
-    """Flag ``overlaps``: the tide meets a stored tide, or a new tide that starts before it.
-
-    New rows are taken by start; one that meets an earlier new row is refused and may be sent again.
-    """
+def _meets_stored(rows: DataFrame, stored: DataFrame, hot_rows: int | None) -> DataFrame:
+    """``request_id`` of the new tides that meet a stored tide of their cage, found by two ordered scans."""
     known = stored.select("cage_no", "start_at_utc", "end_at_utc", F.lit(None).cast("bigint").alias("request_id"))
-    every = rows.withColumn("__new", F.lit(True)).unionByName(
-        known.withColumn("__new", F.lit(False)), allowMissingColumns=True)
+    every = rows.select("request_id", "cage_no", "start_at_utc", "end_at_utc").withColumn(
+        "__new", F.lit(True)).unionByName(known.withColumn("__new", F.lit(False)))
     every = every.withColumns({
         "__order": F.coalesce("request_id", F.lit(-1).cast("bigint")),
         "__from_end": -F.unix_micros(F.col("start_at_utc").cast("timestamp"))})
+    old = lambda c: F.when(~F.col("__new"), F.col(c))
     forward = OrderedScan(every, ["cage_no"], ["start_at_utc", "__order"],
                           F.date_trunc("day", "start_at_utc"), hot_rows)
-    forward.carry(maximum={"__reached": F.col("end_at_utc")})
+    forward.carry(maximum={"__reached": old("end_at_utc")})
     backward = OrderedScan(forward.rows(), ["cage_no"], ["__from_end", "__order"],
                            F.floor(F.col("__from_end") / 86_400_000_000), hot=forward.hot)
-    backward.carry(last={"__next_start": F.when(~F.col("__new"), F.col("start_at_utc"))})
-    meets = ((F.col("start_at_utc") < F.col("__reached"))
-             | (F.col("__next_start") < F.col("end_at_utc")))
-    return backward.rows().where(F.col("__new")).withColumn(
-        "overlaps", F.coalesce(meets, F.lit(False))).drop(
-        "__new", "__order", "__from_end", "__reached", "__next_start")
+    backward.carry(last={"__next_start": old("start_at_utc")})
+    return backward.rows().where(F.col("__new") & (
+        (F.col("start_at_utc") < F.col("__reached")) | (F.col("__next_start") < F.col("end_at_utc")))).select("request_id")
+
+
+def _grant_tides(rows: DataFrame, sound: Column, stored: DataFrame, hot_rows: int | None) -> DataFrame:
+    """The rows with ``late``: key_exists or overlaps_tide, judged in request order.
+
+    Only ``sound`` rows can be granted; a number counts as taken for every later request that asks for it.
+    """
+    asked = stage(rows.where(sound).select("request_id", "tide_no", "cage_no", "start_at_utc", "end_at_utc"), "sound-tides")
+    met = stage(_meets_stored(asked, stored, hot_rows), "met-tides")
+    judged = grant_spans(asked.join(met, "request_id", "left_anti"), "cage_no", "start_at_utc", "end_at_utc",
+                         "request_id", "tide_no", hot_rows)
+    verdicts = stage(judged.unionByName(met.withColumn("verdict", F.lit("meets_stored"))), "tide-verdicts")
+    # One row per number that was granted.
+    taken = asked.join(verdicts.where("verdict = 'granted'"), "request_id").select(
+        "tide_no", F.col("request_id").alias("__holder"))
+    met_any = F.col("verdict").isin("meets_granted", "meets_stored")
+    return skew_join(rows.join(verdicts, "request_id", "left"), taken, ["tide_no"], ["request_id"], "left", hot_rows).withColumn(
+        "late", F.when(F.col("__holder") < F.col("request_id"), "key_exists").when(met_any, "overlaps_tide")).drop(
+        "verdict", "__holder")
 
 
 def _finish(df: DataFrame, reason: Column, kind: str, columns: list[str],
@@ -153,7 +169,7 @@ def _finish(df: DataFrame, reason: Column, kind: str, columns: list[str],
         F.size(errors) > 0, F.concat_ws(":", F.get(errors, F.lit(0))["code"], F.get(errors, F.lit(0))["field"])
     ).otherwise(reason))
     key = UNIQUE_KEY.get(kind)
-    if key:
+    if key and kind != "tide_session":  # tides of one number are told apart when they are granted
         judged = first_per_key(
             judged.withColumn("__open", F.col("reason").isNull()), [key, "__open"], ["request_id"], "__first"
         ).withColumn("reason", F.when(F.col("__open") & ~F.col("__first"), "key_exists").otherwise(F.col("reason")))
@@ -242,11 +258,10 @@ def register(kind: str, rows: DataFrame, tables: dict[str, DataFrame],
         reason = (F.when(taken, "key_exists")
                   .when(F.col("start_at_utc") >= F.col("end_at_utc"), "start_not_before_end")
                   .when(F.col("zone").isNull(), "no_sea_area"))
-        sound = _tide_conflict(
-            df.withColumn("early", reason).where(F.col("early").isNull()), tables["tide_session"], hot_rows
-        ).select("request_id", "overlaps")
-        df = df.join(sound, "request_id", "left")
-        return _finish(df, F.coalesce(reason, F.when(F.col("overlaps"), "overlaps_tide")), kind, columns, {
+        sound = (F.size(field_errors(kind)) == 0) & reason.isNull()
+        df = stage(_grant_tides(df, sound, tables["tide_session"], hot_rows), "judged-tides")
+        taken_now = F.when(F.col("late") == "key_exists", F.col("late"))
+        return _finish(df, F.coalesce(taken_now, reason, "late"), kind, columns, {
             "sea_area": F.col("area"), "time_zone": F.col("zone"),
             "business_date": times.business_date(F.col("start_at_utc"), F.col("zone"))})
     if kind == "ts_rule":

@@ -972,19 +972,29 @@ def register_readings_rejected(spark, sf_dir):
 
 
 _JUDGED_TIDES = """
-with judged as (
+with recursive judged as (
   select n.*, a.sea_area, a.time_zone,
     case when n.tide_no in (select tide_no from tide_session) then 'key_exists'
          when n.start_at_utc >= n.end_at_utc then 'start_not_before_end'
-         when a.cage_no is null then 'no_sea_area' end as early
+         when a.cage_no is null then 'no_sea_area'
+         when exists (select 1 from tide_session t where t.cage_no = n.cage_no and t.start_at_utc < n.end_at_utc
+                      and t.end_at_utc > n.start_at_utc) then 'overlaps_tide' end as early
   from new_tide n left join cage_sea_area a on a.cage_no = n.cage_no),
+turn as (
+  select request_id, cage_no, start_at_utc as s, end_at_utc as e, row_number() over (partition by cage_no order by request_id) as pos
+  from judged where early is null),
+-- One request of every cage a step; the tide numbers of these rows are unique.
+fold as (
+  select cage_no, cast(0 as bigint) as pos, cast(null as bigint) as request_id, false as ok,
+         cast([] as struct(s timestamp, e timestamp)[]) as taken from (select distinct cage_no from turn) c
+  union all
+  select t.cage_no, t.pos, t.request_id, len(list_filter(f.taken, lambda x: x.s < t.e and x.e > t.s)) = 0,
+         case when len(list_filter(f.taken, lambda x: x.s < t.e and x.e > t.s)) = 0
+              then list_append(f.taken, {'s': t.s, 'e': t.e}) else f.taken end
+  from fold f join turn t on t.cage_no = f.cage_no and t.pos = f.pos + 1),
 final as (
-  select j.*, case when early is not null then early
-    when exists (select 1 from tide_session t where t.cage_no = j.cage_no and t.start_at_utc < j.end_at_utc and t.end_at_utc > j.start_at_utc)
-      or exists (select 1 from judged k where k.early is null and k.cage_no = j.cage_no
-                 and (k.start_at_utc < j.start_at_utc or (k.start_at_utc = j.start_at_utc and k.request_id < j.request_id))
-                 and k.end_at_utc > j.start_at_utc) then 'overlaps_tide' end as reason
-  from judged j)
+  select j.*, case when early is not null then early when not f.ok then 'overlaps_tide' end as reason
+  from judged j left join fold f on f.request_id = j.request_id)
 """
 
 
