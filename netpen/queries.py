@@ -786,31 +786,72 @@ def segment_asof(spark, sf_dir):
     return place_on_timeline(facts, "feeding_time", "record_id", v["fish_batch"], v["migration_event"])
 
 
+# One side of a hand-off document; fields that are null are left out.
+_SIDE = """concat('{{"cageNo":"', {0}, '","fishEstimateCount":', fish_estimate_count, ',"cumulativePostedFeedKg":', cumulative_feed_kg,
+  ',"cumulativeUnpostedFeedKg":', cumulative_unposted_kg, ',"feedingRecordCount":', feeding_record_count,
+  ',"postedRecordCount":', posted_record_count,
+  case when latest_survival_rate is null then '' else concat(',"latestSurvivalRate":', latest_survival_rate) end,
+  case when latest_survival_at is null then '' else concat(',"latestSurvivalAt":"', strftime(latest_survival_at, '%Y-%m-%dT%H:%M:%S'), '"') end,
+  ',"feedingPlanCount":', feeding_plan_count, ',"movedSensorCount":', sensor_count, ',"retainedSensorCount":', {1}, '}}')"""
 _WINNERS = """
-with met as (
+with recursive met as (
   select q.request_id, q.migration_no, q.batch_id, trim(q.target_cage_no) as target_cage_no,
          case when trim(coalesce(q.transfer_type, '')) = '' then 'TRANSFER' else upper(trim(q.transfer_type)) end as transfer_type,
-         q.occurred_at, b.batch_no, b.cage_no as source_cage_no, b.version as batch_version, b.fingerling_count,
-         c.chain_no, c.origin_cage_no, c.current_seq,
+         q.occurred_at, q.operator_id, q.operator_name, q.remark, q.expected_batch_version, q.expected_chain_seq,
+         b.batch_no, b.cage_no as first_cage, b.version as first_version, b.fingerling_count,
+         c.chain_no, c.origin_cage_no, coalesce(c.current_seq, 0) as first_seq, coalesce(c.current_cage_no <> b.cage_no, false) as unlinked,
          case when not regexp_full_match(q.migration_no, '[A-Za-z0-9_-]{1,40}') then 'bad_migration_no'
               when q.occurred_at > timestamp '2024-06-01 00:00:01' then 'in_the_future'
               when q.transfer_type = 'SWAP' then 'bad_transfer_type'
               when b.batch_id is null then 'batch_missing'
-              when b.status in ('HARVESTED', 'CLOSED') then 'batch_terminal'
-              when trim(q.target_cage_no) = b.cage_no then 'same_cage'
-              when trim(q.target_cage_no) in (select cage_no from fish_batch where status in ('BREEDING', 'MONITORING'))
-                then 'target_occupied'
-              when q.migration_no in (select migration_no from used_number) then 'migration_no_exists'
-              when q.expected_batch_version <> b.version then 'batch_version_differs'
-              when c.current_cage_no <> b.cage_no then 'chain_head_differs'
-              when q.expected_chain_seq <> coalesce(c.current_seq, 0) then 'chain_seq_differs' end as reason
+              when b.status in ('HARVESTED', 'CLOSED') then 'batch_terminal' end as unsound
   from move_request q left join fish_batch b on b.batch_id = q.batch_id
   left join move_chain c on c.batch_id = q.batch_id),
-r1 as (select *, row_number() over (partition by migration_no order by request_id) as n from met where reason is null),
-r2 as (select * exclude (n), row_number() over (partition by batch_id order by request_id) as n from r1 where n = 1),
-r3 as (select * exclude (n), row_number() over (partition by target_cage_no order by request_id) as n from r2 where n = 1),
-r4 as (select * exclude (n), row_number() over (partition by source_cage_no order by request_id) as n from r3 where n = 1),
-winner as (select * exclude (n) from r4 where n = 1)
+turn as (
+  select m.*, coalesce(o.held, cast([] as bigint[])) as held, u.migration_no is not null as used,
+         row_number() over (order by request_id) as pos
+  from met m left join (select cage_no, list(batch_id) as held from fish_batch where status in ('BREEDING', 'MONITORING')
+                        group by cage_no) o on o.cage_no = m.target_cage_no
+  left join (select distinct migration_no from used_number) u on u.migration_no = m.migration_no
+  where unsound is null),
+-- One request a step: where the moved batches are now, and the numbers granted.
+fold as (
+  select cast(0 as bigint) as pos, cast(null as bigint) as request_id, cast(null as varchar) as why, cast(null as varchar) as source_cage_no,
+         cast(0 as bigint) as hop, cast([] as struct(b bigint, c varchar, h bigint)[]) as at, cast([] as varchar[]) as numbers
+  union all
+  select j.pos, j.request_id, j.why, j.source_cage_no, j.hop,
+         case when j.why is null then list_append(list_filter(j.at, lambda m: m.b <> j.batch_id),
+                                                  {'b': j.batch_id, 'c': j.target_cage_no, 'h': j.hop + 1}) else j.at end,
+         case when j.why is null then list_append(j.numbers, j.migration_no) else j.numbers end
+  from (
+    select k.*, case when k.target_cage_no = k.source_cage_no then 'same_cage'
+                     when len(list_filter(k.held, lambda b: not list_contains(list_transform(k.at, lambda m: m.b), b))) > 0
+                       or list_contains(list_transform(k.at, lambda m: m.c), k.target_cage_no) then 'target_occupied'
+                     when k.used or list_contains(k.numbers, k.migration_no) then 'migration_no_exists'
+                     when k.expected_batch_version <> k.first_version + k.hop then 'batch_version_differs'
+                     when k.unlinked then 'chain_head_differs'
+                     when k.expected_chain_seq <> k.first_seq + k.hop then 'chain_seq_differs' end as why
+    from (
+      select t.*, f.at, f.numbers, coalesce(list_filter(f.at, lambda m: m.b = t.batch_id)[1].c, t.first_cage) as source_cage_no,
+             coalesce(list_filter(f.at, lambda m: m.b = t.batch_id)[1].h, 0) as hop
+      from fold f join turn t on t.pos = f.pos + 1) k) j),
+winner as (
+  select t.*, f.source_cage_no, cast(t.first_version + f.hop as int) as batch_version, cast(t.first_seq + f.hop + 1 as int) as seq_no, f.hop
+  from fold f join turn t on t.request_id = f.request_id where f.why is null),
+step as (
+  select w.request_id, w.migration_no, w.source_cage_no, w.target_cage_no,
+         (select min(n.request_id) from winner n where n.source_cage_no = w.target_cage_no and n.request_id > w.request_id) as next_id
+  from winner w),
+walk as (
+  select s.sensor_id, (select min(n.request_id) from winner n where n.source_cage_no = s.cage_no) as request_id, 0 as hop
+  from sensor s where s.status = 'ONLINE'
+  union all
+  select k.sensor_id, p.next_id, k.hop + 1 from walk k join step p on p.request_id = k.request_id where p.next_id is not null),
+handed as (
+  select w.migration_no, s.*, k.hop, 1 as moved, w.target_cage_no from walk k join winner w on w.request_id = k.request_id
+  join sensor s on s.sensor_id = k.sensor_id
+  union all
+  select w.migration_no, s.*, 0, 0, w.target_cage_no from winner w join sensor s on s.cage_no = w.source_cage_no where s.status <> 'ONLINE')
 """
 
 
@@ -822,20 +863,17 @@ def _handoff(spark, sf_dir):
 
 
 @query("handoff_rejected", _WINNERS + """
-select m.request_id, m.migration_no,
-       coalesce(m.reason, case when r1.n > 1 then 'migration_no_exists' when r2.n > 1 then 'batch_moved_in_run'
-                               when r3.n > 1 then 'target_taken_in_run' when r4.n > 1 then 'source_moved_in_run' end) as reason
-from met m left join r1 on r1.request_id = m.request_id left join r2 on r2.request_id = m.request_id
-left join r3 on r3.request_id = m.request_id left join r4 on r4.request_id = m.request_id
-where m.request_id not in (select request_id from winner)""")
+select m.request_id, m.migration_no, coalesce(m.unsound, f.why) as reason
+from met m left join fold f on f.request_id = m.request_id where coalesce(m.unsound, f.why) is not null""")
 def handoff_rejected(spark, sf_dir):
     return _handoff(spark, sf_dir).rejected
 
 
 @query("handoff_snapshot", _WINNERS + f"""
-select w.migration_no, w.batch_id, coalesce(w.chain_no, concat('CHAIN-', w.batch_no)) as chain_no,
-       coalesce(w.origin_cage_no, w.source_cage_no) as origin_cage_no, coalesce(w.current_seq, 0) + 1 as seq_no,
-       w.transfer_type, w.source_cage_no, w.target_cage_no, w.occurred_at, w.batch_version,
+, told as (
+select w.migration_no, w.batch_id, w.batch_no, coalesce(w.chain_no, concat('CHAIN-', w.batch_no)) as chain_no,
+       coalesce(w.origin_cage_no, w.first_cage) as origin_cage_no, w.seq_no,
+       w.transfer_type, w.source_cage_no, w.target_cage_no, w.occurred_at, w.batch_version, w.operator_id, w.operator_name, w.remark,
        coalesce(l.alive_count, w.fingerling_count) as fish_estimate_count,
        case when l.batch_id is null then 'FINGERLING' else 'LATEST_SURVIVAL' end as fish_estimate_basis,
        coalesce(f.posted, cast(0 as decimal(18,2))) as cumulative_feed_kg,
@@ -843,24 +881,28 @@ select w.migration_no, w.batch_id, coalesce(w.chain_no, concat('CHAIN-', w.batch
        coalesce(f.n, 0) as feeding_record_count, coalesce(f.np, 0) as posted_record_count,
        l.survival_rate as latest_survival_rate, l.report_time as latest_survival_at,
        (select count(*) from feeding_plan p where p.batch_id = w.batch_id and p.status in ('ACTIVE', 'SUSPENDED')) as feeding_plan_count,
-       (select count(*) from sensor s where s.cage_no = w.source_cage_no and s.status = 'ONLINE') as sensor_count,
-       (select count(*) from sensor s where s.cage_no = w.source_cage_no and s.status <> 'ONLINE') as retained_sensor_count
+       (select count(*) from handed s where s.migration_no = w.migration_no and s.moved = 1) as sensor_count,
+       (select count(*) from handed s where s.migration_no = w.migration_no and s.moved = 0) as retained_sensor_count
 from winner w left join {_NEWEST_SURVIVAL} l on l.batch_id = w.batch_id
 left join (select batch_id, cast(coalesce(sum(amount_kg) filter (where posted = 1), 0) as decimal(18,2)) as posted,
                   cast(coalesce(sum(amount_kg) filter (where posted = 0), 0) as decimal(18,2)) as unposted,
                   count(*) as n, count(*) filter (where posted = 1) as np
-           from feeding_record group by batch_id) f on f.batch_id = w.batch_id""")
+           from feeding_record group by batch_id) f on f.batch_id = w.batch_id)
+select *, concat('{{"migrationNo":"', migration_no, '","chainNo":"', chain_no, '","seqNo":', seq_no, ',"transferType":"', transfer_type,
+  '","batchId":', batch_id, ',"batchNo":"', batch_no, '","occurredAt":"', strftime(occurred_at, '%Y-%m-%dT%H:%M:%S'),
+  '","fishEstimateBasis":"', fish_estimate_basis, '","source":', side(source_cage_no, retained_sensor_count),
+  ',"target":', side(target_cage_no, 0), '}}') as snapshot_json
+from told""".replace("side(source_cage_no, retained_sensor_count)", _SIDE.format("source_cage_no", "retained_sensor_count"))
+    .replace("side(target_cage_no, 0)", _SIDE.format("target_cage_no", "0")))
 def handoff_snapshot(spark, sf_dir):
-    return _handoff(spark, sf_dir).events.drop(
-        "snapshot_json", "batch_no", "operator_id", "operator_name", "remark")
+    return _handoff(spark, sf_dir).events
 
 
 @query("handoff_sensors", _WINNERS + f"""
-select w.migration_no, s.sensor_id, s.sensor_no, s.sensor_type, s.metric_unit, s.status, s.version,
+select s.migration_no, s.sensor_id, s.sensor_no, s.sensor_type, s.metric_unit, s.status, cast(s.version + s.hop as int) as version,
        l.metric_value as latest_value, l.reading_time as latest_reading_at,
-       coalesce(n.reading_count, 0) as reading_count, case when s.status = 'ONLINE' then 1 else 0 end as moved,
-       w.target_cage_no
-from winner w join sensor s on s.cage_no = w.source_cage_no
+       coalesce(n.reading_count, 0) as reading_count, s.moved, s.target_cage_no
+from handed s
 left join {_NEWEST_READING} l on l.sensor_id = s.sensor_id
 left join (select sensor_id, count(*) as reading_count from sensor_reading group by sensor_id) n on n.sensor_id = s.sensor_id""")
 def handoff_sensors(spark, sf_dir):
@@ -868,16 +910,48 @@ def handoff_sensors(spark, sf_dir):
 
 
 @query("handoff_plans", _WINNERS + """
-select w.migration_no, p.plan_id, p.plan_no, p.status, p.daily_amount_kg, p.version, w.target_cage_no
+select w.migration_no, p.plan_id, p.plan_no, p.status, p.daily_amount_kg, cast(p.version + w.hop as int) as version, w.target_cage_no
 from winner w join feeding_plan p on p.batch_id = w.batch_id where p.status in ('ACTIVE', 'SUSPENDED')""")
 def handoff_plans(spark, sf_dir):
     return _handoff(spark, sf_dir).plans
 
 
+@query("handoff_batches", _WINNERS + """
+select w.batch_id, arg_max(target_cage_no, hop) as cage_no, cast(max(batch_version) + 1 as int) as version,
+       arg_max(occurred_at, hop) as migrated_at, arg_max(migration_no, hop) as migration_no
+from winner w group by w.batch_id""")
+def handoff_batches(spark, sf_dir):
+    return _handoff(spark, sf_dir).moved_batches
+
+
+@query("handoff_moved_plans", _WINNERS + """
+select p.plan_id, arg_max(w.target_cage_no, w.hop) as cage_no, cast(max(p.version + w.hop) + 1 as int) as version,
+       arg_max(w.migration_no, w.hop) as migration_no
+from winner w join feeding_plan p on p.batch_id = w.batch_id where p.status in ('ACTIVE', 'SUSPENDED') group by p.plan_id""")
+def handoff_moved_plans(spark, sf_dir):
+    return _handoff(spark, sf_dir).moved_plans
+
+
+@query("handoff_moved_sensors", _WINNERS + """
+select sensor_id, arg_max(target_cage_no, hop) as cage_no, cast(max(version + hop) + 1 as int) as version,
+       arg_max(migration_no, hop) as migration_no
+from handed where moved = 1 group by sensor_id""")
+def handoff_moved_sensors(spark, sf_dir):
+    return _handoff(spark, sf_dir).moved_sensors
+
+
+@query("handoff_chains", _WINNERS + """
+select coalesce(chain_no, concat('CHAIN-', batch_no)) as chain_no, batch_id, coalesce(any_value(origin_cage_no), any_value(first_cage)) as origin_cage_no,
+       arg_max(target_cage_no, hop) as current_cage_no, max(seq_no) as current_seq
+from winner group by coalesce(chain_no, concat('CHAIN-', batch_no)), batch_id""")
+def handoff_chains(spark, sf_dir):
+    return _handoff(spark, sf_dir).chains
+
+
 @query("handoff_roundtrip", _WINNERS + """
 select w.migration_no, w.source_cage_no, w.target_cage_no,
-       (select count(*) from sensor s where s.cage_no = w.source_cage_no and s.status = 'ONLINE') as moved_sensors,
-       (select count(*) from sensor s where s.cage_no = w.source_cage_no and s.status <> 'ONLINE') as kept_at_source,
+       (select count(*) from handed s where s.migration_no = w.migration_no and s.moved = 1) as moved_sensors,
+       (select count(*) from handed s where s.migration_no = w.migration_no and s.moved = 0) as kept_at_source,
        (select count(*) from feeding_plan p where p.batch_id = w.batch_id and p.status in ('ACTIVE', 'SUSPENDED')) as target_plans
 from winner w""")
 def handoff_roundtrip(spark, sf_dir):

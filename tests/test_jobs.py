@@ -144,9 +144,73 @@ def test_refused_requests(spark, hot_rows):
                    ("M-1", 5, "J", "", "2026-02-01"))
     got = migration.migration_handoff(requests, now="2026-03-01", hot_rows=hot_rows, **t)
     assert {r.request_id: r.reason for r in got.rejected.collect()} == {
-        1: "batch_moved_in_run", 2: "target_taken_in_run", 3: "batch_terminal", 4: "target_occupied", 5: "batch_missing",
-        6: "same_cage", 7: "bad_transfer_type", 8: "in_the_future", 9: "bad_migration_no", 11: "source_moved_in_run",
-        12: "migration_no_exists"}
+        3: "batch_terminal", 5: "batch_missing", 6: "target_occupied", 7: "bad_transfer_type", 8: "in_the_future",
+        9: "bad_migration_no", 12: "migration_no_exists"}
+    # Cages that were left are filled again: A by batch 4, B by batch 2.
+    assert {(r.batch_id, r.cage_no, r.version) for r in got.moved_batches.collect()} == {
+        (1, "F", 2), (2, "B", 1), (4, "H", 2), (5, "I", 1)}
+    assert {(r.batch_id, r.origin_cage_no, r.current_cage_no, r.current_seq) for r in got.chains.collect()} == {
+        (1, "A", "F", 2), (2, "X", "B", 1), (4, "E", "H", 2), (5, "E", "I", 1)}
+    # The ONLINE sensor of A goes along to B and F; the other one stays in A, where batch 4 finds it later.
+    assert {(r.migration_no, r.sensor_id, r.moved, r.version) for r in got.sensors.collect()} == {
+        ("M-1", 1, 1, 0), ("M-1", 2, 0, 0), ("M-2", 1, 1, 1), ("M-11", 2, 0, 0)}
+    assert {(r.sensor_id, r.cage_no, r.version) for r in got.moved_sensors.collect()} == {(1, "F", 2)}
+    assert {(r.migration_no, r.plan_id, r.version) for r in got.plans.collect()} == {("M-1", 1, 0), ("M-2", 1, 1)}
+    # All moves bear one date here.
+    assert {r.check_name for r in audit.audit_chains(got.chains, got.events).collect() if not r.passed} == {"TIME_ORDERED"}
+
+
+def moves_one_by_one(batches, asked):
+    """Every request on the state that the ones before it left."""
+    at = {b: c for b, c, _ in batches}
+    active = {b for b, _, s in batches if s in ("BREEDING", "MONITORING")}
+    hops, numbers, out = dict.fromkeys(at, 0), set(), {}
+    for request, number, batch, target, version, seq in sorted(asked):
+        reason = None
+        if batch not in at:
+            reason = "batch_missing"
+        elif batch not in active:
+            reason = "batch_terminal"
+        elif target == at[batch]:
+            reason = "same_cage"
+        elif any(at[b] == target for b in active):
+            reason = "target_occupied"
+        elif number in numbers:
+            reason = "migration_no_exists"
+        elif version is not None and version != hops[batch]:
+            reason = "batch_version_differs"
+        elif seq is not None and seq != hops[batch]:
+            reason = "chain_seq_differs"
+        else:
+            at[batch], hops[batch] = target, hops[batch] + 1
+            numbers.add(number)
+        out[request] = reason
+    return out, at
+
+
+@pytest.mark.parametrize("seed, hot_rows", [(1, None), (2, 3), (3, None)])
+def test_random_moves_equal_a_loop(spark, seed, hot_rows):
+    """Dense cages; a third of the batches are asked to move at least three times."""
+    pick = random.Random(seed)
+    cages = [f"C{i}" for i in range(14)]
+    batches = [(b, pick.choice(cages[:9]), pick.choice(["BREEDING", "MONITORING", "BREEDING", "CLOSED"])) for b in range(9)]
+    asked = []
+    for i in pick.sample(range(500), 60):
+        few = pick.choice([batches[:3], batches])
+        asked.append((i, f"M-{pick.choice([i, pick.randrange(12)])}", pick.choice([b[0] for b in few] + [99]), pick.choice(cages),
+                      pick.choice([None, None, None, pick.randrange(3)]), pick.choice([None, None, None, pick.randrange(3)])))
+    t = migration_tables(spark)
+    t["batches"] = table(spark, "fish_batch", *[
+        dict(batch_id=b, batch_no=f"FB-{b}", cage_no=c, fingerling_count=10, status=s, version=0) for b, c, s in batches])
+    requests = spark.createDataFrame([(i, no, b, c, "", at("2026-02-01"), 7, "li", v, q, None) for i, no, b, c, v, q in asked], REQUEST)
+    judged = {r.request_id: r for r in migration.judge_requests(
+        requests, t["batches"], t["chains"], t["events"], "2026-03-01", hot_rows).collect()}
+    want, places = moves_one_by_one(batches, asked)
+    assert {i: r.reason for i, r in judged.items()} == want and list(want.values()).count(None) > 8
+    last = {}
+    for i in sorted(i for i, reason in want.items() if reason is None):
+        last[judged[i].batch_id] = judged[i].target_cage_no
+    assert all(places[b] == c for b, c in last.items())
 
 
 @pytest.mark.parametrize("hot_rows", [None, 1])
