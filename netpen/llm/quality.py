@@ -8,8 +8,8 @@ are rejected.
 Vectors are whole numbers on a fixed grid, so all sums are exact and reruns agree. A concentration
 step is one aggregate of sums and products per group, with partial sums before the shuffle, and one
 histogram of distances per group on a fixed logarithmic grid, from which the nearest ``SHARE`` of the
-rows is read; no group is gathered or sorted. Steps go on until the sums are those of an earlier step: the
-estimate has settled, or goes round between ties. The starting half is chosen around the coordinates'
+rows is read; no group is gathered or sorted. Each group takes steps for as long as they shrink its scatter's
+determinant; floors bound it from below. The starting half is chosen around the coordinates'
 medians, scaled by their median absolute deviations, both read from histograms too.
 """
 
@@ -27,6 +27,7 @@ MAX_REPEAT_PERCENT = 30
 GRID = 256          # vector coordinates are whole multiples of 1/GRID
 LIMIT = 16 * GRID   # and lie within +-LIMIT
 SHARE = 0.5         # of a group's rows that the estimate rests on: copies of one text may be near half
+SETTLED = 0.01      # a step that shrinks the logarithm of the scatter's determinant by no more is a group's last
 CONSISTENCY = 1.91  # makes the scatter of the nearest half fit a normal sample in 5 dimensions
 MIN_GROUP = 60      # sources with fewer rows are pooled per language, then over the corpus
 # Least standard deviation per coordinate, so that a coordinate that hardly varies in clean texts
@@ -207,24 +208,27 @@ def _estimate(vectors: DataFrame) -> DataFrame:
     for i, j in _pairs():
         scale = F.greatest(1.4826 * F.col(f"{i}_s") / float(GRID), F.lit(FLOORS[AXES[i]]))
         columns[f"inv_{i}_{j}"] = 1 / scale if i == j else F.lit(0.0)
-    params = stage(wide.select("group", *[c.alias(n) for n, c in columns.items()]), "quality-start")
-    seen = set()
-    while True:
-        near = vectors.join(params, "group")
+    params = stage(wide.select("group", *[c.alias(n) for n, c in columns.items()],
+                               F.lit(float("inf")).alias("size")), "quality-start")
+    settled = []
+    while not params.isEmpty():
+        near = vectors.join(params.drop("size"), "group")
         cut = _quantile(near.groupBy("group", _distance_bin().alias("bin")).count(),
                         ["group"], SHARE, "last_bin")
-        params = stage(params.join(cut, "group"), "quality-cut")
-        chosen = vectors.join(params, "group").where(_distance_bin() <= F.col("last_bin"))
+        params = stage(params.join(cut, "group").withColumnRenamed("size", "before"), "quality-cut")
+        chosen = vectors.join(params.drop("before"), "group").where(_distance_bin() <= F.col("last_bin"))
         sums = chosen.groupBy("group").agg(
             F.count("*").alias("m"), *[F.sum(x).alias(f"sum_{i}") for i, x in enumerate(AXES)],
             *[F.sum(F.col(AXES[i]) * F.col(AXES[j])).alias(f"sum_{i}_{j}") for i, j in _pairs()])
-        sums = stage(sums, "quality-sums")
-        params = stage(_factor(sums), "quality-step")
-        # Whole numbers: equal sums mean equal rows chosen. All groups take their steps together.
-        now = sums.agg(F.count("*"), F.sum(F.xxhash64(*sums.columns).cast("decimal(20,0)"))).first()
-        if now in seen:
-            return params
-        seen.add(now)
+        after = stage(_factor(sums).join(params.select("group", "before"), "group"), "quality-step")
+        # A group goes on while its scatter shrinks.
+        shrinks = F.col("size") < F.col("before") - SETTLED
+        settled.append(after.where(~shrinks).drop("before", "size"))
+        params = after.where(shrinks).drop("before")
+    out = params.drop("size")
+    for one in settled:
+        out = out.unionByName(one)
+    return out
 
 
 def _factor(sums: DataFrame) -> DataFrame:
@@ -252,5 +256,6 @@ def _factor(sums: DataFrame) -> DataFrame:
                     value = part if value is None else value + part
                 value = -value / F.col(f"low_{i}_{i}")
             out = out.withColumn(f"inv_{i}_{j}", value)
+    volume = sum((2 * F.log(f"low_{i}_{i}") for i in range(1, size)), 2 * F.log("low_0_0"))
     return out.select("group", *[f"mean_{i}" for i in range(size)],
-                      *[f"inv_{i}_{j}" for i, j in _pairs()])
+                      *[f"inv_{i}_{j}" for i, j in _pairs()], volume.alias("size"))

@@ -71,27 +71,20 @@ def reference(rows):
     def distances(z, mean, inverse):
         return np.einsum("ij,jk,ik->i", (z - mean) / quality.GRID, inverse, (z - mean) / quality.GRID)
 
-    state, seen = {}, set()
-    for key, members in groups.items():
+    for members in groups.values():
         z = x[members]
         mean = np.array([quantile(c, 0.5) for c in z.T])
         spread = np.array([quantile(np.abs(c - m), 0.5) for c, m in zip(z.T, mean)])
-        state[key] = mean, np.diag(1 / np.maximum(1.4826 * spread / quality.GRID, floors) ** 2)
-    while state:
-        chosen = []
-        for key, members in groups.items():
-            z, (mean, inverse) = x[members], state[key]
+        inverse = np.diag(1 / np.maximum(1.4826 * spread / quality.GRID, floors) ** 2)
+        size, before = math.inf, None
+        while before is None or size < before - quality.SETTLED:
             bins = np.floor(np.log1p(distances(z, mean, inverse)) * quality.BINS_PER_UNIT)
-            inside = bins <= quantile(bins, quality.SHARE)
-            chosen.append((key, tuple(inside)))
-            near = z[inside] / quality.GRID
+            near = z[bins <= quantile(bins, quality.SHARE)] / quality.GRID
+            mean = near.mean(axis=0) * quality.GRID
             scatter = np.cov(near.T, bias=True) * quality.CONSISTENCY + np.diag(floors ** 2)
-            state[key] = near.mean(axis=0) * quality.GRID, np.linalg.inv(scatter)
-        if tuple(chosen) in seen:
-            break
-        seen.add(tuple(chosen))
-    for key, members in groups.items():
-        for i, value in zip(members, distances(x[members], *state[key])):
+            inverse = np.linalg.inv(scatter)
+            before, size = size, np.linalg.slogdet(scatter)[1]
+        for i, value in zip(members, distances(z, mean, inverse)):
             distance[i] = value
     return stats, failed, distance
 
