@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from netpen.functions import text
@@ -20,6 +21,9 @@ TRANSFER_TYPES = ["REPLACE", "TRANSFER"]
 UNFINISHED = ["ACTIVE", "SUSPENDED"]
 CLOCK_TOLERANCE_SECONDS = 1
 
+# So many open requests are few enough for one task to take them one by one; more are settled in rounds first.
+ONE_TASK_REQUESTS = 10_000
+
 class Handoff(NamedTuple):
     events: DataFrame
     plans: DataFrame
@@ -32,7 +36,8 @@ class Handoff(NamedTuple):
 
 
 def judge_requests(requests: DataFrame, batches: DataFrame, chains: DataFrame, events: DataFrame,
-                   now: dt.datetime | str, hot_rows: int | None = None) -> DataFrame:
+                   now: dt.datetime | str, hot_rows: int | None = None,
+                   one_task: int = ONE_TASK_REQUESTS) -> DataFrame:
     """Requests with batch and chain state at their turn and ``reason``, null where the move goes ahead.
 
     Requests take their turns by ``request_id``: each is judged on the state that the granted ones before it
@@ -68,20 +73,21 @@ def judge_requests(requests: DataFrame, batches: DataFrame, chains: DataFrame, e
         .when(F.col("batch_known").isNull(), "batch_missing")
         .when(F.col("status").isin(*TERMINAL), "batch_terminal"))
     judged = stage(met.withColumn("unsound", unsound).drop("batch_known"), "handoff-requests")
-    turns = _take_turns(judged.where("unsound is null"), batches, events, hot)
+    turns = _take_turns(judged.where("unsound is null"), batches, events, hot, one_task)
     return judged.join(turns, row, "left").select(
         *[c for c in judged.columns if c != "unsound"], "source_cage_no", "batch_version", "current_seq",
         F.coalesce("unsound", "refused").alias("reason"))
 
 
-def _take_turns(sound: DataFrame, batches: DataFrame, events: DataFrame, hot: dict) -> DataFrame:
+def _take_turns(sound: DataFrame, batches: DataFrame, events: DataFrame, hot: dict, one_task: int) -> DataFrame:
     """``request_id``, ``refused`` (null: granted) and the batch's cage, version and sequence at that turn.
 
     Settled in rounds. In a round a request waits while an earlier open one may still change what it depends
     on: its target (asked for earlier, or held by a batch that may leave earlier) or its number. What does not
     wait is settled, of each batch up to the first request that is granted or waits. The first open request
     of all never waits. A round is a few aggregates and joins over the open requests and their batches;
-    rounds are as many as the longest chain of requests that depend on each other.
+    rounds are as many as the longest chain of requests that depend on each other. Once at most ``one_task``
+    requests are open, one task takes them one by one.
     """
     row = "request_id"
     left = stage(sound.select(
@@ -100,6 +106,8 @@ def _take_turns(sound: DataFrame, batches: DataFrame, events: DataFrame, hot: di
     used = stage(used.withColumn("used_by", F.lit(None).cast("bigint")), "used-numbers")
     settled: list[DataFrame] = []
     while True:
+        if left.count() <= one_task:
+            return union_all([*settled, _one_by_one(left, movers, full, used)])
         judged = stage(_round(left, movers, full, used, hot), "judged-moves")
         done = judged.where("settled")
         settled.append(done.select(row, "refused", F.col("cage").alias("source_cage_no"),
@@ -121,6 +129,44 @@ def _take_turns(sound: DataFrame, batches: DataFrame, events: DataFrame, hot: di
         left = still
 
 
+def _one_by_one(left: DataFrame, movers: DataFrame, full: DataFrame, used: DataFrame) -> DataFrame:
+    """The last few requests in one task, each on the state that the ones before it left."""
+    rows = left.join(movers, "batch_id", "left").join(
+        full.select(F.col("cage").alias("target_cage_no"), F.lit(True).alias("full")), "target_cage_no", "left").join(
+        used.select("migration_no", F.lit(True).alias("used")).distinct(), "migration_no", "left")
+
+    def differs(expected, actual) -> bool:
+        return expected is not None and expected == expected and expected != actual
+
+    def run(rows):
+        rows = rows.sort_values("request_id")
+        numbers = set(rows.loc[rows["used"].notna(), "migration_no"])
+        filled = set(rows.loc[rows["full"].notna(), "target_cage_no"])
+        at, standing, out = {}, {}, []
+        for r in rows.itertuples():
+            if r.batch_id not in at:
+                at[r.batch_id] = r.cage, r.version, r.seq
+                standing[r.cage] = standing.get(r.cage, 0) + 1
+        for r in rows.itertuples():
+            cage, version, seq = at[r.batch_id]
+            reason = ("same_cage" if r.target_cage_no == cage else
+                      "target_occupied" if r.target_cage_no in filled or standing.get(r.target_cage_no) else
+                      "migration_no_exists" if r.migration_no in numbers else
+                      "batch_version_differs" if differs(r.expected_batch_version, version) else
+                      "chain_head_differs" if not r.linked else
+                      "chain_seq_differs" if differs(r.expected_chain_seq, seq) else None)
+            out.append((r.request_id, reason, cage, version, seq))
+            if reason is None:
+                at[r.batch_id] = r.target_cage_no, version + 1, seq + 1
+                standing[cage] -= 1
+                standing[r.target_cage_no] = standing.get(r.target_cage_no, 0) + 1
+                numbers.add(r.migration_no)
+        return pd.DataFrame(out, columns=["request_id", "refused", "source_cage_no", "batch_version", "current_seq"])
+
+    return rows.withColumn("task", F.lit(0)).groupBy("task").applyInPandas(
+        run, "request_id long, refused string, source_cage_no string, batch_version int, current_seq int")
+
+
 def _round(left: DataFrame, movers: DataFrame, full: DataFrame, used: DataFrame, hot: dict) -> DataFrame:
     """Open requests with their batch's state, ``refused`` and ``settled``."""
     row = "request_id"
@@ -297,9 +343,9 @@ def encode_snapshot(figures: DataFrame) -> DataFrame:
 def migration_handoff(requests: DataFrame, batches: DataFrame, plans: DataFrame, sensors: DataFrame,
                       readings: DataFrame, records: DataFrame, reports: DataFrame, chains: DataFrame,
                       events: DataFrame, now: dt.datetime | str,
-                      hot_rows: int | None = None) -> Handoff:
+                      hot_rows: int | None = None, one_task: int = ONE_TASK_REQUESTS) -> Handoff:
     """Hand-off of all requests: events to append, objects that move, refused requests."""
-    judged = stage(judge_requests(requests, batches, chains, events, now, hot_rows), "handoff-judged")
+    judged = stage(judge_requests(requests, batches, chains, events, now, hot_rows, one_task), "handoff-judged")
     winners = judged.where(F.col("reason").isNull())
     # Of several moves of one object in a run the last one tells where it stands.
     last = lambda rows, key, by, values: rows.groupBy(key).agg(*[F.max_by(v, by).alias(v) for v in values])

@@ -142,7 +142,7 @@ def test_refused_requests(spark, hot_rows):
                    ("M-7", 4, "E", "", "2026-02-01"), ("M-8", 4, "H", "SWAP", "2026-02-01"), ("M-9", 4, "H", "", "2027-01-01"),
                    ("M 10", 4, "H", "", "2026-02-01"), ("M-11", 4, "H", "", "2026-02-01"), ("M-12", 5, "I", "", "2026-02-01"),
                    ("M-1", 5, "J", "", "2026-02-01"))
-    got = migration.migration_handoff(requests, now="2026-03-01", hot_rows=hot_rows, **t)
+    got = migration.migration_handoff(requests, now="2026-03-01", hot_rows=hot_rows, one_task=hot_rows or 10_000, **t)
     assert {r.request_id: r.reason for r in got.rejected.collect()} == {
         3: "batch_terminal", 5: "batch_missing", 6: "target_occupied", 7: "bad_transfer_type", 8: "in_the_future",
         9: "bad_migration_no", 12: "migration_no_exists"}
@@ -188,8 +188,8 @@ def moves_one_by_one(batches, asked):
     return out, at
 
 
-@pytest.mark.parametrize("seed, hot_rows", [(1, None), (2, 3), (3, None)])
-def test_random_moves_equal_a_loop(spark, seed, hot_rows):
+@pytest.mark.parametrize("seed, hot_rows, one_task", [(1, None, 0), (2, 3, 5), (3, None, 10_000)])
+def test_random_moves_equal_a_loop(spark, seed, hot_rows, one_task):
     """Dense cages; a third of the batches are asked to move at least three times."""
     pick = random.Random(seed)
     cages = [f"C{i}" for i in range(14)]
@@ -204,7 +204,7 @@ def test_random_moves_equal_a_loop(spark, seed, hot_rows):
         dict(batch_id=b, batch_no=f"FB-{b}", cage_no=c, fingerling_count=10, status=s, version=0) for b, c, s in batches])
     requests = spark.createDataFrame([(i, no, b, c, "", at("2026-02-01"), 7, "li", v, q, None) for i, no, b, c, v, q in asked], REQUEST)
     judged = {r.request_id: r for r in migration.judge_requests(
-        requests, t["batches"], t["chains"], t["events"], "2026-03-01", hot_rows).collect()}
+        requests, t["batches"], t["chains"], t["events"], "2026-03-01", hot_rows, one_task).collect()}
     want, places = moves_one_by_one(batches, asked)
     assert {i: r.reason for i, r in judged.items()} == want and list(want.values()).count(None) > 8
     last = {}
