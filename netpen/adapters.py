@@ -301,7 +301,9 @@ VIEWS: dict[str, str] = {
                cast(1 + floor(p_partkey / 200) as int) as version_no,
                case when p_partkey % 7 <> 0 then {TS} '2023-01-01 00:00:00' + interval 1 day * cast(p_partkey * 13 % 700 as int) end as enabled_time,
                case when p_partkey % 5 = 0 then {TS} '2023-06-01 00:00:00' + interval 1 day * cast(p_partkey * 13 % 700 as int) end as retired_time,
-               cast(p_partkey * 7 % 1440 as int) as start_minute, cast(1 + p_partkey * 11 % 1440 as int) as end_minute
+               cast(p_partkey * 7 % 1440 as int) as start_minute, cast(1 + p_partkey * 11 % 1440 as int) as end_minute,
+               case when p_partkey % 7 = 0 or p_partkey % 3 = 1 then 'DRAFT' when p_partkey % 5 = 0 then 'RETIRED'
+                    else 'ENABLED' end as status
         from part""",
     # Short rules; one in forty is enabled, so that drafts meet some of them.
     "draft_rule": """
@@ -325,6 +327,17 @@ VIEWS: dict[str, str] = {
                case when o_orderkey % 30 = 5 then 'CLOSED' when o_orderkey % 30 = 11 then 'LOST'
                     when o_orderkey % 12 = 4 then 'HARVESTED' when o_orderkey % 2 = 0 then 'MONITORING' else 'BREEDING' end as target_status
         from orders""",
+    "plan_event": """
+        select o_orderkey as event_id, case when o_orderkey % 73 = 0 then -1 else o_custkey * 2 + o_orderkey % 3 % 2 end as plan_id,
+               o_orderdate as event_time,
+               case when o_orderkey % 29 = 3 then 'GONE' when o_orderkey % 31 = 5 then 'FINISHED'
+                    when o_orderkey % 2 = 0 then 'SUSPENDED' else 'ACTIVE' end as target_status
+        from orders""",
+    "sensor_event": """
+        select event_id, case when event_id % 79 = 0 then -1 else user_id end as sensor_id, ts as event_time,
+               case event_id % 5 when 0 then 'ONLINE' when 1 then 'OFFLINE' when 2 then 'MAINTENANCE' when 3 then 'ONLINE'
+                    else 'BROKEN' end as target_status
+        from events""",
     "acceptance": """
         select cast(10000000000 + harvest_id * 2 as bigint) as event_id, harvest_id, harvest_time as event_time from harvest_batch
         union all

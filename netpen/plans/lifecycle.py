@@ -102,27 +102,29 @@ def replay_harvests(batches: DataFrame, harvests: DataFrame, acceptances: DataFr
 
 
 def replay_rules(rules: DataFrame, events: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """Events (event_id, rule_id, event_time, action ENABLE / RETIRE) of draft versions with verdict.
+    """Events (event_id, rule_id, event_time, action ENABLE / RETIRE) of rule versions with verdict.
 
-    A version is enabled once, from DRAFT; that retires the enabled version of its code at that
-    moment. Retiring needs the version to be the enabled one of its code. Overlap with other codes is
-    the business of ``rule_overlaps``.
+    Versions begin in their stored ``status`` (null: DRAFT). A version is enabled once, from DRAFT; that retires
+    all enabled versions of its code at that moment. Retiring needs the version to be enabled then: by its
+    own enabling, with none of its code after it, or as stored, with none of its code so far. Overlap with
+    other codes is the business of ``rule_overlaps``.
     """
-    known = rules.select("rule_id", "rule_code")
+    known = rules.select("rule_id", "rule_code", F.coalesce("status", F.lit("DRAFT")).alias("stored"))
     rows = skew_join(events, known, ["rule_id"], ["event_id"], "left", hot_rows)
     order, chunk = ["event_time", "event_id"], F.to_date("event_time")
     enables, retires = F.col("action") == "ENABLE", F.col("action") == "RETIRE"
     version = OrderedScan(rows, ["rule_id"], order, chunk, hot_rows)
     version.carry(maximum={"was_enabled": F.when(enables, 1)})
-    version.add(takes=enables & F.col("was_enabled").isNull() & F.col("rule_code").isNotNull())
+    version.add(takes=enables & F.col("was_enabled").isNull() & (F.col("stored") == "DRAFT"))
     code = OrderedScan(version.rows(), ["rule_code"], order, chunk, hot_rows)
     code.carry(last={"holder": F.when(F.col("takes"), F.col("rule_id"))})
-    code.add(holds=retires & F.coalesce(F.col("holder") == F.col("rule_id"), F.lit(False)))
+    as_stored = F.col("holder").isNull() & (F.col("stored") == "ENABLED")
+    code.add(holds=retires & F.coalesce((F.col("holder") == F.col("rule_id")) | as_stored, F.lit(False)))
     again = OrderedScan(code.rows(), ["rule_id"], order, chunk, hot=version.hot)
     again.carry(maximum={"was_retired": F.when(F.col("holds"), 1)})
     reason = (
         F.when(F.col("rule_code").isNull(), "rule_missing")
-        .when(enables & ~F.col("takes"), "not_draft")
+        .when(enables & ~F.coalesce("takes", F.lit(False)), "not_draft")
         .when(retires & (~F.col("holds") | F.col("was_retired").isNotNull()), "not_enabled")
         .when(~enables & ~retires, "bad_action"))
     return again.rows().select("event_id", "rule_id", "event_time", "action",

@@ -1218,23 +1218,64 @@ def harvest_acceptance(spark, sf_dir):
     return replay_harvests(*v.values())[0]
 
 
+_PLAN_MOVES = """
+(s.target_status = f.status or (f.status in ('ACTIVE', 'SUSPENDED') and s.target_status in ('ACTIVE', 'SUSPENDED', 'FINISHED')))"""
+_SENSOR_MOVES = "s.target_status in ('ONLINE', 'OFFLINE', 'MAINTENANCE')"
+
+
+def _status_replay(key: str, entities: str, events: str, allowed: str, bad: str) -> str:
+    """Every event of an entity after the other, from its stored status."""
+    return f"""
+with recursive steps as (
+  select e.*, row_number() over (partition by e.{key} order by e.event_time, e.event_id) as pos
+  from {events} e join {entities} b on b.{key} = e.{key}),
+fold as (
+  select {key}, cast(0 as bigint) as pos, cast(null as bigint) as event_id, status, cast(null as varchar) as status_before,
+         true as ok from {entities}
+  union all
+  select s.{key}, s.pos, s.event_id, case when {allowed} then s.target_status else f.status end, f.status, {allowed}
+  from fold f join steps s on s.{key} = f.{key} and s.pos = f.pos + 1)
+select e.event_id, e.{key}, e.event_time, e.target_status, f.status_before,
+       case when f.ok then 1 else 0 end as accepted,
+       case when f.event_id is null then 'entity_missing' when e.target_status = '{bad}' then 'bad_status'
+            when not f.ok then 'illegal_move' end as reason
+from {events} e left join fold f on f.event_id = e.event_id"""
+
+
+@query("plan_replay", _status_replay("plan_id", "feeding_plan", "plan_event", _PLAN_MOVES, "GONE"))
+def plan_replay(spark, sf_dir):
+    from netpen.plans.lifecycle import replay_status
+    v = views(spark, sf_dir, "feeding_plan", "plan_event")
+    return replay_status("feeding_plan", v["feeding_plan"], v["plan_event"]).events
+
+
+@query("sensor_replay", _status_replay("sensor_id", "sensor", "sensor_event", _SENSOR_MOVES, "BROKEN"))
+def sensor_replay(spark, sf_dir):
+    from netpen.plans.lifecycle import replay_status
+    v = views(spark, sf_dir, "sensor", "sensor_event")
+    return replay_status("sensor", v["sensor"], v["sensor_event"]).events
+
+
 @query("rule_replay", """
 with recursive steps as (
-  select e.event_id, e.rule_id, e.action, r.rule_code,
+  select e.event_id, e.rule_id, e.action, r.rule_code, r.status as stored,
          row_number() over (partition by r.rule_code order by e.event_time, e.event_id) as pos
   from rule_event e join rule_version r on r.rule_id = e.rule_id),
+-- Per code: versions enabled so far, the one enabled last, versions retired so far.
 fold as (
   select rule_code, cast(0 as bigint) as pos, cast(null as bigint) as event_id, cast(null as varchar) as reason,
-         cast([] as bigint[]) as used, cast(null as bigint) as holder
+         cast([] as bigint[]) as used, cast(null as bigint) as holder, cast([] as bigint[]) as gone
   from (select distinct rule_code from rule_version) c
   union all
   select g.rule_code, g.pos, g.event_id, g.why,
          case when g.why is null and g.action = 'ENABLE' then list_append(g.used, g.rule_id) else g.used end,
-         case when g.why is null and g.action = 'ENABLE' then g.rule_id when g.why is null then null else g.holder end
+         case when g.why is null and g.action = 'ENABLE' then g.rule_id else g.holder end,
+         case when g.why is null and g.action = 'RETIRE' then list_append(g.gone, g.rule_id) else g.gone end
   from (
-    select s.*, f.used, f.holder,
-           case when s.action = 'ENABLE' and list_contains(f.used, s.rule_id) then 'not_draft'
-                when s.action = 'RETIRE' and (f.holder is null or f.holder <> s.rule_id) then 'not_enabled'
+    select s.*, f.used, f.holder, f.gone,
+           case when s.action = 'ENABLE' and (s.stored <> 'DRAFT' or list_contains(f.used, s.rule_id)) then 'not_draft'
+                when s.action = 'RETIRE' and (list_contains(f.gone, s.rule_id) or not (
+                  coalesce(f.holder = s.rule_id, false) or (f.holder is null and s.stored = 'ENABLED'))) then 'not_enabled'
                 when s.action = 'PAUSE' then 'bad_action' end as why
     from fold f join steps s on s.rule_code = f.rule_code and s.pos = f.pos + 1) g)
 select e.event_id, e.rule_id, e.event_time, e.action,
@@ -1271,9 +1312,9 @@ j1 as (select q.request_id, q.rule_id, d.rule_code,
 j2 as (select *, case when r1 is not null then r1
                  when row_number() over (partition by rule_code, r1 is null order by request_id) > 1 then 'code_enabled_in_run' end as r2
        from j1),
-clash as (select distinct x.request_id from j2 x join mins a on a.rule_id = x.rule_id
-          join mins b on a.m = b.m and a.rule_code <> b.rule_code join j2 y on y.rule_id = b.rule_id
-          where x.r2 is null and y.r2 is null and y.request_id < x.request_id),
+open as (select x.request_id, a.rule_code, a.m from j2 x join mins a on a.rule_id = x.rule_id where x.r2 is null),
+clash as (select distinct a.request_id from open a join open b on a.m = b.m and a.rule_code <> b.rule_code
+          where b.request_id < a.request_id),
 j3 as (select *, case when r2 is not null then r2 when request_id in (select request_id from clash) then 'overlaps_in_run' end as reason from j2)
 """
 
