@@ -314,6 +314,12 @@ VIEWS: dict[str, str] = {
                case when p_partkey % 40 = 0 then 'ENABLED' when p_partkey % 9 = 1 then 'RETIRED' else 'DRAFT' end as status,
                cast(null as {TS}) as enabled_time, cast(null as {TS}) as retired_time
         from part""",
+    # Requests to enable them: some drafts are asked for several times.
+    "rule_wish": """
+        select p_partkey as request_id,
+               cast(case when p_partkey % 59 = 0 then -1 when p_partkey % 5 = 0 then 1 + p_partkey % 97
+                         else p_partkey * 7 % 1999 + 1 end as bigint) as rule_id
+        from part""",
     "new_rule": """
         select l_orderkey * 1000 + l_linenumber as request_id, concat('R-', cast(l_partkey % 300 as string)) as rule_code,
                case when l_orderkey % 31 = 0 then 'NIGHT' when l_linenumber % 2 = 0 then 'PEAK' else 'FLAT' end as rule_type,

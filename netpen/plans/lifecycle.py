@@ -11,12 +11,16 @@ from __future__ import annotations
 import datetime as dt
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from netpen.functions import ring
 from netpen.functions.times import ntz
 from netpen.operators.hot import OrderedScan, skew_join
-from netpen.operators.latest import first_per_key
+from netpen.plans.overview import union_all
+from netpen.session import stage
+
+STRETCH_ROWS = 200_000  # requests to enable rules that one task takes
 
 # Statuses that may follow each other share a level.
 LEVELS = {
@@ -144,57 +148,110 @@ def rule_history(rules: DataFrame, hot_rows: int | None = None) -> DataFrame:
         F.least("retired_time", "next_enabled").alias("retired_time"))
 
 
-def _owners(by_minute: DataFrame, order: str) -> DataFrame:
-    """Per minute the first code by ``order``, and the first entry of another code: 1440 rows."""
-    entry = F.struct(F.col(order).alias("place"), "rule_code")
-    first = by_minute.groupBy("minute").agg(F.min(entry).alias("first"))
-    second = (
-        by_minute.join(F.broadcast(first), "minute").where(F.col("rule_code") != F.col("first.rule_code"))
-        .groupBy("minute").agg(F.min(entry).alias("second")))
-    return first.join(F.broadcast(second), "minute", "left")
+def _enable_in_order(requests, enabled):
+    """Verdicts of one stretch of requests, in order, and the rules enabled after it.
+
+    ``enabled`` holds the rules enabled before: per minute of the day how many, and the same per code.
+    """
+    total, by_code, standing = np.zeros(1440, np.int32), {}, {}
+
+    def minutes(start, end):
+        return np.arange(start, end if end > start else end + 1440) % 1440
+
+    def put(code, rule, start, end):
+        at = minutes(start, end)
+        total[at] += 1
+        by_code.setdefault(code, np.zeros(1440, np.int32))[at] += 1
+        standing.setdefault(code, []).append((rule, start, end))
+
+    for r in enabled.itertuples():
+        put(r.rule_code, r.rule_id, r.start_minute, r.end_minute)
+    granted, out = set(), []
+    for r in requests.sort_values("request_id").itertuples():
+        reason = None
+        if r.status != "DRAFT" or r.rule_id in granted:
+            reason = "not_draft"
+        else:
+            at, own = minutes(r.start_minute, r.end_minute), by_code.get(r.rule_code)
+            if ((total[at] - (own[at] if own is not None else 0)) > 0).any():
+                reason = "overlaps_enabled_rule"
+        out.append((r.request_id, reason))
+        if reason is None:
+            if own is not None:
+                total[:] -= own
+                own[:] = 0
+            standing[r.rule_code] = []
+            put(r.rule_code, r.rule_id, r.start_minute, r.end_minute)
+            granted.add(r.rule_id)
+    left = [(code, *rule) for code, rules in standing.items() for rule in rules]
+    return out, left
+
+
+def _stretches(sound: DataFrame, enabled: DataFrame, rows: int) -> DataFrame:
+    """``request_id`` and ``reason`` of sound requests, taken in order by stretches of about ``rows``.
+
+    What a stretch hands on is the rules enabled after it; enabled rules of different codes share no minute,
+    so there are few of them, and a draft that was enabled, which the next stretches look up by its id.
+    """
+    cuts = sound.agg(F.count("*").alias("n"), F.min("request_id").alias("first")).first()
+    parts = -(-cuts["n"] // rows)
+    ends = sound.agg(F.percentile_approx("request_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
+    bounds = [None, *sorted(set(ends)), None]
+    verdicts: list[DataFrame] = []
+    columns = ["request_id", "rule_id", "rule_code", "start_minute", "end_minute", "status"]
+    schema = "request_id long, reason string, rule_code string, rule_id long, start_minute int, end_minute int"
 
+    def run(rows):
+        asked = rows["request_id"].notna()
+        out, left = _enable_in_order(rows[asked], rows[~asked])
+        return pd.DataFrame([(*o, None, None, None, None) for o in out] + [(None, None, *e) for e in left],
+                            columns=["request_id", "reason", "rule_code", "rule_id", "start_minute", "end_minute"]).astype(
+            {"request_id": "Int64", "rule_id": "Int64", "start_minute": "Int32", "end_minute": "Int32"})
 
-def _other_code(drafts: DataFrame, owners: DataFrame) -> DataFrame:
-    """Draft minutes with the first entry of another code there, null where there is none."""
-    other = F.when(F.col("first.rule_code") != F.col("rule_code"), F.col("first")).otherwise(F.col("second"))
-    return drafts.join(F.broadcast(owners), "minute", "left").withColumn("other", other).drop("first", "second")
+    for low, high in zip(bounds, bounds[1:]):
+        asked = sound
+        if low is not None:
+            asked = asked.where(F.col("request_id") > low)
+        if high is not None:
+            asked = asked.where(F.col("request_id") <= high)
+        if verdicts:
+            done = union_all(verdicts).where("reason is null").join(sound, "request_id").select("rule_id", F.lit(True).alias("done"))
+            asked = asked.join(done, "rule_id", "left").withColumn(
+                "status", F.when(F.col("done"), "ENABLED").otherwise(F.col("status")))
+        every = asked.select(*columns).unionByName(enabled.select(
+            F.lit(None).cast("long").alias("request_id"), "rule_id", "rule_code", "start_minute", "end_minute",
+            F.lit("ENABLED").alias("status")))
+        found = stage(every.withColumn("task", F.lit(0)).groupBy("task").applyInPandas(run, schema), "enabled-stretch")
+        verdicts.append(found.where("request_id is not null").select("request_id", "reason"))
+        enabled = found.where("request_id is null")
+    return union_all(verdicts)
 
 
-def enable_rules(rules: DataFrame, wanted: DataFrame, now: dt.datetime | str,
-                 hot_rows: int | None = None) -> Enabling:
-    """Enable the wanted versions (rule_id, request_id), retiring the enabled ones of their codes.
+def enable_rules(rules: DataFrame, wanted: DataFrame, now: dt.datetime | str, hot_rows: int | None = None,
+                 stretch_rows: int = STRETCH_ROWS) -> Enabling:
+    """Enable the wanted versions (rule_id, request_id) in request order, each retiring the enabled ones of its code.
 
-    Refused: unknown versions, versions that are no drafts, and drafts that share a minute with an
-    enabled rule of another code. In one run the first request per code is taken, and a draft that
-    shares a minute with an earlier requested draft of another code is refused and may be sent again.
+    Refused: unknown versions, versions that are no drafts at their turn, and drafts that share a minute with a
+    rule of another code that is enabled at their turn. A refused request changes nothing; it may succeed when
+    it is asked again later. Each request depends on the rules enabled before it, so stretches of requests
+    follow each other, one task each.
     """
-    spread = lambda df: df.withColumn(
-        "minute", F.explode(ring.minutes(F.col("start_minute"), F.col("end_minute"))))
-    current = spread(rules.where(F.col("status") == "ENABLED")).select("minute", "rule_code", "rule_id")
-    drafts = spread(rules.where(F.col("status") == "DRAFT")).select("minute", "rule_code", "rule_id")
-    meets = _other_code(drafts, _owners(current, "rule_id")).groupBy("rule_id").agg(
-        F.max(F.col("other").isNotNull()).alias("overlaps"))
-    known = rules.select("rule_id", "rule_code", "status", "start_minute", "end_minute").join(
-        meets, "rule_id", "left")
-    asked = skew_join(wanted.select("rule_id", "request_id"), known, ["rule_id"], ["request_id"], "left", hot_rows)
-    judged = asked.withColumn("reason", F.when(
-        F.col("status").isNull(), "rule_missing").when(F.col("status") != "DRAFT", "not_draft").when(
-        F.col("overlaps"), "overlaps_enabled_rule"))
-    judged = first_per_key(judged.withColumn("open", F.col("reason").isNull()), ["rule_code", "open"],
-                           ["request_id"], "is_first").withColumn(
-        "reason", F.when(F.col("open") & ~F.col("is_first"), "code_enabled_in_run").otherwise(F.col("reason")))
-    left = spread(judged.where(F.col("reason").isNull())).select("minute", "rule_code", "rule_id", "request_id")
-    clash = _other_code(left, _owners(left, "request_id")).groupBy("request_id").agg(
-        F.max(F.col("other.place") < F.col("request_id")).alias("clashes"))
-    judged = judged.join(clash, "request_id", "left").withColumn("reason", F.coalesce(
-        "reason", F.when(F.col("clashes"), "overlaps_in_run")))
+    known = rules.select("rule_id", "rule_code", "status", "start_minute", "end_minute")
+    asked = stage(skew_join(wanted.select("rule_id", "request_id"), known, ["rule_id"], ["request_id"], "left", hot_rows),
+                  "enable-requests")
+    sound = asked.where(F.col("status") == "DRAFT")
+    turns = _stretches(sound, known.where(F.col("status") == "ENABLED"), stretch_rows)
+    unsound = F.when(F.col("status").isNull(), "rule_missing").when(F.col("status") != "DRAFT", "not_draft")
+    judged = stage(asked.join(turns, "request_id", "left").withColumn("reason", F.coalesce(unsound, "reason")), "enable-judged")
     taken = judged.where(F.col("reason").isNull())
     takes = taken.select("rule_id", F.lit(True).alias("taken"))
-    codes = taken.select("rule_code", F.lit(True).alias("replaced"))
-    retires = F.col("replaced") & (F.col("status") == "ENABLED")
+    # Of several versions of a code that were enabled in turn the last one stays so.
+    codes = taken.groupBy("rule_code").agg(F.max_by("rule_id", "request_id").alias("stays"))
+    replaced = F.col("stays").isNotNull() & (F.col("stays") != F.col("rule_id"))
+    retires = replaced & (F.coalesce("taken", F.lit(False)) | (F.col("status") == "ENABLED"))
     after = rules.join(takes, "rule_id", "left").join(codes, "rule_code", "left").withColumns({
         "enabled_time": F.when(F.col("taken"), ntz(now)).otherwise(F.col("enabled_time")),
         "retired_time": F.when(retires, ntz(now)).otherwise(F.col("retired_time")),
-        "status": F.when(F.col("taken"), "ENABLED").when(retires, "RETIRED").otherwise(F.col("status")),
+        "status": F.when(retires, "RETIRED").when(F.col("taken"), "ENABLED").otherwise(F.col("status")),
     }).select(*rules.columns)
     return Enabling(after, judged.where(F.col("reason").isNotNull()).select("request_id", "rule_id", "reason"))

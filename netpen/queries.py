@@ -1298,43 +1298,47 @@ def rule_history_query(spark, sf_dir):
 
 
 _ENABLING = """
-with mins as (
-  select rule_id, rule_code, status, (start_minute + i) % 1440 as m
+with recursive mins as (
+  select rule_id, rule_code, status, list((start_minute + i) % 1440) as m
   from draft_rule, generate_series(0, 10) g(i)
-  where i < case when end_minute <= start_minute then end_minute - start_minute + 1440 else end_minute - start_minute end),
-asked as (select l_orderkey * 1000 + l_linenumber as request_id, l_partkey as rule_id from order_line),
-hits as (select distinct a.rule_id from mins a join mins b on a.m = b.m and a.rule_code <> b.rule_code
-         where a.status = 'DRAFT' and b.status = 'ENABLED'),
-j1 as (select q.request_id, q.rule_id, d.rule_code,
-              case when d.rule_id is null then 'rule_missing' when d.status <> 'DRAFT' then 'not_draft'
-                   when q.rule_id in (select rule_id from hits) then 'overlaps_enabled_rule' end as r1
-       from asked q left join draft_rule d on d.rule_id = q.rule_id),
-j2 as (select *, case when r1 is not null then r1
-                 when row_number() over (partition by rule_code, r1 is null order by request_id) > 1 then 'code_enabled_in_run' end as r2
-       from j1),
-open as (select x.request_id, a.rule_code, a.m from j2 x join mins a on a.rule_id = x.rule_id where x.r2 is null),
-clash as (select distinct a.request_id from open a join open b on a.m = b.m and a.rule_code <> b.rule_code
-          where b.request_id < a.request_id),
-j3 as (select *, case when r2 is not null then r2 when request_id in (select request_id from clash) then 'overlaps_in_run' end as reason from j2)
+  where i < case when end_minute <= start_minute then end_minute - start_minute + 1440 else end_minute - start_minute end
+  group by rule_id, rule_code, status),
+turn as (select q.request_id, d.*, row_number() over (order by q.request_id) as pos
+         from rule_wish q join mins d on d.rule_id = q.rule_id where d.status = 'DRAFT'),
+-- One request a step: the rules enabled by then, and the drafts enabled in the run.
+fold as (
+  select cast(0 as bigint) as pos, cast(null as bigint) as request_id, cast(null as bigint) as rule_id, cast(null as varchar) as why,
+         (select list({'c': rule_code, 'm': m}) from mins where status = 'ENABLED') as live, cast([] as bigint[]) as done
+  union all
+  select j.pos, j.request_id, j.rule_id, j.why,
+         case when j.why is null then list_append(list_filter(j.live, lambda x: x.c <> j.rule_code), {'c': j.rule_code, 'm': j.m}) else j.live end,
+         case when j.why is null then list_append(j.done, j.rule_id) else j.done end
+  from (select t.*, f.live, f.done,
+               case when list_contains(f.done, t.rule_id) then 'not_draft'
+                    when len(list_filter(f.live, lambda x: x.c <> t.rule_code and list_has_any(x.m, t.m))) > 0
+                      then 'overlaps_enabled_rule' end as why
+        from fold f join turn t on t.pos = f.pos + 1) j),
+j3 as (select q.request_id, q.rule_id, d.rule_code,
+              case when d.rule_id is null then 'rule_missing' when d.status <> 'DRAFT' then 'not_draft' else f.why end as reason
+       from rule_wish q left join draft_rule d on d.rule_id = q.rule_id left join fold f on f.request_id = q.request_id),
+stays as (select rule_code, arg_max(rule_id, request_id) as rule_id from j3 where reason is null group by rule_code)
 """
 
 
 def _enabling(spark, sf_dir):
     from netpen.plans.lifecycle import enable_rules
-    v = views(spark, sf_dir, "draft_rule", "order_line")
-    wanted = v["order_line"].select(
-        (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("request_id"), F.col("l_partkey").alias("rule_id"))
-    return enable_rules(v["draft_rule"], wanted, "2024-06-01 00:00:00")
+    v = views(spark, sf_dir, "draft_rule", "rule_wish")
+    return enable_rules(v["draft_rule"], v["rule_wish"], "2024-06-01 00:00:00")
 
 
 @query("enable_rules", _ENABLING + """
 select d.rule_id, d.rule_code, d.version_no, d.start_minute, d.end_minute,
-       case when t.rule_id is not null then 'ENABLED' when c.rule_code is not null and d.status = 'ENABLED' then 'RETIRED'
-            else d.status end as status,
+       case when c.rule_id <> d.rule_id and (t.rule_id is not null or d.status = 'ENABLED') then 'RETIRED'
+            when t.rule_id is not null then 'ENABLED' else d.status end as status,
        case when t.rule_id is not null then timestamp '2024-06-01 00:00:00' end as enabled_time,
-       case when c.rule_code is not null and d.status = 'ENABLED' then timestamp '2024-06-01 00:00:00' end as retired_time
+       case when c.rule_id <> d.rule_id and (t.rule_id is not null or d.status = 'ENABLED') then timestamp '2024-06-01 00:00:00' end as retired_time
 from draft_rule d left join (select rule_id from j3 where reason is null) t on t.rule_id = d.rule_id
-left join (select rule_code from j3 where reason is null) c on c.rule_code = d.rule_code""")
+left join stays c on c.rule_code = d.rule_code""")
 def enable_rules_query(spark, sf_dir):
     return _enabling(spark, sf_dir).rules
 

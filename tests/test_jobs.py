@@ -380,10 +380,55 @@ def test_enabling_rules(spark, hot_rows):
     wanted = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (9, 6), (1, 7)], "rule_id long, request_id long")
     got = lifecycle.enable_rules(stored, wanted, "2026-01-01", hot_rows)
     assert {r.request_id: r.reason for r in got.rejected.collect()} == {
-        2: "overlaps_enabled_rule", 3: "overlaps_in_run", 5: "not_draft", 6: "rule_missing", 7: "code_enabled_in_run"}
+        2: "overlaps_enabled_rule", 3: "overlaps_enabled_rule", 5: "not_draft", 6: "rule_missing", 7: "not_draft"}
     assert {r.rule_id: r.status for r in got.rules.collect()} == {0: "RETIRED", 1: "ENABLED", 2: "DRAFT", 3: "DRAFT", 4: "ENABLED", 5: "RETIRED"}
 
 
+def enable_one_by_one(rules, wanted):
+    """Statuses and reasons, one request after the other."""
+    minutes = {i: {m % 1440 for m in range(s, e if e > s else e + 1440)} for i, _, s, e, _ in rules}
+    code, status, out = {r[0]: r[1] for r in rules}, {r[0]: r[4] for r in rules}, {}
+    for rule, request in sorted(wanted, key=lambda w: w[1]):
+        live = [i for i in status if status[i] == "ENABLED"]
+        if rule not in status:
+            out[request] = "rule_missing"
+        elif status[rule] != "DRAFT":
+            out[request] = "not_draft"
+        elif any(code[i] != code[rule] and minutes[i] & minutes[rule] for i in live):
+            out[request] = "overlaps_enabled_rule"
+        else:
+            status.update({i: "RETIRED" for i in live if code[i] == code[rule]})
+            status[rule], out[request] = "ENABLED", None
+    return status, out
+
+
+@pytest.mark.parametrize("seed, stretch", [(1, 200_000), (2, 25), (3, 7)])
+def test_random_enabling_equals_a_loop(spark, seed, stretch):
+    """In one stretch and in many; refused drafts block nobody and may be asked for again."""
+    pick = random.Random(seed)
+    rules = []
+    for i in range(60):
+        start = pick.randrange(1440)
+        rules.append((i, f"R{pick.randrange(15)}", start, 1 + (start + pick.randrange(1, 90)) % 1440,
+                      pick.choice(["DRAFT"] * 6 + ["RETIRED"])))
+    held = set()
+    for n, r in enumerate(rules):  # some are enabled at first, of different codes apart
+        if n % 9 == 0 and r[1] not in held and not any(
+                o[4] == "ENABLED" and {m % 1440 for m in range(r[2], r[3] if r[3] > r[2] else r[3] + 1440)}
+                & {m % 1440 for m in range(o[2], o[3] if o[3] > o[2] else o[3] + 1440)} for o in rules):
+            rules[n] = (*r[:4], "ENABLED")
+            held.add(r[1])
+    wanted = [(pick.choice([*range(60), 99]), q) for q in pick.sample(range(1000), 120)]
+    stored = table(spark, "ts_rule", *[
+        dict(rule_id=i, rule_code=c, version_no=1, start_minute=s, end_minute=e, status=st) for i, c, s, e, st in rules])
+    got = lifecycle.enable_rules(stored, spark.createDataFrame(wanted, "rule_id long, request_id long"), "2026-01-01",
+                                 stretch_rows=stretch)
+    status, reasons = enable_one_by_one(rules, wanted)
+    assert {r.rule_id: r.status for r in got.rules.collect()} == status
+    assert {r.request_id: r.reason for r in got.rejected.collect()} == {q: r for q, r in reasons.items() if r}
+    assert sum(r is None for r in reasons.values()) > 10
+
+
 def test_handoff_documents_count_their_items(spark):
     t = migration_tables(spark)
     got = migration.migration_handoff(ask(spark, ("M-1", 1, "B", "replace", "2026-02-01")), now="2026-03-01", **t)
