@@ -17,6 +17,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
+from netpen.session import stage
+
 MIN_HOT_ROWS = 100_000  # a key with fewer rows is no burden to any task
 
 _CHUNK, _SALT = "__chunk", "__salt"
@@ -97,17 +99,32 @@ class OrderedScan:
     cut into ``chunk`` pieces that are scanned in parallel; a short second scan over one summary row
     per piece supplies what each piece starts with. Cold keys have a single piece.
 
-    ``chunk`` must grow with ``order``: it is the leading part of the order, coarsened.
+    Pieces are cut at quantiles of key and whole order, as many as shuffle partitions, so they are even
+    however the rows lie: in one second, or with gaps of years. The quantiles come from a sample, so the cut rows
+    are written once and stay in their pieces. Where blocks of known size are at hand, ``chunk`` may name
+    them instead: it must grow with ``order``, as its leading part, coarsened.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None = None,
                  hot_rows: int | None = None, hot: Sequence[int] | None = None):
         self.keys, self.order = list(keys), list(order)
         self.hot = hot_keys(df, keys, hot_rows) if hot is None else hot
         self.pieces = [*self.keys, _CHUNK] if self.hot else self.keys
-        self.df = df.withColumn(
-            _CHUNK,
-            F.when(is_hot(keys, self.hot), F.struct(chunk.alias("at")))) if self.hot else df
+        if not self.hot:
+            self.df = df
+        elif chunk is not None:
+            self.df = df.withColumn(_CHUNK, F.when(is_hot(keys, self.hot), F.struct(chunk.alias("at"))))
+        else:
+            self.df = self._cut(df)
+
+    def _cut(self, df: DataFrame) -> DataFrame:
+        """Hot rows with the number of their range of keys and order; cold rows without a piece."""
+        width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hot = is_hot(self.keys, self.hot)
+        cut = df.where(hot).repartitionByRange(width, *self.keys, *self.order).withColumn(
+            _CHUNK, F.struct(F.spark_partition_id().alias("at")))
+        cut = stage(cut, "scan-pieces")
+        return cut.unionByName(df.where(~hot).withColumn(_CHUNK, F.lit(None).cast(cut.schema[_CHUNK].dataType)))
 
     def carry(self, last: Mapping[str, Column] | None = None,
               maximum: Mapping[str, Column] | None = None,

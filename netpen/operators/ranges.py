@@ -41,8 +41,7 @@ def day_segments(tides: DataFrame, hot_rows: int | None = None) -> DataFrame:
     start and last end becomes a segment without tide. A moment of the envelope therefore falls
     into exactly one segment.
     """
-    scan = OrderedScan(tides, ["cage_no", "business_date"], ["start_at_utc", "tide_id"],
-                       F.date_trunc("hour", "start_at_utc"), hot_rows)
+    scan = OrderedScan(tides, ["cage_no", "business_date"], ["start_at_utc", "tide_id"], hot_rows=hot_rows)
     reached = scan.carry(maximum={"reached": F.col("end_at_utc")}).rows()
     own = F.struct(
         F.greatest("start_at_utc", "reached").alias("seg_start"),
@@ -59,8 +58,7 @@ def day_segments(tides: DataFrame, hot_rows: int | None = None) -> DataFrame:
 
 def tide_overlaps(tides: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Tides that meet an earlier tide (by start, then id) of the same cage."""
-    scan = OrderedScan(tides, ["cage_no"], ["start_at_utc", "tide_id"],
-                       F.date_trunc("day", "start_at_utc"), hot_rows)
+    scan = OrderedScan(tides, ["cage_no"], ["start_at_utc", "tide_id"], hot_rows=hot_rows)
     reached = scan.carry(maximum={"reached": F.col("end_at_utc")}).rows()
     return reached.where(F.col("start_at_utc") < F.col("reached")).drop("reached")
 

@@ -116,7 +116,7 @@ def place_on_timeline(facts: DataFrame, time: str, row_id: str, batches: DataFra
     rows = facts.withColumns({
         "__at": F.col(time), "__kind": F.lit(1), "__tie": F.col(row_id).cast("bigint")})
     scan = OrderedScan(rows.unionByName(moves, allowMissingColumns=True), ["batch_id"],
-                       ["__at", "__kind", "__tie"], F.to_date("__at"), hot_rows)
+                       ["__at", "__kind", "__tie"], hot_rows=hot_rows)
     placed = scan.carry(last={"__segment": F.col("__move")}).rows().where(F.col("__kind") == 1)
     start = events.groupBy("batch_id").agg(
         F.min_by("source_cage_no", F.struct("seq_no", "migration_no")).alias("__origin"))

@@ -56,7 +56,7 @@ def replay_status(kind: str, entities: DataFrame, events: DataFrame,
     every = events.withColumn("is_event", F.lit(True)).unionByName(
         start.withColumn("is_event", F.lit(False)), allowMissingColumns=True)
     every = every.withColumn("level", _level(kind, F.col("target_status")))
-    scan = OrderedScan(every, [key], ["event_time", "event_id"], F.to_date("event_time"), hot_rows)
+    scan = OrderedScan(every, [key], ["event_time", "event_id"], hot_rows=hot_rows)
     scan.carry(maximum={"level_before": F.col("level"), "known": F.when(~F.col("is_event"), 1)})
     legal = F.col("level") >= F.col("level_before")
     reason = (
@@ -115,16 +115,16 @@ def replay_rules(rules: DataFrame, events: DataFrame, hot_rows: int | None = Non
     """
     known = rules.select("rule_id", "rule_code", F.coalesce("status", F.lit("DRAFT")).alias("stored"))
     rows = skew_join(events, known, ["rule_id"], ["event_id"], "left", hot_rows)
-    order, chunk = ["event_time", "event_id"], F.to_date("event_time")
+    order = ["event_time", "event_id"]
     enables, retires = F.col("action") == "ENABLE", F.col("action") == "RETIRE"
-    version = OrderedScan(rows, ["rule_id"], order, chunk, hot_rows)
+    version = OrderedScan(rows, ["rule_id"], order, hot_rows=hot_rows)
     version.carry(maximum={"was_enabled": F.when(enables, 1)})
     version.add(takes=enables & F.col("was_enabled").isNull() & (F.col("stored") == "DRAFT"))
-    code = OrderedScan(version.rows(), ["rule_code"], order, chunk, hot_rows)
+    code = OrderedScan(version.rows(), ["rule_code"], order, hot_rows=hot_rows)
     code.carry(last={"holder": F.when(F.col("takes"), F.col("rule_id"))})
     as_stored = F.col("holder").isNull() & (F.col("stored") == "ENABLED")
     code.add(holds=retires & F.coalesce((F.col("holder") == F.col("rule_id")) | as_stored, F.lit(False)))
-    again = OrderedScan(code.rows(), ["rule_id"], order, chunk, hot=version.hot)
+    again = OrderedScan(code.rows(), ["rule_id"], order, hot=version.hot)
     again.carry(maximum={"was_retired": F.when(F.col("holds"), 1)})
     reason = (
         F.when(F.col("rule_code").isNull(), "rule_missing")
@@ -140,8 +140,7 @@ def rule_history(rules: DataFrame, hot_rows: int | None = None) -> DataFrame:
     rows = rules.where(F.col("enabled_time").isNotNull()).withColumn(
         "__from_end", -F.unix_micros(F.col("enabled_time").cast("timestamp")))
     rows = rows.withColumn("__id_from_end", -F.col("rule_id"))
-    scan = OrderedScan(rows, ["rule_code"], ["__from_end", "__id_from_end"],
-                       F.floor(F.col("__from_end") / 86_400_000_000), hot_rows)
+    scan = OrderedScan(rows, ["rule_code"], ["__from_end", "__id_from_end"], hot_rows=hot_rows)
     following = scan.carry(last={"next_enabled": F.col("enabled_time")}).rows()
     return following.select(
         "rule_id", "rule_code", "version_no", "enabled_time",

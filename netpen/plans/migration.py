@@ -230,8 +230,7 @@ def _walks(winners: DataFrame, sensors: DataFrame, hot_rows: int | None = None)
     legs = winners.select("request_id", F.explode(F.array(
         F.struct(F.col("source_cage_no").alias("cage"), F.lit(True).alias("leaves")),
         F.struct(F.col("target_cage_no").alias("cage"), F.lit(False).alias("leaves")))).alias("leg")).select("request_id", "leg.*")
-    scan = OrderedScan(legs.withColumn("__from_end", -F.col("request_id")), ["cage"], ["__from_end"],
-                       F.floor(F.col("__from_end") / 10_000), hot_rows)
+    scan = OrderedScan(legs.withColumn("__from_end", -F.col("request_id")), ["cage"], ["__from_end"], hot_rows=hot_rows)
     following = stage(scan.carry(last={"next_id": F.when(F.col("leaves"), F.col("request_id"))}).rows().where(
         ~F.col("leaves") & F.col("next_id").isNotNull()).select("request_id", "next_id"), "next-moves")
     starts = winners.groupBy(F.col("source_cage_no").alias("cage_no")).agg(F.min("request_id").alias("request_id"))

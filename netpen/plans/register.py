@@ -132,11 +132,9 @@ def _meets_stored(rows: DataFrame, stored: DataFrame, hot_rows: int | None) -> D
         "__order": F.coalesce("request_id", F.lit(-1).cast("bigint")),
         "__from_end": -F.unix_micros(F.col("start_at_utc").cast("timestamp"))})
     old = lambda c: F.when(~F.col("__new"), F.col(c))
-    forward = OrderedScan(every, ["cage_no"], ["start_at_utc", "__order"],
-                          F.date_trunc("day", "start_at_utc"), hot_rows)
+    forward = OrderedScan(every, ["cage_no"], ["start_at_utc", "__order"], hot_rows=hot_rows)
     forward.carry(maximum={"__reached": old("end_at_utc")})
-    backward = OrderedScan(forward.rows(), ["cage_no"], ["__from_end", "__order"],
-                           F.floor(F.col("__from_end") / 86_400_000_000), hot=forward.hot)
+    backward = OrderedScan(forward.rows(), ["cage_no"], ["__from_end", "__order"], hot=forward.hot)
     backward.carry(last={"__next_start": old("start_at_utc")})
     return backward.rows().where(F.col("__new") & (
         (F.col("start_at_utc") < F.col("__reached")) | (F.col("__next_start") < F.col("end_at_utc")))).select("request_id")
@@ -275,8 +273,7 @@ def register(kind: str, rows: DataFrame, tables: dict[str, DataFrame],
 def next_versions(drafts: DataFrame, rules: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Drafts numbered on from the highest stored version of their code."""
     newest = rules.groupBy("rule_code").agg(F.max("version_no").alias("__newest"))
-    numbered = OrderedScan(drafts, ["rule_code"], ["request_id"],
-                           F.floor(F.col("request_id") / 10_000), hot_rows).carry(count="__n").rows()
+    numbered = OrderedScan(drafts, ["rule_code"], ["request_id"], hot_rows=hot_rows).carry(count="__n").rows()
     joined = skew_join(numbered, newest, ["rule_code"], ["request_id"], "left", hot_rows)
     return joined.withColumn(
         "version_no", (F.coalesce("__newest", F.lit(0)) + F.col("__n") + 1).cast("int")).drop("__newest", "__n")

@@ -50,6 +50,25 @@ def test_ordered_scan_with_null_first_row(spark):
     assert len(got) == 30 and all(r.start == 5 for r in got)
 
 
+def test_pieces_are_even_however_rows_lie(spark):
+    """A hot key with all rows in one second, and one with most rows in one of many years."""
+    one, many = dt.datetime(2024, 1, 1), [dt.datetime(2000 + i % 40 if i % 10 == 0 else 2010, 1, 1) for i in range(2000)]
+    rows = [("second", one, i, i * 7 % 2000) for i in range(2000)] + [("years", t, i, i * 7 % 2000) for i, t in enumerate(many)]
+    rows += [(f"cold{i % 50}", one, i, i) for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, i long, v long")
+    scan = OrderedScan(df, ["k"], ["t", "i"], hot_rows=500)
+    sizes = [r["count"] for r in scan.df.where("__chunk is not null").groupBy("k", "__chunk").count().collect()]
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(sizes) == 4000 and max(sizes) <= 2 * 4000 / width
+    got = {(r.k, r.i): (r.most, r.n, r.last) for r in scan.carry(
+        last={"last": F.when(F.col("v") % 3 == 0, F.col("v"))}, maximum={"most": F.col("v")}, count="n").rows().collect()}
+    state = {}
+    for k, t, i, v in sorted(rows):
+        most, n, last = state.get(k, (None, 0, None))
+        assert got[k, i] == (most, n, last)
+        state[k] = max(v, most if most is not None else v), n + 1, v if v % 3 == 0 else last
+
+
 def test_hot_rows_are_spread(spark):
     df = spark.createDataFrame([("hot", i) for i in range(500)] + [("cold", 1)], "k string, i long")
     assert len(hot_keys(df, ["k"], 100)) == 1
