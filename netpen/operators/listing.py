@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 MAX_PAGE = 1000
 NEWEST_OBSERVATIONS = 500
 
+PAGE_GRAIN = 10_000  # values per block when a page is looked for
+
 _NEWEST = lambda *cols: [F.col(c).desc() for c in cols]
 _OLDEST = lambda *cols: [F.col(c).asc() for c in cols]
 
@@ -87,14 +89,41 @@ def first_failures(ledger: DataFrame, group: str = "checksum", limit: int = 100)
     )
 
 
+def _holding(rows: DataFrame, column: str, grain: int, first: int, size: int) -> tuple[int, int, int] | None:
+    """The lowest and highest block of ``column`` that the page reaches into, and the rows before them.
+
+    Rows are counted per block with partial counts; one row per block is summed up in order.
+    """
+    counts = rows.groupBy(F.floor(F.col(column) / grain).alias("block")).count()
+    before = F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")
+    found = counts.withColumn("before", before).where(
+        (F.col("before") < first + size) & (F.col("before") + F.col("count") > first)).agg(
+        F.min("block"), F.max("block"), F.min("before")).first()
+    return None if found[0] is None else tuple(found)
+
+
+def page(rows: DataFrame, column: str, first: int, size: int, *ties: str) -> DataFrame:
+    """``size`` rows from the one at ``first`` on, in order of a whole-number column, then of ``ties``.
+
+    Nothing is sorted but the page: counts per block of values, then per value, tell which values the page
+    holds and how many rows of the first value come before it, however far from the start that is.
+    """
+    begun, wanted = 0, rows
+    for grain in (PAGE_GRAIN, 1):
+        found = _holding(wanted, column, grain, first - begun, size)
+        if found is None:
+            return rows.limit(0)
+        low, high, before = found
+        begun += before
+        wanted = rows.where(F.col(column).between(low * grain, (high + 1) * grain - 1))
+    return wanted.orderBy(column, *ties).offset(first - begun).limit(size)
+
+
 def outcome_page(ledger: DataFrame, checksum: str | None = None, outcome: str | None = None,
                  limit: int = 100, offset: int = 0) -> DataFrame:
-    """One page of row outcomes in line order."""
+    """One page of row outcomes in line order, files of one line by checksum."""
     given = {"checksum": checksum, "outcome": outcome.upper() if outcome else None}
-    return (
-        where_given(ledger, given).orderBy("line_no")
-        .offset(max(offset, 0)).limit(min(max(limit, 1), MAX_PAGE))
-    )
+    return page(where_given(ledger, given), "line_no", max(offset, 0), min(max(limit, 1), MAX_PAGE), "checksum")
 
 
 def newest_observations(observations: DataFrame, voyage_no: str | None = None,

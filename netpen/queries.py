@@ -590,6 +590,15 @@ def import_page(spark, sf_dir):
     return outcome_page(_import(spark, sf_dir).ledger, "file-2", "failed", 50, 20)
 
 
+@query("import_page_middle", _FOLD + """
+select * from ledger order by line_no, checksum limit 1000 offset (select count(*) // 2 from ledger)""")
+def import_page_middle(spark, sf_dir):
+    from netpen.operators.listing import outcome_page
+    from netpen.session import stage
+    ledger = stage(_import(spark, sf_dir).ledger, "ledger")
+    return outcome_page(ledger, limit=1000, offset=ledger.count() // 2)
+
+
 _LAST_APPLIED = """,
 applied as (
   select d.*, o.record_no as old_record, o.report_no as old_report, o.reading_no as old_reading,

@@ -166,3 +166,18 @@ def test_failures_and_pages(spark):
     assert sorted(r.line_no for r in first_failures(ledger, limit=3).collect()) == [3, 5, 7]
     assert [r.line_no for r in outcome_page(ledger, "f", "failed", 2, 1).collect()] == [5, 7]
     assert outcome_page(ledger, limit=0).count() == 1
+
+
+def test_pages_at_any_offset(spark):
+    rng = random.Random(8)
+    rows = [(f"f{rng.randrange(6)}", rng.randrange(60_000), i) for i in range(3000)] + [(f"g{i}", 777, i) for i in range(300)]
+    ledger = spark.createDataFrame([(c, n, "FAILED" if i % 3 else "SUCCESS", i) for c, n, i in set(rows)],
+                                   "checksum string, line_no long, outcome string, i long").dropDuplicates(["checksum", "line_no"])
+    every = sorted((r.line_no, r.checksum, r.outcome) for r in ledger.collect())
+    for offset, limit in ((0, 10), (len(every) // 2, 50), (40, 1000), (len(every) - 5, 20), (len(every), 10), (10**9, 1)):
+        got = [(r.line_no, r.checksum, r.outcome) for r in outcome_page(ledger, limit=limit, offset=offset).collect()]
+        assert got == every[offset:offset + limit]
+    failed = [r for r in every if r[2] == "FAILED"]
+    got = [(r.line_no, r.checksum, r.outcome) for r in outcome_page(ledger, outcome="failed", limit=30, offset=500).collect()]
+    assert got == failed[500:530]
+    assert outcome_page(ledger.limit(0)).count() == 0
