@@ -36,24 +36,54 @@ def handoff_mismatches(events: DataFrame) -> DataFrame:
         "chain_no", "migration_no", "seq_no", F.col("readable").cast("int").alias("readable"))
 
 
-def audit_wide(chains: DataFrame, events: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """One row per chain with one 0/1 column per check.
-
-    Each event is compared with the one before it in a single ordered scan; the rest is one
-    aggregate per chain.
-    """
-    before = F.struct("seq_no", "target_cage_no", "occurred_at", "cumulative_feed_kg")
+def _compared(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """Each event with what holds between it and the one before it, from a single ordered scan."""
+    before = F.struct("seq_no", "migration_no", "target_cage_no", "occurred_at", "cumulative_feed_kg")
     scan = OrderedScan(_handoff_flags(events), ["chain_no"], ["seq_no", "migration_no"],
                        F.floor(F.col("seq_no") / SEQ_CHUNK), hot_rows)
     prev = F.col("prev")
     first = prev.isNull()
-    holds = lambda condition: F.coalesce(condition, F.lit(True))
-    flagged = scan.carry(last={"prev": before}).rows().withColumns({
+    return scan.carry(last={"prev": before}).rows().withColumns({
         "next_number": F.when(first, F.col("seq_no") == 1).otherwise(F.col("seq_no") == prev["seq_no"] + 1),
         "linked": first | (prev["target_cage_no"] == F.col("source_cage_no")),
         "later": first | (F.col("occurred_at") > prev["occurred_at"]),
-        "not_less": holds(F.col("cumulative_feed_kg") >= prev["cumulative_feed_kg"]),
+        "not_less": F.coalesce(F.col("cumulative_feed_kg") >= prev["cumulative_feed_kg"], F.lit(True)),
     })
+
+
+def chain_breaks(chains: DataFrame, events: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """The events at which a chain fails a check, one row per chain, check and event, with the event before it.
+
+    Of each unbroken run of such events the first carries ``run_length``, how many follow each other without a
+    sound one between; the others have null. Faults of a chain's ends, which no event has, are in ``audit_chains``.
+    """
+    known = chains.select("chain_no").distinct()
+    flags = {"SEQ_CONTINUOUS": "next_number", "CAGE_LINKED": "linked", "TIME_ORDERED": "later",
+             "HANDOFF_EQUAL": "handed_over", "FEED_MONOTONIC": "not_less", "SNAPSHOT_READABLE": "readable"}
+    compared = skew_join(_compared(events, hot_rows), known, ["chain_no"], ["migration_no"], "left_semi", hot_rows)
+    checked = compared.select(
+        "chain_no", "seq_no", "migration_no", F.col("prev")["migration_no"].alias("previous_no"), F.inline(F.array(*[
+            F.struct(F.lit(name).alias("check_name"), (~F.coalesce(F.col(flag), F.lit(True))).alias("broken"))
+            for name, flag in flags.items()])))
+    # A run is told by the sound events before it, which are as many for all its members.
+    scan = OrderedScan(checked, ["chain_no", "check_name"], ["seq_no", "migration_no"],
+                       F.floor(F.col("seq_no") / SEQ_CHUNK), hot_rows)
+    rows = scan.carry(last={"last_sound": F.when(~F.col("broken"), F.struct("seq_no", "migration_no"))}).rows().where("broken")
+    runs = rows.groupBy("chain_no", "check_name", "last_sound").agg(
+        F.count(F.lit(1)).alias("run_length"), F.min(F.struct("seq_no", "migration_no")).alias("begins"))
+    runs = runs.select("chain_no", "check_name", "run_length", "begins.*")
+    return rows.join(runs, ["chain_no", "check_name", "seq_no", "migration_no"], "left").select(
+        "chain_no", "check_name", "seq_no", "migration_no", "previous_no", "run_length")
+
+
+def audit_wide(chains: DataFrame, events: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """One row per chain with one 0/1 column per check.
+
+    Each event is compared with the one before it in a single ordered scan; the rest is one
+    aggregate per chain.
+    """
+    holds = lambda condition: F.coalesce(condition, F.lit(True))
+    flagged = _compared(events, hot_rows)
     position = F.struct("seq_no", "migration_no")
     sums = flagged.groupBy("chain_no").agg(
         F.count(F.lit(1)).alias("event_count"),

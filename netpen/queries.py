@@ -735,6 +735,32 @@ def chain_audit(spark, sf_dir):
     return audit_chains(v["migration_chain"], v["migration_event"])
 
 
+@query("chain_breaks", f"""
+with stepped as (
+  select e.*, lag(migration_no) over w as previous_no, lag(seq_no) over w as before_seq, lag(target_cage_no) over w as before_cage,
+         lag(occurred_at) over w as before_at, lag(cumulative_feed_kg) over w as before_feed,
+         o_orderkey % 131 <> 0 and o_orderkey % 137 <> 0 as readable, {_HANDED} as handed
+  from migration_event e window w as (partition by chain_no order by seq_no, migration_no)),
+checked as (
+  select chain_no, seq_no, migration_no, previous_no, unnest([
+    {{'check_name': 'SEQ_CONTINUOUS', 'broken': case when previous_no is null then seq_no <> 1 else seq_no <> before_seq + 1 end}},
+    {{'check_name': 'CAGE_LINKED', 'broken': previous_no is not null and before_cage <> source_cage_no}},
+    {{'check_name': 'TIME_ORDERED', 'broken': previous_no is not null and occurred_at <= before_at}},
+    {{'check_name': 'HANDOFF_EQUAL', 'broken': not handed}},
+    {{'check_name': 'FEED_MONOTONIC', 'broken': coalesce(cumulative_feed_kg < before_feed, false)}},
+    {{'check_name': 'SNAPSHOT_READABLE', 'broken': not readable}}], recursive := true) from stepped),
+placed as (
+  select *, count(*) filter (not broken) over (partition by chain_no, check_name order by seq_no, migration_no) as island from checked),
+runs as (select *, count(*) over (partition by chain_no, check_name, island) as size,
+                row_number() over (partition by chain_no, check_name, island order by seq_no, migration_no) as place
+         from placed where broken)
+select chain_no, check_name, seq_no, migration_no, previous_no, case when place = 1 then size end as run_length from runs""")
+def chain_breaks_query(spark, sf_dir):
+    from netpen.plans.audit import chain_breaks
+    v = views(spark, sf_dir, "migration_chain", "migration_event")
+    return chain_breaks(v["migration_chain"], v["migration_event"])
+
+
 @query("handoff_mismatches", f"""
 select chain_no, migration_no, seq_no,
        case when o_orderkey % 131 <> 0 and o_orderkey % 137 <> 0 then 1 else 0 end as readable
