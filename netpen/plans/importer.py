@@ -17,6 +17,7 @@ from netpen.plans.validate import MAX_RAW_LINE, MAX_RAW_VALUE, error, validate_r
 from netpen.session import stage
 from netpen.sources.obs_files import (
     data_lines, dedup_files, judge_files, read_obs_files, scan_files, verify_checksum)
+from netpen.sources.versions import day_of, days_of
 
 # Fixed values.
 SHARD_SIZE = 1000
@@ -66,7 +67,13 @@ def cage_reference(batches: DataFrame, harvests: DataFrame) -> DataFrame:
 
 def stored_state(observations: DataFrame, incoming: DataFrame, records: DataFrame,
                  reports: DataFrame, batches: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """Stored observations that incoming rows touch, with the state of their linked records."""
+    """Stored observations that incoming rows touch, with the state of their linked records.
+
+    Of a published table only the incoming rows' days are read; tables bucketed by their keys are not shuffled.
+    """
+    if "day" in observations.columns:
+        days = days_of(incoming.select(day_of("observed_at").alias("day")))
+        observations = observations.where(F.col("day").isin(days)).drop("day")
     touched = observations.join(incoming.select(*KEY).distinct(), KEY, "left_semi")
     linked = (
         touched

@@ -1,4 +1,7 @@
-"""Writing results: upserts, whole-day replacement, append-only events, row ledgers."""
+"""Writing results: upserts, whole-day replacement, append-only events, row ledgers.
+
+Upserts and replacements are published as whole versions, see ``versions``.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +9,13 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from netpen.operators.latest import first_per_key
 from netpen.schemas import CAGE_OBSERVATION, TABLES
-from netpen.session import PARTITION_OVERWRITE, delete_path, stage
+from netpen.session import PARTITION_OVERWRITE
 from netpen.sources.tables import conform
+from netpen.sources.versions import Version, change, day_of, days_of, open_version
 
 OBSERVATION_KEY = ["voyage_no", "cage_no", "observed_at"]
 
@@ -65,10 +69,6 @@ def write_ledger(ledger: DataFrame, path: str) -> None:
     write_partitions(ledger, path, ["checksum"])
 
 
-def append_table(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
-
-
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A parquet table, or no rows where nothing has been written yet."""
     try:
@@ -79,44 +79,45 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFra
         return spark.createDataFrame([], schema)
 
 
-def _rewrite_days(path: str, after: DataFrame, by: str, name: str) -> None:
-    """Replace day partitions by a state that was computed from the files being replaced."""
-    write_partitions(stage(after, name), path, [by])
-
-
 def upsert_table(spark: SparkSession, path: str, name: str, changes: DataFrame,
                  keys: Sequence[str], time: str, locked: Column | None = None) -> None:
-    """Upsert into a parquet table partitioned by the day of column ``time``.
+    """Upsert into a published table filed by the day of column ``time`` and bucketed by ``keys``.
 
     Stored rows for which ``locked`` holds keep their values, whatever the changes say of them.
 
-    Only the days that change are read and rewritten. Applying the same changes again gives the
-    same table, so a run that was cut off may simply be repeated.
+    Only the days that change are read and written, the stored side without a shuffle; readers see all of
+    it or nothing. Applying the same changes again gives the same table, so a run that was cut off may
+    simply be repeated.
     """
     schema = TABLES[name]
-    changes = changes.withColumn("day", F.to_date(time))
-    current = read_or_empty(spark, path, StructType([*schema.fields, StructField("day", DateType())]))
-    # Distinct calendar days, so a few thousand rows at most.
-    affected = current.join(F.broadcast(changes.select("day").distinct()), "day", "left_semi").drop("day")
-    if locked is not None:
-        changes = changes.join(affected.where(locked).select(*keys), list(keys), "left_anti")
-    after = conform(upsert(affected, changes.drop("day"), keys), schema)
-    _rewrite_days(path, after.withColumn("day", F.to_date(time)), "day", f"upsert-{name}")
+    changes = changes.withColumn("day", day_of(time))
+    days = days_of(changes)
+
+    def build(version: Version) -> tuple[DataFrame, Sequence] | None:
+        if not days:
+            return None
+        affected = open_version(spark, path, schema, version).where(F.col("day").isin(days)).drop("day")
+        given = changes.drop("day")
+        if locked is not None:
+            given = given.join(affected.where(locked).select(*keys), list(keys), "left_anti")
+        after = conform(upsert(affected, given, keys), schema)
+        return after.withColumn("day", day_of(time)), days
 
+    change(spark, path, keys, build)
 
-def replace_table(spark: SparkSession, path: str, new: DataFrame, pairs: DataFrame) -> None:
-    """Replace all rows of the given (batch_id, business_date) pairs, partitioned by date.
 
-    Writing replaces only dates that still have rows; the dates that lost their last row are deleted.
+def replace_table(spark: SparkSession, path: str, new: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> None:
+    """Replace all rows of the given (batch_id, business_date) pairs in a published table filed by date.
+
+    ``keys`` name the buckets; take columns without heavy values. Dates that lose their last row are gone.
     """
-    current = read_or_empty(spark, path, new.schema)
-    # Distinct calendar days, so a few thousand rows at most.
-    days = F.broadcast(pairs.select("business_date").distinct())
-    affected = current.join(days, "business_date", "left_semi")
-    after = stage(replace_results(affected, new.select(*current.columns), pairs), "replace")
-    emptied = affected.select("business_date").distinct().join(
-        after.select("business_date").distinct(), "business_date", "left_anti").collect()
-    write_partitions(after, path, ["business_date"])
-    for row in emptied:
-        delete_path(spark, f"{path}/business_date={row.business_date}")
+    days = days_of(pairs.select(F.col("business_date").alias("day")))
+
+    def build(version: Version) -> tuple[DataFrame, Sequence] | None:
+        if not days:
+            return None
+        current = open_version(spark, path, new.schema, version).where(F.col("day").isin(days)).drop("day")
+        after = replace_results(current, new.select(*current.columns), pairs)
+        return after.withColumn("day", F.col("business_date")), days
 
+    change(spark, path, keys, build)

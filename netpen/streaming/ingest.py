@@ -20,9 +20,9 @@ from netpen.schemas import FEED_OBSERVATION, IMPORT_FILE, TABLES
 from netpen.session import configure, stage, staging
 from netpen.sources.obs_files import scan_files, with_checksum
 from netpen.sources.sinks import (
-    OBSERVATION_KEY, append_table, read_or_empty, replace_table, upsert_table, write_ledger,
-    write_partitions)
+    OBSERVATION_KEY, read_or_empty, replace_table, upsert_table, write_ledger, write_partitions)
 from netpen.sources.tables import conform
+from netpen.sources.versions import Version, change, day_of, days_of, open_version
 
 Tables = Callable[[], dict[str, DataFrame]]
 
@@ -36,7 +36,8 @@ _UPSERTS = {
 
 
 def stored_tables(spark: SparkSession, root: str, *names: str) -> dict[str, DataFrame]:
-    return {name: read_or_empty(spark, f"{root}/{name}", TABLES[name]) for name in names}
+    """Published tables, bucketed by their keys and filed by ``day``."""
+    return {name: open_version(spark, f"{root}/{name}", TABLES[name]) for name in names}
 
 
 def _decided(spark: SparkSession, run_path: str) -> Import | None:
@@ -128,21 +129,56 @@ def stream_imports(spark: SparkSession, path: str, root: str, checkpoint: str, r
             .trigger(availableNow=True).start())
 
 
+def store_observations(spark: SparkSession, path: str, arrived: DataFrame) -> None:
+    """Publish arrived observations whose number is new; of the stored ones only the numbers are compared."""
+    rows = conform(arrived.dropDuplicates(["obs_no"]), FEED_OBSERVATION).withColumn("day", day_of("observed_at_utc"))
+
+    def build(version: Version) -> tuple[DataFrame, Sequence] | None:
+        stored = open_version(spark, path, FEED_OBSERVATION, version)
+        fresh = stage(rows.join(stored.select("obs_no"), "obs_no", "left_anti"), "fresh-observations")
+        days = days_of(fresh)
+        if not days:
+            return None
+        return stored.where(F.col("day").isin(days)).unionByName(fresh), days
+
+    change(spark, path, ["obs_no"], build)
+
+
+def observations_of(spark: SparkSession, path: str, pairs: DataFrame, batches: DataFrame,
+                    tides: DataFrame) -> DataFrame:
+    """Stored observations that may fall into the (batch_id, business_date) pairs.
+
+    The days between a business date's first tide and its last select folders, the batches' range row groups,
+    so what is read follows the pairs, not the history.
+    """
+    version = Version(spark, path)
+    stored = open_version(spark, path, FEED_OBSERVATION, version)
+    if not version.folders:
+        return stored.drop("day")
+    wanted = pairs.join(batches.select("batch_id", "cage_no"), "batch_id")
+    spans = tides.groupBy("cage_no", "business_date").agg(
+        F.greatest(F.to_date(F.min("start_at_utc")), F.lit(min(version.folders))).alias("lo"),
+        F.least(F.to_date(F.max("end_at_utc")), F.lit(max(version.folders))).alias("hi"))
+    # Within the days that the table has, so a few thousand at most.
+    bounds = wanted.join(spans, ["cage_no", "business_date"]).where("lo <= hi").select(
+        "batch_id", F.explode(F.sequence("lo", "hi")).alias("day")).agg(
+        F.min("batch_id").alias("lo"), F.max("batch_id").alias("hi"), F.collect_set("day").alias("days")).first()
+    return stored.where(F.col("day").isin(bounds.days) & F.col("batch_id").between(
+        F.lit(bounds.lo), F.lit(bounds.hi))).drop("day")
+
+
 def recalculate_late(spark: SparkSession, arrived: DataFrame, root: str,
                      reference: dict[str, DataFrame]) -> None:
     """Store new observations and recompute every (batch, business date) they fall into."""
     path = f"{root}/feed_observation"
-    stored = read_or_empty(spark, path, FEED_OBSERVATION)
-    fresh = conform(arrived.dropDuplicates(["obs_no"]), FEED_OBSERVATION).join(
-        stored.select("obs_no"), "obs_no", "left_anti").select(*FEED_OBSERVATION.names)
-    append_table(fresh, path)
+    batches, tides = reference["fish_batch"], reference["tide_session"]
+    store_observations(spark, path, arrived)
     # Judged on all arrived rows, so that a second delivery recomputes the same days.
-    days = affected_days(arrived, reference["fish_batch"], reference["tide_session"])
-    everything = read_or_empty(spark, path, FEED_OBSERVATION)
-    calc = recalculate(days, reference["fish_batch"], reference["cage_sea_area"],
-                       reference["tide_session"], everything, reference["ts_rule"])
-    replace_table(spark, f"{root}/calc_result", calc.results, days)
-    replace_table(spark, f"{root}/calc_detail", calc.details, days)
+    pairs = stage(affected_days(arrived, batches, tides), "affected-days")
+    calc = recalculate(pairs, batches, reference["cage_sea_area"], tides,
+                       observations_of(spark, path, pairs, batches, tides), reference["ts_rule"])
+    replace_table(spark, f"{root}/calc_result", calc.results, pairs, ["batch_id", "business_date"])
+    replace_table(spark, f"{root}/calc_detail", calc.details, pairs, ["obs_id"])
 
 
 def stream_recalculation(spark: SparkSession, source: DataFrame, root: str, checkpoint: str,

@@ -3,9 +3,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from netpen.schemas import FEED_OBSERVATION
-from netpen.sources.sinks import replace_table
+from netpen.sources.sinks import replace_table, upsert_table
+from netpen.sources.versions import open_version
 from netpen.streaming.ingest import import_folder, stream_imports, stream_recalculation
 from tests.helpers import table
 from tests.test_importer import HEADER, batch, sensor, write
@@ -26,14 +28,15 @@ def test_files_are_imported_once_and_corrections_upsert(spark, tmp_path):
     write(inbox, "copy.csv", "\n".join([HEADER, row.format("0T08:00:00", "10.00"), row.format("1T08:00:00", "11.00")]))
     go()
     go()
-    read = lambda name: spark.read.parquet(f"{root}/{name}")
+    read = lambda name: open_version(spark, f"{root}/{name}")
     amounts = sorted(str(r.feed_amount_kg) for r in read("cage_observation").collect())
     assert amounts == ["10.00", "12.00", "13.00"]
     assert sorted(str(r.amount_kg) for r in read("feeding_record").collect()) == amounts
     assert {r.batch_id for r in read("feeding_record").collect()} == {1}
-    assert sorted(r.outcome for r in read("import_row").collect()) == ["SKIPPED", "SUCCESS", "SUCCESS", "SUCCESS", "UPDATED"]
-    assert read("import_file").count() == 2
-    assert len({r.file_path for r in read("import_file").collect()}) == 2
+    ledger = lambda name: spark.read.parquet(f"{root}/{name}")
+    assert sorted(r.outcome for r in ledger("import_row").collect()) == ["SKIPPED", "SUCCESS", "SUCCESS", "SUCCESS", "UPDATED"]
+    assert ledger("import_file").count() == 2
+    assert len({r.file_path for r in ledger("import_file").collect()}) == 2
 
 
 def test_two_streams_share_one_root(spark, tmp_path):
@@ -45,7 +48,7 @@ def test_two_streams_share_one_root(spark, tmp_path):
         write(tmp_path / name, "f.csv", f"{HEADER}\nV-{name},A,2026-09-10T08:00:00,{amount},,,,\n")
         stream_imports(spark, str(tmp_path / name), root, str(tmp_path / f"cp-{name}"), lambda: reference,
                        lambda: NOW).awaitTermination()
-    amounts = sorted(str(r.feed_amount_kg) for r in spark.read.parquet(f"{root}/cage_observation").collect())
+    amounts = sorted(str(r.feed_amount_kg) for r in open_version(spark, f"{root}/cage_observation").collect())
     assert amounts == ["1.50", "2.50"] and spark.read.parquet(f"{root}/import_file").count() == 2
 
 
@@ -58,13 +61,11 @@ def test_a_run_is_repeatable_and_its_name_is_taken(spark, tmp_path):
     import_folder(spark, str(inbox), root, reference, NOW, "run-1")
     # A posting run comes between the decision and its repeated application.
     path = f"{root}/feeding_record"
-    posted = [r.asDict() | {"posted": 1} for r in spark.read.parquet(path).collect()]
-    schema = spark.read.parquet(path).schema
-    spark.createDataFrame([tuple(p[f] for f in schema.names) for p in posted], schema).write.mode(
-        "overwrite").partitionBy("day").parquet(path)
+    posted = open_version(spark, path).select("record_no", "feeding_time", F.lit(1).alias("posted"))
+    upsert_table(spark, path, "feeding_record", posted, ["record_no"], "feeding_time")
     before = sorted(map(str, spark.read.parquet(f"{root}/import_row").collect()))
     import_folder(spark, str(inbox), root, reference, NOW, "run-1")
-    assert [r.posted for r in spark.read.parquet(path).collect()] == [1]
+    assert [r.posted for r in open_version(spark, path).collect()] == [1]
     assert sorted(map(str, spark.read.parquet(f"{root}/import_row").collect())) == before
     write(inbox, "g.csv", f"{HEADER}\nV,A,2026-09-11T08:00:00,1.50,,,,\n")
     with pytest.raises(ValueError, match="other files"):
@@ -74,13 +75,14 @@ def test_a_run_is_repeatable_and_its_name_is_taken(spark, tmp_path):
 def test_an_emptied_day_keeps_no_rows(spark, tmp_path):
     path = str(tmp_path / "result")
     schema = "batch_id long, business_date date, kg int"
+    keys = ["batch_id"]
     rows = [(1, dt.date(2026, 9, 11), 5), (1, dt.date(2026, 9, 12), 6), (2, dt.date(2026, 9, 12), 7)]
     pairs = lambda *p: spark.createDataFrame(p, "batch_id long, business_date date")
-    replace_table(spark, path, spark.createDataFrame(rows, schema), pairs(*[r[:2] for r in rows]))
-    replace_table(spark, path, spark.createDataFrame([], schema), pairs(rows[0][:2], rows[1][:2]))
-    assert [(r.batch_id, r.kg) for r in spark.read.parquet(path).collect()] == [(2, 7)]
-    replace_table(spark, path, spark.createDataFrame([(1, rows[0][1], 9)], schema), pairs(rows[0][:2]))
-    assert sorted((r.batch_id, r.kg) for r in spark.read.parquet(path).collect()) == [(1, 9), (2, 7)]
+    replace_table(spark, path, spark.createDataFrame(rows, schema), pairs(*[r[:2] for r in rows]), keys)
+    replace_table(spark, path, spark.createDataFrame([], schema), pairs(rows[0][:2], rows[1][:2]), keys)
+    assert [(r.batch_id, r.kg) for r in open_version(spark, path).collect()] == [(2, 7)]
+    replace_table(spark, path, spark.createDataFrame([(1, rows[0][1], 9)], schema), pairs(rows[0][:2]), keys)
+    assert sorted((r.batch_id, r.kg) for r in open_version(spark, path).collect()) == [(1, 9), (2, 7)]
 
 
 def test_late_observations_recalculate_their_days(spark, tmp_path):
@@ -100,11 +102,11 @@ def test_late_observations_recalculate_their_days(spark, tmp_path):
         ]).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(FEED_OBSERVATION).parquet(source)
         stream_recalculation(spark, stream, root, str(tmp_path / "cp"), lambda: reference).awaitTermination()
-        got = spark.read.parquet(f"{root}/calc_result").collect()
+        got = open_version(spark, f"{root}/calc_result").collect()
         return {str(r.business_date): (str(r.total_weighted_kg), r.obs_total) for r in got}
 
     assert arrive((1, "2026-09-11 03:00", "1"), (2, "2026-09-12 03:00", "2")) == {
         "2026-09-11": ("2.00", 1), "2026-09-12": ("4.00", 1)}
     assert arrive((3, "2026-09-11 04:00", "5"), (1, "2026-09-11 03:00", "1")) == {
         "2026-09-11": ("12.00", 2), "2026-09-12": ("4.00", 1)}
-    assert spark.read.parquet(f"{root}/calc_detail").count() == 3
+    assert open_version(spark, f"{root}/calc_detail").count() == 3
