@@ -16,7 +16,7 @@ from netpen.operators.listing import first_failures
 from netpen.plans.validate import MAX_RAW_LINE, MAX_RAW_VALUE, error, validate_rows
 from netpen.session import stage
 from netpen.sources.obs_files import (
-    data_lines, dedup_files, judge_files, read_obs_files, scan_files, verify_checksum)
+    NO_EXPECTATION, data_lines, dedup_files, judge_files, read_obs_files, scan_files, verify_checksum)
 from netpen.sources.versions import day_of, days_of
 
 # Fixed values.
@@ -25,6 +25,7 @@ MAX_REASON = 500
 FEED_TYPE = "IMPORT-CSV"
 ACTIVE = ("BREEDING", "MONITORING")
 TERMINAL = ("HARVESTED", "CLOSED")
+REFUSED = ("checksum_missing", "checksum_mismatch")
 
 KEY = ["voyage_no", "cage_no", "observed_at"]
 ORDER = ["file_time", "checksum", "line_no"]
@@ -342,12 +343,15 @@ def import_observations(spark: SparkSession, path: str | Sequence[str], tables:
     """Import of all files under ``path`` that ``imported`` (earlier file summaries) does not hold.
 
     ``files`` may name them, as from ``scan_files``. Files that ``expected`` (file_path,
-    expected_checksum) gives another checksum are refused as a whole and stay open for a later import.
+    expected_checksum) gives another checksum are refused as a whole and stay open for a later import; files
+    already imported stay as they are.
     """
     found = scan_files(spark, path) if files is None else files
     refused = None
     if expected is not None:
         found, refused = verify_checksum(found, expected)
+        if imported is not None:
+            refused = refused.join(imported.select("checksum"), "checksum", "left_anti")
     kept = stage(dedup_files(found, imported), "import-new-files")
     numbered = stage(read_obs_files(spark, path, kept, hot_rows), "import-lines")
     judged = stage(judge_files(kept, numbered), "import-files")
@@ -359,4 +363,5 @@ def import_observations(spark: SparkSession, path: str | Sequence[str], tables:
     counts = ["total_rows", "success_count", "updated_count", "skipped_count", "failed_count"]
     return result._replace(files=result.files.unionByName(refused.select(
         "checksum", "file_path", F.lit("FAILED").alias("status"),
-        *[F.lit(0).cast("bigint").alias(c) for c in counts], F.lit("checksum_mismatch").alias("error_message"))))
+        *[F.lit(0).cast("bigint").alias(c) for c in counts], F.when(
+            F.col("expected_checksum") == NO_EXPECTATION, REFUSED[0]).otherwise(REFUSED[1]).alias("error_message"))))

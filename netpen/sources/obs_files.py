@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from netpen.functions.text import OBS_HEADER, csv_fields, is_blank, jtrim
 from netpen.operators.hot import OrderedScan, line_chunk
@@ -14,24 +14,39 @@ from netpen.session import stage
 EMPTY_CHECKSUM = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
+# Stands for an expectation that has not come; no checksum equals it.
+NO_EXPECTATION = "(none)"
+
+
 def scan_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """One row per file: file_path, file_time, length and the SHA-256 of its bytes.
 
     Bytes are read for the checksum alone and go no further; a file beyond what Spark's binary source
     can hold (2 GB) raises. The source passes over files without bytes; they come from its listing.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
+    files = _binary(spark, path)
+    found = stage(with_checksum(files), "file-checksums")
+    return found.unionByName(empty_files(spark, path, found))
+
+
+def _binary(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
         path if isinstance(path, str) else list(path))
+
+
+def empty_files(spark: SparkSession, path: str | Sequence[str], found: DataFrame | None = None) -> DataFrame:
+    """Rows as of ``scan_files`` for the listed files that the source holds no row of; no bytes are read."""
+    files = _binary(spark, path)
     # The listing is the driver's own; only its names are used.
     listed = spark.createDataFrame([(name,) for name in files.inputFiles()], "file_path string")
-    found = stage(with_checksum(files), "file-checksums")
-    empty = listed.join(found.select("file_path"), "file_path", "left_anti").select(
+    if found is None:
+        found = files.select(F.input_file_name().alias("file_path"), "length").where("length > 0")
+    return listed.join(found.select("file_path"), "file_path", "left_anti").select(
         "file_path", F.lit(None).cast("timestamp_ntz").alias("file_time"),
         F.lit(0).cast("bigint").alias("length"), F.lit(EMPTY_CHECKSUM).alias("checksum"))
-    return found.unionByName(empty)
 
 
-def with_checksum(files: DataFrame, *more: str) -> DataFrame:
+def with_checksum(files: DataFrame, *more: str | Column) -> DataFrame:
     """File rows of a ``binaryFile`` scan or stream, and ``more`` of its columns."""
     return files.select(
         *more,
@@ -41,12 +56,13 @@ def with_checksum(files: DataFrame, *more: str) -> DataFrame:
 
 
 def verify_checksum(files: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split by (file_path, expected_checksum); a blank expectation accepts the file."""
-    joined = files.join(expected.select("file_path", "expected_checksum"), "file_path", "left")
+    """Split by (file_path, expected_checksum); a blank expectation accepts the file, and so does any that fits."""
     wanted = F.col("expected_checksum")
-    good = is_blank(wanted) | (F.lower(jtrim(wanted)) == F.col("checksum"))
-    return (joined.where(good).drop("expected_checksum"),
-            joined.where(~good).select("file_path", "checksum", "expected_checksum"))
+    joined = files.join(expected.select("file_path", "expected_checksum").distinct(), "file_path", "left").withColumn(
+        "fits", is_blank(wanted) | (F.lower(jtrim(wanted)) == F.col("checksum")))
+    good = joined.where("fits").drop("fits", "expected_checksum").distinct()
+    return good, joined.where("not fits").join(good.select("file_path"), "file_path", "left_anti").groupBy(
+        "file_path", "checksum").agg(F.min("expected_checksum").alias("expected_checksum"))
 
 
 def dedup_files(files: DataFrame, ledger: DataFrame | None = None) -> DataFrame:

@@ -14,16 +14,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from netpen.plans.importer import SHARD_SIZE, Import, import_observations
+from netpen.plans.importer import REFUSED, SHARD_SIZE, Import, import_observations
 from netpen.plans.rulecalc import affected_days, recalculate
 from netpen.schemas import FEED_OBSERVATION, IMPORT_FILE, TABLES
 from netpen.session import configure, stage, staging
-from netpen.sources.obs_files import scan_files, with_checksum
+from netpen.sources.obs_files import EMPTY_CHECKSUM, NO_EXPECTATION, empty_files, scan_files, with_checksum
 from netpen.sources.sinks import (
     OBSERVATION_KEY, read_or_empty, replace_table, upsert_table, write_ledger, write_partitions)
 from netpen.sources.tables import conform
 from netpen.sources.versions import Version, change, day_of, days_of, open_version
 
+WATERMARKS = "spark.sql.streaming.multipleWatermarkPolicy"
+
 Tables = Callable[[], dict[str, DataFrame]]
 
 # Result -> (table, key, time column, condition under which a stored row stays as it is).
@@ -77,7 +79,9 @@ def import_files(spark: SparkSession, path: str | Sequence[str], files: DataFram
     if result is None:
         tables = {**reference, **stored_tables(
             spark, root, "cage_observation", "feeding_record", "survival_report")}
-        imported = read_or_empty(spark, f"{root}/import_file", IMPORT_FILE)
+        # Files refused for their checksum stay open.
+        imported = read_or_empty(spark, f"{root}/import_file", IMPORT_FILE).where(
+            F.col("error_message").isNull() | ~F.col("error_message").isin(*REFUSED))
         found = import_observations(spark, path, tables, now, shard_size, imported, files, expected=expected)
         for name, df in found._asdict().items():
             df.write.mode("overwrite").parquet(f"{run_path}/{name}")
@@ -100,33 +104,81 @@ def import_folder(spark: SparkSession, path: str, root: str, reference: dict[str
         return import_files(spark, path, scan_files(spark, path), root, reference, now, run, shard_size, expected)
 
 
+def with_expectations(files: DataFrame, expected: DataFrame, wait: str) -> DataFrame:
+    """Streams of files and of (file_path, expected_checksum), each with ``seen_at``, joined by path in state.
+
+    Either may come first, by up to ``wait`` (an interval such as ``2 hours``). A file without an expectation by
+    then leaves with ``NO_EXPECTATION``; an expectation without a file by then is forgotten.
+    """
+    left = files.withWatermark("seen_at", "1 second")
+    right = expected.select(F.col("file_path").alias("for_path"), "expected_checksum",
+                            F.col("seen_at").alias("told_at")).withWatermark("told_at", "1 second")
+    near = (F.col("told_at") >= F.col("seen_at") - F.expr(f"interval {wait}")) & (
+        F.col("told_at") <= F.col("seen_at") + F.expr(f"interval {wait}"))
+    joined = left.join(right, (F.col("file_path") == F.col("for_path")) & near, "left_outer")
+    return joined.select(*files.columns, F.when(
+        F.col("for_path").isNull(), NO_EXPECTATION).otherwise(F.col("expected_checksum")).alias("expected_checksum"))
+
+
+def report_empty(spark: SparkSession, path: str, root: str) -> None:
+    """Enter files without bytes in the file ledger; no batch of the stream holds a row of them."""
+    empty = empty_files(spark, path).where(F.col("checksum") == EMPTY_CHECKSUM).groupBy("checksum").agg(
+        F.min("file_path").alias("file_path"), F.lit("FAILED").alias("status"), F.lit("bad_header").alias("error_message"),
+        *[F.lit(0).cast("bigint").alias(c) for c in (
+            "total_rows", "success_count", "updated_count", "skipped_count", "failed_count")])
+    write_partitions(conform(empty, IMPORT_FILE), f"{root}/import_file", ["checksum"])
+
+
 def stream_imports(spark: SparkSession, path: str, root: str, checkpoint: str, reference: Tables,
                    clock: Callable[[], dt.datetime], shard_size: int = SHARD_SIZE,
-                   files_per_batch: int = 1000) -> StreamingQuery:
+                   files_per_batch: int = 1000, expected: DataFrame | None = None,
+                   wait: str = "1 day") -> StreamingQuery:
     """Import files as they arrive, each once; corrections come as new files.
 
     Runs over what is there and stops; start it again with the same checkpoint for later files.
     ``reference`` gives fish_batch, harvest_batch and sensor for each batch, ``clock`` its time. Several
     streams may share ``root``: a run is named by the id in the stream's checkpoint and its batch.
+
+    With ``expected``, a stream of (file_path, expected_checksum), a file waits for its expectation and is refused
+    if that differs (``checksum_mismatch``) or has not come within ``wait`` (``checksum_missing``), as judged
+    when something arrives after that. A blank expectation accepts its file. Files without bytes are reported
+    when the stream is started.
     """
     configure(spark)
+    report_empty(spark, path, root)
     arriving = (
         spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch)
         .schema("path string, modificationTime timestamp, length bigint, content binary").load(path))
+    if expected is not None:
+        seen = F.current_timestamp().alias("seen_at")
+        arriving = with_expectations(with_checksum(arriving, "path", seen),
+                                     expected.select("file_path", "expected_checksum", seen), wait)
 
     def one_batch(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         stream = session.read.json(f"{checkpoint}/metadata").first()["id"]
         with staging(session):
-            files = stage(with_checksum(batch, "path"), "arrived-files")
-            # At most ``files_per_batch`` names.
+            files = stage(with_checksum(batch, "path") if expected is None else batch, "arrived-files")
+            told = None
+            if expected is not None:
+                # Of several expectations that a file meets at once, any may accept it.
+                told = files.select("file_path", "expected_checksum")
+                files = files.drop("expected_checksum", "seen_at").dropDuplicates(["file_path"])
+            # At most ``files_per_batch`` names, and those that waited.
             paths = [row.path for row in files.select("path").collect()]
-            import_files(session, paths, files.drop("path"), root, reference(), clock(),
-                         f"stream={stream}/batch={number}", shard_size)
+            if paths:
+                import_files(session, paths, files.drop("path"), root, reference(), clock(),
+                             f"stream={stream}/batch={number}", shard_size, told)
 
-    return (arriving.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    policy = spark.conf.get(WATERMARKS)
+    # Both sides' times are arrival times, so no row can come late, and a silent side must not hold up the other.
+    spark.conf.set(WATERMARKS, "max")
+    try:
+        return (arriving.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(WATERMARKS, policy)
 
 
 def store_observations(spark: SparkSession, path: str, arrived: DataFrame) -> None:

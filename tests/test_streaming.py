@@ -1,6 +1,7 @@
 """Arriving files and late observations, with real folders."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 from netpen.schemas import FEED_OBSERVATION
 from netpen.sources.sinks import replace_table, upsert_table
 from netpen.sources.versions import open_version
-from netpen.streaming.ingest import import_folder, stream_imports, stream_recalculation
+from netpen.sources.obs_files import EMPTY_CHECKSUM
+from netpen.streaming.ingest import (
+    WATERMARKS, import_folder, stream_imports, stream_recalculation, with_expectations)
 from tests.helpers import table
 from tests.test_importer import HEADER, batch, sensor, write
 
@@ -39,6 +42,66 @@ def test_files_are_imported_once_and_corrections_upsert(spark, tmp_path):
     assert len({r.file_path for r in ledger("import_file").collect()}) == 2
 
 
+def test_a_stream_refuses_files_that_differ_from_their_expectation(spark, tmp_path):
+    inbox, told, root = tmp_path / "in", str(tmp_path / "told"), str(tmp_path / "tables")
+    inbox.mkdir()
+    reference = {"fish_batch": table(spark, "fish_batch", batch(1, "A")),
+                 "sensor": table(spark, "sensor", sensor(1, "S-1", "A")), "harvest_batch": table(spark, "harvest_batch")}
+    sums, names = {}, {}
+    for i, name in enumerate(("right.csv", "wrong.csv", "silent.csv")):
+        write(inbox, name, f"{HEADER}\nV-{i},A,2026-09-10T08:00:00,{i + 1}.00,,,,\n")
+        sums[name] = hashlib.sha256((inbox / name).read_bytes()).hexdigest()
+        names[name] = f"file://{inbox / name}"
+    (inbox / "empty.csv").touch()
+    tell = lambda *rows: spark.createDataFrame(rows, "file_path string, expected_checksum string").write.mode("append").parquet(told)
+    tell((names["right.csv"], f" {sums['right.csv'].upper()} "), (names["wrong.csv"], sums["right.csv"]))
+
+    def go():
+        expected = spark.readStream.schema("file_path string, expected_checksum string").parquet(told)
+        stream_imports(spark, str(inbox), root, str(tmp_path / "cp"), lambda: reference, lambda: NOW,
+                       expected=expected).awaitTermination()
+        return sorted((r.file_path.split("/")[-1], r.status, r.error_message) for r in spark.read.parquet(f"{root}/import_file").collect())
+
+    first = [("empty.csv", "FAILED", "bad_header"), ("right.csv", "SUCCESS", None), ("wrong.csv", "FAILED", "checksum_mismatch")]
+    assert go() == first
+    tell((names["silent.csv"], ""), (names["wrong.csv"], sums["wrong.csv"]), (names["right.csv"], "0"))
+    assert go() == [first[0], first[1], ("silent.csv", "SUCCESS", None), ("wrong.csv", "SUCCESS", None)]
+    assert sorted(r.voyage_no for r in open_version(spark, f"{root}/cage_observation").collect()) == ["V-0", "V-1", "V-2"]
+    assert EMPTY_CHECKSUM in {r.checksum for r in spark.read.parquet(f"{root}/import_file").collect()}
+
+
+def test_expectations_meet_files_within_the_time_limit(spark, tmp_path):
+    files, told, out = (str(tmp_path / n) for n in ("files", "told", "out"))
+    schemas = {files: "file_path string, seen_at timestamp", told: "file_path string, expected_checksum string, seen_at timestamp"}
+    time = lambda minutes: dt.datetime(2026, 9, 10, 8, tzinfo=dt.timezone.utc) + dt.timedelta(minutes=minutes)
+    put = lambda at, *rows: spark.createDataFrame([(*r[:-1], time(r[-1])) for r in rows], schemas[at]).coalesce(
+        1).write.mode("append").parquet(at)
+
+    def go():
+        joined = with_expectations(spark.readStream.schema(schemas[files]).parquet(files),
+                                   spark.readStream.schema(schemas[told]).parquet(told), "60 minutes")
+        policy = spark.conf.get(WATERMARKS)
+        spark.conf.set(WATERMARKS, "max")
+        (joined.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
+         .trigger(availableNow=True).start().awaitTermination())
+        spark.conf.set(WATERMARKS, policy)
+        return sorted((r.file_path, r.expected_checksum) for r in spark.read.parquet(out).collect())
+
+    put(files, ("a", 0), ("b", 0), ("c", 0))
+    put(told, ("a", "sum-a", 0), ("early", "sum-e", 0))
+    assert go() == [("a", "sum-a")]
+    put(files, ("early", 30))
+    put(told, ("b", "sum-b", 30))
+    second = [("a", "sum-a"), ("b", "sum-b"), ("early", "sum-e")]
+    assert go() == second
+    # Only files arrive from here on; "c" has waited long enough, its expectation comes too late.
+    put(files, ("d", 200))
+    third = sorted([*second, ("c", "(none)")])
+    assert go() == third
+    put(told, ("c", "sum-c", 201), ("d", "sum-d", 201))
+    assert go() == sorted([*third, ("d", "sum-d")])
+
+
 def test_two_streams_share_one_root(spark, tmp_path):
     root = str(tmp_path / "tables")
     reference = {"fish_batch": table(spark, "fish_batch", batch(1, "A")),
