@@ -112,27 +112,38 @@ def replay_rules(rules: DataFrame, events: DataFrame, hot_rows: int | None = Non
     all enabled versions of its code at that moment. Retiring needs the version to be enabled then: by its
     own enabling, with none of its code after it, or as stored, with none of its code so far. Overlap with
     other codes is the business of ``rule_overlaps``.
+
+    The events are written once with their rule, and each scan takes only the rows that its question is
+    about: drafts' enablings by version, those that take and all retirings by code, those that hold by version.
     """
     known = rules.select("rule_id", "rule_code", F.coalesce("status", F.lit("DRAFT")).alias("stored"))
-    rows = skew_join(events, known, ["rule_id"], ["event_id"], "left", hot_rows)
+    asked = stage(events.select("event_id", "rule_id", "event_time", "action"), "rule-events")
+    rows = stage(skew_join(asked, known, ["rule_id"], ["event_id"], "left", hot_rows), "known-rule-events")
     order = ["event_time", "event_id"]
+    yes = lambda condition: F.coalesce(condition, F.lit(False))
     enables, retires = F.col("action") == "ENABLE", F.col("action") == "RETIRE"
-    version = OrderedScan(rows, ["rule_id"], order, hot_rows=hot_rows)
-    version.carry(maximum={"was_enabled": F.when(enables, 1)})
-    version.add(takes=enables & F.col("was_enabled").isNull() & (F.col("stored") == "DRAFT"))
-    code = OrderedScan(version.rows(), ["rule_code"], order, hot_rows=hot_rows)
+    missing, drafts = F.col("rule_code").isNull(), yes(enables) & yes(F.col("stored") == "DRAFT")
+    version = OrderedScan(rows.where(~missing & drafts), ["rule_id"], order, hot_rows=hot_rows)
+    version.carry(count="enabled_before")
+    enabling = stage(version.rows().withColumn("takes", F.col("enabled_before") == 0).drop("enabled_before"), "draft-enablings")
+    about_code = rows.where(~missing & yes(retires)).withColumn("takes", F.lit(False)).unionByName(enabling.where("takes"))
+    code = OrderedScan(about_code, ["rule_code"], order, hot_rows=hot_rows)
     code.carry(last={"holder": F.when(F.col("takes"), F.col("rule_id"))})
     as_stored = F.col("holder").isNull() & (F.col("stored") == "ENABLED")
-    code.add(holds=retires & F.coalesce((F.col("holder") == F.col("rule_id")) | as_stored, F.lit(False)))
-    again = OrderedScan(code.rows(), ["rule_id"], order, hot=version.hot)
-    again.carry(maximum={"was_retired": F.when(F.col("holds"), 1)})
-    reason = (
-        F.when(F.col("rule_code").isNull(), "rule_missing")
-        .when(enables & ~F.coalesce("takes", F.lit(False)), "not_draft")
-        .when(retires & (~F.col("holds") | F.col("was_retired").isNotNull()), "not_enabled")
-        .when(~enables & ~retires, "bad_action"))
-    return again.rows().select("event_id", "rule_id", "event_time", "action",
-                               reason.isNull().cast("int").alias("accepted"), reason.alias("reason"))
+    code.add(holds=yes((F.col("holder") == F.col("rule_id")) | as_stored))
+    retiring = stage(code.rows().where(retires).drop("takes", "holder"), "retirings")
+    held = OrderedScan(retiring.where("holds"), ["rule_id"], order, hot_rows=hot_rows).carry(count="retired_before").rows()
+    accepted = F.lit(None).cast("string")
+    judged = [
+        rows.where(missing).withColumn("reason", F.lit("rule_missing")),
+        rows.where(~missing & ~drafts & ~yes(retires)).withColumn(
+            "reason", F.when(enables, "not_draft").when(~enables & ~retires, "bad_action")),
+        enabling.withColumn("reason", F.when(F.col("takes"), accepted).otherwise("not_draft")),
+        retiring.where("not holds").withColumn("reason", F.lit("not_enabled")),
+        held.withColumn("reason", F.when(F.col("retired_before") > 0, "not_enabled"))]
+    return union_all([part.select(
+        "event_id", "rule_id", "event_time", "action", F.col("reason").isNull().cast("int").alias("accepted"), "reason")
+        for part in judged])
 
 
 def rule_history(rules: DataFrame, hot_rows: int | None = None) -> DataFrame:
