@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from netpen.operators.hot import OrderedScan, skew_join
 from netpen.operators.latest import compute_once
+from netpen.session import stage
 from netpen.sources.snapshots import decode_sides
 
 # Fixed values.
@@ -61,14 +62,18 @@ def chain_breaks(chains: DataFrame, events: DataFrame, hot_rows: int | None = No
     flags = {"SEQ_CONTINUOUS": "next_number", "CAGE_LINKED": "linked", "TIME_ORDERED": "later",
              "HANDOFF_EQUAL": "handed_over", "FEED_MONOTONIC": "not_less", "SNAPSHOT_READABLE": "readable"}
     compared = skew_join(_compared(events, hot_rows), known, ["chain_no"], ["migration_no"], "left_semi", hot_rows)
-    checked = compared.select(
-        "chain_no", "seq_no", "migration_no", F.col("prev")["migration_no"].alias("previous_no"), F.inline(F.array(*[
-            F.struct(F.lit(name).alias("check_name"), (~F.coalesce(F.col(flag), F.lit(True))).alias("broken"))
-            for name, flag in flags.items()])))
-    # A run is told by the sound events before it, which are as many for all its members.
-    scan = OrderedScan(checked, ["chain_no", "check_name"], ["seq_no", "migration_no"],
-                       F.floor(F.col("seq_no") / SEQ_CHUNK), hot_rows)
-    rows = scan.carry(last={"last_sound": F.when(~F.col("broken"), F.struct("seq_no", "migration_no"))}).rows().where("broken")
+    checked = stage(compared.select(
+        "chain_no", "seq_no", "migration_no", F.col("prev")["migration_no"].alias("previous_no"),
+        *[F.coalesce(F.col(flag), F.lit(True)).alias(f"sound_{name}") for name, flag in flags.items()]), "checked-events")
+    # A run is told by the last sound event before it, the same for all its members. All checks go in one scan;
+    # only the broken ones become rows of their own.
+    scan = OrderedScan(checked, ["chain_no"], ["seq_no", "migration_no"], F.floor(F.col("seq_no") / SEQ_CHUNK), hot_rows)
+    here = F.struct("seq_no", "migration_no")
+    scanned = scan.carry(last={f"last_{name}": F.when(F.col(f"sound_{name}"), here) for name in flags}).rows()
+    of_check = [F.when(~F.col(f"sound_{name}"), F.struct(F.lit(name).alias("check_name"), F.col(f"last_{name}").alias("last_sound")))
+                for name in flags]
+    rows = stage(scanned.select("chain_no", "seq_no", "migration_no", "previous_no",
+                                F.inline(F.array_compact(F.array(*of_check)))), "broken-checks")
     runs = rows.groupBy("chain_no", "check_name", "last_sound").agg(
         F.count(F.lit(1)).alias("run_length"), F.min(F.struct("seq_no", "migration_no")).alias("begins"))
     runs = runs.select("chain_no", "check_name", "run_length", "begins.*")
