@@ -7,13 +7,15 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from netpen.adapters import view
 from netpen.functions import ring
 from netpen.operators import hot, ranges
 from netpen.plans.audit import chain_breaks
 from netpen.plans.lifecycle import replay_rules
 from netpen.plans.register import register
 from netpen.plans.rulecalc import placed_observations
-from netpen.sources.obs_files import number_data_lines
+from netpen.session import stage
+from netpen.sources.obs_files import drop_blank, number_data_lines
 from tests.helpers import at, table
 from tests.test_operators import rules
 
@@ -135,3 +137,30 @@ def test_segments_are_not_multiplied_by_batches(spark):
     assert sorted((r.obs_id, r.batch_id, r.tide_id) for r in placed.collect()) == [
         (i, i % 25, i % 24 // 6 if i % 24 % 6 != 5 else None) for i in inside]
     assert "explode" not in placed._jdf.queryExecution().optimizedPlan().toString()  # hours are met before batches
+
+
+def test_lines_that_are_expressions_are_formed_once(spark):
+    """No filter goes below the line and forms it a second time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def form(value):
+        seen.add(1)
+        return value
+
+    lines = spark.createDataFrame([("f", i, "x" if i % 3 else " ") for i in range(50)], "checksum string, line_no long, raw_line string")
+    kept = drop_blank(lines.withColumn("raw_line", F.udf(form, "string")("raw_line")))
+    assert kept.columns == lines.columns
+    assert sorted(r.line_no for r in kept.collect()) == [n for n in range(50) if n % 3]
+    assert seen.value == 50
+
+
+@pytest.mark.parametrize("name", ["stored_observation", "stored_record", "stored_report"])
+def test_stored_views_take_events_that_were_worked_out(spark, tmp_path, name):
+    events = spark.createDataFrame([(i, at("2024-01-05") + dt.timedelta(seconds=i % 4), i % 3, "a", i * 1.5, "{}") for i in range(40)],
+                                   "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.unionByName(events.where("event_id < 9")).write.parquet(f"{tmp_path}/events.parquet")
+    picked = stage(view(spark, str(tmp_path), "stored_event"), "picked")
+    plain, given = view(spark, str(tmp_path), name), view(spark, str(tmp_path), name, {"stored_event": picked})
+    assert plain.schema == given.schema and sorted(map(str, plain.collect())) == sorted(map(str, given.collect()))
+    assert "Window" not in given._jdf.queryExecution().optimizedPlan().toString()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("given_")]
