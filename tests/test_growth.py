@@ -12,7 +12,7 @@ from netpen.functions import ring
 from netpen.operators import hot, ranges
 from netpen.plans.audit import chain_breaks
 from netpen.plans.lifecycle import replay_rules
-from netpen.plans.register import register
+from netpen.plans.register import _meets_stored, register
 from netpen.plans.rulecalc import placed_observations
 from netpen.session import stage
 from netpen.sources.obs_files import drop_blank, number_data_lines
@@ -164,3 +164,23 @@ def test_stored_views_take_events_that_were_worked_out(spark, tmp_path, name):
     assert plain.schema == given.schema and sorted(map(str, plain.collect())) == sorted(map(str, given.collect()))
     assert "Window" not in given._jdf.queryExecution().optimizedPlan().toString()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("given_")]
+
+
+@pytest.mark.parametrize("hot_rows", [None, 3])
+def test_stored_tides_are_met_in_one_scan(spark, hot_rows, monkeypatch):
+    scans = []
+    carry = hot.OrderedScan.carry
+    monkeypatch.setattr(hot.OrderedScan, "carry", lambda self, *a, **k: scans.append(1) or carry(self, *a, **k))
+    pick = random.Random(8)
+    minute = lambda n: at("2024-01-01") + dt.timedelta(minutes=n)
+    old = [(f"C{pick.randrange(3)}", s := pick.randrange(300), s + pick.choice([0, 1, 5, 40, -3])) for _ in range(25)]
+    new = [(i, f"C{pick.randrange(4)}", s := pick.randrange(300), s + 1 + pick.randrange(12)) for i in range(200)]
+    stored = spark.createDataFrame([(c, minute(s), minute(e)) for c, s, e in old],
+                                   "cage_no string, start_at_utc timestamp_ntz, end_at_utc timestamp_ntz")
+    asked = spark.createDataFrame([(i, c, minute(s), minute(e)) for i, c, s, e in new],
+                                  "request_id long, cage_no string, start_at_utc timestamp_ntz, end_at_utc timestamp_ntz")
+    met = lambda c, s, e: any(c == k and (a < e and b > s or s <= a < e) for k, a, b in old)
+    want = [i for i, c, s, e in new if met(c, s, e)]
+    assert 20 < len(want) < 180
+    assert sorted(r.request_id for r in _meets_stored(asked, stored, hot_rows).collect()) == want
+    assert len(scans) == 1
